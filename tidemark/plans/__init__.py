@@ -2,6 +2,7 @@
 
 from tidemark.plans import (  # noqa: F401
     aggregation,
+    checks,
 )
 from tidemark.plans.catalog import CATALOG
 
