@@ -108,14 +108,17 @@ def within(frame: DataFrame, name: str, start: date | str | None, end: date | st
     stamped = isinstance(kind, (T.TimestampType, T.TimestampNTZType))
     plain = isinstance(kind, T.DateType)
     column = raw if stamped or plain else as_date(frame, name)
+
+    def midnight(day: date) -> Column:
+        return F.lit(datetime(day.year, day.month, day.day)).cast(kind)
+
     if start is not None:
         first = _day(start)
-        frame = frame.filter(column >= F.lit(datetime(first.year, first.month, first.day) if stamped else first))
+        frame = frame.filter(column >= (midnight(first) if stamped else F.lit(first)))
     if end is not None:
         last = _day(end)
         if stamped:
-            after = last + timedelta(days=1)
-            frame = frame.filter(column < F.lit(datetime(after.year, after.month, after.day)))
+            frame = frame.filter(column < midnight(last + timedelta(days=1)))
         else:
             frame = frame.filter(column <= F.lit(last))
     return frame
