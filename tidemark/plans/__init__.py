@@ -3,6 +3,7 @@
 from tidemark.plans import (  # noqa: F401
     aggregation,
     checks,
+    profiling,
     reading,
 )
 from tidemark.plans.catalog import CATALOG
