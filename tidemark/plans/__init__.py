@@ -3,6 +3,7 @@
 from tidemark.plans import (  # noqa: F401
     aggregation,
     checks,
+    forecasting,
     profiling,
     reading,
 )
