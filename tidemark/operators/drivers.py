@@ -41,14 +41,21 @@ def lag_correlations(
         (F.col(Y) - F.lag(Y).over(order)).alias("_dy"),
         *[(F.col(d) - F.lag(d).over(order)).alias(f"_d{i}") for i, d in enumerate(drivers)],
     )
+    shifted = moved.select(
+        *keys,
+        "t",
+        "n",
+        "_dy",
+        *[F.lag(f"_d{i}", lag).over(order).alias(f"_x{i}_{lag}") for i in range(len(drivers)) for lag in lags],
+    )
     pairs = F.array(
         *[
-            F.struct(F.lit(name).alias("driver"), F.lit(lag).alias("lag"), F.lag(f"_d{i}", lag).over(order).alias("x"))
+            F.struct(F.lit(name).alias("driver"), F.lit(lag).alias("lag"), F.col(f"_x{i}_{lag}").alias("x"))
             for i, name in enumerate(drivers)
             for lag in lags
         ]
     )
-    tall = moved.select(*keys, "t", "n", "_dy", F.explode(pairs).alias("p")).select(*keys, "t", "n", "_dy", "p.*")
+    tall = shifted.select(*keys, "t", "n", "_dy", F.explode(pairs).alias("p")).select(*keys, "t", "n", "_dy", "p.*")
     usable = tall.filter(
         (F.col("n") - F.col("lag") >= MIN_ROWS_AFTER_LAG) & F.col("x").isNotNull() & F.col("_dy").isNotNull()
     )

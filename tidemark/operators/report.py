@@ -46,7 +46,7 @@ def by_demand_class(scores: DataFrame, classes: DataFrame, key: str = "series_id
 
 def realised_coverage(graded: DataFrame, level: float) -> DataFrame:
     """Interval coverage of scored points by step."""
-    points = graded.filter(F.col("actual").isNotNull() & F.col("lower").isNotNull() & F.col("upper").isNotNull())
+    points = graded.filter(F.col("actual").isNotNull() & F.col("lower").isNotNull() & F.col("upper").isNotNull()).drop("step")
     steps = points.select("period").distinct()
     # The scored periods are as few as the horizon is long.
     ranked = steps.withColumn("step", F.row_number().over(Window.orderBy("period")))

@@ -3,9 +3,12 @@
 from tidemark.plans import (  # noqa: F401
     aggregation,
     checks,
+    flows,
     forecasting,
+    models,
     profiling,
     reading,
+    runs,
 )
 from tidemark.plans.catalog import CATALOG
 
