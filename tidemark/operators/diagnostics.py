@@ -279,8 +279,18 @@ def history_arrays(series: DataFrame, keys: Sequence[str] = (SERIES_ID,)) -> Dat
 
 
 def seasonal_profile(series: DataFrame, frequency: str, keys: Sequence[str] = (SERIES_ID,)) -> DataFrame:
-    shaped = history_arrays(series, keys).select(*keys, shape_column(F.col("values"), frequency).alias("s"))
-    return shaped.select(*keys, "s.*")
+    arrays = spread_out(history_arrays(series, keys), keys)
+    return arrays.select(*keys, shape_column(F.col("values"), frequency).alias("s")).select(*keys, "s.*")
+
+
+def spread_out(windows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Windows over as many tasks as a shuffle has: few bytes, much computing.
+
+    A number given by hand keeps adaptive execution from merging the small
+    partitions back together.
+    """
+    tasks = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return windows.repartition(tasks, *keys)
 
 
 # ---- Demand and transform --------------------------------------------------

@@ -55,7 +55,9 @@ def forecast_windows(
     A window's season and trend are measured in the window itself; only the
     plan of cuts uses the whole history.
     """
-    aligned = align_calendar(panel, frequency)
+    # Hashed by series once: the windows over series and folds that follow
+    # all run where their rows already lie.
+    aligned = align_calendar(diagnostics.spread_out(panel, [SERIES_ID]), frequency)
     whole = diagnostics.compacted(prepare(aligned, fill, sigmas))
     shape = cut_lineage(diagnostics.seasonal_profile(whole, frequency), "shape")
     pattern = diagnostics.demand_pattern(whole).select(SERIES_ID, "demand_class")
@@ -66,8 +68,8 @@ def forecast_windows(
     windows = backtest.training_windows(
         backtest.fold_rows(planned), fill=fill, sigmas=sigmas, season=SEASON[frequency]
     )
-    shaped = windows.withColumn("shape", diagnostics.shape_column(F.col("train"), frequency))
-    fitted = models.add_croston(cut_lineage(shaped, "shapes"))
+    shaped = diagnostics.spread_out(windows, [SERIES_ID, "fold"]).withColumn("shape", diagnostics.shape_column(F.col("train"), frequency))
+    fitted = models.add_croston(diagnostics.spread_out(cut_lineage(shaped, "shapes"), [SERIES_ID, "fold"]))
     steps = F.greatest("test_horizon", F.lit(horizon))
     fitted = fitted.withColumn("smooth", smoothing.smoothing_paths(F.col("train"), F.col("shape"), steps))
     described = known.select(SERIES_ID, F.col("period").alias("full_period"), F.col("has_season").alias("full_season"), "demand_class")
@@ -130,7 +132,8 @@ def run_fanout(
     empty ones, and those no candidate could be tested on, take a baseline
     without a band.
     """
-    report = validation.validate_panel(panel, frequency, min_history=min_history)
+    panel = cut_lineage(panel, "panel")
+    report = cut_lineage(validation.validate_panel(panel, frequency, min_history=min_history), "report")
     routes = report.select(SERIES_ID, "status", "route")
     accepted = panel.join(routes.filter(F.col("status") != "reject").select(SERIES_ID), SERIES_ID, "left_semi")
     windows = forecast_windows(accepted, frequency, horizon, fill=fill, sigmas=sigmas, max_folds=max_folds)

@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.constants import BOX_COX_GRID, LOG_CEILING
+from tidemark.operators.diagnostics import _centred
 
 LEVEL_WEIGHTS = (0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9)
 TREND_WEIGHTS = (0.01, 0.05, 0.1, 0.3)
@@ -39,7 +40,7 @@ def _opening(y: np.ndarray, period: int, season: str | None, trend: bool) -> tup
 def smooth(
     y: np.ndarray, period: int, trend: bool, damped: bool, season: str | None, horizon: int
 ) -> tuple[float, float, np.ndarray] | None:
-    """(criterion additive, criterion multiplicative, path) of the best weights.
+    """(criterion, number of parameters, path) of the best weights.
 
     All weight combinations are carried through the recursion side by side.
     """
@@ -121,8 +122,6 @@ def theta(y: np.ndarray, period: int, seasonal: bool, horizon: int) -> np.ndarra
     n, steps = y.size, np.arange(1, horizon + 1)
     pattern, multiplied = None, False
     if seasonal and period >= 2 and n >= 2 * period + 1:
-        from tidemark.operators.diagnostics import _centred
-
         multiplied = bool((y > 0).all())
         trend = _centred(y, period)
         rest = y / trend if multiplied else y - trend
@@ -176,8 +175,11 @@ def in_logs(y: np.ndarray, fit) -> np.ndarray | None:
 PATHS = "struct<holt_winters:array<double>,ets:array<double>,theta:array<double>>"
 
 
-def smoothing_paths(train: Column, shape: Column, steps: Column) -> Column:
-    """struct of prediction arrays per window; null where a model cannot fit."""
+def smoothing_paths(train: Column, shape: Column, steps: Column, *, with_ets: bool = False) -> Column:
+    """struct of prediction arrays per window; null where a model cannot fit.
+
+    The wider search is fitted only where its candidate is wanted.
+    """
 
     @F.pandas_udf(PATHS)
     def paths(values: pd.Series, shapes: pd.DataFrame, horizons: pd.Series) -> pd.DataFrame:
@@ -195,7 +197,7 @@ def smoothing_paths(train: Column, shape: Column, steps: Column) -> Column:
                     "theta": lambda v: theta(v, p, bool(season), h),
                 }
                 row = {name: in_logs(y, fit) if logged else fit(y) for name, fit in fits.items()}
-                row["ets"] = auto_ets(y, p, bool(season), h)
+                row["ets"] = auto_ets(y, p, bool(season), h) if with_ets else None
             rows.append(row)
         return pd.DataFrame(rows, columns=["holt_winters", "ets", "theta"])
 

@@ -319,7 +319,7 @@ def _backtest_sql(source: str) -> str:
 
 
 def windows_of(series, frequency=MONTHLY, horizon=HORIZON):
-    planned = backtest.plan_rows(series, horizon, frequency)
+    planned = backtest.plan_rows(diagnostics.spread_out(series, ["series_id"]), horizon, frequency)
     return backtest.training_windows(backtest.fold_rows(planned), season=SEASON[frequency])
 
 

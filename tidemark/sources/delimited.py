@@ -25,7 +25,10 @@ ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "latin-1")
 SAMPLE_LINES = 50
 VOTE_LINES = 20
 PREAMBLE_LINES = 14
-_SPARK_ENCODING = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}
+#: Spark reads Latin-1 but not its Windows superset, whose extra characters
+#: are put in place afterwards.
+_SPARK_ENCODING = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "ISO-8859-1", "latin-1": "ISO-8859-1"}
+_EXTRA = [(chr(code), bytes([code]).decode("cp1252", "ignore")) for code in range(0x80, 0xA0)]
 _QUOTED = re.compile(r'"[^"]*"')
 
 
@@ -144,6 +147,10 @@ def read_delimited(spark: SparkSession, path: str, *, delimiter: str | None = No
         numbered = lines.select("value", F.monotonically_increasing_id().alias("_line"))
         body = numbered.filter((F.col("_line") > dialect.header_line) & (F.trim("value") != ""))
         rows = body.select(F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), {"sep": dialect.delimiter}).alias("c")).select("c.*")
+    if dialect.encoding == "cp1252":
+        held = [(control, shown) for control, shown in _EXTRA if shown]
+        found, put = "".join(c for c, _ in held), "".join(s for _, s in held)
+        rows = rows.select(*[F.translate(c, found, put).alias(c) for c in rows.columns])
     named = rows.toDF(*dialect.names)
     cleaned = drop_empty_rows(named.select(*[without_null_tokens(col(n)).alias(n) for n in named.columns]))
     if not infer:
