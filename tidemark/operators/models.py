@@ -119,7 +119,11 @@ def flat(rate: Column, horizon: Column | int) -> Column:
 def blend(paths: Sequence[Column], weights: Sequence[Column]) -> Column:
     """Weighted mean of several prediction arrays, step by step."""
     total = sum(weights[1:], weights[0])
-    scaled = [F.transform(path, lambda p, w=weight: p * w / total) for path, weight in zip(paths, weights)]
+
+    def scaled_by(path: Column, weight: Column) -> Column:
+        return F.transform(path, lambda p: p * weight / total)
+
+    scaled = [scaled_by(path, weight) for path, weight in zip(paths, weights)]
     out = scaled[0]
     for other in scaled[1:]:
         out = F.zip_with(out, other, lambda a, b: a + b)
