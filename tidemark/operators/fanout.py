@@ -49,6 +49,7 @@ def forecast_windows(
     fill: str = "none",
     sigmas: float | None = None,
     max_folds: int | None = None,
+    with_ets: bool = False,
 ) -> DataFrame:
     """Every training window with its shape and the path of each model.
 
@@ -71,7 +72,7 @@ def forecast_windows(
     shaped = diagnostics.spread_out(windows, [SERIES_ID, "fold"]).withColumn("shape", diagnostics.shape_column(F.col("train"), frequency))
     fitted = models.add_croston(diagnostics.spread_out(cut_lineage(shaped, "shapes"), [SERIES_ID, "fold"]))
     steps = F.greatest("test_horizon", F.lit(horizon))
-    fitted = fitted.withColumn("smooth", smoothing.smoothing_paths(F.col("train"), F.col("shape"), steps))
+    fitted = fitted.withColumn("smooth", smoothing.smoothing_paths(F.col("train"), F.col("shape"), steps, with_ets=with_ets))
     described = known.select(SERIES_ID, F.col("period").alias("full_period"), F.col("has_season").alias("full_season"), "demand_class")
     return cut_lineage(fitted.join(described, SERIES_ID), "windows")
 

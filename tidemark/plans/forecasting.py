@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.constants import COMPLEXITY_PENALTY, MONTHLY, PARAMETER_BUDGET, SEASON, SEASON_CANDIDATES, WEEKLY
@@ -667,3 +668,43 @@ def quantile_losses(spark, folder):
     return losses.withColumn(
         "crps", metrics.crps({0.1: F.col("pinball_10"), 0.5: F.col("pinball_50"), 0.9: F.col("pinball_90")})
     )
+
+
+# ---- Transforms and fitted values ----------------------------------------------
+@query(
+    "log_transform",
+    "series_id:str t:int logged:6 restored:3",
+    f"""WITH {_SUPPLIERS}, b AS (SELECT *, CASE WHEN MIN(y) OVER w > 0 THEN 0 ELSE abs(MIN(y) OVER w) + 1 END AS shift FROM s WINDOW w AS (PARTITION BY series_id)),
+      l AS (SELECT *, ln(GREATEST(y + shift, 1e-9)) AS lg FROM b), m AS (SELECT *, lg - lag(lg) OVER (PARTITION BY series_id ORDER BY t) AS d FROM l),
+      v AS (SELECT series_id, LEAST(var_samp(d), 1) AS v FROM m GROUP BY 1)
+      SELECT series_id, t, lg AS logged, exp(lg + CASE WHEN v > 0 THEN v / 2 ELSE 0 END) - shift AS restored FROM l JOIN v USING (series_id)""",
+)
+def log_transform(spark, folder):
+    series = supplier_series(spark, folder)
+    whole = Window.partitionBy("series_id")
+    shifted = series.withColumn("shift", models.log_shift(F.min("y").over(whole)))
+    logged = shifted.withColumn("logged", models.to_log(F.col("y"), F.col("shift")))
+    moved = logged.withColumn("d", F.col("logged") - F.lag("logged").over(whole.orderBy("t")))
+    rated = moved.withColumn("v", F.least(F.var_samp("d").over(whole), F.lit(1.0)))
+    return rated.withColumn("restored", models.from_log(F.col("logged"), F.col("shift"), F.col("v")))
+
+
+@query(
+    "in_sample_fit",
+    "series_id:str ds:date y:2 fitted:2",
+    f"WITH {_SUPPLIERS} SELECT series_id, ds, y, lag(y, 12) OVER (PARTITION BY series_id ORDER BY t) AS fitted FROM s",
+)
+def in_sample_fit(spark, folder):
+    return models.in_sample(supplier_series(spark, folder), 12)
+
+
+@query(
+    "median_blend",
+    "series_id:str step:int y_pred:4",
+    f"""WITH {_backtest_sql(_SUPPLIERS)}, last AS (SELECT series_id, MAX(fold) AS fold FROM bt GROUP BY 1)
+      SELECT series_id, step, quantile_cont(y_pred, 0.5) AS y_pred FROM bt JOIN last USING (series_id, fold) GROUP BY ALL""",
+)
+def median_blend(spark, folder):
+    rows, _ = backtested(supplier_series(spark, folder))
+    last = rows.withColumn("_last", F.max("fold").over(Window.partitionBy("series_id"))).filter("fold = _last")
+    return models.median_blend(last)

@@ -7,7 +7,7 @@ from functools import lru_cache
 from pyspark.sql import functions as F
 
 from tidemark.constants import MONTHLY
-from tidemark.operators import fanout, regression, report
+from tidemark.operators import fanout, regression, report, run
 from tidemark.plans.catalog import query
 from tidemark.plans.forecasting import supplier_series
 from tidemark.plans.panels import supplier_panel
@@ -48,6 +48,33 @@ def model_mix(spark, folder):
     return report.model_mix(winners)
 
 
+@lru_cache(maxsize=2)
+def _ran(spark, folder):
+    from tidemark.plans.panels import key_cells
+
+    cells = key_cells(spark, folder, "l_returnflag", MONTHLY, "l_quantity")
+    last = cells.agg(F.max("period")).scalar()
+    panel = cells.filter(F.col("period") < last).select(
+        F.col("l_returnflag").alias("series_id"), F.col("period").alias("ds"), F.col("value").alias("y")
+    )
+    return run.run_forecast(panel, MONTHLY, HORIZON)
+
+
+@query("run_points", "series_id:str ds:date step:int model:str forecast:1 lower:1 upper:1 best_case:1 worst_case:1 method:str")
+def run_points(spark, folder):
+    return _ran(spark, folder).points
+
+
+@query("run_candidates", "series_id:str model:str rank:int selected:bool score:4 wmape:4 folds:int")
+def run_candidates(spark, folder):
+    return _ran(spark, folder).candidates
+
+
+@query("run_metrics", "series_id:str model:str wmape:4 mase:4 forecast_total:1 best_total:1 worst_total:1 value_add:3")
+def run_metrics(spark, folder):
+    return _ran(spark, folder).metrics
+
+
 @query("gradient_boosting", "series_id:str step:int ds:date forecast:2")
 def gradient_boosting(spark, folder):
     series = supplier_series(spark, folder)

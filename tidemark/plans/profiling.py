@@ -406,3 +406,49 @@ def intake_verdict(spark, folder):
     )
     row = (verdict["verdict"], ",".join(verdict["questions"]), verdict["quarantined"].get("revenue", 0), repeated)
     return spark.createDataFrame([row], "verdict string, questions string, unreadable bigint, repeated bigint")
+
+
+@query(
+    "preview",
+    "o_orderkey:int o_orderstatus:str o_orderpriority:str",
+    "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders ORDER BY o_orderkey LIMIT 8",
+)
+def preview(spark, folder):
+    return profile.preview(table(spark, folder, "orders").orderBy("o_orderkey"))
+
+
+@query(
+    "quarantined_values",
+    "l_orderkey:int l_linenumber:int l_partkey:int revenue:str",
+    "SELECT l_orderkey, l_linenumber, l_partkey, 'call us' AS revenue FROM lineitem WHERE l_linenumber = 7",
+)
+def quarantined_values(spark, folder):
+    from tidemark.functions.text import number_value
+
+    raw = table(spark, folder, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+        F.when(F.col("l_linenumber") == 7, "call us").otherwise(F.format_number("l_extendedprice", 2)).alias("revenue"),
+    )
+    return profile.quarantine(raw, number_value(F.col("revenue"), "."), "revenue")
+
+
+@query(
+    "remembered_mapping",
+    "fingerprint:str date:str target:str saved_at:int",
+    """SELECT fingerprint, date, target, saved_at FROM (
+        SELECT 's' || l_suppkey AS fingerprint, CASE WHEN l_suppkey % 3 = 0 THEN 'shipped' ELSE 'ordered' END AS date,
+          CASE WHEN l_suppkey % 3 = 0 THEN 'revenue' ELSE 'units' END AS target, CASE WHEN l_suppkey % 3 = 0 THEN 2 ELSE 1 END AS saved_at
+        FROM lineitem GROUP BY l_suppkey)""",
+)
+def remembered_mapping(spark, folder):
+    """Mappings by fingerprint: every third one is saved anew."""
+    keys = table(spark, folder, "lineitem").select("l_suppkey").distinct()
+    digest = F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("fingerprint")
+
+    def saved(frame, date, target, at):
+        return frame.select(digest, F.lit(date).alias("date"), F.lit(target).alias("target"), F.lit(at).alias("saved_at"))
+
+    store = saved(keys, "ordered", "units", 1)
+    return profile.remember_mapping(store, saved(keys.filter("l_suppkey % 3 = 0"), "shipped", "revenue", 2))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import number_value
 from tidemark.operators import coercion
+from tidemark.operators.diagnostics import spread_out
 from tidemark.plans.catalog import query, table
 
 _SIGNED_SQL = "CASE WHEN l_returnflag = 'R' THEN -l_extendedprice ELSE l_extendedprice END"
@@ -66,8 +67,12 @@ def _number_sql() -> str:
     _number_sql(),
 )
 def read_numbers(spark, folder):
-    rows = table(spark, folder, "lineitem").select(
-        F.col("l_extendedprice").alias("price"), F.col("l_returnflag").alias("flag")
+    # Few bytes and much computing per row: spread over all tasks.
+    rows = spread_out(
+        table(spark, folder, "lineitem").select(
+            F.col("l_extendedprice").alias("price"), F.col("l_returnflag").alias("flag"), F.col("l_orderkey").alias("key")
+        ),
+        ["key"],
     )
     cents = F.round(F.col("price") * 100).cast("bigint").cast("string")
     texts = rows.withColumn("cents", cents).select(*[F.expr(text).alias(name) for name, (text, *_) in _STYLES.items()])
@@ -166,8 +171,11 @@ def read_dates(spark, folder):
         "fiscal": F.concat(F.lit("FY"), F.date_format(opening, "yyyy"), F.lit("-P"), F.month(opening).cast("string")),
         "first_of_month": F.date_format(F.trunc(day, "month"), "MM/dd/yyyy"),
     }
-    rows = table(spark, folder, "lineitem").select(
-        F.col("l_shipdate").cast("date").alias("day"), F.col("l_orderkey").alias("key")
+    rows = spread_out(
+        table(spark, folder, "lineitem").select(
+            F.col("l_shipdate").cast("date").alias("day"), F.col("l_orderkey").alias("key")
+        ),
+        ["key"],
     )
     texts = rows.select(
         *[F.date_format("day", pattern).alias(name) for name, (pattern, *_) in _DATES.items()],

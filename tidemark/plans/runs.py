@@ -15,7 +15,9 @@ from tidemark.constants import MONTHLY
 from tidemark.operators import decisions, hierarchy, insights, report, scenarios, scoring
 from tidemark.plans.catalog import query, table
 from tidemark.plans.panels import supplier_cells, supplier_cells_sql, trunc_sql
-from tidemark.session import cut_lineage
+from tidemark.functions import metrics
+from tidemark.session import cut_lineage, scratch_path
+from tidemark.sources import store
 
 _LOW, _HIGH, _WORST, _BEST = 0.04, 0.06, 0.05, 0.08
 _ISSUED = "2001-01-01"
@@ -326,6 +328,44 @@ def headline_accuracy(spark, folder):
     return report.headline(run_cards(spark, folder))
 
 
+@query(
+    "accuracy_report",
+    "section:str item:str value:4 observations:int",
+    f"""WITH {RUNS}, {_CLASSES}, t AS (SELECT * FROM graded WHERE level = 2), st AS (SELECT *, dense_rank() OVER (ORDER BY period) AS s FROM t),
+      sc AS (SELECT run_id, label, SUM(abs(actual - forecast)) / NULLIF(SUM(abs(actual)), 0) * 100 AS wmape FROM t GROUP BY ALL)
+      SELECT 'by_horizon' AS section, CAST(s AS VARCHAR) AS item, SUM(abs(actual - forecast)) / SUM(abs(actual)) * 100 AS value, COUNT(*) AS observations FROM st GROUP BY s
+      UNION ALL SELECT 'by_class', demand_class, AVG(wmape), COUNT(*) FROM sc JOIN cls USING (run_id, label) GROUP BY demand_class
+      UNION ALL SELECT 'coverage', CAST(s AS VARCHAR), AVG(CAST(actual BETWEEN lower - 1e-9 AND upper + 1e-9 AS INTEGER)), COUNT(*) FROM st GROUP BY s
+      UNION ALL SELECT 'value_add', 'seasonal_naive', (b - a) / abs(b) * 100, 1 FROM (SELECT SUM(abs(actual - forecast)) AS a, SUM(abs(actual - forecast * 1.2)) AS b FROM t)""",
+)
+def accuracy_report(spark, folder):
+    """All regions as one run; the baseline is the same forecast a fifth higher."""
+    graded = graded_points(spark, folder).filter("level = 2").withColumn("all", F.lit("all"))
+    added = graded.agg(
+        F.sum(F.abs(F.col("actual") - F.col("forecast"))).alias("a"),
+        F.sum(F.abs(F.col("actual") - F.col("forecast") * 1.2)).alias("b"),
+    ).select(F.lit("seasonal_naive").alias("model"), metrics.value_add(F.col("a"), F.col("b")).alias("value_add"))
+    return report.accuracy_report(
+        report.by_horizon(graded, ("all",)), accuracy_by_class(spark, folder), realised_coverage(spark, folder), added
+    )
+
+
+@query(
+    "saved_scenarios",
+    "name:str runs:int simulated_total:2",
+    None,
+)
+def saved_scenarios(spark, folder):
+    """Scenario totals appended under a name and read back by it."""
+    path = scratch_path(spark, "scenarios")
+    totals = scenarios.scenario_totals(_scenarios(spark, folder))
+    store.append_run(totals.withColumnRenamed("name", "scenario"), path, key="scenario")
+    kept = store.read_table(spark, path)
+    return kept.groupBy(F.col("scenario").alias("name")).agg(
+        F.count("*").alias("runs"), F.sum("simulated_total").alias("simulated_total")
+    )
+
+
 # ---- Breakdowns, dashboard, lists ----------------------------------------------
 _BREAKDOWN = f"""{RUNS}, bd AS (SELECT run_id, split_part(label, ' · ', 1) AS label, SUM(forecast_total) AS forecast, SUM(prior_total) AS prior,
       SUM(actual_total) AS actual, SUM(CASE WHEN wmape IS NOT NULL THEN abs(forecast_total) END) AS w, SUM(wmape * abs(forecast_total)) AS e FROM leaf GROUP BY ALL),
