@@ -225,5 +225,5 @@ def test_headers_and_merged_labels(spark):
     assert used == 1 and table.columns == ["row", "sku", "revenue"]
     assert [r["revenue"] for r in table.orderBy("row").collect()] == [1200.0, 900.0]
     rows = [(i, f"L{i // 150_000}" if i % 150_000 == 0 else None) for i in range(0, 450_000, 15_000)]
-    filled = reshape.fill_down(spark.createDataFrame(rows, "row bigint, label string"), "row").orderBy("row").collect()
+    filled = reshape.fill_down(spark.createDataFrame(rows, "row bigint, label string"), "row", block_rows=100_000).orderBy("row").collect()
     assert [r["label"] for r in filled] == [f"L{r['row'] // 150_000}" for r in filled]

@@ -6,11 +6,10 @@ grouping-sets pass. What reaches the driver is a row per column.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
-from functools import reduce
 from itertools import combinations
-import hashlib
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -461,13 +460,13 @@ class Mapping:
         return bool(BLOCKING & set(self.warnings)) or self.confidence < CONFIDENCE_FLOOR
 
 
-def monotonic_share(frame: DataFrame, column: str, order: str) -> DataFrame:
+def monotonic_share(frame: DataFrame, column: str, order: str, *, block_rows: int = 1_000_000) -> DataFrame:
     """Share of neighbouring rows, in file order, whose date does not fall.
 
     Rows are cut into blocks of the order column; each block is judged on its
     own and the blocks' ends are then compared, so no task sees the whole file.
     """
-    block = F.floor(F.col(order) / 100_000)
+    block = F.floor(F.col(order) / block_rows)
     known = frame.select(F.col(order).alias("_o"), col(column).cast("date").alias("_d"), block.alias("_b"))
     known = known.filter(F.col("_d").isNotNull())
     inside = Window.partitionBy("_b").orderBy("_o")
@@ -729,7 +728,3 @@ def remember_mapping(store: DataFrame, entry: DataFrame) -> DataFrame:
 def recall_mapping(store: DataFrame, digest: str) -> dict | None:
     row = store.filter(F.col("fingerprint") == digest).orderBy(F.desc("saved_at")).first()
     return row.asDict() if row else None
-
-
-def any_of(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

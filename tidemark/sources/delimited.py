@@ -85,33 +85,31 @@ def fields_of(line: Column, delimiter: str) -> Column:
     return F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
 
 
-def _first_file(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path)
+def sniff(spark: SparkSession, path: str, *, delimiter: str | None = None) -> Dialect:
+    """Encoding, delimiter and header from the first lines.
 
-
-def sniff(spark: SparkSession, path: str, *, delimiter: str | None = None, head_bytes: int = 65_536) -> Dialect:
-    """Encoding, delimiter and header from the top of one file."""
-    files = _first_file(spark, path).filter(F.col("length") > 0)
-    first = files.agg(F.min("path")).scalar()
-    # Whole files are not carried: only the head of the first one.
-    raw = files.filter(F.col("path") == first).select(F.substring("content", 1, head_bytes).alias("h")).first()
-    if raw is None:
+    Lines are taken as the bytes they are, whatever their encoding; only the
+    head of one split is read.
+    """
+    head = spark.read.text(path).select(F.col("value").cast("binary").alias("b")).limit(SAMPLE_LINES).collect()
+    if not head:
         raise ValueError("The file holds no data.")
-    content = bytes(raw["h"])
-    cut = content[: content.rfind(b"\n") + 1] or content
-    encoding = probe_encoding(cut)
-    lines = cut.decode(encoding, errors="replace").lstrip("﻿").splitlines()[:SAMPLE_LINES]
+    content = b"\n".join(bytes(row["b"]) for row in head)
+    encoding = probe_encoding(content)
+    lines = content.decode(encoding, errors="replace").lstrip("\ufeff").split("\n")
     chosen = delimiter or sniff_delimiter(lines)
     place = header_line(lines, chosen)
     header = spark.createDataFrame([(lines[place],)], "line string")
-    parsed = header.select(F.from_csv("line", ", ".join(f"c{i} string" for i in range(separators_outside_quotes(lines[place], chosen) + 1)), {"sep": chosen}).alias("c")).first()["c"]
+    width = separators_outside_quotes(lines[place], chosen) + 1
+    fields = ", ".join(f"c{i} string" for i in range(width))
+    parsed = header.select(F.from_csv("line", fields, {"sep": chosen}).alias("c")).first()["c"]
     names = clean_headers([("" if value is None else value) for value in parsed])
     return Dialect(chosen, place, encoding, tuple(names))
 
 
 def ragged_rows(spark: SparkSession, path: str, dialect: Dialect) -> int:
     """Rows with more fields than the header has columns."""
-    lines = spark.read.option("encoding", _SPARK_ENCODING[dialect.encoding]).text(path)
+    lines = spark.read.text(path)
     width = len(dialect.names)
     return lines.filter(F.trim("value") != "").agg(
         F.count_if(fields_of(F.col("value"), dialect.delimiter) > width)
@@ -143,8 +141,8 @@ def read_delimited(spark: SparkSession, path: str, *, delimiter: str | None = No
     else:
         # Titles stand above the header: what lies below it is kept, by the
         # byte order the reader gives within the one file such sheets are.
-        lines = spark.read.option("encoding", _SPARK_ENCODING[dialect.encoding]).text(path)
-        numbered = lines.select("value", F.monotonically_increasing_id().alias("_line"))
+        value = F.decode(F.col("value").cast("binary"), _SPARK_ENCODING[dialect.encoding]).alias("value")
+        numbered = spark.read.text(path).select(value, F.monotonically_increasing_id().alias("_line"))
         body = numbered.filter((F.col("_line") > dialect.header_line) & (F.trim("value") != ""))
         rows = body.select(F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), {"sep": dialect.delimiter}).alias("c")).select("c.*")
     if dialect.encoding == "cp1252":
