@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from tidemark.constants import MONTHLY, SEASON
 from tidemark.functions import names as words
 from tidemark.functions.columns import col, require
-from tidemark.operators.coercion import AGREEMENT, numeric_date, numeric_dates_how, read_dates, read_numbers, text_columns
+from tidemark.operators.coercion import numeric_date, numeric_dates_how, read_dates, read_numbers, text_columns
 from tidemark.operators.calendar import infer_frequency
 
 # ---- Limits (fixed values) -------------------------------------------------
