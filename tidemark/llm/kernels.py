@@ -37,6 +37,10 @@ class _Powers:
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
         self.up = self.down = np.ones(1, dtype=np.uint64)
 
+    def __reduce__(self) -> tuple:
+        # Functions travel to the executors with what they refer to: not the tables.
+        return _Powers, (self.base,)
+
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = max(n, 2 * len(self.up), PIECE_BYTES // 2)

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import suffix_dedup
+from tidemark.llm import decontaminate, licenses, suffix_dedup, url_filter
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
@@ -45,3 +45,83 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+#: Words of a text in DuckDB: lower-cased A-Z, then maximal runs.
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+
+_OP3_SQL = r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path
+  FROM cut
+), rules(verdict, host, path) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), fits AS (
+  SELECT p.page_id, p.host, p.path, r.host || r.path AS rule, r.verdict,
+         row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.host || r.path) DESC) AS place
+  FROM parts p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+)
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
+FROM parts p LEFT JOIN fits f ON f.page_id = p.page_id AND f.place = 1
+"""
+
+_OP5_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+windows AS (SELECT item_id, least(13, len(w)) AS m, w, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS k FROM b WHERE len(w) > 0),
+patterns AS (SELECT DISTINCT item_id, m, w[k:k + m - 1] AS win FROM windows),
+lengths AS (SELECT DISTINCT m FROM patterns),
+places AS (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM d, lengths WHERE len(w) >= m),
+cut AS (SELECT doc_id, m, k, w[k:k + m - 1] AS win FROM places),
+hits AS (SELECT c.doc_id, p.item_id, c.k, c.m FROM cut c JOIN patterns p ON c.m = p.m AND c.win = p.win),
+words AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + m)) AS place FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+@query("op3_url_filter", _OP3_SQL)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """The tables hold no redirect or canonical link; the SQL has the rules only."""
+    rows = url_filter.judge_urls(table(spark, folder, "pages"))
+    return rows.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+@query("op5_decontaminate", _OP5_SQL)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    rows = decontaminate.find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    n_hit = decontaminate.hit_words()
+    return rows.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        decontaminate.contaminated(F.col("n_words"), n_hit).alias("contaminated"),
+    )
+
+
+@query("op9_license_scan")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    rows = licenses.scan_licenses(table(spark, folder, "documents"))
+    base = F.array_sort(F.array_distinct("base.label"))
+    found = F.array_sort(F.array_distinct(F.concat("base.label", "notices.label")))
+    return rows.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min("base.word").alias("first_word"),
+        F.array_max("base.word").alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"),
+        F.array_join(found, ",").alias("labels"),
+        # Whole wording is proof, a phrase alone is a hint.
+        F.when(F.size("notices") > 0, 1.0).when(F.size("base") > 0, 0.5).otherwise(0.0).alias("score"),
+    )
