@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, licenses, suffix_dedup, url_filter
+from tidemark.llm import decontaminate, licenses, quality, suffix_dedup, url_filter
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
@@ -125,3 +125,11 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
         # Whole wording is proof, a phrase alone is a hint.
         F.when(F.size("notices") > 0, 1.0).when(F.size("base") > 0, 0.5).otherwise(0.0).alias("score"),
     )
+
+
+@query("op4_quality_classifier")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = quality.fit(docs, table(spark, folder, "labels"))
+    rows = quality.score_quality(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
