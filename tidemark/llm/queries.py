@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, licenses, quality, suffix_dedup, url_filter
+from tidemark.llm import decontaminate, licenses, media, quality, suffix_dedup, url_filter
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
@@ -133,3 +133,18 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     model = quality.fit(docs, table(spark, folder, "labels"))
     rows = quality.score_quality(docs.select("doc_id", "text"), model)
     return rows.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query("op10_media_webp")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    rows = media.read_media(media.store_texts(table(spark, folder, "documents")))
+    return rows.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        "payload_bytes",
+        F.sha2("samples", 256).alias("payload_sha256"),
+        media.tail_crc().alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
