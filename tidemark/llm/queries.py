@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, licenses, media, quality, suffix_dedup, url_filter
+from tidemark.llm import bpe, decontaminate, licenses, media, quality, suffix_dedup, url_filter
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
@@ -148,3 +148,17 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
     )
+
+
+def word_vocabulary() -> str:
+    """The place of the public vocabulary; the operators take any path."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op8_bpe")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    path = word_vocabulary()
+    rows = bpe.decode_ids(bpe.encode_texts(table(spark, folder, "documents"), path), path)
+    return rows.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
