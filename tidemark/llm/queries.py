@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, licenses, media, quality, suffix_dedup, url_filter
+from tidemark.llm import bpe, decontaminate, licenses, media, quality, sharding, suffix_dedup, url_filter
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
@@ -162,3 +162,9 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     path = word_vocabulary()
     rows = bpe.decode_ids(bpe.encode_texts(table(spark, folder, "documents"), path), path)
     return rows.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op6_kd_sharding")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    rows = sharding.shard_documents(table(spark, folder, "documents"), shards=8)
+    return rows.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
