@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import kernels
+
 
 def block_bounds(sizes: DataFrame, block_bytes: int) -> list[int]:
     """First ids of all blocks but the first, from rows (id long, size long).
@@ -43,3 +45,25 @@ def block_of(key: Column, bounds: list[int]) -> Column:
         return pd.Series(np.searchsorted(edges, keys.to_numpy(dtype=np.int64), side="right"))
 
     return F.when(key.isNull(), F.lit(-1).cast("long")).otherwise(place(F.coalesce(key, F.lit(0).cast("long"))))
+
+
+class Texts:
+    """The texts of one block in id order, from rows (id, text, block)."""
+
+    def __init__(self, table: pa.Table) -> None:
+        order = np.lexsort((np.arange(table.num_rows), table.column("id").fill_null(-(1 << 63)).to_numpy()))
+        self.table = table = table.take(pa.array(order)).combine_chunks()
+        self.number = table.column("block")[0].as_py() if table.num_rows else -1
+        self.data, self.offsets = kernels.text_bytes(table.column("text"))
+        self.ids = table.column("id").fill_null(0).to_numpy()
+        #: Rows that take no part: all of block -1, whose ids are null.
+        self.skip = np.full(table.num_rows, self.number == -1)
+
+    def pieces(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Runs of rows of at most the piece size: first row, end, bytes, offsets."""
+        n, at = len(self.offsets) - 1, 0
+        while at < n:
+            end = int(np.searchsorted(self.offsets, self.offsets[at] + kernels.PIECE_BYTES, side="right")) - 1
+            end = min(n, max(end, at + 1))
+            yield at, end, self.data[self.offsets[at] : self.offsets[end]], self.offsets[at : end + 1] - self.offsets[at]
+            at = end

@@ -114,9 +114,10 @@ def answers(layout: Layout, earlier_only: bool):
     return answer
 
 
-def flags(parts: list[int], ns: list[int], bits: list[bytes], size: int) -> np.ndarray:
-    """One flag per value of a set, from its answers in any order."""
-    out = [np.unpackbits(np.frombuffer(held, dtype=np.uint8), count=n) for _, n, held in sorted(zip(parts, ns, bits, strict=True))]
+def flags(answered: pa.Table, size: int) -> np.ndarray:
+    """One flag per value of a set, from its answers (part, n, bits) in any order."""
+    held = sorted(zip(*(answered.column(name).to_pylist() for name in ("part", "n", "bits")), strict=True))
+    out = [np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=n) for _, n, bits in held]
     found = np.concatenate(out).astype(bool) if out else np.zeros(0, dtype=bool)
     if len(found) != size:
         raise ValueError(f"A set of {size} values got answers for {len(found)}.")

@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text held as arrays at once; a single longer text is held whole.
-PIECE_BYTES = 1 << 20
+#: Bytes of text held as arrays at once, so that these stay in the processor's
+#: cache; a single longer text is held whole.
+PIECE_BYTES = 1 << 18
 
 U64 = np.uint64
 _ODD = 0x9E3779B97F4A7C15
@@ -43,7 +44,7 @@ class _Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up), PIECE_BYTES // 2)
+            size = max(n, 2 * len(self.up), PIECE_BYTES)
             tables = []
             for factor in (self.base, self.inverse):
                 table = np.full(size, factor, dtype=np.uint64)
@@ -157,6 +158,23 @@ def run_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
     return mix(out)
 
 
+def firsts(ordered: np.ndarray) -> np.ndarray:
+    """Places where a new value begins in a sorted array."""
+    new = np.ones(len(ordered), dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    return np.flatnonzero(new)
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted."""
+    ordered = np.sort(values)
+    return ordered[firsts(ordered)]
+
+
+def joined(parts: list[np.ndarray], kind: type) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
+
+
 def repeat_ranges(firsts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """first, first + 1, ... count values for every pair."""
     total = int(counts.sum())

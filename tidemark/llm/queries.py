@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, licenses, media, quality, sharding, suffix_dedup, url_filter
+from tidemark.llm import bpe, decontaminate, licenses, line_dedup, media, quality, sharding, suffix_dedup, url_filter
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
@@ -168,3 +168,16 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     rows = sharding.shard_documents(table(spark, folder, "documents"), shards=8)
     return rows.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op7_line_dedup")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    rows = line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return rows.select(
+        "doc_id",
+        "n_lines",
+        F.size("dropped").cast("long").alias("n_dropped"),
+        "n_near",
+        F.array_join("dropped", ",").alias("dropped"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import hashsets, kernels
-from tidemark.llm.blocks import block_bounds, block_of
+from tidemark.llm.blocks import Texts, block_bounds, block_of
 
 #: A perfect difference set: every residue modulo 21 is a difference of two.
 PERIOD = 21
@@ -42,38 +42,24 @@ SCHEMA = "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept
 _NOTE = "block long, kind int, part long, n long, bits binary, id long, digest binary"
 
 
-class _Block:
-    """The texts of one block in id order, copies of earlier texts left out."""
+class _Block(Texts):
+    """The texts of one block; copies of earlier texts take no part."""
 
     def __init__(self, table: pa.Table, notes: pa.Table) -> None:
-        order = np.lexsort((np.arange(table.num_rows), table.column("id").fill_null(-(1 << 63)).to_numpy()))
-        self.table = table = table.take(pa.array(order)).combine_chunks()
+        super().__init__(table)
         self.notes = notes
-        self.number = table.column("block")[0].as_py() if table.num_rows else -1
-        self.data, self.offsets = kernels.text_bytes(table.column("text"))
-        self.ids = table.column("id").fill_null(0).to_numpy()
         flagged = self._of_kind(0)
         copies = set(zip(flagged.column("id").to_pylist(), flagged.column("digest").to_pylist(), strict=True))
-        keys = zip(table.column("id").to_pylist(), table.column("digest").to_pylist(), strict=True) if copies else ()
+        keys = zip(self.table.column("id").to_pylist(), self.table.column("digest").to_pylist(), strict=True) if copies else ()
         self.copy = np.array([key in copies for key in keys], dtype=bool) if copies else np.zeros(table.num_rows, dtype=bool)
-        self.skip = self.copy | (self.number == -1)
+        self.skip = self.skip | self.copy
 
     def _of_kind(self, kind: int) -> pa.Table:
         kinds = self.notes.column("kind").to_numpy()
         return self.notes.filter(pa.array(kinds == kind))
 
     def answers(self, kind: int, size: int) -> np.ndarray:
-        held = self._of_kind(kind)
-        return hashsets.flags(held.column("part").to_pylist(), held.column("n").to_pylist(), held.column("bits").to_pylist(), size)
-
-    def pieces(self):
-        """Runs of rows with at most the piece size in bytes."""
-        n, at = len(self.offsets) - 1, 0
-        while at < n:
-            end = int(np.searchsorted(self.offsets, self.offsets[at] + kernels.PIECE_BYTES, side="right")) - 1
-            end = min(n, max(end, at + 1))
-            yield at, end, self.data[self.offsets[at] : self.offsets[end]], self.offsets[at : end + 1] - self.offsets[at]
-            at = end
+        return hashsets.flags(self._of_kind(kind), size)
 
     def windows(self, at: int, end: int, offsets: np.ndarray, length: int) -> np.ndarray:
         """A mask of the places of a piece where a string of ``length`` bytes starts."""
@@ -93,7 +79,7 @@ class _Block:
             starts = np.flatnonzero(allowed)
             names.append(layout.cut(kernels.range_hashes(kernels.prefix_sums(data), starts, starts + length)))
             places.append(starts + base)
-        return _joined(places, np.int64), _joined(names, np.uint64)
+        return kernels.joined(places, np.int64), kernels.joined(names, np.uint64)
 
     def rows_of(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.offsets, places, side="right") - 1
@@ -118,11 +104,7 @@ class _Block:
             if len(starts):
                 out.append(kernels.range_hashes(kernels.prefix_sums(data), starts, starts + length))
                 out_places.append(starts + base)
-        return _joined(out_places, np.int64), _joined(out, np.uint64)
-
-
-def _joined(parts: list[np.ndarray], kind: type) -> np.ndarray:
-    return np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
+        return kernels.joined(out_places, np.int64), kernels.joined(out, np.uint64)
 
 
 def _grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,17 +151,17 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def notes(frame: DataFrame, kind: int) -> DataFrame:
         return frame.select("block", F.lit(kind).alias("kind"), "part", "n", "bits", F.lit(None).cast("long").alias("id"), F.lit(None).cast("binary").alias("digest"))
 
-    def send_names(key, table: pa.Table, held: pa.Table) -> pa.Table:
+    def send_names(key: tuple[pa.Scalar, ...], table: pa.Table, held: pa.Table) -> pa.Table:
         block = _Block(table, held)
         values = np.unique(block.names(name_length, sampled)[1])
         return pa.Table.from_batches([hashsets.pack(block.number, values, sampled)])
 
-    def send_prefixes(key, table: pa.Table, held: pa.Table) -> pa.Table:
+    def send_prefixes(key: tuple[pa.Scalar, ...], table: pa.Table, held: pa.Table) -> pa.Table:
         block = _Block(table, held)
         values = np.unique(block.remaining(name_length, min_length, sampled)[1])
         return pa.Table.from_batches([hashsets.pack(block.number, values, merged)])
 
-    def remove(key, table: pa.Table, held: pa.Table) -> pa.Table:
+    def remove(key: tuple[pa.Scalar, ...], table: pa.Table, held: pa.Table) -> pa.Table:
         block = _Block(table, held)
         places, prefixes = block.remaining(name_length, min_length, sampled)
         order, firsts_, group = _grouped(prefixes)
