@@ -224,6 +224,17 @@ def find_contamination(
     return frame
 
 
+def mark_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", share: int = 20, **settings) -> DataFrame:
+    """All columns of ``docs`` and contaminated, which replaces a column so named.
+
+    Every row is judged by its own text, in the pass that reads it, so rows need
+    no id and ids may repeat.
+    """
+    whole = docs.drop("contaminated")
+    found = find_contamination(whole.select(F.struct(*whole.columns).alias("row"), text_col), benchmark, id_col="row", text_col=text_col, **settings)
+    return found.select("id.*", contaminated(F.col("n_words"), hit_words(), share).alias("contaminated"))
+
+
 def hit_words(hits: str = "hits") -> Column:
     return F.aggregate(hits, F.lit(0).cast("long"), lambda total, run: total + run["end"] - run["start"])
 

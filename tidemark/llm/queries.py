@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, licenses, line_dedup, media, quality, sharding, suffix_dedup, url_filter
+from tidemark.llm import bpe, decontaminate, jaccard_join, licenses, line_dedup, media, quality, sharding, suffix_dedup, url_filter
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
@@ -181,3 +181,9 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
         F.array_join("dropped", ",").alias("dropped"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op2_jaccard_join")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    members, _ = jaccard_join.join_similar(table(spark, folder, "documents"))
+    return members.select(F.col("id").alias("doc_id"), "class_id", "n_links", "n_shingles")
