@@ -35,7 +35,8 @@ TEMPLATES = (
     ("gpl-2.0", "licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] version 2 [[of the license]]"),
     ("gpl-3.0", "licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] version 3 [[of the license]]"),
     ("gpl-or-later", "gnu general public license as published by the free software foundation either version {{1}} of the license or [[at your option]] any later version"),
-    ("lgpl", "licensed under the [[terms of the]] gnu {{1}} general public license [[version {{2}}]]"),
+    ("lgpl", "licensed under the [[terms of the]] gnu lesser general public license [[version {{2}}]]"),
+    ("lgpl", "licensed under the [[terms of the]] gnu library general public license [[version {{2}}]]"),
     ("apache-2.0", "licensed under the apache license version 2 0 [[the license]] [[you may not use {{4}} except in compliance with the license]]"),
     ("cc-by-4.0", "licensed under [[a]] [[the]] [[creative commons]] cc by 4 0"),
     ("cc-by-nc-4.0", "licensed under [[a]] [[the]] [[creative commons]] cc by nc 4 0"),
