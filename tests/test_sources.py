@@ -104,13 +104,52 @@ def test_an_open_period_stays_back(spark, tmp_path):
 
 def test_a_batch_run_again_replaces_itself(spark, tmp_path):
     path = str(tmp_path / "log")
-    schema = "series_key string, target_date date, value double, revised_at timestamp"
 
     def batch(value, day):
         row = spark.createDataFrame([("k", "2024-01-01", value, f"2024-02-0{day} 00:00:00")], "series_key string, target_date string, value double, revised_at string")
         return row.select("series_key", F.col("target_date").cast("date"), "value", F.col("revised_at").cast("timestamp"))
 
     for batch_id, value, day in ((0, 1.0, 1), (1, 1.0, 2), (2, 3.0, 3), (2, 3.0, 3)):
-        actuals.append_changed(batch(value, day), batch_id, path)
-    log = spark.read.schema(schema + ", batch bigint").option("recursiveFileLookup", True).parquet(path)
-    assert sorted((r["value"], r["batch"]) for r in log.collect()) == [(1.0, 0), (3.0, 2)]
+        actuals.append_readings(batch(value, day), batch_id, path)
+    log = actuals.read_log(spark, path)
+    assert sorted((r["value"], r["revised_at"].day) for r in log.collect()) == [(1.0, 1), (3.0, 3)]
+
+
+def test_encoding_is_settled_by_all_lines(spark, tmp_path):
+    lines = ["day,shop", *[f"2024-01-{1 + i % 28:02d},shop {i}" for i in range(200)], "2024-02-01,café"]
+    frame = delimited.read_delimited(spark, written(tmp_path, lines, "cp1252"))
+    assert frame.filter(F.col("shop") == "café").count() == 1
+
+
+def test_quoted_line_breaks_belong_to_their_value(spark, tmp_path):
+    lines = ["key,n,note", 'a,1,"one\ntwo, ""three"""', "b,2,plain", 'c,3,"x\n\ny"']
+    rows = delimited.read_delimited(spark, written(tmp_path, lines)).orderBy("key").collect()
+    assert [(row["key"], row["note"]) for row in rows] == [("a", 'one\ntwo, "three"'), ("b", "plain"), ("c", "x\n\ny")]
+    with pytest.raises(ValueError, match="1 row"):
+        delimited.read_delimited(spark, written(tmp_path, [*lines, "d,4,x,y"], name="wide.csv"))
+
+
+def test_titles_stand_above_one_file_without_breaks(spark, tmp_path):
+    folder = tmp_path / "sheets"
+    folder.mkdir()
+    for name in ("a.csv", "b.csv"):
+        written(folder, ["Monthly Sales Report", "", *body()], name=name)
+    with pytest.raises(ValueError, match="Several files"):
+        delimited.read_delimited(spark, str(folder))
+    with pytest.raises(ValueError, match="below a title"):
+        delimited.read_delimited(spark, written(tmp_path, ["Sales Report", "", *body(), '"2025-01-01\n",5'], name="open.csv"))
+
+
+def test_readings_do_not_depend_on_their_batches(spark, tmp_path):
+    day = "2024-01-01"
+    said = [("a", day, 1200.0, "2024-02-09 00:00:00"), ("a", day, 1340.0, "2024-03-09 00:00:00"), ("a", day, 1340.0, "2024-04-09 00:00:00"), ("a", day, 1300.0, "2024-03-20 00:00:00")]
+    frame = spark.createDataFrame(said, "series_key string, target_date string, value double, revised_at string")
+    frame = frame.withColumns({"target_date": F.col("target_date").cast("date"), "revised_at": F.col("revised_at").cast("timestamp")})
+    logs = []
+    for split in ([frame], [frame.limit(1), frame.subtract(frame.limit(1))], [frame.filter("value > 1300"), frame.filter("value <= 1300"), frame]):
+        path = str(tmp_path / f"log{len(logs)}")
+        for number, batch in enumerate(split):
+            actuals.append_readings(batch, number, path)
+            actuals.append_readings(batch, number, path)
+        logs.append(sorted((row.value, str(row.revised_at)) for row in actuals.read_log(spark, path).collect()))
+    assert logs[0] == logs[1] == logs[2] and len(logs[0]) == 4

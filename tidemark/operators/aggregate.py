@@ -299,6 +299,10 @@ def grouped_cells(
     return reduce_to_periods(usable, list(keys), frequency, aggregation).drop("row_count")
 
 
+#: The longest head of a ranking that goes out with a broadcast hint.
+BROADCAST_ROWS = 20_000
+
+
 def bound_keys(
     cells: DataFrame,
     keys: Sequence[str],
@@ -312,9 +316,11 @@ def bound_keys(
     The pooled value is the sum of its members' period values whatever the
     reducer, so totals are conserved for SUM.
     """
-    most = max(1, min(int(max_series), MAX_SERIES))
+    most = max(1, int(max_series))
     totals = _window_totals(cells, keys, frequency, window)
-    kept = F.broadcast(_leaders(totals, keys, most))
+    kept = _leaders(totals, keys, most)
+    # The head has as many rows as were asked for; a long one is left to Spark.
+    kept = F.broadcast(kept) if most <= BROADCAST_ROWS else kept
     marked = cells.join(kept, list(keys), "left")
     pooled = ~F.coalesce(F.col("_kept"), F.lit(False))
     # Counted beside the total so that this branch reuses the cells' shuffle.

@@ -102,7 +102,8 @@ def infer_frequency(days: DataFrame, *, keys: Sequence[str] = (SERIES_ID,), ds:
     calendar must be one the series largely fills; failing that, the coarsest
     calendar it can fill.
     """
-    distinct = days.select(*keys, F.col(ds).alias("_d")).filter(F.col("_d").isNotNull()).distinct()
+    # The day of a timestamp: a series then has at most one value per day.
+    distinct = days.select(*keys, F.col(ds).cast("date").alias("_d")).filter(F.col("_d").isNotNull()).distinct()
     order = Window.partitionBy(*keys).orderBy("_d")
     gaps = distinct.withColumn("_gap", F.datediff("_d", F.lag("_d").over(order)))
 

@@ -28,7 +28,7 @@ MIXED_RATIO = 50.0
 MAX_MEASURE_LABELS = 20
 DATE_FLOOR, TARGET_FLOOR = 0.5, 0.4
 CONFIDENCE_FLOOR, MIN_MARGIN = 0.55, 0.12
-MAX_KEY_CANDIDATES, MAX_KEY_WIDTH = 6, 4
+MAX_KEY_WIDTH = 4
 MAX_COVARIATES = 8
 NEAR_UNIQUE_SHARE, MAX_DIMENSION_SHARE = 0.9, 0.5
 BLOCKING = frozenset(
@@ -274,8 +274,9 @@ def mixed_measures(frame: DataFrame, target: str, labels: Sequence[str]) -> Data
 
 
 # ---- Keys ------------------------------------------------------------------
-def key_subsets(considered: Sequence[str]) -> list[tuple[str, ...]]:
-    widths = range(0, min(MAX_KEY_WIDTH, len(considered)) + 1)
+def key_subsets(considered: Sequence[str], width: int = MAX_KEY_WIDTH) -> list[tuple[str, ...]]:
+    """All subsets of up to ``width`` dimensions, and the whole set."""
+    widths = range(0, min(width, len(considered)) + 1)
     subsets = [subset for width in widths for subset in combinations(considered, width)]
     whole = tuple(considered)
     return subsets if whole in subsets else [*subsets, whole]
@@ -285,29 +286,20 @@ def key_search(frame: DataFrame, date: str, dimensions: Sequence[str]) -> DataFr
     """width, keys, duplicate_rows, series_count of every candidate subset.
 
     Rows are counted per full combination once; the subsets are then rolled up
-    from those counts, so the table is read a single time.
+    from those counts, so the table is read a single time. All dimensions are
+    searched, however many: their number sets that of the subsets.
     """
-    considered = [name for name in dimensions if name in frame.columns][:MAX_KEY_CANDIDATES]
+    considered = [name for name in dimensions if name in frame.columns]
     base = frame.select(col(date).alias("_date"), *[col(n).alias(f"k{i}") for i, n in enumerate(considered)])
     keys = [f"k{i}" for i in range(len(considered))]
     cells = base.groupBy("_date", *keys).agg(F.count("*").alias("n"))
     subsets = key_subsets(considered)
-    # Explicit subset numbers tell a null key from a key left out.
-    choice = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("subset"),
-                    *[
-                        (F.col(k) if considered[j] in subset else F.lit(None)).cast("string").alias(k)
-                        for j, k in enumerate(keys)
-                    ],
-                )
-                for i, subset in enumerate(subsets)
-            ]
-        )
-    )
-    spread = cells.select("_date", "n", choice.alias("c")).select("_date", "n", "c.*")
+    # Explicit subset numbers tell a null key from a key left out; a subset is
+    # looked up as the bits of its members.
+    bits = F.array(*[F.lit(sum(1 << considered.index(name) for name in subset)) for subset in subsets])
+    numbered = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(subsets) - 1))).alias("subset")).withColumn("_bits", F.get(bits, F.col("subset")))
+    held = [F.when(F.col("_bits").bitwiseAND(F.lit(1 << j)) != 0, F.col(k).cast("string")).alias(k) for j, k in enumerate(keys)]
+    spread = numbered.select("_date", "n", "subset", *held)
     grains = spread.groupBy("subset", "_date", *keys).agg(F.sum("n").alias("n"))
     duplicates = grains.groupBy("subset").agg(F.sum(F.greatest(F.col("n") - 1, F.lit(0))).alias("duplicate_rows"))
     series = grains.select("subset", *keys).distinct().groupBy("subset").agg(F.count("*").alias("series_count"))
@@ -371,7 +363,7 @@ def detect_hierarchy(frame: DataFrame, keys: Sequence[str]) -> tuple[str, ...]:
 
 def resolve_keys(frame: DataFrame, date: str, dimensions: Sequence[str]) -> KeyResolution:
     """The smallest set of dimensions that leaves one row per date and key."""
-    considered = [name for name in dimensions if name in frame.columns][:MAX_KEY_CANDIDATES]
+    considered = [name for name in dimensions if name in frame.columns]
     rows = key_search(frame, date, considered).collect()
     exact = [r for r in rows if r["duplicate_rows"] == 0 and r["width"] <= MAX_KEY_WIDTH]
     if any(r["width"] == 0 for r in exact):

@@ -61,12 +61,18 @@ def fit(rows: DataFrame, names: Sequence[str], estimator: Estimator) -> tuple[Ve
 
 
 def _latest(panel: DataFrame, keep: int) -> DataFrame:
-    """One row per series: its level, last date, length and latest values."""
+    """One row per series: its level, last date, length and latest values, and why
+    the model cannot follow it, if so."""
     packed = panel.groupBy(SERIES_ID).agg(
         F.array_sort(F.collect_list(F.struct(DS, Y))).alias("_h"), F.avg(F.abs(Y)).alias("_level")
     )
-    return packed.filter(F.col("_level") > 0).select(
+    return packed.select(
         SERIES_ID,
+        F.when(F.col("_level").isNull(), "no value")
+        .when(F.col("_level") == 0, "all values are zero")
+        .when(F.size("_h") < keep, "history is too short")
+        .alias("reason"),
+        F.element_at(F.filter("_h", lambda p: p[Y].isNotNull()), -1)[Y].alias("_newest"),
         "_level",
         F.element_at("_h", -1)[DS].alias("_last"),
         F.size("_h").alias("_n"),
@@ -85,9 +91,17 @@ def forecast(
     lags: Sequence[int] = LAGS,
     windows: Sequence[int] = WINDOWS,
 ) -> DataFrame:
-    """series_id, step, ds, forecast by feeding predictions back in."""
+    """series_id, step, ds, forecast, reason by feeding predictions back in.
+
+    A series the model cannot follow repeats its newest value, and reason says
+    why it had to; without any value its forecast is null.
+    """
     keep = max(*lags, *windows)
-    state = _latest(panel, keep).filter(F.size("_v") >= keep).withColumn("_p", F.array().cast("array<double>"))
+    latest = _latest(panel, keep)
+    state = latest.filter(F.col("reason").isNull()).withColumn("_p", F.array().cast("array<double>"))
+    held = latest.filter(F.col("reason").isNotNull()).select(
+        SERIES_ID, "_last", "_newest", "reason", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step")
+    )
 
     def last(k: int) -> Column:
         return F.element_at("_v", -k)
@@ -113,12 +127,17 @@ def forecast(
             SERIES_ID, "_level", "_last", "_n", grown.alias("_v"), F.concat("_p", F.array("prediction")).alias("_p")
         )
     spread = state.select(SERIES_ID, "_last", "_level", F.posexplode("_p").alias("_i", "_y"))
-    return spread.select(
+    followed = spread.select(
         SERIES_ID,
         (F.col("_i") + 1).alias("step"),
         add_periods(F.col("_last"), F.col("_i") + 1, frequency).alias(DS),
         (F.col("_y") * F.col("_level")).alias("forecast"),
+        F.lit(None).cast("string").alias("reason"),
+    )
+    repeated = held.select(
+        SERIES_ID, "step", add_periods(F.col("_last"), F.col("step"), frequency).alias(DS), F.col("_newest").alias("forecast"), "reason"
     )
+    return followed.unionByName(repeated)
 
 
 def tune(

@@ -11,7 +11,6 @@ from tidemark.constants import (
     ACCURACY_WARNING,
     HEADLINE_PERIODS,
     HEADLINE_RUNS,
-    MAX_PAGE,
     POOLED_KEY,
     TOP_LINE,
 )
@@ -255,7 +254,7 @@ def series_list(
         "forecast_total": [F.col("wmape").isNull().asc(), F.desc("forecast_total")],
         "label": [],
     }[sort]
-    return found.orderBy(*order, "label").offset(max(0, offset)).limit(max(1, min(limit, MAX_PAGE)))
+    return found.orderBy(*order, "label").offset(max(0, offset)).limit(max(1, limit))
 
 
 def worst_at_risk(series: DataFrame, count: int = 5) -> DataFrame:

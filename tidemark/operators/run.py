@@ -70,6 +70,8 @@ class Run:
     candidates: DataFrame
     metrics: DataFrame
     winner_rows: DataFrame
+    #: Series without a forecast, each with the reason.
+    errors: DataFrame
 
 
 def roster_for(demand_class: Column, requested: Sequence[str]) -> Column:
@@ -169,7 +171,10 @@ def run_forecast(
     facts = chosen.filter("selected").join(totals, SERIES_ID).join(
         selection.value_add(chosen).select(SERIES_ID, "value_add"), SERIES_ID, "left"
     )
-    return Run(points, chosen, facts, won)
+    left = panel.groupBy(SERIES_ID).agg(F.count(Y).alias("_n")).join(forecasts.select(SERIES_ID).distinct(), SERIES_ID, "left_anti")
+    judged = left.join(winners, SERIES_ID, "left")
+    reason = F.when(F.col("_n") == 0, "no value").when(F.col("winner").isNull(), "no model could be measured").otherwise("the chosen model gives no value")
+    return Run(points, chosen, facts, won, judged.select(SERIES_ID, reason.alias("reason")))
 
 
 def _members(scores: DataFrame, most: int = 4) -> DataFrame:

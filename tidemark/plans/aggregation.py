@@ -162,6 +162,20 @@ def grouped_series(spark, folder):
     return agg.grouped_series(_grouped_cells(spark, folder), ["k0", "k1"], MONTHLY, max_series=20)
 
 
+@query(
+    "grouped_series_many",
+    "k0:str pooled:bool series_rows:int total:2",
+    f"""WITH cells AS (SELECT CAST(l_partkey AS VARCHAR) AS k0, {trunc_sql('l_shipdate', QUARTERLY)} AS period, SUM(l_quantity) AS value FROM lineitem GROUP BY ALL)
+      SELECT k0, false AS pooled, COUNT(*) AS series_rows, SUM(value) AS total FROM cells GROUP BY k0""",
+)
+def grouped_series_many(spark, folder):
+    """As many series as were asked for, above the default of 500."""
+    rows = table(spark, folder, "lineitem")
+    cells = agg.grouped_cells(rows, "l_shipdate", "l_quantity", ["l_partkey"], QUARTERLY)
+    bounded = agg.bound_keys(cells, ["k0"], QUARTERLY, max_series=1_000_000)
+    return bounded.groupBy("k0", "pooled").agg(F.count("*").alias("series_rows"), F.sum("value").alias("total"))
+
+
 @query(
     "series_admission",
     "grain:str series_count:int admission:str",

@@ -51,6 +51,32 @@ def _stepped_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
+@query(
+    "infer_frequency_timestamps",
+    "series_id:str periods:int typical_gap:int frequency:str",
+    f"""WITH days AS (SELECT DISTINCT event_type AS series_id, CAST(ts AS DATE) AS ds FROM events),
+      gaps AS (SELECT series_id, ds, date_diff('day', lag(ds) OVER (PARTITION BY series_id ORDER BY ds), ds) AS gap FROM days),
+      stats AS (SELECT series_id, COUNT(*) AS c, GREATEST(date_diff('day', MIN(ds), MAX(ds)), 1) AS span,
+          list_sort(list(gap) FILTER (WHERE gap IS NOT NULL)) AS g FROM gaps GROUP BY series_id),
+      rated AS (SELECT *, len(g) AS m, g[len(g) // 2 + 1] AS mid,
+          c >= 0.3 * GREATEST(1, round_even(span / 1.0, 0) + 1) AS fd,
+          c >= 0.3 * GREATEST(1, round_even(span / 7.0, 0) + 1) AS fw,
+          c >= 0.3 * GREATEST(1, round_even(span / 30.44, 0) + 1) AS fm,
+          c >= 0.3 * GREATEST(1, round_even(span / 91.31, 0) + 1) AS fq FROM stats)
+      SELECT series_id, c AS periods, mid AS typical_gap, CASE WHEN c < 3 THEN NULL
+        WHEN mid = 1 AND len(list_filter(g, lambda x: x = 1)) >= 0.5 * m AND fd THEN 'daily'
+        WHEN mid BETWEEN 6 AND 8 AND len(list_filter(g, lambda x: x BETWEEN 6 AND 8)) >= 0.5 * m AND fw THEN 'weekly'
+        WHEN mid BETWEEN 27 AND 32 AND len(list_filter(g, lambda x: x BETWEEN 27 AND 32)) >= 0.5 * m AND fm THEN 'monthly'
+        WHEN mid BETWEEN 88 AND 93 AND len(list_filter(g, lambda x: x BETWEEN 88 AND 93)) >= 0.5 * m AND fq THEN 'quarterly'
+        WHEN fq THEN 'quarterly' WHEN fm THEN 'monthly' WHEN fw THEN 'weekly' WHEN fd THEN 'daily' END AS frequency
+      FROM rated""",
+)
+def infer_frequency_timestamps(spark, folder):
+    """Moments count by their day: many readings a day are one step of a day."""
+    events = table(spark, folder, "events").select(F.col("event_type").alias("series_id"), F.col("ts").alias("ds"))
+    return calendar.infer_frequency(events)
+
+
 @query(
     "infer_frequency",
     "series_id:str periods:int typical_gap:int frequency:str",

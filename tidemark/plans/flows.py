@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.constants import DAILY, MONTHLY, WEEKLY
 from tidemark.functions.dates import period_start
@@ -10,7 +11,7 @@ from tidemark.operators import backtest, calendar, diagnostics, drivers, report,
 from tidemark.plans.catalog import query, table
 from tidemark.plans.forecasting import _SUPPLIERS, supplier_series
 from tidemark.plans.panels import aligned_sql, trunc_sql
-from tidemark.session import scratch_path
+from tidemark.session import cut_lineage, scratch_path
 from tidemark.sources import store
 from tidemark.streaming import actuals, periods
 
@@ -34,6 +35,40 @@ def delimited_round_trip(spark, folder):
     return read.withColumn("priority", F.replace("priority", F.lit("; "), F.lit("-")))
 
 
+@query(
+    "late_encoding",
+    "order_key:int note:str",
+    # The accented word stands on the last line only, far below any sample.
+    """SELECT o_orderkey AS order_key, CASE WHEN o_orderkey = (SELECT MAX(o_orderkey) FROM orders) THEN 'caf' || chr(233) || ' ' || chr(8364)
+        ELSE o_orderpriority END AS note FROM orders""",
+)
+def late_encoding(spark, folder):
+    """A sheet in the Windows code page that shows it on one line."""
+    orders = table(spark, folder, "orders")
+    last = orders.agg(F.max("o_orderkey")).scalar()
+    # The euro sign is byte 0x80 there, which Latin-1 writes for U+0080.
+    note = F.when(F.col("o_orderkey") == last, F.lit("caf\u00e9 \u0080")).otherwise(F.col("o_orderpriority"))
+    path = scratch_path(spark, "encoded")
+    orders.select(F.col("o_orderkey").alias("order_key"), note.alias("note")).write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    return store.read_source(spark, "csv", path)
+
+
+@query(
+    "quoted_line_breaks",
+    "order_key:int note:str total:2",
+    """SELECT o_orderkey AS order_key, 'one "' || o_orderstatus || '", two' || CASE WHEN o_orderkey % 3 = 0 THEN chr(10) ELSE ' ' END || 'three' AS note,
+      o_totalprice AS total FROM orders""",
+)
+def quoted_line_breaks(spark, folder):
+    """Values with line breaks, delimiters and quotes inside quotes."""
+    glue = F.when(F.col("o_orderkey") % 3 == 0, "\n").otherwise(" ")
+    note = F.concat(F.lit('one "'), "o_orderstatus", F.lit('", two'), glue, F.lit("three"))
+    rows = table(spark, folder, "orders").select(F.col("o_orderkey").alias("order_key"), note.alias("note"), F.col("o_totalprice").alias("total"))
+    path = scratch_path(spark, "quoted")
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    return store.read_source(spark, "csv", path)
+
+
 @query(
     "json_records",
     "key:int total:2 tags:str",
@@ -129,25 +164,74 @@ def stream_weekly_totals(spark, folder):
     "stream_actuals",
     "series_key:str target_date:date value:2",
     """SELECT '{"event_type":"' || event_type || '"}' AS series_key, CAST(date_trunc('day', ts) AS DATE) AS target_date,
-      SUM(CASE WHEN event_id % 4 <= 3 THEN value END) AS value FROM events GROUP BY ALL""",
+      round(SUM(value), 4) AS value FROM events GROUP BY ALL""",
 )
 def stream_actuals(spark, folder):
     """Three reports of each day arrive one after the other; the last holds."""
+    return scoring.as_of(_reported(spark, folder, files_per_batch=1))
+
+
+_READINGS = """WITH said AS (SELECT '{"event_type":"' || event_type || '"}' AS series_key, CAST(date_trunc('day', ts) AS DATE) AS target_date, r,
+      round(SUM(CASE WHEN event_id % 4 <= r THEN value END), 4) AS value FROM events, (VALUES (1), (2), (3)) revisions(r) GROUP BY ALL),
+    kept AS (SELECT *, lag(value) OVER (PARTITION BY series_key, target_date ORDER BY r) AS before FROM said WHERE value IS NOT NULL)"""
+
+
+@query(
+    "stream_actual_log",
+    "series_key:str target_date:date revised:date value:2",
+    f"""{_READINGS} SELECT series_key, target_date, DATE '2024-02-01' + CAST(r - 1 AS INTEGER) AS revised, value FROM kept WHERE before IS NULL OR before <> value""",
+)
+def stream_actual_log(spark, folder):
+    """All three reports fall into one batch; every change is kept."""
+    log = _reported(spark, folder, files_per_batch=1000)
+    return log.withColumn("revised", F.col("revised_at").cast("date"))
+
+
+@query(
+    "actuals_as_known",
+    "known:date series_key:str target_date:date value:2",
+    f"""{_READINGS} SELECT DATE '2024-02-01' + CAST(m - 1 AS INTEGER) AS known, series_key, target_date, arg_max(value, r) AS value
+      FROM kept, (VALUES (1), (2)) moments(m) WHERE r <= m GROUP BY ALL""",
+)
+def actuals_as_known(spark, folder):
+    """What was in force on two days before the last report."""
+    log = cut_lineage(_reported(spark, folder, files_per_batch=2), "log")
+    days = [F.expr(f"timestamp'2024-02-0{day} 12:00:00'") for day in (1, 2)]
+    return scoring.union_all([scoring.as_of(log, day).select(day.cast("date").alias("known"), "series_key", "target_date", "value") for day in days])
+
+
+@query(
+    "actual_revisions",
+    "place:int value:2",
+    f"""{_READINGS}, one AS (SELECT series_key, target_date FROM kept ORDER BY target_date, series_key LIMIT 1)
+      SELECT row_number() OVER (ORDER BY r) AS place, value FROM kept JOIN one USING (series_key, target_date) WHERE before IS NULL OR before <> value""",
+)
+def actual_revisions(spark, folder):
+    """Every reading in force of the first key and day, in the order of report."""
+    log = cut_lineage(_reported(spark, folder, files_per_batch=3), "log")
+    first = log.orderBy("target_date", "series_key").first()
+    if first is None:
+        return log.select(F.lit(1).alias("place"), "value")
+    found = scoring.revisions(log, first["series_key"], F.lit(first["target_date"]))
+    return found.select(F.row_number().over(Window.partitionBy("series_key", "target_date").orderBy("revised_at")).alias("place"), "value")
+
+
+def _reported(spark, folder, *, files_per_batch):
     events = table(spark, folder, "events")
     path = scratch_path(spark, "readings")
     for revision in (1, 2, 3):
         known = F.when(F.col("event_id") % 4 <= revision, F.col("value"))
         day = F.col("ts").cast("date")
         readings = events.groupBy(scoring.series_key(["event_type"]).alias("series_key"), day.alias("target_date")).agg(
-            F.sum(known).alias("value")
+            F.round(F.sum(known), 4).alias("value")
         )
         stamped = readings.filter(F.col("value").isNotNull()).withColumn(
             "revised_at", F.expr(f"timestamp'2024-02-0{revision} 00:00:00'")
         )
-        stamped.coalesce(1).write.mode("append").parquet(path)
+        stamped.write.parquet(f"{path}/revision-{revision}")
     schema = "series_key string, target_date date, value double, revised_at timestamp"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return scoring.as_of(actuals.ingest_available(stream))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path}/revision-*")
+    return actuals.ingest_available(stream)
 
 
 # ---- Drivers -------------------------------------------------------------------

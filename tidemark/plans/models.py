@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from tidemark.constants import MONTHLY
+from tidemark.functions.dates import is_settled
 from tidemark.operators import fanout, regression, report, run
-from tidemark.plans.catalog import query
+from tidemark.plans.catalog import query, table
 from tidemark.plans.forecasting import supplier_series
 from tidemark.plans.panels import supplier_panel
 
@@ -16,13 +15,15 @@ HORIZON = 6
 
 
 def closed_panel(spark, folder):
-    """The supplier panel up to its last whole month."""
-    panel = supplier_panel(spark, folder)
-    last = panel.agg(F.max("ds")).scalar()
-    return panel.filter(F.col("ds") < last)
+    """The supplier panel, of months that can no longer grow."""
+    return supplier_panel(spark, folder).filter(is_settled(F.col("ds"), _reach(spark, folder), MONTHLY))
+
+
+def _reach(spark, folder):
+    """The last day that any row speaks of."""
+    return table(spark, folder, "lineitem").agg(F.max(F.col("l_shipdate").cast("date"))).scalar()
 
 
-@lru_cache(maxsize=2)
 def _fanned(spark, folder):
     return fanout.run_fanout(closed_panel(spark, folder), MONTHLY, HORIZON, fill="auto", hierarchy_depth=3)
 
@@ -48,13 +49,11 @@ def model_mix(spark, folder):
     return report.model_mix(winners)
 
 
-@lru_cache(maxsize=2)
 def _ran(spark, folder):
     from tidemark.plans.panels import key_cells
 
     cells = key_cells(spark, folder, "l_returnflag", MONTHLY, "l_quantity")
-    last = cells.agg(F.max("period")).scalar()
-    panel = cells.filter(F.col("period") < last).select(
+    panel = cells.filter(is_settled(F.col("period"), _reach(spark, folder), MONTHLY)).select(
         F.col("l_returnflag").alias("series_id"), F.col("period").alias("ds"), F.col("value").alias("y")
     )
     return run.run_forecast(panel, MONTHLY, HORIZON)
@@ -75,6 +74,27 @@ def run_metrics(spark, folder):
     return _ran(spark, folder).metrics
 
 
+@query(
+    "run_coverage",
+    "series_id:str forecasts:int errors:int",
+    """SELECT DISTINCT l_returnflag AS series_id, 1 AS forecasts, 0 AS errors FROM lineitem
+      UNION ALL SELECT 'never reported', 0, 1""",
+)
+def run_coverage(spark, folder):
+    """Every series is forecast or has its reason: the three flags, and one whose
+    value was never reported."""
+    from tidemark.plans.panels import key_cells
+
+    cells = key_cells(spark, folder, "l_returnflag", MONTHLY, "l_quantity")
+    panel = cells.filter(is_settled(F.col("period"), _reach(spark, folder), MONTHLY)).select(
+        F.col("l_returnflag").alias("series_id"), F.col("period").alias("ds"), F.col("value").alias("y")
+    )
+    silent = panel.filter(F.col("series_id") == "N").select(F.lit("never reported").alias("series_id"), "ds", F.lit(None).cast("double").alias("y"))
+    out = run.run_forecast(panel.unionByName(silent), MONTHLY, HORIZON, requested=("naive", "seasonal_naive"))
+    found = out.points.select("series_id").distinct().withColumn("forecasts", F.lit(1)).withColumn("errors", F.lit(0))
+    return found.unionByName(out.errors.select("series_id", F.lit(0).alias("forecasts"), F.lit(1).alias("errors")))
+
+
 @query("gradient_boosting", "series_id:str step:int ds:date forecast:2")
 def gradient_boosting(spark, folder):
     series = supplier_series(spark, folder)

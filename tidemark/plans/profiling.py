@@ -194,6 +194,37 @@ def key_search(spark, folder):
     return found.withColumn("keys", F.array_join("keys", ","))
 
 
+_WIDE = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "year", "quarter", "weekday")
+_WIDE_SQL = """(SELECT CAST(o_orderdate AS DATE) AS day, o_orderkey % 5 AS o_orderkey, o_custkey % 7 AS o_custkey, o_orderstatus, o_orderpriority,
+    year(o_orderdate) AS year, quarter(o_orderdate) AS quarter, dayofweek(o_orderdate) + 1 AS weekday FROM orders) AS wide"""
+
+
+@query(
+    "key_search_wide",
+    "width:int keys:str duplicate_rows:int series_count:int",
+    " UNION ALL ".join(
+        f"""SELECT {len(s)} AS width, '{','.join(s)}' AS keys, COUNT(*) - COUNT(DISTINCT {'(' + ', '.join(['day', *s]) + ')' if s else 'day'}) AS duplicate_rows,
+          {f"COUNT(DISTINCT ({', '.join(s)},))" if s else '1'} AS series_count FROM {_WIDE_SQL}"""
+        for s in profile.key_subsets(_WIDE)
+    ),
+)
+def key_search_wide(spark, folder):
+    """Seven dimensions: every subset of up to four, and the whole set."""
+    day = F.col("o_orderdate").cast("date")
+    rows = table(spark, folder, "orders").select(
+        day.alias("day"),
+        (F.col("o_orderkey") % 5).alias("o_orderkey"),
+        (F.col("o_custkey") % 7).alias("o_custkey"),
+        "o_orderstatus",
+        "o_orderpriority",
+        F.year(day).alias("year"),
+        F.quarter(day).alias("quarter"),
+        F.dayofweek(day).alias("weekday"),
+    )
+    found = profile.key_search(rows, "day", _WIDE)
+    return found.withColumn("keys", F.array_join("keys", ","))
+
+
 @query(
     "key_dependencies",
     "child:str parent:str determined:bool",

@@ -23,9 +23,21 @@ _LOW, _HIGH, _WORST, _BEST = 0.04, 0.06, 0.05, 0.08
 _ISSUED = "2001-01-01"
 
 
-@lru_cache(maxsize=4)
+def _version(spark, folder):
+    """What tells a folder's files from those that replace them."""
+    facts = [table(spark, folder, name) for name in ("lineitem", "supplier", "nation", "region")]
+    seen = [frame.agg(F.max("_metadata.file_modification_time").alias("t"), F.count("*").alias("n")).first() for frame in facts]
+    return tuple((str(row["t"]), row["n"]) for row in seen)
+
+
 def _levels(spark, folder):
-    """run_id, path, level, label, period, value of every node, written once."""
+    return _written_levels(spark, folder, _version(spark, folder))
+
+
+@lru_cache(maxsize=4)
+def _written_levels(spark, folder, version):
+    """run_id, path, level, label, period, value of every node, written once for
+    each version of the files."""
     cells = supplier_cells(spark, folder)
     leaves = cells.select(
         F.col("region").alias("run_id"), F.array("nation", "supplier").alias("path"), "period", "value"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -49,30 +51,44 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
     return session
 
 
+#: Folders that stand in where a local session names none; gone at exit.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session may lack it; there a temporary folder stands in. On a
-    cluster a machine-local folder would be lost with its executor, so a
-    missing setting is an error.
+    Where it is unset, a local session gets a folder of its own that goes when
+    the process ends, and any other a folder below the shared warehouse.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
     context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir is not set; name a shared folder first.")
-    existing = context.getCheckpointDir()
-    if existing:
-        return existing
-    made = tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if not (context.master == "local" or context.master.startswith("local[")):
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    if context.applicationId not in _OWN:
+        made = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        _OWN[context.applicationId] = made
+    return _OWN[context.applicationId]
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/tidemark-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in this application's part of the shared folder."""
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what this application has written there; call it when no result
+    that was cut from its lineage is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(frame: DataFrame, name: str = "cut") -> DataFrame:
