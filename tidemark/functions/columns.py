@@ -13,7 +13,7 @@ from tidemark.constants import KEY_SEPARATOR, MISSING_KEY, SINGLE_SERIES
 def col(name: str) -> Column:
     """A column by its exact name, whatever characters it holds."""
     if not name or "\x00" in name:
-        raise ValueError(f"Invalid column name: {name!r}")
+        raise ValueError(f"No column can be called {name!r}.")
     return F.col("`" + name.replace("`", "``") + "`")
 
 

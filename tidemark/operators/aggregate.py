@@ -292,7 +292,7 @@ def grouped_cells(
 ) -> DataFrame:
     """k0.., period, value per combination of the grouping columns."""
     if not group_columns:
-        raise ValueError("Grouped aggregation needs at least one grouping column.")
+        raise ValueError("Name the columns to group by.")
     require(rows, group_columns)
     keys = {f"k{i}": key_text(name) for i, name in enumerate(group_columns)}
     usable = usable_rows(rows, time, target, keys=keys, start=start, end=end)

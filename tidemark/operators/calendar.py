@@ -85,7 +85,7 @@ def clamped_horizon(requested: int, first: Column, last: Column, frequency: str)
 def check_horizon(panel: DataFrame, requested: int, frequency: str) -> int:
     """Refuse a chosen horizon the history cannot measure."""
     if requested <= 0:
-        raise ValueError("The forecast horizon has to be at least one period.")
+        raise ValueError(f"A horizon of {requested} periods forecasts nothing.")
     row = panel.agg(F.min(DS).alias("a"), F.max(DS).alias("b")).select(
         horizon_ceiling(F.col("a"), F.col("b"), frequency).alias("ceiling")
     ).first()

@@ -27,10 +27,10 @@ def to_canonical(
 ) -> DataFrame:
     """One row per series and period; covariates are averaged."""
     if date == target:
-        raise ValueError("The date column and the target column must be different columns.")
+        raise ValueError(f"{date!r} is named as date and as target.")
     overlap = {date, target, *series_keys} & set(covariates)
     if overlap:
-        raise ValueError(f"{sorted(overlap)} cannot be a covariate and a key at once.")
+        raise ValueError(f"Covariates already used otherwise: {', '.join(sorted(overlap))}.")
     require(rows, [date, target, *series_keys, *covariates])
     _known(aggregation)
     prepared = rows.select(

@@ -266,7 +266,7 @@ def worst_at_risk(series: DataFrame, count: int = 5) -> DataFrame:
 def compare_runs(metrics_table: DataFrame, left: str, right: str) -> DataFrame:
     """name, left, right, delta, delta_pct of two runs' metrics."""
     if left == right:
-        raise ValueError("Choose two different forecast runs to compare.")
+        raise ValueError(f"Run {left!r} cannot be compared with itself.")
     one = metrics_table.filter(F.col("run_id") == left).select("name", F.col("value").alias("left"))
     two = metrics_table.filter(F.col("run_id") == right).select("name", F.col("value").alias("right"))
     joined = one.join(two, "name", "full")
