@@ -258,22 +258,22 @@ def quality_report(spark, folder):
     return report.withColumn("codes", validation.codes_text(F.col("issues")))
 
 
-_GRID = f"""WITH panel AS ({_HOLED}), {_VALIDATE},
+_GRID = f"""WITH panel AS MATERIALIZED ({_HOLED}), {_VALIDATE},
     span AS (SELECT MIN(ds) AS a, MAX(ds) AS b FROM panel),
     bounds AS (SELECT GREATEST(a, CAST(b - INTERVAL 59 MONTH AS DATE)) AS a, b FROM span),
-    slots AS (SELECT series_id, y, ds, date_diff('month', (SELECT a FROM bounds), ds) AS slot FROM panel),
+    slots AS MATERIALIZED (SELECT series_id, y, ds, date_diff('month', (SELECT a FROM bounds), ds) AS slot FROM panel),
     width AS (SELECT date_diff('month', a, b) + 1 AS w FROM bounds),
-    counted AS (
+    counted AS MATERIALIZED (
       SELECT series_id, COUNT(*) FILTER (WHERE slot >= 0 AND y IS NOT NULL) AS observations,
         COUNT(*) FILTER (WHERE slot >= 0 AND y = 0) AS zeros,
         MIN(CASE WHEN slot >= 0 AND y IS NOT NULL THEN slot END) AS first_slot FROM slots GROUP BY series_id),
-    head AS (SELECT *, w - observations AS gaps FROM counted, width ORDER BY gaps DESC, series_id LIMIT 150),
-    grid AS (
+    head AS MATERIALIZED (SELECT *, w - observations AS gaps FROM counted, width ORDER BY gaps DESC, series_id LIMIT 150),
+    grid AS MATERIALIZED (
       SELECT row_number() OVER (ORDER BY COALESCE(first_slot, w), head.series_id) AS position, head.series_id,
         observations, gaps, zeros, status, route, first_slot, w,
         CAST((SELECT a FROM bounds) + to_months(CAST(first_slot AS INTEGER)) AS DATE) AS first_ds
       FROM head JOIN (SELECT series_id, status, route FROM judged) USING (series_id)),
-    gridcells AS (
+    gridcells AS MATERIALIZED (
       SELECT g.series_id, i.slot, s.y AS value FROM grid g, (SELECT unnest(range(CAST(w AS BIGINT))) AS slot FROM width) i
       LEFT JOIN slots s ON s.series_id = g.series_id AND s.slot = i.slot)"""
 
@@ -286,8 +286,8 @@ def _grid(spark, folder):
 @query(
     "coverage_grid",
     "position:int series_id:str observations:int gaps:int zeros:int status:str route:str first_ds:date total:2",
-    f"""{_GRID} SELECT position, g.series_id, observations, gaps, zeros, status, route, first_ds,
-      COALESCE((SELECT SUM(value) FROM gridcells c WHERE c.series_id = g.series_id), 0) AS total FROM grid g""",
+    f"""{_GRID} SELECT position, series_id, observations, gaps, zeros, status, route, first_ds,
+      COALESCE(t.total, 0) AS total FROM grid g LEFT JOIN (SELECT series_id, SUM(value) AS total FROM gridcells GROUP BY 1) t USING (series_id)""",
 )
 def coverage_grid(spark, folder):
     total = F.aggregate("values", F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))

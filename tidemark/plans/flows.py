@@ -100,16 +100,17 @@ def stored_table(spark, folder):
 @query(
     "append_only_runs",
     "run_id:str points:int total:2 refused:bool",
-    """SELECT l_returnflag AS run_id, COUNT(*) AS points, SUM(l_quantity) AS total, true AS refused FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1""",
+    """SELECT l_returnflag AS run_id, COUNT(*) AS points, SUM(l_quantity) AS total, true AS refused FROM lineitem GROUP BY 1""",
 )
 def append_only_runs(spark, folder):
     rows = table(spark, folder, "lineitem").select(F.col("l_returnflag").alias("run_id"), "l_quantity")
     path = scratch_path(spark, "points")
-    store.append_run(rows.filter("run_id = 'A'"), path)
-    store.append_run(rows.filter("run_id = 'R'"), path)
+    runs = [row["run_id"] for row in rows.select("run_id").distinct().orderBy("run_id").collect()]
+    for run in runs:
+        store.append_run(rows.filter(F.col("run_id") == run), path)
     refused = False
     try:
-        store.append_run(rows.filter("run_id = 'A'"), path)
+        store.append_run(rows.filter(F.col("run_id") == runs[0]), path)
     except ValueError:
         refused = True
     issued = store.read_table(spark, path)
