@@ -311,7 +311,15 @@ def fold_drivers(spark, folder):
     return drivers.leading_drivers(found, ("series_id", "fold"))
 
 
-@query("driver_sentences", "series_id:str sentence:str")
+@query(
+    "driver_sentences",
+    "series_id:str sentence:str",
+    f"""WITH {_DRIVEN}, {_lag_sql('driven', 'series_id', range(6, 19))}, said AS (
+        SELECT series_id, list(driver || ' from ' || lag || CASE WHEN lag = 1 THEN ' month' ELSE ' months' END || ' earlier' ORDER BY rank) AS l
+        FROM led WHERE rank <= LEAST(4, n // 20) GROUP BY series_id)
+      SELECT series_id, 'It also read ' || CASE WHEN len(l) = 1 THEN l[1] ELSE array_to_string(l[:len(l) - 1], ', ') || ' and ' || l[len(l)] END
+        || ', which your history shows moving before revenue does.' AS sentence FROM said""",
+)
 def driver_sentences(spark, folder):
     found = drivers.lag_correlations(driven_panel(spark, folder), DRIVERS, 6, MONTHLY)
     return drivers.describe_drivers(drivers.leading_drivers(found), MONTHLY, "revenue")

@@ -484,7 +484,23 @@ def forecast_value_add(spark, folder):
     return selection.value_add(chosen_models(supplier_series(spark, folder))[1])
 
 
-@query("selection_rationale", "series_id:str rationale:str")
+def _said(name: str) -> str:
+    """A model's name in words, each with a capital."""
+    return f"array_to_string(list_transform(string_split({name}, '_'), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
+
+
+@query(
+    "selection_rationale",
+    "series_id:str rationale:str",
+    f"""WITH {_select_sql(_SUPPLIERS)}, ahead AS (
+        SELECT *, lead(model) OVER o AS next_model, lead(score) OVER o AS next_score, lead(wmape) OVER o AS next_wmape
+        FROM chosen WINDOW o AS (PARTITION BY series_id ORDER BY rank))
+      SELECT series_id, {_said('model')} || ' was ' || printf('off by %.1f%% on average', wmape) || ' when tested against ' || folds || CASE WHEN folds = 1 THEN ' stretch' ELSE ' stretches' END
+        || ' of unseen history.' || CASE WHEN next_score IS NULL THEN ''
+          WHEN next_score - score < 0.05 THEN ' ' || {_said('next_model')} || ' was so close that the simpler was preferred.'
+          ELSE ' Next best was ' || replace(next_model, '_', ' ') || printf(', off by %.1f%%.', next_wmape) END AS rationale
+      FROM ahead WHERE rank = 1""",
+)
 def selection_rationale(spark, folder):
     return selection.rationale(chosen_models(supplier_series(spark, folder))[1])
 

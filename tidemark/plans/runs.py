@@ -362,22 +362,6 @@ def accuracy_report(spark, folder):
     )
 
 
-@query(
-    "saved_scenarios",
-    "name:str runs:int simulated_total:2",
-    None,
-)
-def saved_scenarios(spark, folder):
-    """Scenario totals appended under a name and read back by it."""
-    path = scratch_path(spark, "scenarios")
-    totals = scenarios.scenario_totals(_scenarios(spark, folder))
-    store.append_run(totals.withColumnRenamed("name", "scenario"), path, key="scenario")
-    kept = store.read_table(spark, path)
-    return kept.groupBy(F.col("scenario").alias("name")).agg(
-        F.count("*").alias("runs"), F.sum("simulated_total").alias("simulated_total")
-    )
-
-
 # ---- Breakdowns, dashboard, lists ----------------------------------------------
 _BREAKDOWN = f"""{RUNS}, bd AS (SELECT run_id, split_part(label, ' · ', 1) AS label, SUM(forecast_total) AS forecast, SUM(prior_total) AS prior,
       SUM(actual_total) AS actual, SUM(CASE WHEN wmape IS NOT NULL THEN abs(forecast_total) END) AS w, SUM(wmape * abs(forecast_total)) AS e FROM leaf GROUP BY ALL),
@@ -743,6 +727,23 @@ def scenario_totals(spark, folder):
     return scenarios.scenario_totals(_scenarios(spark, folder))
 
 
+@query(
+    "saved_scenarios",
+    "name:str runs:int simulated_total:2",
+    f"""WITH {_SCENARIO}, totals AS (SELECT run_id, name, SUM(simulated) AS simulated_total FROM sim GROUP BY ALL)
+      SELECT name, COUNT(*) AS runs, SUM(simulated_total) AS simulated_total FROM totals GROUP BY name""",
+)
+def saved_scenarios(spark, folder):
+    """Scenario totals appended under a name and read back by it."""
+    path = scratch_path(spark, "scenarios")
+    totals = scenarios.scenario_totals(_scenarios(spark, folder))
+    store.append_run(totals.withColumnRenamed("name", "scenario"), path, key="scenario")
+    kept = store.read_table(spark, path)
+    return kept.groupBy(F.col("scenario").alias("name")).agg(
+        F.count("*").alias("runs"), F.sum("simulated_total").alias("simulated_total")
+    )
+
+
 # ---- Usage ---------------------------------------------------------------------
 _USAGE = """ev AS (SELECT event_id, ts AS created_at, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'rejected' ELSE 'success' END AS status,
     event_type AS model, 'p' || (user_id % 3) AS provider, CAST(json_extract_string(props, '$.k') AS BIGINT) AS tokens, value / 100 AS cost, value AS latency_ms FROM events)"""
