@@ -1,12 +1,13 @@
 """Exponential smoothing and theta forecasts, fitted window by window.
 
 The recursions run from period to period and have no built-in expression, so a
-vectorised Arrow function walks each window once for a whole grid of smoothing
-weights. Windows are rows; Spark spreads them.
+vectorised Arrow function walks all windows of one length and shape at once, for
+a whole grid of smoothing weights. Windows are rows; Spark spreads them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import product
 
 import numpy as np
@@ -23,26 +24,31 @@ SEASON_WEIGHTS = (0.05, 0.1, 0.3, 0.5)
 DAMPING = (0.8, 0.9, 0.98)
 
 
-def _opening(y: np.ndarray, period: int, season: str | None, trend: bool) -> tuple[float, float, np.ndarray]:
-    """Level, trend and season to start from: the first seasons' means."""
+#: Windows times weights carried through a recursion at once.
+_WIDTH = 1 << 17
+
+
+def _opening(y: np.ndarray, period: int, season: str | None, trend: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Level, trend and season of each row to start from: the first seasons' means."""
+    rows, n = y.shape
     if season is None:
-        slope = (y[min(y.size, 5) - 1] - y[0]) / max(min(y.size, 5) - 1, 1) if trend else 0.0
-        return float(y[0] - slope), float(slope), np.zeros(1)
-    first, second = y[:period].mean(), y[period : 2 * period].mean()
-    slope = (second - first) / period if trend else 0.0
-    cycles = y.size // period
-    table = y[: cycles * period].reshape(cycles, period)
-    means = table.mean(axis=1, keepdims=True)
-    pattern = (table / means).mean(axis=0) if season == "mul" else (table - means).mean(axis=0)
-    return float(first - slope * (period - 1) / 2 - slope), float(slope), pattern
-
-
-def smooth(
-    y: np.ndarray, period: int, trend: bool, damped: bool, season: str | None, horizon: int
-) -> tuple[float, float, np.ndarray] | None:
-    """(criterion, number of parameters, path) of the best weights.
-
-    All weight combinations are carried through the recursion side by side.
+        near = min(n, 5) - 1
+        slope = (y[:, near] - y[:, 0]) / max(near, 1) if trend else np.zeros(rows)
+        return y[:, 0] - slope, slope, np.zeros((rows, 1))
+    first, second = y[:, :period].mean(axis=1), y[:, period : 2 * period].mean(axis=1)
+    slope = (second - first) / period if trend else np.zeros(rows)
+    cycles = n // period
+    table = y[:, : cycles * period].reshape(rows, cycles, period)
+    means = table.mean(axis=2, keepdims=True)
+    pattern = (table / means if season == "mul" else table - means).mean(axis=1)
+    return first - slope * (period - 1) / 2 - slope, slope, pattern
+
+
+def smooth(y: np.ndarray, period: int, trend: bool, damped: bool, season: str | None, horizon: int) -> tuple[np.ndarray, np.ndarray]:
+    """Criterion and path of the best weights for each row of windows of one length.
+
+    All windows and all weight combinations go through the recursion side by
+    side. Where no weights fit, the criterion is infinite.
     """
     grid = np.array(
         list(
@@ -54,94 +60,129 @@ def smooth(
             )
         )
     )
+    chunk = max(1, _WIDTH // len(grid))
+    if len(y) > chunk:
+        parts = [smooth(y[i : i + chunk], period, trend, damped, season, horizon) for i in range(0, len(y), chunk)]
+        return np.concatenate([part[0] for part in parts]), np.concatenate([part[1] for part in parts])
     a, b, g, phi = grid.T
+    rows, n = y.shape
     level0, slope0, pattern = _opening(y, period, season, trend)
-    level, slope = np.full(a.size, level0), np.full(a.size, slope0)
-    cycle = np.tile(pattern, (a.size, 1))
-    width = cycle.shape[1]
-    squared = np.zeros(a.size)
-    for i, value in enumerate(y):
-        base = level + phi * slope
-        held = cycle[:, i % width]
-        if season == "mul":
-            fitted, clean = base * held, value / held
-        else:
-            fitted, clean = base + held, value - held
-        squared += (value - fitted) ** 2
-        following = a * clean + (1 - a) * base
-        if season:
-            seen = value / base if season == "mul" else value - base
-            cycle[:, i % width] = g * seen + (1 - g) * held
-        slope = b * (following - level) + (1 - b) * phi * slope if trend else slope * 0.0
-        level = following
+    level, slope = (np.repeat(held[:, None], len(grid), axis=1) for held in (level0, slope0))
+    width = pattern.shape[1]
+    # One plane per place in the cycle, so that a step touches one of them.
+    cycle = np.repeat(pattern.T[:, :, None], len(grid), axis=2)
+    squared = np.zeros((rows, len(grid)))
+    with np.errstate(all="ignore"):
+        for i in range(n):
+            value = y[:, i, None]
+            base = level + phi * slope
+            held = cycle[i % width]
+            if season == "mul":
+                fitted, clean = base * held, value / held
+            else:
+                fitted, clean = base + held, value - held
+            squared += (value - fitted) ** 2
+            following = a * clean + (1 - a) * base
+            if season:
+                seen = value / base if season == "mul" else value - base
+                cycle[i % width] = g * seen + (1 - g) * held
+            slope = b * (following - level) + (1 - b) * phi * slope if trend else slope * 0.0
+            level = following
     squared = np.where(np.isfinite(squared), squared, np.inf)
-    best = int(np.argmin(squared))
-    n = y.size
+    best = np.argmin(squared, axis=1)
+    at = np.arange(rows)
     parameters = 2 + 2 * trend + damped + (1 + period if season else 0)
-    if n <= parameters + 1 or not np.isfinite(squared[best]):
-        return None
-    spread = max(squared[best] / n, 1e-12)
-    criterion = n * np.log(spread) + 2 * parameters + 2 * parameters * (parameters + 1) / (n - parameters - 1)
+    least = squared[at, best]
     steps = np.arange(1, horizon + 1)
-    damping = np.cumsum(phi[best] ** steps)
-    path = level[best] + damping * slope[best]
-    ahead = cycle[best][(n + steps - 1) % width]
-    path = path * ahead if season == "mul" else path + ahead
-    return float(criterion), float(parameters), path
-
-
-def holt_winters(y: np.ndarray, period: int, seasonal: bool, trending: bool, horizon: int) -> np.ndarray | None:
+    with np.errstate(all="ignore"):
+        spread = np.maximum(least / n, 1e-12)
+        penalty = 2 * parameters + 2 * parameters * (parameters + 1) / (n - parameters - 1) if n > parameters + 1 else np.inf
+        criterion = n * np.log(spread) + penalty
+        damping = np.cumsum(phi[best][:, None] ** steps, axis=1)
+        path = level[at, best][:, None] + damping * slope[at, best][:, None]
+        ahead = cycle[(n + steps - 1) % width][:, at, best].T
+        path = path * ahead if season == "mul" else path + ahead
+    sound = np.isfinite(least) & np.isfinite(path).all(axis=1) & (n > parameters + 1)
+    return np.where(sound, criterion, np.inf), path
+
+
+def _best_shape(y: np.ndarray, period: int, shapes: list[tuple[str | None, bool, bool]], horizon: int) -> list[np.ndarray | None]:
+    """Per window the path of the shape of lowest criterion, the first of equals;
+    a multiplied season is only for windows above zero."""
+    criteria = np.full((len(shapes), len(y)), np.inf)
+    paths = np.zeros((len(shapes), len(y), horizon))
+    positive = np.flatnonzero((y > 0).all(axis=1))
+    for place, (season, trend, damped) in enumerate(shapes):
+        fit = positive if season == "mul" else np.arange(len(y))
+        if len(fit):
+            criteria[place, fit], paths[place, fit] = smooth(y[fit], period, trend, damped, season, horizon)
+    best = np.argmin(criteria, axis=0)
+    return [paths[place, i] if np.isfinite(criteria[place, i]) else None for i, place in enumerate(best)]
+
+
+def holt_winters_batch(y: np.ndarray, period: int, seasonal: bool, trending: bool, horizon: int) -> list[np.ndarray | None]:
     """The shape of lowest corrected information criterion, and its path."""
-    if y.size < 5:
-        return None
-    seasons: list[str | None] = [None]
-    if seasonal and period >= 2 and y.size >= 2 * period + 1:
-        seasons = ["add", *(["mul"] if (y > 0).all() else []), None]
+    n = y.shape[1]
+    if n < 5:
+        return [None] * len(y)
+    seasons = ["add", "mul", None] if seasonal and period >= 2 and n >= 2 * period + 1 else [None]
     trends = [(True, True), (True, False), (False, False)] if trending else [(False, False), (True, True)]
-    fits = [smooth(y, period, trend, damped, season, horizon) for season in seasons for trend, damped in trends]
-    sound = [fit for fit in fits if fit is not None and np.isfinite(fit[2]).all()]
-    return min(sound, key=lambda fit: fit[0])[2] if sound else None
+    return _best_shape(y, period, [(season, *trend) for season in seasons for trend in trends], horizon)
 
 
-def auto_ets(y: np.ndarray, period: int, seasonal: bool, horizon: int) -> np.ndarray | None:
+def auto_ets_batch(y: np.ndarray, period: int, seasonal: bool, horizon: int) -> list[np.ndarray | None]:
     """Every admissible trend and season, damped or not, by the same criterion."""
-    usable = seasonal and period >= 2 and y.size >= 2 * period + 1
-    if y.size < max(10, 3 * (5 + (period if seasonal else 0))):
-        return None
-    seasons = [None, *(["add"] if usable else []), *(["mul"] if usable and (y > 0).all() else [])]
-    shapes = [(False, False), (True, False), (True, True)]
-    fits = [smooth(y, period, trend, damped, season, horizon) for season in seasons for trend, damped in shapes]
-    sound = [fit for fit in fits if fit is not None and np.isfinite(fit[2]).all()]
-    return min(sound, key=lambda fit: fit[0])[2] if sound else None
+    n = y.shape[1]
+    if n < max(10, 3 * (5 + (period if seasonal else 0))):
+        return [None] * len(y)
+    seasons = [None, "add", "mul"] if seasonal and period >= 2 and n >= 2 * period + 1 else [None]
+    trends = [(False, False), (True, False), (True, True)]
+    return _best_shape(y, period, [(season, *trend) for season in seasons for trend in trends], horizon)
 
 
-def theta(y: np.ndarray, period: int, seasonal: bool, horizon: int) -> np.ndarray | None:
+def theta_batch(y: np.ndarray, period: int, seasonal: bool, horizon: int) -> list[np.ndarray | None]:
     """Simple smoothing plus half the slope of the line through the history."""
-    if y.size < 6:
-        return None
-    n, steps = y.size, np.arange(1, horizon + 1)
-    pattern, multiplied = None, False
+    rows, n = y.shape
+    if n < 6:
+        return [None] * rows
+    steps = np.arange(1, horizon + 1)
+    index = ahead = None
     if seasonal and period >= 2 and n >= 2 * period + 1:
-        multiplied = bool((y > 0).all())
+        multiplied = (y > 0).all(axis=1)[:, None]
         trend = _centred(y, period)
-        rest = y / trend if multiplied else y - trend
-        pattern = np.array([np.nanmean(rest[phase::period]) for phase in range(period)])
-        pattern = pattern / pattern.mean() if multiplied else pattern - pattern.mean()
-        index = pattern[np.arange(n) % period]
-        y = y / index if multiplied else y - index
-    slope = np.polyfit(np.arange(n), y, 1)[0]
+        with np.errstate(all="ignore"):
+            rest = np.where(multiplied, y / trend, y - trend)
+            pattern = np.stack([np.nanmean(rest[:, phase::period], axis=1) for phase in range(period)], axis=1)
+            middle = pattern.mean(axis=1, keepdims=True)
+            pattern = np.where(multiplied, pattern / middle, pattern - middle)
+            index, ahead = pattern[:, np.arange(n) % period], pattern[:, (n + steps - 1) % period]
+            y = np.where(multiplied, y / index, y - index)
+    t = np.arange(n) - (n - 1) / 2
+    slope = (y @ t / (t @ t))[:, None]
     weights = np.array(LEVEL_WEIGHTS)
-    level, squared = np.full(weights.size, y[0]), np.zeros(weights.size)
-    for value in y[1:]:
+    level, squared = np.repeat(y[:, :1], weights.size, axis=1), np.zeros((rows, weights.size))
+    for i in range(1, n):
+        value = y[:, i, None]
         squared += (value - level) ** 2
         level = weights * value + (1 - weights) * level
-    best = int(np.argmin(squared))
-    a = weights[best]
-    path = level[best] + slope / 2 * (steps - 1 + (1 - (1 - a) ** n) / a)
-    if pattern is not None:
-        ahead = pattern[(n + steps - 1) % period]
-        path = path * ahead if multiplied else path + ahead
-    return path
+    best = np.argmin(squared, axis=1)
+    a = weights[best][:, None]
+    path = level[np.arange(rows), best][:, None] + slope / 2 * (steps - 1 + (1 - (1 - a) ** n) / a)
+    if index is not None:
+        path = np.where(multiplied, path * ahead, path + ahead)
+    return list(path)
+
+
+def holt_winters(y: np.ndarray, period: int, seasonal: bool, trending: bool, horizon: int) -> np.ndarray | None:
+    return holt_winters_batch(y[None], period, seasonal, trending, horizon)[0]
+
+
+def auto_ets(y: np.ndarray, period: int, seasonal: bool, horizon: int) -> np.ndarray | None:
+    return auto_ets_batch(y[None], period, seasonal, horizon)[0]
+
+
+def theta(y: np.ndarray, period: int, seasonal: bool, horizon: int) -> np.ndarray | None:
+    return theta_batch(y[None], period, seasonal, horizon)[0]
 
 
 def wants_log(y: np.ndarray, period: int) -> bool:
@@ -162,14 +203,11 @@ def wants_log(y: np.ndarray, period: int) -> bool:
     return bool(rated) and min(rated)[1] <= LOG_CEILING
 
 
-def in_logs(y: np.ndarray, fit) -> np.ndarray | None:
+def in_logs(y: np.ndarray, fit: Callable[[np.ndarray], list[np.ndarray | None]]) -> list[np.ndarray | None]:
     """Fit on logs; back with half the variance of the log moves, at most 0.5."""
     logged = np.log(y)
-    path = fit(logged)
-    if path is None:
-        return None
-    variance = min(float(np.var(np.diff(logged), ddof=1)), 1.0)
-    return np.exp(np.clip(path + variance / 2, -700, 700))
+    variance = np.minimum(np.var(np.diff(logged, axis=1), axis=1, ddof=1), 1.0)
+    return [None if path is None else np.exp(np.clip(path + half / 2, -700, 700)) for path, half in zip(fit(logged), variance)]
 
 
 PATHS = "struct<holt_winters:array<double>,ets:array<double>,theta:array<double>>"
@@ -178,27 +216,33 @@ PATHS = "struct<holt_winters:array<double>,ets:array<double>,theta:array<double>
 def smoothing_paths(train: Column, shape: Column, steps: Column, *, with_ets: bool = False) -> Column:
     """struct of prediction arrays per window; null where a model cannot fit.
 
-    The wider search is fitted only where its candidate is wanted.
+    Windows of one length and shape are fitted together. The wider search is
+    fitted only where its candidate is wanted.
     """
 
     @F.pandas_udf(PATHS)
     def paths(values: pd.Series, shapes: pd.DataFrame, horizons: pd.Series) -> pd.DataFrame:
-        rows = []
-        for held, period, season, trend, h in zip(
-            values, shapes["period"], shapes["has_season"], shapes["has_trend"], horizons
+        windows = [np.asarray(held, dtype=float) for held in values]
+        alike: dict[tuple, list[int]] = {}
+        for i, (y, period, season, trend, h) in enumerate(
+            zip(windows, shapes["period"], shapes["has_season"], shapes["has_trend"], horizons)
         ):
-            y = np.asarray(held, dtype=float)
-            row = {"holt_winters": None, "ets": None, "theta": None}
             if y.size >= 2 and np.isfinite(y).all():
-                p, h = int(period), int(h)
-                logged = wants_log(y, p)
-                fits = {
-                    "holt_winters": lambda v: holt_winters(v, p, bool(season), bool(trend), h),
-                    "theta": lambda v: theta(v, p, bool(season), h),
-                }
-                row = {name: in_logs(y, fit) if logged else fit(y) for name, fit in fits.items()}
-                row["ets"] = auto_ets(y, p, bool(season), h) if with_ets else None
-            rows.append(row)
-        return pd.DataFrame(rows, columns=["holt_winters", "ets", "theta"])
+                key = (y.size, int(period), bool(season), bool(trend), int(h), wants_log(y, int(period)))
+                alike.setdefault(key, []).append(i)
+        out = {name: [None] * len(windows) for name in ("holt_winters", "ets", "theta")}
+        for (_, period, season, trend, h, logged), places in alike.items():
+            y = np.stack([windows[i] for i in places])
+            fits = {
+                "holt_winters": lambda v: holt_winters_batch(v, period, season, trend, h),
+                "theta": lambda v: theta_batch(v, period, season, h),
+            }
+            found = {name: in_logs(y, fit) if logged else fit(y) for name, fit in fits.items()}
+            if with_ets:
+                found["ets"] = auto_ets_batch(y, period, season, h)
+            for name, fitted in found.items():
+                for i, path in zip(places, fitted):
+                    out[name][i] = path
+        return pd.DataFrame(out, columns=["holt_winters", "ets", "theta"])
 
     return paths(train, shape, steps)
