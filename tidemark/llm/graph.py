@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from tidemark.session import cut_lineage
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b") % 1_000_003), F.lit(0)).alias("h")).collect()[0]
-    return row.n, row.h
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node that points somewhere points to one node that points
+    nowhere: then each target is the smallest of its component."""
+    targets = edges.groupBy("a").agg(F.count("*").alias("n"))
+    loose = targets.where("n > 1").select("a").unionByName(edges.join(targets.select(F.col("a").alias("b")), "b", "left_semi").select("a"))
+    return not loose.limit(1).count()
 
 
 def _star(arcs: DataFrame) -> DataFrame:
@@ -26,18 +29,12 @@ def components(edges: DataFrame) -> DataFrame:
     edges to the shared folder; a node of any degree costs one row per edge.
     """
     now = cut_lineage(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = _state(now)
-    while state[0]:
+    while not _settled(now):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = both.join(_star(both), F.col("u") == F.col("centre")).where("v > u AND v <> least").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
         # Every arc now points from the larger node to the smaller one.
         small = large.join(_star(large), F.col("u") == F.col("centre"))
         star = small.select(F.col("v").alias("a"), F.col("least").alias("b")).unionByName(small.select(F.col("u").alias("a"), F.col("least").alias("b")))
-        after = cut_lineage(star.where("a <> b").distinct(), "edges")
-        new = _state(after)
-        now, done = after, new == state
-        state = new
-        if done:
-            break
-    nodes = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+        now = cut_lineage(star.where("a <> b").distinct(), "edges")
+    nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct())

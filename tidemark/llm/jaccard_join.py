@@ -166,18 +166,31 @@ class _Join:
         self.tested: DataFrame | None = None
         self.labels: DataFrame | None = None
 
-    def verify(self, pairs: DataFrame) -> int:
-        """Test pairs (a, b) that have not been tested; returns how many hold."""
+    def verify(self, pairs: DataFrame) -> None:
+        """Test pairs (a, b) that have not been tested, and join what holds."""
         if self.tested is not None:
             pairs = pairs.join(self.tested.select("a", "b"), ["a", "b"], "left_anti")
         sides = [self.texts.select(F.col("node").alias(name), F.col("text").alias(f"{name}_text")) for name in ("a", "b")]
-        judged = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "a_text", "b_text").mapInArrow(_similar(self.size), "a binary, b binary, similarity double")
+        judged = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "a_text", "b_text").mapInArrow(_similar(self.size), "a long, b long, similarity double")
         new = cut_lineage(judged.withColumn("linked", F.col("similarity") >= self.threshold), "pairs")
         self.tested = new if self.tested is None else self.tested.unionByName(new)
-        found = new.where("linked").count()
-        if found:
-            self.labels = components(self.links().select("a", "b"))
-        return found
+        found = new.where("linked").select("a", "b")
+        if found.limit(1).count():
+            self.relabel(found)
+
+    def relabel(self, found: DataFrame) -> None:
+        """Join the components that new links connect."""
+        if self.labels is None:
+            self.labels = cut_lineage(components(found), "labels")
+            return
+        # Links run between components: these are the nodes now, few as they are.
+        for name in ("a", "b"):
+            known = self.labels.select(F.col("node").alias(name), "component")
+            found = found.join(known, name, "left").withColumn(name, F.coalesce("component", name)).drop("component")
+        moved = cut_lineage(components(found), "moved")
+        after = self.labels.join(moved.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+        fresh = moved.join(self.labels.select("node"), "node", "left_anti")
+        self.labels = cut_lineage(after.select("node", F.coalesce("to", "component").alias("component")).unionByName(fresh), "labels")
 
     def links(self) -> DataFrame:
         return self.tested.where("linked")
@@ -208,9 +221,10 @@ def join_similar(
     """Members and links of the join.
 
     Members: one row per row of ``docs``: id, digest (xxhash64 of the text), node
-    (the shingle set), n_shingles, class_id (the smallest id of the component), n_links (verified links of the
-    node to other nodes). Links: pairs of nodes (a, b) with their similarity, at
-    the threshold or above; inside a component as many as joined it.
+    (the number of its shingle set, null without words), n_shingles, class_id (the
+    smallest id of the component), n_links (verified links of the node to other
+    nodes). Links: pairs of nodes (a, b) with their similarity, at the threshold
+    or above; inside a component as many as joined it.
 
     Words are maximal runs of ASCII letters, digits and non-ASCII characters after
     lower-casing A-Z; fewer than ``size`` words are one shingle. Null text counts as
@@ -223,19 +237,19 @@ def join_similar(
     signed = cut_lineage(rows.mapInArrow(_sign(size, trees * depth), SIGNED.format(kind)), "signed")
     known = signed.where("id IS NOT NULL")
     nodes = known.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("id", "digest")).alias("first"), F.min_by("signature", "id").alias("signature"))
-    nodes = cut_lineage(nodes, "nodes")
+    # A number stands for the node from here on; it is fixed once written.
+    nodes = cut_lineage(nodes.withColumnRenamed("node", "name").withColumn("node", F.monotonically_increasing_id()), "nodes")
     # Shortened from the full depth until the recall is met.
     shown = matched_depth(threshold, trees, recall, depth)
-    keys = nodes.select("node", "signature").mapInArrow(_grow(trees, depth, shown), "key long, node binary")
+    keys = nodes.select("node", "signature").mapInArrow(_grow(trees, depth, shown), "key long, node long")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = cut_lineage(keys.join(shared, "key").select("key", "node", "n"), "buckets")
     # Texts that meet many others lead: the origin of a group meets all its copies.
-    weights = buckets.groupBy("node").agg(F.sum("n").alias("weight"))
+    weights = cut_lineage(buckets.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
     members = cut_lineage(buckets.select("key", "node").join(weights, "node"), "members")
-    wanted = nodes.select("node", "first").join(weights.select("node"), "node")
     # One text for each node that has a candidate: that of its smallest id.
     drawn = nodes.select("node", "first.id", "first.digest").join(weights.select("node"), "node")
-    texts = rows.where("id IS NOT NULL").join(drawn, ["id", "digest"]).groupBy("node").agg(F.min("text").alias("text"))
+    texts = rows.where("id IS NOT NULL").join(drawn, ["id", "digest"]).groupBy("node").agg(F.first("text").alias("text"))
     held = _Join(members, cut_lineage(texts, "texts"), threshold, size)
 
     active = held.active()
@@ -247,21 +261,30 @@ def join_similar(
         if low and not active.where(F.col("n") > low).limit(1).count():
             break
         held.verify(held.led(active, low, high).distinct())
-        low, high = high, max(4, high * 4)
+        low, high = high, high * 16
 
-    links = held.links()
+    links = held.links().select("a", "b", "similarity")
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    labels = held.labels
-    found = known.select("id", "digest", "node", "n_shingles")
-    if labels is not None:
-        found = found.join(labels, "node", "left").join(ends, "node", "left")
+    labels = nodes.select("name", "node").join(ends, "node", "left")
+    if held.labels is not None:
+        labels = labels.join(held.labels, "node", "left")
     else:
-        found = found.withColumn("component", F.lit(None).cast("binary")).withColumn("n_links", F.lit(None).cast("long"))
-    found = cut_lineage(found.select("id", "digest", "node", "n_shingles", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "found")
-    classes = found.groupBy("component").agg(F.min("id").alias("class_id"))
-    out = found.join(classes, "component").select("id", "digest", "node", "n_shingles", "class_id", "n_links")
-    left = signed.where("id IS NULL").select("id", "digest", "node", "n_shingles", F.lit(None).cast(kind).alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return out.unionByName(left), links.select("a", "b", "similarity")
+        labels = labels.withColumn("component", F.lit(None).cast("long"))
+    labels = labels.select("name", "node", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    firsts = nodes.select("node", F.col("first.id").alias("first"))
+    classes = labels.join(firsts, "node").groupBy("component").agg(F.min("first").alias("class_id"))
+    named = labels.join(classes, "component").select("name", F.col("node").alias("number"), "class_id", "n_links")
+    columns = ["id", "digest", "number", "n_shingles", "class_id", "n_links"]
+    out = known.where("n_shingles > 0").join(named, F.col("node") == F.col("name")).select(*columns)
+    # Equal texts without words.
+    bare = known.where("n_shingles = 0")
+    alike = bare.groupBy(F.col("node").alias("name")).agg(F.min("id").alias("class_id"))
+    bare = bare.join(alike, F.col("node") == F.col("name"))
+    left = signed.where("id IS NULL").withColumn("class_id", F.lit(None).cast(kind))
+    none = [F.lit(None).cast("long").alias("number"), F.lit(0).cast("long").alias("n_links")]
+    for rest in (bare, left):
+        out = out.unionByName(rest.select("id", "digest", "n_shingles", "class_id", *none))
+    return out.withColumnRenamed("number", "node"), links
 
 
 def one_of_each(docs: DataFrame, members: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
