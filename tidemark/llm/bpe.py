@@ -29,9 +29,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import kernels, lexicon
+from tidemark.session import cut_lineage
 
 #: Bytes of text split at once.
-PIECE = 2 << 20
+PIECE = 1 << 19
 #: Words of the lexicon, which bounds what is broadcast.
 LEXICON_WORDS = 50_000
 
@@ -297,11 +298,25 @@ def _count_words(vocabulary: Broadcast, most: int = 200_000):
 
 
 def frequent_words(docs: DataFrame, path: str, text_col: str = "text", words: int = LEXICON_WORDS) -> list[bytes]:
-    """The most frequent words of all documents, ties by their bytes."""
+    """The most frequent words of all documents, at most ``words`` of them.
+
+    Words are taken by bands of frequency, from the top, as long as a whole band
+    fits. So the driver gets one row for each band and each word it keeps.
+    """
     vocabulary = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(read_vocabulary(path)))
     counted = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(_count_words(vocabulary), "word binary, n long")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words)
-    return [bytes(row.word) for row in top.collect()]
+    band = F.floor(F.log2("n") * 16).cast("int").alias("band")
+    summed = cut_lineage(counted.groupBy("word").agg(F.sum("n").alias("n")).select("word", "n", band), "words")
+    lowest, held = None, 0
+    for row in summed.groupBy("band").agg(F.count("*").alias("n")).orderBy(F.desc("band")).collect():
+        held += row["n"]
+        if held > words:
+            break
+        lowest = row["band"]
+    if lowest is None:
+        return []
+    kept = summed.where(F.col("band") >= lowest).collect()
+    return [bytes(row["word"]) for row in sorted(kept, key=lambda row: (-row["n"], row["word"]))]
 
 
 def build_lexicon(vocabulary: Vocabulary, words: list[bytes]) -> bytes:
