@@ -227,3 +227,8 @@ def test_headers_and_merged_labels(spark):
     rows = [(i, f"L{i // 150_000}" if i % 150_000 == 0 else None) for i in range(0, 450_000, 15_000)]
     filled = reshape.fill_down(spark.createDataFrame(rows, "row bigint, label string"), "row", block_rows=100_000).orderBy("row").collect()
     assert [r["label"] for r in filled] == [f"L{r['row'] // 150_000}" for r in filled]
+
+
+def test_settings_digest_ignores_their_order():
+    one, two = profile.settings_digest({"a": 1, "b": (2, 3)}), profile.settings_digest({"b": (2, 3), "a": 1})
+    assert one == two != profile.settings_digest({"a": 2, "b": (2, 3)}) and len(one) == 16

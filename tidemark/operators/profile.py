@@ -7,7 +7,8 @@ grouping-sets pass. What reaches the driver is a row per column.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+import json
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from itertools import combinations
 
@@ -207,8 +208,30 @@ def grain_size(kinds: DataFrame, columns: Sequence[str]) -> DataFrame:
     return chosen.agg(F.product("distinct_count").cast("bigint").alias("series_at_most"))
 
 
-def preview(frame: DataFrame, rows: int = 8) -> DataFrame:
-    return frame.limit(rows).select(*[F.substring(col(n).cast("string"), 1, 200).alias(n) for n in frame.columns])
+def preview(frame: DataFrame, rows: int = 8, width: int | None = None) -> DataFrame:
+    """The first rows as text, whole unless a width is asked for."""
+    shown = [col(n).cast("string") if width is None else F.substring(col(n).cast("string"), 1, width) for n in frame.columns]
+    return frame.limit(rows).select(*[text.alias(n) for text, n in zip(shown, frame.columns)])
+
+
+def sample_values(frame: DataFrame, row_id: str, columns: Sequence[str], count: int = 5) -> DataFrame:
+    """name, place, value: the first filled values of each column, in row order.
+
+    Each column keeps a bounded head of its own, so no column waits for another.
+    """
+    out = None
+    for name in columns:
+        head = frame.filter(col(name).isNotNull()).select(col(row_id).alias("_row"), col(name).cast("string").alias("value"))
+        head = head.orderBy("_row", "value").limit(count)
+        placed = head.select(F.lit(name).alias("name"), F.row_number().over(Window.orderBy("_row", "value")).alias("place"), "value")
+        out = placed if out is None else out.unionByName(placed)
+    return out
+
+
+def settings_digest(settings: Mapping[str, object]) -> str:
+    """A short digest of the settings that decide a result, whatever their order."""
+    listed = json.dumps(settings, sort_keys=True, default=str)
+    return hashlib.sha256(listed.encode()).hexdigest()[:16]
 
 
 # ---- Normalising text ------------------------------------------------------

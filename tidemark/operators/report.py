@@ -236,6 +236,56 @@ def search(frame: DataFrame, term: str, columns: Sequence[str]) -> DataFrame:
     return frame.filter(found)
 
 
+# ---- Lists (fixed values: the names of the orders and states) --------------
+#: Named orders of runs and of datasets, the usual one first; a minus sorts down.
+RUN_ORDERS = {"newest": "-created_at", "oldest": "created_at", "name": "name", "series": "-series"}
+DATASET_ORDERS = {
+    "newest": "-created_at", "oldest": "created_at", "name": "name", "name_desc": "-name",
+    "rows": "-rows", "rows_asc": "rows", "size": "-bytes", "size_asc": "bytes",
+}
+RUN_STATES = {"completed": ("completed",), "active": ("pending", "running"), "failed": ("failed",)}
+
+
+def listed(
+    frame: DataFrame,
+    orders: dict[str, str],
+    identity: str,
+    *,
+    sort: str = "",
+    term: str = "",
+    searched: Sequence[str] = ("name",),
+    limit: int = 50,
+    offset: int = 0,
+) -> DataFrame:
+    """A page in a named order, in the usual one where the name is not known.
+
+    Rows that tie stand by their id, the latest first, so pages do not overlap.
+    """
+    order = orders.get(sort) or next(iter(orders.values()))
+    column = F.col(order.removeprefix("-"))
+    placed = column.desc() if order.startswith("-") else column.asc()
+    found = search(frame, term, searched)
+    return found.orderBy(placed, F.col(identity).desc()).offset(max(0, offset)).limit(max(1, limit))
+
+
+def in_state(runs: DataFrame, state: str | None) -> DataFrame:
+    """Runs in one of the named states; all of them for any other name."""
+    return runs.filter(F.col("status").isin(*RUN_STATES[state])) if state in RUN_STATES else runs
+
+
+def run_states(runs: DataFrame) -> DataFrame:
+    """One row: all runs, and how many are in each named state."""
+    return runs.agg(
+        F.count("*").alias("all"), *[F.count_if(F.col("status").isin(*held)).alias(name) for name, held in RUN_STATES.items()]
+    )
+
+
+def top_line(points: DataFrame) -> DataFrame:
+    """run_id, period, forecast of the stored total of each run."""
+    kept = points.filter((F.col("level") == 0) & (F.col("kind") == "forecast"))
+    return kept.select("run_id", "period", F.coalesce("forecast", F.lit(0.0)).alias("forecast"))
+
+
 SERIES_SORTS = ("value_at_risk", "wmape", "forecast_total", "label")
 
 

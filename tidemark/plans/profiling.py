@@ -446,6 +446,21 @@ def preview(spark, folder):
     return profile.preview(table(spark, folder, "orders").orderBy("o_orderkey"))
 
 
+@query(
+    "sample_values",
+    "name:str place:int value:str",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS name, row_number() OVER (ORDER BY o_orderkey) AS place, CAST(v AS VARCHAR) AS value FROM
+          (SELECT o_orderkey, {e} AS v FROM orders WHERE {e} IS NOT NULL ORDER BY o_orderkey LIMIT 5)"""
+        for c, e in (("o_custkey", "o_custkey"), ("open", "CASE WHEN o_orderstatus = 'O' THEN o_orderpriority END"))
+    ),
+)
+def sample_values(spark, folder):
+    """Five filled values of a column without gaps and of one with many."""
+    held = table(spark, folder, "orders").withColumn("open", F.when(F.col("o_orderstatus") == "O", F.col("o_orderpriority")))
+    return profile.sample_values(held, "o_orderkey", ["o_custkey", "open"])
+
+
 @query(
     "quarantined_values",
     "l_orderkey:int l_linenumber:int l_partkey:int revenue:str",

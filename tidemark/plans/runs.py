@@ -473,6 +473,66 @@ def series_page(spark, folder):
     return report.series_list(leaf_series(spark, folder), term="Supplier", limit=20, offset=5)
 
 
+_RUN_ROWS = """job AS (SELECT o_orderkey AS run_id, CAST(o_orderdate AS DATE) AS created_at, o_orderpriority AS name, o_custkey % 50 AS series,
+    CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'failed' END AS status, o_totalprice AS bytes FROM orders)"""
+
+
+def _run_rows(spark, folder):
+    """Orders stand for runs: placed on a day, done, at work or failed."""
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "running").otherwise("failed")
+    return table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("run_id"),
+        F.col("o_orderdate").cast("date").alias("created_at"),
+        F.col("o_orderpriority").alias("name"),
+        (F.col("o_custkey") % 50).alias("series"),
+        status.alias("status"),
+        F.col("o_totalprice").alias("bytes"),
+    )
+
+
+@query(
+    "run_list",
+    "run_id:int created_at:date name:str series:int",
+    f"WITH {_RUN_ROWS} SELECT run_id, created_at, name, series FROM job WHERE status = 'running' AND contains(lower(name), 'high') ORDER BY series DESC, run_id DESC LIMIT 30 OFFSET 10",
+)
+def run_list(spark, folder):
+    runs = report.in_state(_run_rows(spark, folder), "active")
+    return report.listed(runs, report.RUN_ORDERS, "run_id", sort="series", term=" High ", limit=30, offset=10)
+
+
+@query(
+    "run_states",
+    "all:int completed:int active:int failed:int",
+    f"""WITH {_RUN_ROWS} SELECT COUNT(*) AS "all", COUNT(*) FILTER (WHERE status = 'completed') AS completed,
+      COUNT(*) FILTER (WHERE status IN ('pending', 'running')) AS active, COUNT(*) FILTER (WHERE status = 'failed') AS failed FROM job""",
+)
+def run_states(spark, folder):
+    return report.run_states(_run_rows(spark, folder))
+
+
+@query(
+    "dataset_list",
+    "run_id:int name:str bytes:2",
+    f"WITH {_RUN_ROWS} SELECT run_id, name, bytes FROM job ORDER BY bytes ASC, run_id DESC LIMIT 300",
+)
+def dataset_list(spark, folder):
+    """A page longer than the usual one, smallest first."""
+    return report.listed(_run_rows(spark, folder), report.DATASET_ORDERS, "run_id", sort="size_asc", limit=300)
+
+
+@query(
+    "stored_top_line",
+    "run_id:str period:date forecast:2 total:2",
+    f"WITH {RUNS} SELECT run_id, period, forecast, SUM(forecast) OVER (PARTITION BY run_id) AS total FROM fp WHERE level = 0",
+)
+def stored_top_line(spark, folder):
+    """The total's path and sum, read back from the stored points."""
+    path = scratch_path(spark, "stored")
+    issued_points(spark, folder).drop("path").write.parquet(path)
+    line = report.top_line(store.read_table(spark, path))
+    return line.join(line.groupBy("run_id").agg(F.sum("forecast").alias("total")), "run_id")
+
+
 @query(
     "worst_at_risk",
     "label:str value_at_risk:2",
