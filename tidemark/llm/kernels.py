@@ -184,8 +184,10 @@ def repeat_ranges(firsts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def covered(size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A mask of the places inside at least one range."""
-    marks = np.bincount(starts, minlength=size + 1) - np.bincount(ends, minlength=size + 1)
-    return np.cumsum(marks[:-1]) > 0
+    marks = np.zeros(size + 1, dtype=np.int32)
+    np.add.at(marks, starts, 1)
+    np.subtract.at(marks, ends, 1)
+    return np.cumsum(marks[:-1], dtype=np.int32) > 0
 
 
 def spans(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -90,8 +90,8 @@ class _Block(Texts):
         order, firsts, group = _grouped(names)
         rows = self.rows_of(places)
         shared = self.answers(1, len(firsts))
-        lasts = np.append(firsts[1:], len(order)) - 1 if len(firsts) else firsts
-        shared |= self.ids[rows[order[firsts]]] != self.ids[rows[order[lasts]]]
+        ids = self.ids[rows[order]]
+        shared |= _least(ids, firsts) != -_least(-ids, firsts)
         kept = np.empty(len(order), dtype=bool)
         kept[order] = shared[group]
         near = places[kept]
@@ -108,12 +108,14 @@ class _Block(Texts):
 
 
 def _grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order that sorts, the first of each value in it, the group of each."""
-    order = np.argsort(values, kind="stable")
-    ordered = values[order]
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = ordered[1:] != ordered[:-1]
-    return order, np.flatnonzero(new), np.cumsum(new) - 1
+    """An order that sorts, where in it each value begins, the group of each place in it."""
+    order = np.argsort(values)
+    begins = kernels.firsts(values[order])
+    return order, begins, np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(order))))
+
+
+def _least(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    return np.minimum.reduceat(values, begins) if len(begins) else values
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = 50, block_bytes: int = 8 << 20) -> DataFrame:
@@ -153,12 +155,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def send_names(key: tuple[pa.Scalar, ...], table: pa.Table, held: pa.Table) -> pa.Table:
         block = _Block(table, held)
-        values = np.unique(block.names(name_length, sampled)[1])
+        values = kernels.distinct(block.names(name_length, sampled)[1])
         return pa.Table.from_batches([hashsets.pack(block.number, values, sampled)])
 
     def send_prefixes(key: tuple[pa.Scalar, ...], table: pa.Table, held: pa.Table) -> pa.Table:
         block = _Block(table, held)
-        values = np.unique(block.remaining(name_length, min_length, sampled)[1])
+        values = kernels.distinct(block.remaining(name_length, min_length, sampled)[1])
         return pa.Table.from_batches([hashsets.pack(block.number, values, merged)])
 
     def remove(key: tuple[pa.Scalar, ...], table: pa.Table, held: pa.Table) -> pa.Table:
@@ -167,7 +169,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         order, firsts_, group = _grouped(prefixes)
         doc_ids = block.ids[block.rows_of(places)]
         earlier = block.answers(2, len(firsts_))
-        first_id = doc_ids[order[firsts_]]
+        first_id = _least(doc_ids[order], firsts_)
         repeat = np.empty(len(order), dtype=bool)
         repeat[order] = earlier[group] | (first_id[group] < doc_ids[order])
         starts = places[repeat]
