@@ -6,12 +6,14 @@ whose labels share a prefix in some tree are candidates. Matching starts at the
 full depth and is shortened to the depth at which a pair on the threshold is
 met with the target recall: that depth follows from threshold, trees and recall.
 
-Candidates are verified exactly, on their shingles. Inside a bucket each text is
-first held against the bucket's most central member, which joins a group of
-copies with a pair per member. As long as a bucket holds texts of several
-components, its next members lead in turn, and texts of other components are
-held against them. In the end every candidate pair is in one component or has
-been verified to lie below the threshold; within a component no pairs are made.
+Candidates whose signatures are close are verified exactly, on their shingles.
+Inside a bucket each text is first held against the bucket's most central
+member, which joins a group of copies with a pair per member. As long as a
+bucket holds texts of several components, its next members lead in turn, and
+texts of other components are held against them. In the end every candidate pair
+is in one component, or its signatures lie three standard deviations below the
+threshold, or it has been verified to lie below it; within a component no pairs
+are made.
 """
 
 from __future__ import annotations
@@ -131,6 +133,15 @@ def _grow(trees: int, depth: int, shown: int):
     return grow
 
 
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For ``mapInArrow``: the low byte of every signature value."""
+    for batch in batches:
+        raw, offsets = kernels.text_bytes(batch.column(batch.schema.get_field_index("signature")))
+        low = np.ascontiguousarray(raw[::2]).tobytes()
+        cuts = (offsets // 2).tolist()
+        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("node")), pa.array([low[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["node", "sketch"])
+
+
 def _similar(size: int):
     """For ``mapInArrow``: the Jaccard similarity of pairs of texts."""
 
@@ -160,9 +171,51 @@ def _similar(size: int):
     return similar
 
 
+#: Members of a bucket that meet its leaders in one group.
+_MEMBERS = 4096
+#: Rows of members that make a task's part.
+_PART = 1 << 15
+
+
+def agreements_needed(threshold: float, length: int) -> int:
+    """So many of ``length`` signature bytes agree for a pair on the threshold, but
+    for three standard deviations; unlike values agree once in 256."""
+    least = max(0.0, threshold - 3 * math.sqrt(threshold * (1 - threshold) / length))
+    return math.floor(length * (least + (1 - least) / 256))
+
+
+def _close(needed: int, length: int):
+    """For cogrouped ``applyInArrow``: pairs of members and leaders of a bucket, of
+    different components, whose signatures agree often enough."""
+
+    def close(key: tuple[pa.Scalar, ...], members: pa.Table, leaders: pa.Table) -> pa.Table:
+        def columns(table: pa.Table) -> dict[str, np.ndarray]:
+            held = {name: table.column(name).to_numpy() for name in ("key", "salt", "node", "weight", "component")}
+            order = np.lexsort((held["salt"], held["key"]))
+            raw, _ = kernels.text_bytes(table.column("sketch"))
+            return {name: values[order] for name, values in held.items()} | {"sketch": raw.reshape(table.num_rows, length)[order]}
+
+        found = []
+        if members.num_rows and leaders.num_rows:
+            own, led = columns(members), columns(leaders)
+            begins = np.flatnonzero(np.append(True, (np.diff(own["key"]) != 0) | (np.diff(own["salt"]) != 0)))
+            ends = dict(zip(zip(own["key"][begins].tolist(), own["salt"][begins].tolist(), strict=True), zip(begins.tolist(), np.append(begins[1:], len(own["key"])).tolist(), strict=True), strict=True))
+            for i in range(len(led["node"])):
+                first, end = ends.get((int(led["key"][i]), int(led["salt"][i])), (0, 0))
+                behind = (own["weight"][first:end] < led["weight"][i]) | ((own["weight"][first:end] == led["weight"][i]) & (own["node"][first:end] > led["node"][i]))
+                at = first + np.flatnonzero(behind & (own["component"][first:end] != led["component"][i]))
+                at = at[(own["sketch"][at] == led["sketch"][i]).sum(axis=1) >= needed]
+                found.append(np.column_stack((own["node"][at], np.full(len(at), led["node"][i]))))
+        pairs = np.unique(np.concatenate([*found, np.zeros((0, 2), dtype=np.int64)]), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+    return close
+
+
 class _Join:
-    def __init__(self, members: DataFrame, texts: DataFrame, threshold: float, size: int) -> None:
-        self.members, self.texts, self.threshold, self.size = members, texts, threshold, size
+    def __init__(self, members: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: float, size: int, length: int) -> None:
+        self.members, self.sketches, self.texts, self.threshold, self.size = members, sketches, texts, threshold, size
+        self.length, self.parts = length, max(1, -(-members.count() // _PART))
         self.tested: DataFrame | None = None
         self.labels: DataFrame | None = None
 
@@ -203,16 +256,27 @@ class _Join:
         else:
             held = held.withColumn("component", F.col("node"))
         mixed = held.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least <> most").select("key", "n")
-        return held.join(mixed, "key")
+        return cut_lineage(held.join(mixed, "key"), "active")
 
     def led(self, active: DataFrame, low: int, high: int) -> DataFrame:
         """Pairs of the members that lead from rank ``low + 1`` to ``high`` with later
-        members of other components."""
+        members of other components, as far as their signatures are close.
+
+        A large bucket is dealt out, and its leaders go to every part of it.
+        """
         order = Window.partitionBy("key").orderBy(F.desc("weight"), "node")
-        leaders = active.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= high).where(F.col("rank") > low)
-        leaders = leaders.select("key", F.col("node").alias("leader"), F.col("weight").alias("lead"), F.col("component").alias("led"))
-        behind = (F.col("lead") > F.col("weight")) | ((F.col("lead") == F.col("weight")) & (F.col("leader") < F.col("node")))
-        return active.join(leaders, "key").where(behind & (F.col("component") != F.col("led"))).select(F.col("node").alias("a"), F.col("leader").alias("b"))
+        leaders = active.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= high).where(F.col("rank") > low).drop("rank")
+        salts = F.ceil(F.col("n") / _MEMBERS).cast("int")
+        dealt = [
+            active.withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int")),
+            leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))),
+        ]
+        part = F.pmod(F.xxhash64("key", "salt"), F.lit(self.parts)).alias("part")
+        # Renamed to themselves, so that the two sides have columns of their own.
+        names = [F.col(name).alias(name) for name in ("key", "salt", "node", "weight", "component", "sketch")]
+        sides = [side.join(self.sketches, "node").select(*names, part).groupBy("part") for side in dealt]
+        close = _close(agreements_needed(self.threshold, self.length), self.length)
+        return sides[0].cogroup(sides[1]).applyInArrow(close, "a long, b long")
 
 
 def join_similar(
@@ -250,7 +314,9 @@ def join_similar(
     # One text for each node that has a candidate: that of its smallest id.
     drawn = nodes.select("node", "first.id", "first.digest").join(weights.select("node"), "node")
     texts = rows.where("id IS NOT NULL").join(drawn, ["id", "digest"]).groupBy("node").agg(F.first("text").alias("text"))
-    held = _Join(members, cut_lineage(texts, "texts"), threshold, size)
+    # A byte of each signature value is enough to tell close pairs from others.
+    sketches = nodes.join(weights.select("node"), "node").select("node", "signature").mapInArrow(_sketch, "node long, sketch binary")
+    held = _Join(members, cut_lineage(sketches, "sketches"), cut_lineage(texts, "texts"), threshold, size, trees * depth)
 
     active = held.active()
     best = held.led(active, 0, 1).groupBy("a", "b").agg(F.count("*").alias("n")).groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
