@@ -32,7 +32,7 @@ from tidemark.llm import kernels, lexicon
 from tidemark.session import cut_lineage
 
 #: Bytes of text split at once.
-PIECE = 1 << 19
+PIECE = 1 << 18
 #: Words of the lexicon, which bounds what is broadcast.
 LEXICON_WORDS = 50_000
 

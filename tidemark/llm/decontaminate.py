@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidemark.llm import kernels
 
@@ -192,11 +193,11 @@ def _passes(benchmark: DataFrame, pass_words: int) -> Iterator[list[tuple[str |
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, pass_words: int = 1_000_000
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, pass_words: int = 1_000_000, keep_text: bool = False
 ) -> DataFrame:
     """One row per row of ``docs``: id, n_words, hits (maximal runs of words inside
     benchmark windows, as word ranges) and items (ids whose windows occur, as
-    text, sorted).
+    text, sorted), and the text as well if ``keep_text`` is set.
 
     Words are maximal runs of ASCII letters, digits and non-ASCII characters after
     lower-casing A-Z. Null text has no words; an item without words has no
@@ -218,8 +219,8 @@ def find_contamination(
     while held is not None:
         after = next(passes, None)
         table = spark.sparkContext.broadcast(cloudpickle.dumps(compile_patterns(held, window)))
-        schema = f"id {kind}, n_words long, hits {_HITS}, items array<string>" + ", text string" * (after is not None)
-        frame = frame.mapInArrow(_run(table, after is not None), schema)
+        schema = f"id {kind}, n_words long, hits {_HITS}, items array<string>" + ", text string" * (keep_text or after is not None)
+        frame = frame.mapInArrow(_run(table, keep_text or after is not None), schema)
         held = after
     return frame
 
@@ -231,8 +232,13 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     no id and ids may repeat.
     """
     whole = docs.drop("contaminated")
-    found = find_contamination(whole.select(F.struct(*whole.columns).alias("row"), text_col), benchmark, id_col="row", text_col=text_col, **settings)
-    return found.select("id.*", contaminated(F.col("n_words"), hit_words(), share).alias("contaminated"))
+    flag = contaminated(F.col("n_words"), hit_words(), share).alias("contaminated")
+    # A text goes to the workers once, unless it has to be cast.
+    once = whole.schema[text_col].dataType == StringType()
+    others = [name for name in whole.columns if name != text_col or not once]
+    row = F.struct(F.lit(0).alias("__none"), *(whole[name] for name in others)).alias("row")
+    found = find_contamination(whole.select(row, whole[text_col].alias("text")), benchmark, id_col="row", keep_text=once, **settings)
+    return found.select(*(F.col("id").getField(name).alias(name) if name in others else F.col("text").alias(name) for name in whole.columns), flag)
 
 
 def hit_words(hits: str = "hits") -> Column:

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidemark.llm import hashsets, kernels
 from tidemark.llm.blocks import Texts, block_bounds, block_of
@@ -363,12 +364,12 @@ def near_lines(lines: DataFrame, threshold: int, part_rows: int = 1 << 19) -> Da
     return texts.select(*name).limit(0) if found is None else found
 
 
-def _edit(names: list[str]):
+def _edit(names: list[str], text: str):
     """For ``mapInArrow``: takes the named lines out of the texts."""
 
     def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offsets in kernels.pieces(batch, "__text"):
+            for rows, data, offsets in kernels.pieces(batch, text):
                 starts, ends, own, numbers = cut_lines(data, offsets)
                 per_row = np.bincount(own, minlength=rows.num_rows)
                 base = np.concatenate(([0], np.cumsum(per_row)))
@@ -439,8 +440,10 @@ def dedup_lines(
     gone = stored.where("text IS NULL").select("id", "no", "hash", F.lit(False).alias("near")).unionByName(near.withColumn("near", F.lit(True)))
     drops = gone.groupBy(F.col("id").alias("__drop_id")).agg(F.collect_set(F.struct("no", "hash", "near")).alias("__drops"))
     names = [name for name in docs.columns if name not in ("n_lines", "dropped", "n_near", "kept")]
-    given = docs.select(*(docs[name] for name in names), docs[id_col].cast("long").alias("__id"), text.alias("__text"))
+    # A text goes to the workers once, unless it has to be cast.
+    read = text_col if text_col in names and docs.schema[text_col].dataType == StringType() else "__text"
+    given = docs.select(*(docs[name] for name in names), docs[id_col].cast("long").alias("__id"), *([] if read == text_col else [text.alias(read)]))
     none = F.array().cast("array<struct<no:int,hash:bigint,near:boolean>>")
     joined = given.join(drops, F.col("__id") == F.col("__drop_id"), "left").withColumn("__drops", F.coalesce("__drops", none)).drop("__id", "__drop_id")
     fields = ", ".join(f"`{name}` {docs.schema[name].dataType.simpleString()}" for name in names)
-    return joined.mapInArrow(_edit(names), f"{fields}, n_lines long, dropped array<int>, n_near long, kept string")
+    return joined.mapInArrow(_edit(names, read), f"{fields}, n_lines long, dropped array<int>, n_near long, kept string")

@@ -24,6 +24,7 @@ import zstandard
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidemark.llm import kernels
 
@@ -196,6 +197,8 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
     """
     names = [name for name in docs.columns if name not in ("score", "predicted")]
     sent = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
+    # A text goes to the workers once, unless it has to be cast.
+    read = text_col if text_col in names and docs.schema[text_col].dataType == StringType() else "__text"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pickle.loads(sent.value)
@@ -204,12 +207,12 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
             if held.constant is not None:
                 chance = np.full(batch.num_rows, held.constant)
             else:
-                texts = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("__text"))], names=["text"])
+                texts = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(read))], names=["text"])
                 values = np.array([sizes.features(text) for text in _texts(texts)], dtype=float).reshape(-1, 4)
                 chance = _curve(((design(values) - held.centre) / held.scale) @ held.weights)
             kept = [batch.column(batch.schema.get_field_index(name)) for name in names]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(chance), pa.array((chance >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
 
     fields = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in docs.schema.fields if field.name in names)
-    given = docs.select(*(docs[name] for name in names), docs[text_col].cast("string").alias("__text"))
+    given = docs.select(*(docs[name] for name in names), *([] if read == text_col else [docs[text_col].cast("string").alias(read)]))
     return given.mapInArrow(score, f"{fields}, score double, predicted int")
