@@ -36,8 +36,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts of similar shingles the smallest id stays."""
-    members, _ = jaccard_join.join_similar(docs)
-    return jaccard_join.one_of_each(docs, members)
+    return jaccard_join.one_of_each(docs, jaccard_join.join_classes(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -92,3 +92,36 @@ def test_a_large_group_gets_pairs_in_proportion(spark):
     members, links = jaccard_join.join_similar(spark.createDataFrame(rows, SCHEMA))
     assert {row.class_id for row in members.collect()} == {0}
     assert 299 <= links.count() < 1_500
+
+
+def test_every_link_of_a_component_counts(spark):
+    draw = random.Random(9)
+    rows = []
+    for group, (length, copies) in enumerate(((150, 3), (220, 40), (90, 12))):
+        base = [f"g{group}w{i}" for i in range(length)]
+        for copy in range(copies):
+            words = list(base)
+            for _ in range(draw.randrange(4)):
+                words[draw.randrange(length)] = f"n{group}x{copy}x{draw.randrange(99)}"
+            rows.append((group * 100 + copy, " ".join(words)))
+    members, links, pairs = jaccard_join.join_all(spark.createDataFrame(rows, SCHEMA))
+    members = members.collect()
+    sets = {row.node: shingles(dict(rows)[row.id]) for row in members}
+    expected = {(max(a, b), min(a, b)) for a, b in combinations(sets, 2) if similarity(sets[a], sets[b]) >= 0.8}
+    found = pairs.collect()
+    assert len(found) == len(expected) > links.count() and {(row.a, row.b) for row in found} == expected
+    assert all(row.similarity == pytest.approx(similarity(sets[row.a], sets[row.b])) for row in found)
+    assert {row.id: row.n_links for row in members} == {row.id: sum(row.node in pair for pair in expected) for row in members}
+
+
+@pytest.mark.parametrize("block_texts", [2, 7, 1024])
+def test_blocks_of_a_component_meet_once(spark, block_texts):
+    base = [f"w{i}" for i in range(130)]
+    texts = [" ".join(base[: 130 - i]) for i in range(60)]
+    labels = spark.createDataFrame([(i, 0, len(text.split()) - 4) for i, text in enumerate(texts)], "node long, component long, n_shingles long")
+    frame = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    found = [(row.a, row.b) for row in jaccard_join.component_links(labels, frame, 0.8, 5, True, block_texts).collect()]
+    expected = {(b, a) for a, b in combinations(range(60), 2) if similarity(shingles(texts[a]), shingles(texts[b])) >= 0.8}
+    assert len(found) == len(expected) and set(found) == expected
+    counts = {row.node: row.n_links for row in jaccard_join.component_links(labels, frame, 0.8, 5, False, block_texts).collect()}
+    assert counts == {i: sum(i in pair for pair in expected) for i in range(60) if any(i in pair for pair in expected)}

@@ -12,18 +12,22 @@ member, which joins a group of copies with a pair per member. As long as a
 bucket holds texts of several components, its next members lead in turn, and
 texts of other components are held against them. In the end every candidate pair
 is in one component, or its signatures lie three standard deviations below the
-threshold, or it has been verified to lie below it; within a component no pairs
-are made.
+threshold, or it has been verified to lie below it.
+
+Links are counted when the components are known: two linked texts are in one, so
+every pair of nodes of a component is verified once, on shingle sets that meet as
+blocks. A large component is dealt out by shingle counts and by hash; its pairs
+are compared inside the tasks and make no rows unless they are asked for.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -212,6 +216,133 @@ def _close(needed: int, length: int):
     return close
 
 
+#: Texts, and shingles, of a block of a component.
+_BLOCK_TEXTS = 1024
+_BLOCK_SHINGLES = 1 << 19
+#: Columns of a block's table of shingles that are multiplied at once.
+_SHARED = 2048
+
+COUNTS, PAIRS = "node long, n_links long", "a long, b long, similarity double"
+
+
+def _sets(size: int):
+    """For ``mapInArrow``: the shingle hashes of every text."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in kernels.pieces(batch, "text"):
+                hashes, cuts = text_shingles(kernels.words_of(data, offsets), size)
+                held = [hashes[a:b].astype("<u8").tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("node")), pa.array(held, pa.binary())], names=["node", "shingles"])
+
+    return sets
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of one list shares with each of the other."""
+    values = np.concatenate([*left, *right])
+    rows = np.repeat(np.arange(len(left) + len(right)), [len(held) for held in (*left, *right)])
+    order = np.argsort(values, kind="stable")
+    values, rows = values[order], rows[order]
+    column = np.cumsum(np.append(True, values[1:] != values[:-1])[: len(values)]) - 1
+    # Values of one side only are shared with nothing.
+    n = int(column[-1]) + 1 if len(column) else 0
+    first = rows < len(left)
+    common = (np.bincount(column[first], minlength=n) > 0) & (np.bincount(column[~first], minlength=n) > 0)
+    kept = common[column]
+    rows, column, first = rows[kept], (np.cumsum(common) - 1)[column[kept]], first[kept]
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    cuts = np.searchsorted(column, np.arange(0, int(common.sum()) + _SHARED, _SHARED))
+    for low, (begin, end) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        sides = [np.zeros((len(held), _SHARED), dtype=np.float32) for held in (left, right)]
+        own, at, is_left = rows[begin:end], column[begin:end] - low * _SHARED, first[begin:end]
+        sides[0][own[is_left], at[is_left]] = 1
+        sides[1][own[~is_left] - len(left), at[~is_left]] = 1
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    return out
+
+
+def _linked(threshold: float, as_pairs: bool):
+    """For ``groupBy(part).applyInArrow``: the links inside the units of a part, one
+    row per node and unit with their number, or one per link."""
+
+    def linked(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        names = ("component", "low", "high", "low_salt", "high_salt")
+        unit = np.column_stack([table.column(name).to_numpy() for name in names])
+        nodes, second = table.column("node").to_numpy(), table.column("second").to_numpy(zero_copy_only=False)
+        order = np.lexsort((nodes, second, *unit.T[::-1]))
+        unit, nodes, second = unit[order], nodes[order], second[order]
+        raw, offsets = kernels.text_bytes(table.column("shingles"))
+        begins = np.flatnonzero(np.append(True, (unit[1:] != unit[:-1]).any(axis=1)))
+        found: list[list[np.ndarray]] = [[], [], []]
+        for begin, end in zip(begins.tolist(), np.append(begins[1:], len(nodes)).tolist(), strict=True):
+            sets = [np.frombuffer(raw[offsets[i] : offsets[i + 1]].tobytes(), dtype="<u8") for i in order[begin:end].tolist()]
+            middle = int(np.searchsorted(second[begin:end], True))
+            alone = bool(unit[begin, 1] == unit[begin, 2] and unit[begin, 3] == unit[begin, 4])
+            own, other = (sets, sets) if alone else (sets[:middle], sets[middle:])
+            if not own or not other:
+                continue
+            sizes = [np.array([len(held) for held in side]) for side in (own, other)]
+            both = overlaps(own, other)
+            value = both / np.maximum(sizes[0][:, None] + sizes[1][None, :] - both, 1)
+            if alone:
+                value = np.triu(value, 1)
+            left, right = np.nonzero(value >= threshold)
+            held = nodes[begin:end]
+            for out, values in zip(found, (held[left], held[right + (0 if alone else middle)], value[left, right]), strict=True):
+                out.append(values)
+        a, b = (kernels.joined(out, np.int64) for out in found[:2])
+        if as_pairs:
+            return pa.table({"a": pa.array(np.maximum(a, b)), "b": pa.array(np.minimum(a, b)), "similarity": pa.array(kernels.joined(found[2], np.float64))})
+        ends, counts = np.unique(np.concatenate((a, b)), return_counts=True)
+        return pa.table({"node": pa.array(ends, pa.int64()), "n_links": pa.array(counts, pa.int64())})
+
+    return linked
+
+
+def component_links(labels: DataFrame, texts: DataFrame, threshold: float, size: int, as_pairs: bool, block_texts: int = _BLOCK_TEXTS, block_shingles: int = _BLOCK_SHINGLES) -> DataFrame:
+    """All links between nodes of one component, from rows (node, component,
+    n_shingles) and (node, text): rows of COUNTS, or of PAIRS.
+
+    Shingle counts of linked texts differ by the threshold at most, so that a
+    large component's texts meet those of their own and the next class of counts.
+    A class is dealt into blocks, and each two blocks that may hold links meet once.
+    """
+
+    def blocks(texts: Column, shingles: Column) -> Column:
+        return F.ceil(F.greatest(texts / block_texts, shingles / block_shingles)).cast("int")
+
+    whole = labels.groupBy("component").agg(blocks(F.count("*"), F.sum("n_shingles")).alias("blocks"))
+    # A little wider than the threshold, against rounding.
+    step = max(1e-9, -math.log(threshold) * (1 + 1e-6))
+    kind = F.when(F.col("blocks") > 1, F.floor(F.log("n_shingles") / step)).otherwise(0).cast("int").alias("kind")
+    placed = labels.join(whole, "component").select("node", "component", "n_shingles", kind)
+    dealt = placed.groupBy("component", "kind").agg(blocks(F.count("*"), F.sum("n_shingles")).alias("salts"))
+    near = {move: dealt.select("component", (F.col("kind") + move).alias("kind"), F.col("salts").alias(name)) for move, name in ((1, "below"), (-1, "above"))}
+    placed = placed.join(dealt, ["component", "kind"]).join(near[1], ["component", "kind"], "left").join(near[-1], ["component", "kind"], "left")
+    placed = placed.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+
+    def units(count: Column, low: Column, high: Column, salts: Callable[[Column], tuple[Column, Column, Column]]) -> Column:
+        def unit(other: Column) -> Column:
+            low_salt, high_salt, second = salts(other)
+            return F.struct(low.alias("low"), high.alias("high"), low_salt.alias("low_salt"), high_salt.alias("high_salt"), second.alias("second"))
+
+        return F.transform(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>")), unit)
+
+    own, salt = F.col("kind"), F.col("salt")
+    met = F.concat(
+        units(F.col("salts"), own, own, lambda other: (F.least(salt, other), F.greatest(salt, other), salt > other)),
+        units(F.col("above"), own, own + 1, lambda other: (salt, other, F.lit(False))),
+        units(F.col("below"), own - 1, own, lambda other: (other, salt, F.lit(True))),
+    )
+    unit = placed.select("node", "component", F.explode(met).alias("unit")).select("node", "component", "unit.*")
+    parts = max(1, labels.sparkSession.sparkContext.defaultParallelism, -(-(labels.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).collect()[0].n) // _BLOCK_SHINGLES))
+    part = F.pmod(F.xxhash64("component", "low", "high", "low_salt", "high_salt"), F.lit(parts)).alias("part")
+    sets = texts.join(labels.select("node"), "node").select("node", "text").mapInArrow(_sets(size), "node long, shingles binary")
+    found = unit.join(sets, "node").select(part, "node", "component", "low", "high", "low_salt", "high_salt", "second", "shingles").groupBy("part").applyInArrow(_linked(threshold, as_pairs), PAIRS if as_pairs else COUNTS)
+    return found if as_pairs else found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
+
+
 class _Join:
     def __init__(self, members: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: float, size: int, length: int) -> None:
         self.members, self.sketches, self.texts, self.threshold, self.size = members, sketches, texts, threshold, size
@@ -282,13 +413,26 @@ class _Join:
 def join_similar(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, size: int = 5, trees: int = TREES, depth: int = DEPTH, recall: float = 0.99
 ) -> tuple[DataFrame, DataFrame]:
-    """Members and links of the join.
+    """Members and joining links, as ``join_all`` has them, without the other links."""
+    return join_all(docs, id_col, text_col, threshold, size, trees, depth, recall)[:2]
+
+
+def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Members as ``join_all`` has them, with null for n_links: links are not counted."""
+    return join_all(docs, id_col, text_col, counted=False)[0]
+
+
+def join_all(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, size: int = 5, trees: int = TREES, depth: int = DEPTH, recall: float = 0.99, counted: bool = True
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members, joining links and all links of the join.
 
     Members: one row per row of ``docs``: id, digest (xxhash64 of the text), node
     (the number of its shingle set, null without words), n_shingles, class_id (the
-    smallest id of the component), n_links (verified links of the node to other
-    nodes). Links: pairs of nodes (a, b) with their similarity, at the threshold
-    or above; inside a component as many as joined it.
+    smallest id of the component), n_links (the other nodes of its component that
+    are as similar as the threshold or more). Links: pairs of nodes (a, b) with their
+    similarity, at the threshold or above; the joining links are those that
+    settled the components, all links every such pair of a component.
 
     Words are maximal runs of ASCII letters, digits and non-ASCII characters after
     lower-casing A-Z; fewer than ``size`` words are one shingle. Null text counts as
@@ -300,7 +444,7 @@ def join_similar(
     rows = docs.select(docs[id_col].alias("id"), text.alias("text"), F.xxhash64(text).alias("digest"))
     signed = cut_lineage(rows.mapInArrow(_sign(size, trees * depth), SIGNED.format(kind)), "signed")
     known = signed.where("id IS NOT NULL")
-    nodes = known.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("id", "digest")).alias("first"), F.min_by("signature", "id").alias("signature"))
+    nodes = known.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("id", "digest")).alias("first"), F.min_by("signature", "id").alias("signature"), F.first("n_shingles").alias("n_shingles"))
     # A number stands for the node from here on; it is fixed once written.
     nodes = cut_lineage(nodes.withColumnRenamed("node", "name").withColumn("node", F.monotonically_increasing_id()), "nodes")
     # Shortened from the full depth until the recall is met.
@@ -330,13 +474,14 @@ def join_similar(
         low, high = high, high * 16
 
     links = held.links().select("a", "b", "similarity")
-    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    labels = nodes.select("name", "node").join(ends, "node", "left")
-    if held.labels is not None:
-        labels = labels.join(held.labels, "node", "left")
-    else:
-        labels = labels.withColumn("component", F.lit(None).cast("long"))
-    labels = labels.select("name", "node", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    joined = held.labels if held.labels is not None else links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    sized = joined.join(nodes.select("node", "n_shingles"), "node")
+    sized = cut_lineage(sized, "sized")
+    counts, pairs = (component_links(sized, held.texts, threshold, size, as_pairs) for as_pairs in (False, True))
+    if not counted:
+        counts = counts.limit(0)
+    labels = nodes.select("name", "node").join(counts, "node", "left").join(joined, "node", "left")
+    labels = labels.select("name", "node", F.coalesce("component", "node").alias("component"), (F.coalesce("n_links", F.lit(0)) if counted else F.lit(None)).cast("long").alias("n_links"))
     firsts = nodes.select("node", F.col("first.id").alias("first"))
     classes = labels.join(firsts, "node").groupBy("component").agg(F.min("first").alias("class_id"))
     named = labels.join(classes, "component").select("name", F.col("node").alias("number"), "class_id", "n_links")
@@ -347,10 +492,10 @@ def join_similar(
     alike = bare.groupBy(F.col("node").alias("name")).agg(F.min("id").alias("class_id"))
     bare = bare.join(alike, F.col("node") == F.col("name"))
     left = signed.where("id IS NULL").withColumn("class_id", F.lit(None).cast(kind))
-    none = [F.lit(None).cast("long").alias("number"), F.lit(0).cast("long").alias("n_links")]
+    none = [F.lit(None).cast("long").alias("number"), F.lit(0 if counted else None).cast("long").alias("n_links")]
     for rest in (bare, left):
         out = out.unionByName(rest.select("id", "digest", "n_shingles", "class_id", *none))
-    return out.withColumnRenamed("number", "node"), links
+    return out.withColumnRenamed("number", "node"), links, pairs
 
 
 def one_of_each(docs: DataFrame, members: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
