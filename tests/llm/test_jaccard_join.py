@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import brute
+import numpy as np
 import pytest
 
 from tidemark.llm import jaccard_join
@@ -125,3 +126,29 @@ def test_blocks_of_a_component_meet_once(spark, block_texts):
     assert len(found) == len(expected) and set(found) == expected
     counts = {row.node: row.n_links for row in jaccard_join.component_links(labels, frame, 0.8, 5, False, block_texts).collect()}
     assert counts == {i: sum(i in pair for pair in expected) for i in range(60) if any(i in pair for pair in expected)}
+
+
+def test_pairs_of_unlike_signatures_are_verified_too(spark):
+    # Pairs at 0.8 that meet in a tree while few of their signature values agree.
+    rows = []
+    for seed in (684, 1151, 1233, 1671, 1731, 2902, 2998, 5082, 5296, 5862):
+        draw = random.Random(seed)
+        base = [f"s{seed}w{i}" for i in range(94)]
+        other = list(base)
+        other[20 + draw.randrange(20)], other[60 + draw.randrange(20)] = "x", "y"
+        rows += [(2 * seed, " ".join(base)), (2 * seed + 1, " ".join(other))]
+    members, links = jaccard_join.join_similar(spark.createDataFrame(rows, SCHEMA))
+    assert {row.id: (row.class_id, row.n_links) for row in members.collect()} == {key: (key // 2 * 2, 1) for key, _ in rows}
+    assert links.count() == 10
+
+
+def test_sketches_differ_no_more_than_the_sets():
+    draw = np.random.default_rng(4)
+    for _ in range(300):
+        n = int(draw.integers(1, 3000))
+        base = draw.integers(0, 1 << 63, 2 * n).astype("u8")
+        a, b = base[: n + int(draw.integers(n))], base[int(draw.integers(n)) :]
+        sketches = [np.frombuffer(jaccard_join.parities(held, np.array([0, len(held)]))[0], "u1")[None, :] for held in (a, b)]
+        size = min(held.shape[1] for held in sketches)
+        off = jaccard_join.folded(sketches[0], size) ^ jaccard_join.folded(sketches[1], size)
+        assert int(np.bitwise_count(off).sum()) <= len(set(a.tolist()) ^ set(b.tolist()))

@@ -6,13 +6,14 @@ whose labels share a prefix in some tree are candidates. Matching starts at the
 full depth and is shortened to the depth at which a pair on the threshold is
 met with the target recall: that depth follows from threshold, trees and recall.
 
-Candidates whose signatures are close are verified exactly, on their shingles.
+Candidates are verified exactly, on their shingles, unless a bound that no pair at
+the threshold can fail has settled them: the ratio of their shingle counts, or
+the bits in which sketches of parities differ, no more than the sets differ.
 Inside a bucket each text is first held against the bucket's most central
 member, which joins a group of copies with a pair per member. As long as a
 bucket holds texts of several components, its next members lead in turn, and
 texts of other components are held against them. In the end every candidate pair
-is in one component, or its signatures lie three standard deviations below the
-threshold, or it has been verified to lie below it.
+is in one component, or proved or verified to lie below the threshold.
 
 Links are counted when the components are known: two linked texts are in one, so
 every pair of nodes of a component is verified once, on shingle sets that meet as
@@ -137,13 +138,44 @@ def _grow(trees: int, depth: int, shown: int):
     return grow
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For ``mapInArrow``: the low byte of every signature value."""
-    for batch in batches:
-        raw, offsets = kernels.text_bytes(batch.column(batch.schema.get_field_index("signature")))
-        low = np.ascontiguousarray(raw[::2]).tobytes()
-        cuts = (offsets // 2).tolist()
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("node")), pa.array([low[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["node", "sketch"])
+#: Bits of a sketch for each shingle, at least, and of all.
+_BITS_EACH = 4
+_LEAST_BITS, _MOST_BITS = 64, 1 << 17
+
+
+def parities(hashes: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """A sketch of each set: bits that tell whether an odd number of its values falls
+    on them. The sketches of two sets differ in no more bits than the sets differ
+    in values. Sizes are powers of two; the halves of a sketch, one on the other,
+    are the sketch of half the size."""
+    places = kernels.mix(hashes ^ np.uint64(0x5EED))
+    out = []
+    for begin, end in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        bits = min(_MOST_BITS, max(_LEAST_BITS, 1 << (_BITS_EACH * (end - begin) - 1).bit_length()))
+        odd = np.bincount((places[begin:end] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out.append(np.packbits(odd.astype(np.uint8)).tobytes())
+    return out
+
+
+def folded(sketches: np.ndarray, size: int) -> np.ndarray:
+    """Sketches, one a row, brought down to ``size`` bytes."""
+    while sketches.shape[1] > size:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def _sketch(size: int):
+    """For ``mapInArrow``: the number of shingles and the sketch of every text."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in kernels.pieces(batch, "text"):
+                hashes, cuts = text_shingles(kernels.words_of(data, offsets), size)
+                columns = [rows.column(rows.schema.get_field_index("node")), pa.array(np.diff(cuts), pa.int64()), pa.array(parities(hashes, cuts), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "n_shingles", "sketch"])
+
+    return sketch
 
 
 def _similar(size: int):
@@ -179,37 +211,51 @@ def _similar(size: int):
 _MEMBERS = 4096
 #: Rows of members that make a task's part.
 _PART = 1 << 15
+#: Bytes of their sketches.
+_PART_BYTES = 1 << 23
 
 
-def agreements_needed(threshold: float, length: int) -> int:
-    """So many of ``length`` signature bytes agree for a pair on the threshold, but
-    for three standard deviations; unlike values agree once in 256."""
-    least = max(0.0, threshold - 3 * math.sqrt(threshold * (1 - threshold) / length))
-    return math.floor(length * (least + (1 - least) / 256))
-
-
-def _close(needed: int, length: int):
+def _close(threshold: float):
     """For cogrouped ``applyInArrow``: pairs of members and leaders of a bucket, of
-    different components, whose signatures agree often enough."""
+    different components, but for those whose shingle counts or sketches prove them
+    to lie below the threshold."""
 
     def close(key: tuple[pa.Scalar, ...], members: pa.Table, leaders: pa.Table) -> pa.Table:
-        def columns(table: pa.Table) -> dict[str, np.ndarray]:
-            held = {name: table.column(name).to_numpy() for name in ("key", "salt", "node", "weight", "component")}
+        def columns(table: pa.Table) -> tuple[dict[str, np.ndarray], dict[int, np.ndarray]]:
+            held = {name: table.column(name).to_numpy() for name in ("key", "salt", "node", "weight", "component", "n_shingles")}
             order = np.lexsort((held["salt"], held["key"]))
-            raw, _ = kernels.text_bytes(table.column("sketch"))
-            return {name: values[order] for name, values in held.items()} | {"sketch": raw.reshape(table.num_rows, length)[order]}
+            raw, offsets = kernels.text_bytes(table.column("sketch"))
+            # The sketches of one size are a table; a row has its place there.
+            sizes, place, of_size = np.diff(offsets), np.zeros(table.num_rows, dtype=np.int64), {}
+            for size in np.unique(sizes).tolist():
+                rows = np.flatnonzero(sizes == size)
+                place[rows] = np.arange(len(rows))
+                of_size[size] = raw[offsets[rows][:, None] + np.arange(size)]
+            held |= {"size": sizes, "place": place}
+            return {name: values[order] for name, values in held.items()}, of_size
 
         found = []
         if members.num_rows and leaders.num_rows:
-            own, led = columns(members), columns(leaders)
+            (own, own_sketches), (led, led_sketches) = columns(members), columns(leaders)
             begins = np.flatnonzero(np.append(True, (np.diff(own["key"]) != 0) | (np.diff(own["salt"]) != 0)))
             ends = dict(zip(zip(own["key"][begins].tolist(), own["salt"][begins].tolist(), strict=True), zip(begins.tolist(), np.append(begins[1:], len(own["key"])).tolist(), strict=True), strict=True))
             for i in range(len(led["node"])):
                 first, end = ends.get((int(led["key"][i]), int(led["salt"][i])), (0, 0))
                 behind = (own["weight"][first:end] < led["weight"][i]) | ((own["weight"][first:end] == led["weight"][i]) & (own["node"][first:end] > led["node"][i]))
-                at = first + np.flatnonzero(behind & (own["component"][first:end] != led["component"][i]))
-                at = at[(own["sketch"][at] == led["sketch"][i]).sum(axis=1) >= needed]
-                found.append(np.column_stack((own["node"][at], np.full(len(at), led["node"][i]))))
+                n, counts = led["n_shingles"][i], own["n_shingles"][first:end]
+                # A millionth more room than the threshold leaves, against rounding.
+                alike = np.minimum(counts, n) >= (threshold - 1e-6) * np.maximum(counts, n)
+                at = first + np.flatnonzero(behind & alike & (own["component"][first:end] != led["component"][i]))
+                if not len(at):
+                    continue
+                room = ((1 - threshold) / (1 + threshold) + 1e-6) * (own["n_shingles"][at] + n)
+                sketch = led_sketches[int(led["size"][i])][led["place"][i]][None, :]
+                for size in np.unique(own["size"][at]).tolist():
+                    which = at[own["size"][at] == size]
+                    least = min(size, sketch.shape[1])
+                    off = folded(own_sketches[size][own["place"][which]], least) ^ folded(sketch, least)
+                    passed = which[np.bitwise_count(off).sum(axis=1, dtype=np.int64) <= room[own["size"][at] == size]]
+                    found.append(np.column_stack((own["node"][passed], np.full(len(passed), led["node"][i]))))
         pairs = np.unique(np.concatenate([*found, np.zeros((0, 2), dtype=np.int64)]), axis=0)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
@@ -344,9 +390,10 @@ def component_links(labels: DataFrame, texts: DataFrame, threshold: float, size:
 
 
 class _Join:
-    def __init__(self, members: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: float, size: int, length: int) -> None:
+    def __init__(self, members: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: float, size: int) -> None:
         self.members, self.sketches, self.texts, self.threshold, self.size = members, sketches, texts, threshold, size
-        self.length, self.parts = length, max(1, -(-members.count() // _PART))
+        held = members.join(sketches, "node").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("sketch")), F.lit(0)).alias("bytes")).collect()[0]
+        self.parts = max(1, -(-held.n // _PART), -(-held.bytes // _PART_BYTES))
         self.tested: DataFrame | None = None
         self.labels: DataFrame | None = None
 
@@ -391,7 +438,7 @@ class _Join:
 
     def led(self, active: DataFrame, low: int, high: int) -> DataFrame:
         """Pairs of the members that lead from rank ``low + 1`` to ``high`` with later
-        members of other components, as far as their signatures are close.
+        members of other components, as far as their sketches leave them a chance.
 
         A large bucket is dealt out, and its leaders go to every part of it.
         """
@@ -404,10 +451,9 @@ class _Join:
         ]
         part = F.pmod(F.xxhash64("key", "salt"), F.lit(self.parts)).alias("part")
         # Renamed to themselves, so that the two sides have columns of their own.
-        names = [F.col(name).alias(name) for name in ("key", "salt", "node", "weight", "component", "sketch")]
+        names = [F.col(name).alias(name) for name in ("key", "salt", "node", "weight", "component", "n_shingles", "sketch")]
         sides = [side.join(self.sketches, "node").select(*names, part).groupBy("part") for side in dealt]
-        close = _close(agreements_needed(self.threshold, self.length), self.length)
-        return sides[0].cogroup(sides[1]).applyInArrow(close, "a long, b long")
+        return sides[0].cogroup(sides[1]).applyInArrow(_close(self.threshold), "a long, b long")
 
 
 def join_similar(
@@ -458,9 +504,9 @@ def join_all(
     # One text for each node that has a candidate: that of its smallest id.
     drawn = nodes.select("node", "first.id", "first.digest").join(weights.select("node"), "node")
     texts = rows.where("id IS NOT NULL").join(drawn, ["id", "digest"]).groupBy("node").agg(F.first("text").alias("text"))
-    # A byte of each signature value is enough to tell close pairs from others.
-    sketches = nodes.join(weights.select("node"), "node").select("node", "signature").mapInArrow(_sketch, "node long, sketch binary")
-    held = _Join(members, cut_lineage(sketches, "sketches"), cut_lineage(texts, "texts"), threshold, size, trees * depth)
+    texts = cut_lineage(texts, "texts")
+    sketches = texts.select("node", "text").mapInArrow(_sketch(size), "node long, n_shingles long, sketch binary")
+    held = _Join(members, cut_lineage(sketches, "sketches"), texts, threshold, size)
 
     active = held.active()
     best = held.led(active, 0, 1).groupBy("a", "b").agg(F.count("*").alias("n")).groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
