@@ -117,3 +117,26 @@ def test_banded_distance_equals_the_table():
         b = bytes(draw.choice(b"abc") for _ in range(draw.randrange(14))) if draw.random() < 0.3 else edited(draw, a.decode() + "abc", draw.randrange(4)).encode()[: len(a) + 2]
         for most in range(5):
             assert line_dedup.within(a, b, most) == (distance(a, b) <= most), (a, b, most)
+
+
+def test_hot_keys_are_dealt_out(spark, monkeypatch):
+    draw = random.Random(8)
+    rows = [(i // 3, i % 3, f"Posted on the old board by the user {draw.randrange(10**9):09d}-{draw.randrange(10**4):04d}") for i in range(240)]
+    rows += [(100 + i, 0, f"Posted on the old board by the user 123456789-{i:04d}") for i in range(20)]
+    texts = {}
+    for key, _, line in rows:
+        texts.setdefault(key, []).append(line)
+    docs = [(key, "\n".join(held)) for key, held in texts.items()]
+    dealt, units = [], line_dedup.deal_hot
+
+    def watched(*args):
+        out = units(*args)
+        dealt.append(out.groupBy("key").count().agg({"count": "max"}).collect()[0][0])
+        return out
+
+    # The registered size is for tables far larger than a test's.
+    whole = line_dedup.near_lines
+    monkeypatch.setattr(line_dedup, "deal_hot", watched)
+    monkeypatch.setattr(line_dedup, "near_lines", lambda lines, threshold: whole(lines, threshold, hot_rows=100))
+    dropped = compare(spark, docs)
+    assert dropped and len(dealt) > 1 and max(held or 0 for held in dealt) <= 2 * 2 * 100

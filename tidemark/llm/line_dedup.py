@@ -16,12 +16,14 @@ by no more than the edits around it allow. So
 
 A line needs one earlier neighbour to go. The earliest candidates are verified
 first, and only lines without success go on to the next ones, in rounds, until
-no candidate is left: a group of like lines costs its size, not its square.
+no candidate is left: verification of a group of like lines costs its size, not
+its square. Lines of a key that many share meet by blocks: no task holds more of a
+key than two of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -334,34 +336,89 @@ def _verify(threshold: int):
     return verify
 
 
-def near_lines(lines: DataFrame, threshold: int, part_rows: int = 1 << 19) -> DataFrame:
+#: Entries of a key from which it is dealt out, and of a block of such a key.
+_HOT_ROWS = 1 << 12
+#: Blocks of earlier lines that a round reads at most.
+_HOT_BLOCKS = 16
+
+
+def deal_hot(entries: DataFrame, low: int, high: int) -> DataFrame:
+    """Units of hot keys, from entries with their key's number of ``blocks``: every
+    block from ``low`` to before ``high`` with the open lines of every block. A
+    unit's number takes the place of the key."""
+    dealt = entries.withColumn("block", F.pmod(F.xxhash64("id", "no", "hash"), F.col("blocks")).cast("int"))
+    asked = dealt.where("open")
+    later = asked.where(F.col("blocks") > low).withColumn("first", F.explode(F.sequence(F.lit(low), F.least(F.lit(high), F.col("blocks")).cast("int") - 1)))
+    # An open line of the block itself is there already.
+    later = later.where("block <> first").withColumnRenamed("block", "second")
+    first = dealt.where(F.col("block") >= low).where(F.col("block") < high).withColumnRenamed("block", "first").withColumn("second", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
+    # Blocks without open lines ask nothing.
+    first = first.join(asked.select("key", F.col("block").alias("second")).distinct(), ["key", "second"], "left_semi")
+    columns = ["id", "no", "hash", "bag", "probe", "open", F.xxhash64("key", "first", "second").alias("key")]
+    return first.select(*columns).unionByName(later.select(*columns))
+
+
+def near_lines(lines: DataFrame, threshold: int, part_rows: int = 1 << 19, hot_rows: int = _HOT_ROWS) -> DataFrame:
     """Of the lines that share a key (rows of LINES), those that an earlier line
-    within the threshold precedes: id, no, hash."""
+    within the threshold precedes: id, no, hash.
+
+    Entries of a key meet in one task up to ``hot_rows``. Larger keys are dealt
+    out by blocks of lines, and rounds hold the lines that are still open against
+    the next blocks.
+    """
     pair = F.concat(
         F.transform("segments", lambda value: F.struct(value.alias("key"), F.lit(False).alias("probe"))),
         F.transform("probes", lambda value: F.struct(value.alias("key"), F.lit(True).alias("probe"))),
     )
     entries = lines.select("id", "no", "hash", "bag", F.explode(pair).alias("entry")).select("id", "no", "hash", "bag", "entry.key", "entry.probe")
     total = lines.agg(F.coalesce(F.sum(F.size("segments") + F.size("probes")), F.lit(0)).alias("n")).collect()[0].n
-    parts = max(1, -(-total // part_rows))
     texts = lines.select("id", "no", "hash", "text")
-    low, high, found = 0, 8, None
     name = ["id", "no", "hash"]
-    while total:
+    if not total:
+        return texts.select(*name).limit(0)
+    found: DataFrame | None = None
+
+    def opened(frame: DataFrame) -> DataFrame:
         # Lines that have gone still precede others; they are only not asked about again.
-        known = entries.withColumn("open", F.lit(True)) if found is None else entries.join(found.withColumn("gone", F.lit(True)), name, "left").withColumn("open", F.col("gone").isNull()).drop("gone")
-        pairs = known.groupBy(F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part")).applyInArrow(_candidates(threshold, low, high), CANDIDATES)
-        once = pairs.groupBy("later_id", "later_no", "later_hash", *name).agg(F.max("more").alias("more"))
-        later = texts.select(F.col("id").alias("later_id"), F.col("no").alias("later_no"), F.col("hash").alias("later_hash"), F.col("text").alias("later_text"))
-        held = once.join(later, ["later_id", "later_no", "later_hash"]).join(texts, name)
-        judged = held.mapInArrow(_verify(threshold), "id long, no int, hash long, more boolean, near boolean")
-        verified = cut_lineage(judged.groupBy(*name).agg(F.max("near").alias("near"), F.max("more").alias("more")), "near")
-        new = verified.where("near").select(*name)
-        found = new if found is None else found.unionByName(new)
-        if not verified.where("more AND NOT near").limit(1).count():
+        if found is None:
+            return frame.withColumn("open", F.lit(True))
+        return frame.join(found.withColumn("gone", F.lit(True)), name, "left").withColumn("open", F.col("gone").isNull()).drop("gone")
+
+    def settle(deal: Callable[[], DataFrame], rows: int) -> None:
+        nonlocal found
+        part = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-rows // part_rows)))).alias("part")
+        low, high = 0, 8
+        while True:
+            pairs = deal().groupBy(part).applyInArrow(_candidates(threshold, low, high), CANDIDATES)
+            once = pairs.groupBy("later_id", "later_no", "later_hash", *name).agg(F.max("more").alias("more"))
+            later = texts.select(F.col("id").alias("later_id"), F.col("no").alias("later_no"), F.col("hash").alias("later_hash"), F.col("text").alias("later_text"))
+            held = once.join(later, ["later_id", "later_no", "later_hash"]).join(texts, name)
+            judged = held.mapInArrow(_verify(threshold), "id long, no int, hash long, more boolean, near boolean")
+            verified = cut_lineage(judged.groupBy(*name).agg(F.max("near").alias("near"), F.max("more").alias("more")), "near")
+            new = verified.where("near").select(*name)
+            found = new if found is None else found.unionByName(new)
+            if not verified.where("more AND NOT near").limit(1).count():
+                return
+            low, high = high, high * 16
+
+    hot = cut_lineage(entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("key", "n", F.ceil(F.col("n") / hot_rows).alias("blocks")), "hot")
+    most = hot.agg(F.max("blocks").alias("blocks"), F.sum("n").alias("n")).collect()[0]
+    if not most.n:
+        settle(lambda: opened(entries), total)
+        return found
+    settle(lambda: opened(entries.join(hot.select("key"), "key", "left_anti")), total - most.n)
+    dealt = cut_lineage(entries.join(hot.select("key", "blocks"), "key"), "dealt")
+    begin, end = 0, 1
+    while begin < most.blocks:
+        # The open lines are fixed for the block, so that ranks stay what they are.
+        now = cut_lineage(opened(dealt), "open")
+        units = cut_lineage(deal_hot(now, begin, end), "units")
+        rows = units.count()
+        if not rows:
             break
-        low, high = high, high * 16
-    return texts.select(*name).limit(0) if found is None else found
+        settle(lambda units=units: opened(units.drop("open")), rows)
+        begin, end = end, end + min(4 * (end - begin), _HOT_BLOCKS)
+    return found
 
 
 def _edit(names: list[str], text: str):
