@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import line_dedup
 
@@ -140,3 +141,16 @@ def test_hot_keys_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "near_lines", lambda lines, threshold: whole(lines, threshold, hot_rows=100))
     dropped = compare(spark, docs)
     assert dropped and len(dealt) > 1 and max(held or 0 for held in dealt) <= 2 * 2 * 100
+
+
+def test_rows_without_an_id_get_no_block(spark, monkeypatch):
+    seen, place = [], line_dedup.block_of
+
+    def asserted(key, bounds):
+        seen.append(bounds)
+        return F.when(key.isNull(), F.raise_error(F.lit("A row without an id got a block.")).cast("long")).otherwise(place(key, bounds))
+
+    monkeypatch.setattr(line_dedup, "block_of", asserted)
+    line = "This line is as long as it has to be for both."
+    found = line_dedup.dedup_lines(spark.createDataFrame([(None, line), (1, line), (2, line)], SCHEMA)).collect()
+    assert seen and sorted((row.doc_id or 0, row.dropped, row.kept) for row in found) == [(0, [], line), (1, [], line), (2, [0], "")]

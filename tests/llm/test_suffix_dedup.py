@@ -62,3 +62,16 @@ def test_empty_table_and_one_long_text(spark):
     text = " ".join(str(i * i) for i in range(60_000))
     _, rows = result(spark.createDataFrame([(1, text), (2, text[100_000:200_000])], SCHEMA))
     assert {row.id: [(span.start, span.end) for span in row.spans] for row in rows} == {1: [], 2: [(0, 100_000)]}
+
+
+def test_rows_without_an_id_get_no_block(spark, monkeypatch):
+    seen, place = [], suffix_dedup.block_of
+
+    def asserted(key, bounds):
+        seen.append(bounds)
+        return F.when(key.isNull(), F.raise_error(F.lit("A row without an id got a block.")).cast("long")).otherwise(place(key, bounds))
+
+    monkeypatch.setattr(suffix_dedup, "block_of", asserted)
+    rows = [(None, "u" * 70), (None, None), (1, "u" * 70), (2, "u" * 70)]
+    _, found = result(spark.createDataFrame(rows, SCHEMA))
+    assert seen and sorted((row.id or 0, row.n_bytes, len(row.spans), len(row.kept)) for row in found) == [(0, 0, 0, 0), (0, 70, 0, 70), (1, 70, 0, 70), (2, 70, 1, 0)]

@@ -481,7 +481,8 @@ def dedup_lines(
     if shortest_near < 4 * (threshold + 1) or shortest_near < shortest:
         raise ValueError("Near lines must be longer than four times the edits, and than the shortest line.")
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    rows = docs.select(docs[id_col].cast("long").alias("id"), text.alias("text"))
+    # Rows without an id need no block.
+    rows = docs.select(docs[id_col].cast("long").alias("id"), text.alias("text")).where("id IS NOT NULL")
     sizes = rows.select("id", F.octet_length("text").cast("long").alias("size"))
     total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).collect()[0].bytes
     blocks = rows.withColumn("block", block_of(F.col("id"), block_bounds(sizes, block_bytes)))

@@ -132,7 +132,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         raise ValueError(f"min_length must be {PERIOD + 3} bytes or more.")
     name_length = min_length - PERIOD + 1
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    rows = docs.select(docs[id_col].cast("long").alias("id"), text.alias("text"))
+    given = docs.select(docs[id_col].cast("long").alias("id"), text.alias("text"))
+    # Rows without an id go around the blocks.
+    rows = given.where("id IS NOT NULL")
+    none = F.array().cast("array<struct<start:long,end:long>>").alias("spans")
+    around = given.where("id IS NULL").select("id", F.octet_length("text").cast("long").alias("n_bytes"), none, F.col("text").cast("binary").alias("kept"))
     sizes = rows.select("id", F.octet_length("text").cast("long").alias("size"))
     total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).collect()[0].bytes
     bounds = block_bounds(sizes, block_bytes)
@@ -187,7 +191,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     with_shared = copy_notes.unionByName(notes(shared, 1))
     prefixes = cogrouped(with_shared, send_prefixes, hashsets.PACKED)
     earlier = prefixes.groupBy("part").applyInArrow(hashsets.answers(merged, earlier_only=True), hashsets.ANSWER)
-    return cogrouped(with_shared.unionByName(notes(earlier, 2)), remove, SCHEMA)
+    return cogrouped(with_shared.unionByName(notes(earlier, 2)), remove, SCHEMA).unionByName(around)
 
 
 def _removed(block: _Block, gone: np.ndarray) -> pa.Table:
