@@ -5,6 +5,8 @@ one signature. The forest has ``trees`` label sequences of a signature; texts
 whose labels share a prefix in some tree are candidates. Matching starts at the
 full depth and is shortened to the depth at which a pair on the threshold is
 met with the target recall: that depth follows from threshold, trees and recall.
+Fixed bands stand in for the forest: each tree has one key of its first labels at
+that depth, without sorted prefix tries, and nothing is shortened by rounds.
 
 Candidates are verified exactly, on their shingles, unless a bound that no pair at
 the threshold can fail has settled them: the ratio of their shingle counts, or
