@@ -99,7 +99,7 @@ def run_coverage(spark, folder):
 def gradient_boosting(spark, folder):
     series = supplier_series(spark, folder)
     rows, names = regression.training_rows(series, MONTHLY)
-    assembler, model = regression.fit(rows, names, regression.gradient_boosting(rounds=10))
+    assembler, model = regression.fit(rows, names, regression.gradient_boosting())
     return regression.forecast(series, MONTHLY, HORIZON, assembler, model)
 
 
