@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, jaccard_join, licenses, line_dedup, media, quality, sharding, suffix_dedup, url_filter
+from tidemark.llm import bpe, conversations, decontaminate, jaccard_join, licenses, line_dedup, media, quality, sharding, suffix_dedup, url_filter
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
@@ -187,3 +187,81 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     members, _ = jaccard_join.join_similar(table(spark, folder, "documents"))
     return members.select(F.col("id").alias("doc_id"), "class_id", "n_links", "n_shingles")
+
+
+#: DuckDB has no CRC-32: eight shifts a byte.
+_OP11_SQL = r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         [4294967295::BIGINT] || list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), x -> ascii(x)::BIGINT) AS codes
+  FROM conversations
+), fated AS (
+  SELECT conv_id, turn, role, text,
+         xor(list_reduce(codes, (a, b) -> list_reduce([xor(a, b), 0, 1, 2, 3, 4, 5, 6, 7], (c, i) -> xor(c >> 1, 3988292384 * (c & 1)))), 4294967295) % 20 AS fate
+  FROM keyed
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM fated WHERE fate <> 0
+), shorn AS (
+  SELECT *, rtrim(text, e' \t\n\x0b\x0c\r') AS core, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS n FROM damaged
+), marked AS (
+  SELECT conv_id, turn, role, text, n, core = '' AS blank, core <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS duplicate,
+         right(core, 1) NOT IN ('.', '!', '?') AS open, left(role, 1) AS r, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) || left(role, 1) AS pair
+  FROM shorn
+), rows AS (
+  SELECT *, blank OR duplicate AS gone, CASE WHEN open AND NOT blank AND NOT duplicate THEN 5 ELSE 0 END AS more FROM marked
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(blank::INT) AS blank, sum(duplicate::INT) AS duplicate,
+         sum((more > 0)::INT) AS truncated, sum((n > 1 AND pair NOT IN ('su', 'ua', 'au'))::INT) AS illegal, max(n) AS n
+  FROM rows GROUP BY conv_id
+), walk AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS n, {'c': 0, 'a': '', 't': ''} AS s0, NULL::STRUCT(c INT, a VARCHAR, t VARCHAR) AS s1,
+         NULL::STRUCT(c INT, a VARCHAR, t VARCHAR) AS s2, NULL::STRUCT(c INT, a VARCHAR, t VARCHAR) AS s3
+  FROM damaged
+  UNION ALL
+  SELECT conv_id, n, {'c': s0.c + 2, 'a': s0.a || 'D', 't': s0.t},
+         list_min(list_filter([{'c': s1.c + 2, 'a': s1.a || 'D', 't': s1.t}, CASE WHEN NOT gone AND r = 's' THEN {'c': s0.c + more, 'a': s0.a || 'K', 't': s0.t || chr(10) || role || ':' || text} END], x -> x.c IS NOT NULL)),
+         list_min(list_filter(list_concat([{'c': e2.c + 2, 'a': e2.a || 'D', 't': e2.t}], CASE WHEN gone THEN [] ELSE list_concat(
+           list_transform([s0, s1, e3], x -> {'c': x.c + 1 + more, 'a': x.a || 'R', 't': x.t || chr(10) || 'user:' || text}),
+           CASE WHEN r = 'u' THEN list_transform([s0, s1, e3], x -> {'c': x.c + more, 'a': x.a || 'K', 't': x.t || chr(10) || role || ':' || text}) ELSE [] END) END), x -> x.c IS NOT NULL)),
+         list_min(list_filter([{'c': e3.c + 2, 'a': e3.a || 'D', 't': e3.t}, CASE WHEN NOT gone THEN {'c': e2.c + 1 + more, 'a': e2.a || 'R', 't': e2.t || chr(10) || 'assistant:' || text} END,
+           CASE WHEN NOT gone AND r = 'a' THEN {'c': e2.c + more, 'a': e2.a || 'K', 't': e2.t || chr(10) || role || ':' || text} END], x -> x.c IS NOT NULL))
+  FROM (
+    SELECT w.conv_id, r.n, s0, s1, r.role, r.text, r.gone, r.more, r.r,
+           list_min(list_filter(list_concat([s2], list_transform([s0, s1, s3], x -> {'c': x.c + 5, 'a': x.a || 'I', 't': x.t || chr(10) || 'user:'})), x -> x.c IS NOT NULL)) AS e2,
+           list_min(list_filter(list_concat([s3, {'c': s2.c + 5, 'a': s2.a || 'I', 't': s2.t || chr(10) || 'assistant:'}],
+             list_transform([s0, s1], x -> {'c': x.c + 10, 'a': x.a || 'II', 't': x.t || chr(10) || 'user:' || chr(10) || 'assistant:'})), x -> x.c IS NOT NULL)) AS e3
+    FROM walk w JOIN rows r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.n = w.n + 1
+  )
+), ends AS (
+  SELECT w.conv_id, list_min(list_filter([s0, s3, {'c': s2.c + 5, 'a': s2.a || 'I', 't': s2.t || chr(10) || 'assistant:'},
+         {'c': s1.c + 10, 'a': s1.a || 'II', 't': s1.t || chr(10) || 'user:' || chr(10) || 'assistant:'}], x -> x.c IS NOT NULL)) AS best
+  FROM walk w JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.n
+)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost,
+       coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+_NOTHING = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+@query("op11_conversation_repair", _OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations")
+    repairs = conversations.repair_conversations(conversations.damage(rows), "conv", "turn", "role", "text")
+    found = repairs.plans.drop("conv").join(conversations.repair_digests(repairs), "key")
+    return (
+        conversations.all_conversations(rows)
+        .join(found, "key", "left")
+        .select(
+            F.col("conv").alias("conv_id"),
+            *(F.coalesce(F.col(name), F.lit(0)).alias(name) for name in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")),
+            F.coalesce("audit", F.lit("")).alias("audit"),
+            F.coalesce("repaired_sha256", F.lit(_NOTHING)).alias("repaired_sha256"),
+        )
+    )
