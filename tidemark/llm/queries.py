@@ -193,11 +193,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 _OP11_SQL = r"""
 WITH RECURSIVE keyed AS (
   SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
-         [4294967295::BIGINT] || list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), x -> ascii(x)::BIGINT) AS codes
+         [4294967295::BIGINT] || list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: ascii(x)::BIGINT) AS codes
   FROM conversations
 ), fated AS (
   SELECT conv_id, turn, role, text,
-         xor(list_reduce(codes, (a, b) -> list_reduce([xor(a, b), 0, 1, 2, 3, 4, 5, 6, 7], (c, i) -> xor(c >> 1, 3988292384 * (c & 1)))), 4294967295) % 20 AS fate
+         xor(list_reduce(codes, lambda a, b: list_reduce([xor(a, b), 0, 1, 2, 3, 4, 5, 6, 7], lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295) % 20 AS fate
   FROM keyed
 ), damaged AS (
   SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
@@ -222,22 +222,22 @@ WITH RECURSIVE keyed AS (
   FROM damaged
   UNION ALL
   SELECT conv_id, n, {'c': s0.c + 2, 'a': s0.a || 'D', 't': s0.t},
-         list_min(list_filter([{'c': s1.c + 2, 'a': s1.a || 'D', 't': s1.t}, CASE WHEN NOT gone AND r = 's' THEN {'c': s0.c + more, 'a': s0.a || 'K', 't': s0.t || chr(10) || role || ':' || text} END], x -> x.c IS NOT NULL)),
+         list_min(list_filter([{'c': s1.c + 2, 'a': s1.a || 'D', 't': s1.t}, CASE WHEN NOT gone AND r = 's' THEN {'c': s0.c + more, 'a': s0.a || 'K', 't': s0.t || chr(10) || role || ':' || text} END], lambda x: x.c IS NOT NULL)),
          list_min(list_filter(list_concat([{'c': e2.c + 2, 'a': e2.a || 'D', 't': e2.t}], CASE WHEN gone THEN [] ELSE list_concat(
-           list_transform([s0, s1, e3], x -> {'c': x.c + 1 + more, 'a': x.a || 'R', 't': x.t || chr(10) || 'user:' || text}),
-           CASE WHEN r = 'u' THEN list_transform([s0, s1, e3], x -> {'c': x.c + more, 'a': x.a || 'K', 't': x.t || chr(10) || role || ':' || text}) ELSE [] END) END), x -> x.c IS NOT NULL)),
+           list_transform([s0, s1, e3], lambda x: {'c': x.c + 1 + more, 'a': x.a || 'R', 't': x.t || chr(10) || 'user:' || text}),
+           CASE WHEN r = 'u' THEN list_transform([s0, s1, e3], lambda x: {'c': x.c + more, 'a': x.a || 'K', 't': x.t || chr(10) || role || ':' || text}) ELSE [] END) END), lambda x: x.c IS NOT NULL)),
          list_min(list_filter([{'c': e3.c + 2, 'a': e3.a || 'D', 't': e3.t}, CASE WHEN NOT gone THEN {'c': e2.c + 1 + more, 'a': e2.a || 'R', 't': e2.t || chr(10) || 'assistant:' || text} END,
-           CASE WHEN NOT gone AND r = 'a' THEN {'c': e2.c + more, 'a': e2.a || 'K', 't': e2.t || chr(10) || role || ':' || text} END], x -> x.c IS NOT NULL))
+           CASE WHEN NOT gone AND r = 'a' THEN {'c': e2.c + more, 'a': e2.a || 'K', 't': e2.t || chr(10) || role || ':' || text} END], lambda x: x.c IS NOT NULL))
   FROM (
     SELECT w.conv_id, r.n, s0, s1, r.role, r.text, r.gone, r.more, r.r,
-           list_min(list_filter(list_concat([s2], list_transform([s0, s1, s3], x -> {'c': x.c + 5, 'a': x.a || 'I', 't': x.t || chr(10) || 'user:'})), x -> x.c IS NOT NULL)) AS e2,
+           list_min(list_filter(list_concat([s2], list_transform([s0, s1, s3], lambda x: {'c': x.c + 5, 'a': x.a || 'I', 't': x.t || chr(10) || 'user:'})), lambda x: x.c IS NOT NULL)) AS e2,
            list_min(list_filter(list_concat([s3, {'c': s2.c + 5, 'a': s2.a || 'I', 't': s2.t || chr(10) || 'assistant:'}],
-             list_transform([s0, s1], x -> {'c': x.c + 10, 'a': x.a || 'II', 't': x.t || chr(10) || 'user:' || chr(10) || 'assistant:'})), x -> x.c IS NOT NULL)) AS e3
+             list_transform([s0, s1], lambda x: {'c': x.c + 10, 'a': x.a || 'II', 't': x.t || chr(10) || 'user:' || chr(10) || 'assistant:'})), lambda x: x.c IS NOT NULL)) AS e3
     FROM walk w JOIN rows r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.n = w.n + 1
   )
 ), ends AS (
   SELECT w.conv_id, list_min(list_filter([s0, s3, {'c': s2.c + 5, 'a': s2.a || 'I', 't': s2.t || chr(10) || 'assistant:'},
-         {'c': s1.c + 10, 'a': s1.a || 'II', 't': s1.t || chr(10) || 'user:' || chr(10) || 'assistant:'}], x -> x.c IS NOT NULL)) AS best
+         {'c': s1.c + 10, 'a': s1.a || 'II', 't': s1.t || chr(10) || 'user:' || chr(10) || 'assistant:'}], lambda x: x.c IS NOT NULL)) AS best
   FROM walk w JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.n
 )
 SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
