@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, conversations, decontaminate, jaccard_join, licenses, line_dedup, media, quality, sharding, suffix_dedup, url_filter
+from tidemark.llm import bpe, conversations, decontaminate, jaccard_join, licenses, line_dedup, media, quality, sharding, suffix_dedup, topk_search, url_filter, whitening
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
@@ -265,3 +265,38 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
             F.coalesce("repaired_sha256", F.lit(_NOTHING)).alias("repaired_sha256"),
         )
     )
+
+
+_OP12_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@query("op12_topk_search", _OP12_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return topk_search.search_top(table(spark, folder, "embeddings"), F.col("id") % 50 == 0)
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    model = whitening.fit_whitening(table(spark, folder, "embeddings"))
+    error = whitening.identity_error(model)
+    explained = [float(value / model.trace) for value in model.values]
+    return whitening.whiten(model).select(
+        F.col("id").alias("vec_id"),
+        "component",
+        F.lit(model.rows.n).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(F.lit(explained).cast("array<double>"), F.col("component") - 1).alias("explained"),
+        F.lit(error).alias("identity_error"),
+    )

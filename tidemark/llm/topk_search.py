@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -312,25 +313,21 @@ def _roots(shape: _Shape) -> Callable[[pa.Table], pa.Table]:
 
 
 def _merge(k: int) -> Callable[[pa.Table], pa.Table]:
-    """The lanes of one block of queries to its answers."""
+    """The lanes of one block of queries, beside what they began with, to its answers."""
 
     def run(table: pa.Table) -> pa.Table:
         ids = np.frombuffer(table.column("q_ids")[0].as_py(), dtype=np.int64)
-        lanes = table.num_rows
-        scores, found = (np.stack([np.frombuffer(value, dtype=np.int64).reshape(-1, k) for value in table.column(name).to_pylist()], axis=1).reshape(len(ids), lanes * k) for name in ("scores", "found"))
+        begun = table.column("begun").to_pylist()
+        scores, found = ([np.frombuffer(value, dtype=np.int64).reshape(-1, k).tolist() for value in table.column(name).to_pylist()] for name in ("scores", "found"))
         query, rank, vector, score = [], [], [], []
         for i, own in enumerate(ids.tolist()):
-            # Lanes share what was found before they parted; a repeated row is a row.
-            counts: dict[tuple[int, int], int] = {}
-            for lane in range(lanes):
-                held: dict[tuple[int, int], int] = {}
-                for s, f in zip(scores[i, lane * k : lane * k + k].tolist(), found[i, lane * k : lane * k + k].tolist(), strict=True):
-                    if s != _NONE:
-                        held[-s, f] = held.get((-s, f), 0) + 1
-                for pair, n in held.items():
-                    counts[pair] = max(n, counts.get(pair, 0))
-            best = [pair for pair in sorted(counts) for _ in range(counts[pair])][:k]
-            for place, (s, f) in enumerate(best, 1):
+            held = [Counter((-s, f) for s, f in zip(scores[lane][i], found[lane][i], strict=True) if s != _NONE) for lane in range(len(begun))]
+            first = held[begun.index(True)]
+            best = first.copy()
+            for lane, pairs in enumerate(held):
+                if not begun[lane]:
+                    best += pairs - first
+            for place, (s, f) in enumerate(sorted(best.elements())[:k], 1):
                 query.append(own)
                 rank.append(place)
                 vector.append(f)
@@ -413,11 +410,5 @@ def search_top(
     lanes_of = needed.select("block", "lane").distinct()
     searched = visited(needed, begun.join(lanes_of, "block"))
     # A block whose home shard settled it has no lane.
-    ended = searched.unionByName(begun.drop("home"))
+    ended = searched.withColumn("begun", F.lit(False)).unionByName(begun.drop("home").withColumn("begun", F.lit(True)))
     return ended.groupBy("block").applyInArrow(_merge(k), "query_id long, rank int, vec_id long, score long")
-
-
-def brute_recall(found: DataFrame, truth: DataFrame) -> float:
-    """Share of the true rows (query_id, vec_id) that were found."""
-    kept = truth.join(found, ["query_id", "vec_id"], "left_semi").count()
-    return kept / max(1, truth.count())
