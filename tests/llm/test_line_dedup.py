@@ -18,20 +18,22 @@ def distance(a, b):
     return row[-1]
 
 
-def expected(rows, threshold=2, shortest=20, near=32):
-    lines = sorted((key, number, line) for key, text in rows for number, line in enumerate((text or "").encode().split(b"\n")))
+def expected(rows, threshold=2):
+    lines = sorted((key, number, line) for key, text in rows for number, line in enumerate((text or "").split("\n")))
     known, distinct, dropped = set(), [], {}
     for key, number, line in lines:
-        if len(line) < shortest:
+        if not line:
             continue
         if line in known:
             dropped[key, number] = "equal"
             continue
         known.add(line)
-        if len(line) >= near:
-            if any(abs(len(line) - len(other)) <= threshold and distance(line, other) <= threshold for other in distinct):
+        for other in distinct:
+            most = min(threshold, max(len(line), len(other)) // 5)
+            if most and abs(len(line) - len(other)) <= most and distance(line, other) <= most:
                 dropped[key, number] = "near"
-            distinct.append(line)
+                break
+        distinct.append(line)
     return dropped
 
 
@@ -52,7 +54,7 @@ def edited(draw, line, edits):
     out = list(line)
     for _ in range(edits):
         at = draw.randrange(len(out))
-        draw.choice((lambda: out.insert(at, draw.choice("xyé")), lambda: out.__setitem__(at, draw.choice("xyé")), lambda: out.pop(at)))()
+        draw.choice((lambda: out.insert(at, draw.choice("xyé語")), lambda: out.__setitem__(at, draw.choice("xyé語")), lambda: out.pop(at)))()
     return "".join(out)
 
 
@@ -68,6 +70,18 @@ def test_equals_brute_force(spark, block_bytes):
     assert {"equal", "near"} == set(dropped.values())
 
 
+def test_short_lines_and_other_scripts(spark):
+    draw = random.Random(11)
+    letters = "abcdeé學習中文的人很多了ж😀"
+    base = ["".join(draw.choice(letters) for _ in range(draw.randrange(1, 26))) for _ in range(60)]
+    rows = [(key, "\n".join(edited(draw, line, draw.choice((0, 0, 1, 2, 3))) if len(line) > 3 else line for line in draw.choices(base, k=5))) for key in range(50)]
+    rows += [(100, "Click here"), (101, "Click here"), (102, "Click hare"), (103, "12."), (104, "13."), (105, "我在學習中文而且我學了很久了因為我很喜歡這個語言"), (106, "我也在學習中文而且我學了很久了因為我很喜歡這個語言")]
+    dropped = compare(spark, rows)
+    assert dropped[101, 0] == "equal" and dropped[102, 0] == "near" and dropped[106, 0] == "near"
+    assert (103, 0) not in dropped and (104, 0) not in dropped
+    assert sum(kind == "near" for kind in dropped.values()) > 40
+
+
 def test_a_group_of_like_lines_goes_but_for_the_first(spark):
     rows = [(i, f"Page number {i} of this long report, which has a good many pages.") for i in range(150)]
     dropped = compare(spark, rows)
@@ -114,8 +128,8 @@ def test_a_very_long_line(spark):
 def test_banded_distance_equals_the_table():
     draw = random.Random(0)
     for _ in range(6_000):
-        a = bytes(draw.choice(b"abc") for _ in range(draw.randrange(14)))
-        b = bytes(draw.choice(b"abc") for _ in range(draw.randrange(14))) if draw.random() < 0.3 else edited(draw, a.decode() + "abc", draw.randrange(4)).encode()[: len(a) + 2]
+        a = "".join(draw.choice("abcé") for _ in range(draw.randrange(14)))
+        b = "".join(draw.choice("abc😀") for _ in range(draw.randrange(14))) if draw.random() < 0.3 else edited(draw, a + "abc", draw.randrange(4))[: len(a) + 2]
         for most in range(5):
             assert line_dedup.within(a, b, most) == (distance(a, b) <= most), (a, b, most)
 

@@ -47,8 +47,9 @@ def filter_layout(values: int) -> Layout:
 
 def exact_layout(values: int) -> Layout:
     """All 64 bits of the hash."""
-    ranges = min(16, max(0, math.ceil(math.log2(max(1, values / RANGE_VALUES)))))
-    return Layout(ranges, 64, 6)
+    ranges = max(0, math.ceil(math.log2(max(1, values / RANGE_VALUES))))
+    # The range and the bucket hold the bits that are not stored.
+    return Layout(ranges, 64, 6 if ranges <= 16 else 5)
 
 
 def pack(block: int, values: np.ndarray, layout: Layout) -> pa.RecordBatch:

@@ -1,17 +1,21 @@
 """Line dedup: lines that another line, equal or within a few edits, precedes.
 
-Two lines within ``threshold`` edits share a segment: cut the shorter one into
-threshold + 1 segments, and one of them stands unharmed in the other, shifted
-by no more than the edits around it allow. So
+Lines are near if a fifth of the longer one's characters may change, and no more
+than ``threshold``: none of up to four characters, one of five to nine, two from
+ten on. One rule holds for all lengths, and edits are those of characters.
 
-1. every line sends the hashes of its segments and of the substrings in which
-   segments of lines up to ``threshold`` bytes shorter may stand, each with that
-   length and the segment's number;
+Two lines within k edits share a segment: cut the shorter one into k + 1
+segments, and one of them stands unharmed in the other, shifted by no more than
+the edits around it allow. So
+
+1. every line sends the hashes of its segments, for each k that a longer line may
+   allow, and of the substrings in which segments of lines up to k characters
+   shorter may stand, each with that length, k and the segment's number;
 2. hashes that occur in one line only are discarded, by packed sets that answer
    one bit per hash; exact copies are found the same way, by whole lines;
 3. lines that kept a hash meet by it, segments on one side and substrings on
-   the other; pairs whose byte counts differ by more than the edits can change
-   are passed over;
+   the other; pairs whose character counts differ by more than the edits can
+   change are passed over;
 4. what is left is verified by a banded bit-parallel edit distance.
 
 A line needs one earlier neighbour to go. The earliest candidates are verified
@@ -35,11 +39,9 @@ from tidemark.llm import hashsets, kernels
 from tidemark.llm.blocks import Texts, block_bounds, block_of
 from tidemark.session import cut_lineage
 
-#: Shortest lines, in bytes, of which copies and near copies go.
-SHORTEST = 20
-SHORTEST_NEAR = 32
-#: Edits, in bytes of UTF-8.
+#: Edits of characters, at most, and characters of the longer line for each.
 THRESHOLD = 2
+PER_EDIT = 5
 
 #: Parts of the second set are numbered from here on.
 _KEYS_FROM = 1 << 32
@@ -49,9 +51,14 @@ _BUCKET = (kernels.mix(np.arange(256, dtype=np.uint64)) % np.uint64(_BUCKETS)).a
 LINES = "id long, no int, hash long, text binary, bag binary, segments array<long>, probes array<long>"
 
 
-def within(left: bytes, right: bytes, most: int) -> bool:
-    """Whether at most ``most`` insertions, deletions and replacements of bytes
-    turn one line into the other.
+def allowed(length: int, threshold: int) -> int:
+    """Edits that a line of this many characters allows a line no longer than it."""
+    return min(threshold, length // PER_EDIT)
+
+
+def within(left: str, right: str, most: int) -> bool:
+    """Whether at most ``most`` insertions, deletions and replacements of
+    characters turn one line into the other.
 
     After what both ends share, vertical differences of the table are kept as
     bits, for a band of 2 * most + 1 rows that moves down with the columns.
@@ -59,24 +66,24 @@ def within(left: bytes, right: bytes, most: int) -> bool:
     if abs(len(left) - len(right)) > most:
         return False
     size = min(len(left), len(right))
-    off = int.from_bytes(left[:size], "little") ^ int.from_bytes(right[:size], "little")
-    head = ((off & -off).bit_length() - 1) // 8 if off else size
+    off = int.from_bytes(left[:size].encode("utf-32-le"), "little") ^ int.from_bytes(right[:size].encode("utf-32-le"), "little")
+    head = ((off & -off).bit_length() - 1) // 32 if off else size
     left, right, size = left[head:], right[head:], size - head
-    off = int.from_bytes(left[len(left) - size :], "big") ^ int.from_bytes(right[len(right) - size :], "big")
-    tail = ((off & -off).bit_length() - 1) // 8 if off else size
+    off = int.from_bytes(left[len(left) - size :].encode("utf-32-be"), "big") ^ int.from_bytes(right[len(right) - size :].encode("utf-32-be"), "big")
+    tail = ((off & -off).bit_length() - 1) // 32 if off else size
     left, right = left[: len(left) - tail], right[: len(right) - tail]
     if not left or not right:
         return len(left) + len(right) <= most
-    rows: dict[int, int] = {}
-    for place, byte in enumerate(left):
-        rows[byte] = rows.get(byte, 0) | 1 << place
+    rows: dict[str, int] = {}
+    for place, letter in enumerate(left):
+        rows[letter] = rows.get(letter, 0) | 1 << place
     width, n = 2 * most + 1, len(left)
     whole = (1 << width) - 1
     rises, falls = whole >> most << most, 0
     score = min(most, n)
-    for column, byte in enumerate(right, 1):
+    for column, letter in enumerate(right, 1):
         shift = column - most - 1
-        held = rows.get(byte, 0)
+        held = rows.get(letter, 0)
         match = (held >> shift if shift >= 0 else held << -shift) & whole
         level = ((((match & rises) + rises) ^ rises) | match | falls) & whole
         up = (falls | ~(level | rises)) & whole
@@ -103,38 +110,58 @@ def cut_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def _segment(lengths: np.ndarray, number: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and size of a segment (from 0) of lines of these lengths; the last
-    ones are a byte longer where the length does not divide."""
+    ones are a character longer where the length does not divide."""
     size, longer = lengths // parts, lengths % parts
     extra = np.maximum(0, number - (parts - longer))
     return size * number + extra, size + (number >= parts - longer)
 
 
-def _keys(sums: np.ndarray, starts: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, number: int) -> np.ndarray:
-    return kernels.mix(kernels.range_hashes(sums, starts, starts + sizes) ^ kernels.mix((lengths * 64 + number).astype(np.uint64)))
+class Letters:
+    """The characters of a piece: where each begins, and the hashes of its ranges."""
+
+    def __init__(self, data: np.ndarray, sums: np.ndarray) -> None:
+        self.sums = sums
+        self.bytes = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+
+    def of(self, places: np.ndarray) -> np.ndarray:
+        """The number of the character that begins at a byte."""
+        return np.searchsorted(self.bytes, places)
 
+    def keys(self, starts: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, edits: int, number: int) -> np.ndarray:
+        hashes = kernels.range_hashes(self.sums, self.bytes[starts], self.bytes[starts + sizes])
+        return kernels.mix(hashes ^ kernels.mix(((lengths * 16 + edits) * 64 + number).astype(np.uint64)))
 
-def line_keys(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, threshold: int, shortest: int) -> tuple[list[np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
-    """Keys of the segments, and of the probes as (lines, keys)."""
-    lengths, parts = ends - starts, threshold + 1
-    segments = []
-    for number in range(parts):
-        at, size = _segment(lengths, number, parts)
-        segments.append(_keys(sums, starts + at, size, lengths, number))
-    probes = []
-    for less in range(threshold + 1):
-        lines = np.flatnonzero(lengths - less >= shortest)
-        shorter = lengths[lines] - less
+
+#: Lines and their keys.
+Found = tuple[np.ndarray, np.ndarray]
+
+
+def line_keys(letters: Letters, starts: np.ndarray, ends: np.ndarray, threshold: int) -> tuple[list[Found], list[Found]]:
+    """Keys of the segments and of the probes of lines between bytes, by number of edits."""
+    first = letters.of(starts)
+    lengths = letters.of(ends) - first
+    segments, probes = [], []
+    for edits in range(1, threshold + 1):
+        parts = edits + 1
+        # The longer line allows this many edits, and the shorter is that much shorter at most.
+        least, most = PER_EDIT * edits, PER_EDIT * (edits + 1) - 1 if edits < threshold else np.iinfo(np.int64).max
+        own = np.flatnonzero((lengths >= least - edits) & (lengths <= most))
         for number in range(parts):
-            at, size = _segment(shorter, number, parts)
-            # Edits before the segment move it by their number at most, and so do
-            # those behind it, counted from the end.
-            low = max(-number, less - (threshold - number))
-            high = min(number, less + (threshold - number))
-            for move in range(low, high + 1):
-                start = at + move
-                fits = (start >= 0) & (start + size <= lengths[lines])
-                own = lines[fits]
-                probes.append((own, _keys(sums, starts[own] + start[fits], size[fits], shorter[fits], number)))
+            at, size = _segment(lengths[own], number, parts)
+            segments.append((own, letters.keys(first[own] + at, size, lengths[own], edits, number)))
+        lines = np.flatnonzero((lengths >= least) & (lengths <= most))
+        for less in range(edits + 1):
+            shorter = lengths[lines] - less
+            for number in range(parts):
+                at, size = _segment(shorter, number, parts)
+                # Edits before the segment move it by their number at most, and so do
+                # those behind it, counted from the end.
+                low = max(-number, less - (edits - number))
+                high = min(number, less + (edits - number))
+                for move in range(low, high + 1):
+                    start = at + move
+                    fits = (start >= 0) & (start + size <= lengths[lines])
+                    probes.append((lines[fits], letters.keys(first[lines[fits]] + start[fits], size[fits], shorter[fits], edits, number)))
     return segments, probes
 
 
@@ -155,24 +182,25 @@ class _Lines(Texts):
             sums = kernels.prefix_sums(data)
             yield at, data, sums, starts, ends, rows + at, numbers
 
-    def line_hashes(self, shortest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, number and hash of the lines that are long enough."""
+    def line_hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, number and hash of the lines that are not empty."""
         out: list[list[np.ndarray]] = [[], [], []]
         for _, _, sums, starts, ends, rows, numbers in self.parts():
-            fit = np.flatnonzero((ends - starts >= shortest) & ~self.skip[rows])
+            fit = np.flatnonzero((ends > starts) & ~self.skip[rows])
             for held, values in zip(out, (rows[fit], numbers[fit], kernels.range_hashes(sums, starts[fit], ends[fit])), strict=True):
                 held.append(values)
         return tuple(kernels.joined(held, kind) for held, kind in zip(out, (np.int64, np.int64, np.uint64), strict=True))
 
-    def key_sets(self, threshold: int, shortest: int, layout: hashsets.Layout) -> tuple[np.ndarray, np.ndarray]:
+    def key_sets(self, threshold: int, layout: hashsets.Layout) -> tuple[np.ndarray, np.ndarray]:
         """The sorted keys of the block, and whether more than one line text has each."""
         keys, owners = [], []
-        for _, _, sums, starts, ends, rows, _ in self.parts():
-            fit = np.flatnonzero((ends - starts >= shortest) & ~self.skip[rows])
+        for _, data, sums, starts, ends, rows, _ in self.parts():
+            fit = np.flatnonzero((ends > starts) & ~self.skip[rows])
             hashes = kernels.range_hashes(sums, starts[fit], ends[fit])
-            segments, probes = line_keys(sums, starts[fit], ends[fit], threshold, shortest)
-            keys += [*segments, *(held for _, held in probes)]
-            owners += [*(hashes for _ in segments), *(hashes[lines] for lines, _ in probes)]
+            segments, probes = line_keys(Letters(data, sums), starts[fit], ends[fit], threshold)
+            for lines, held in [*segments, *probes]:
+                keys.append(held)
+                owners.append(hashes[lines])
         cut, owner = layout.cut(kernels.joined(keys, np.uint64)), kernels.joined(owners, np.uint64)
         order = np.argsort(cut)
         cut, owner = cut[order], owner[order]
@@ -182,12 +210,12 @@ class _Lines(Texts):
         return cut[first], np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
 
 
-def _send(threshold: int, shortest: int, near: int, lines: hashsets.Layout, keys: hashsets.Layout):
+def _send(threshold: int, lines: hashsets.Layout, keys: hashsets.Layout):
     def send(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         block = _Lines(table, None)
-        _, _, hashes = block.line_hashes(shortest)
+        _, _, hashes = block.line_hashes()
         whole = hashsets.pack(block.number, kernels.distinct(hashes), lines)
-        cut, _ = block.key_sets(threshold, near, keys)
+        cut, _ = block.key_sets(threshold, keys)
         parts = hashsets.pack(block.number, cut, keys)
         moved = pa.array(parts.column(0).to_numpy() + _KEYS_FROM, pa.int64())
         return pa.Table.from_batches([whole, parts.set_column(0, "part", moved)])
@@ -204,12 +232,12 @@ def _answer(lines: hashsets.Layout, keys: hashsets.Layout):
     return answer
 
 
-def _keep(threshold: int, shortest: int, near: int, layout: hashsets.Layout):
+def _keep(threshold: int, layout: hashsets.Layout):
     """Rows of LINES: lines to drop (without text) and lines that share a key."""
 
     def keep(key: tuple[pa.Scalar, ...], table: pa.Table, notes: pa.Table) -> pa.Table:
         block = _Lines(table, notes)
-        rows, numbers, hashes = block.line_hashes(shortest)
+        rows, numbers, hashes = block.line_hashes()
         order = np.argsort(hashes)
         first = kernels.firsts(hashes[order])
         group = np.empty(len(hashes), dtype=np.int64)
@@ -222,7 +250,7 @@ def _keep(threshold: int, shortest: int, near: int, layout: hashsets.Layout):
         earlier = block.answers(False, len(first))
         gone = earlier[group] | (least[group] < rank)
         gone_at = set(zip(rows[gone].tolist(), numbers[gone].tolist(), strict=True))
-        cut, twice = block.key_sets(threshold, near, layout)
+        cut, twice = block.key_sets(threshold, layout)
         shared = block.answers(True, len(cut)) | twice
         wanted = cut[shared]
         out: dict[str, list] = {name: [] for name in ("id", "no", "hash", "text", "bag", "segments", "probes")}
@@ -235,12 +263,13 @@ def _keep(threshold: int, shortest: int, near: int, layout: hashsets.Layout):
             add(id=int(block.ids[at]), no=number, hash=digest)
         seen: set[tuple[int, int, int]] = set()
         for _, data, sums, starts, ends, own_rows, own_numbers in block.parts():
-            fit = np.flatnonzero((ends - starts >= near) & ~block.skip[own_rows])
+            fit = np.flatnonzero((ends > starts) & ~block.skip[own_rows])
             stays = [(row, number) not in gone_at for row, number in zip(own_rows[fit].tolist(), own_numbers[fit].tolist(), strict=True)]
             fit = fit[np.array(stays, dtype=bool)]
-            segments, probes = line_keys(sums, starts[fit], ends[fit], threshold, near)
+            letters = Letters(data, sums)
+            segments, probes = line_keys(letters, starts[fit], ends[fit], threshold)
             found_segments, found_probes = [[] for _ in fit], [[] for _ in fit]
-            for lines, keys, found in [*((np.arange(len(fit)), held, found_segments) for held in segments), *((*held, found_probes) for held in probes)]:
+            for lines, keys, found in [*((*held, found_segments) for held in segments), *((*held, found_probes) for held in probes)]:
                 spot = np.minimum(np.searchsorted(wanted, layout.cut(keys)), max(0, len(wanted) - 1))
                 hit = np.flatnonzero(wanted[spot] == layout.cut(keys)) if len(wanted) else np.zeros(0, np.int64)
                 for line, value in zip(lines[hit].tolist(), keys[hit].view(np.int64).tolist(), strict=True):
@@ -249,9 +278,11 @@ def _keep(threshold: int, shortest: int, near: int, layout: hashsets.Layout):
             if not len(some):
                 continue
             chosen = fit[some]
-            sizes = ends[chosen] - starts[chosen]
-            bytes_ = data[kernels.repeat_ranges(starts[chosen], sizes)]
-            counts = np.bincount(np.repeat(np.arange(len(chosen)), sizes) * _BUCKETS + _BUCKET[bytes_], minlength=len(chosen) * _BUCKETS)
+            first_letter = letters.of(starts[chosen])
+            sizes = letters.of(ends[chosen]) - first_letter
+            # A character counts by its last byte, so that an edit changes two counts.
+            last_bytes = data[letters.bytes[kernels.repeat_ranges(first_letter, sizes) + 1] - 1]
+            counts = np.bincount(np.repeat(np.arange(len(chosen)), sizes) * _BUCKETS + _BUCKET[last_bytes], minlength=len(chosen) * _BUCKETS)
             bags = counts.astype(np.uint8).reshape(-1, _BUCKETS)
             digests = kernels.range_hashes(sums, starts[chosen], ends[chosen]).view(np.int64)
             for spot, line in enumerate(chosen.tolist()):
@@ -326,10 +357,13 @@ def _ranks(sorted_values: np.ndarray) -> np.ndarray:
 
 
 def _verify(threshold: int):
+    def near(left: str, right: str) -> bool:
+        return within(left, right, allowed(max(len(left), len(right)), threshold))
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = zip(batch.column(batch.schema.get_field_index("later_text")).to_pylist(), batch.column(batch.schema.get_field_index("text")).to_pylist(), strict=True)
-            sure = pa.array([within(left, right, threshold) for left, right in texts], pa.bool_())
+            sure = pa.array([near(left.decode(), right.decode()) for left, right in texts], pa.bool_())
             columns = [batch.column(batch.schema.get_field_index(name)) for name in ("later_id", "later_no", "later_hash", "more")]
             yield pa.RecordBatch.from_arrays([*columns, sure], names=["id", "no", "hash", "more", "near"])
 
@@ -464,35 +498,34 @@ def _edit(names: list[str], text: str):
     return edit
 
 
-def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, shortest: int = SHORTEST, shortest_near: int = SHORTEST_NEAR, block_bytes: int = 8 << 20
-) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, block_bytes: int = 8 << 20) -> DataFrame:
     """All columns of ``docs`` and n_lines, dropped (numbers of the lines taken out,
     from 0), n_near (how many of them have no equal line before them) and kept
     (the text of the others).
 
-    A line of ``shortest`` bytes or more goes if an equal line stands under a
-    smaller id or further up; one of ``shortest_near`` bytes or more also if such
-    a line is within ``threshold`` edits, both being that long. The order is that
-    of (id, line number). Shorter and empty lines stay. Null text is one empty line
-    and comes back as empty text. Rows without an id take no part. Columns of
+    A line goes if an equal line stands under a smaller id or further up, or one
+    within ``threshold`` edits of characters and a fifth of the longer line's
+    characters; so lines of up to four characters go for equal ones only. The
+    order is that of (id, line number). Empty lines stay. Null text is one empty
+    line and comes back as empty text. Rows without an id take no part. Columns of
     ``docs`` named like a result are replaced.
     """
-    if shortest_near < 4 * (threshold + 1) or shortest_near < shortest:
-        raise ValueError("Near lines must be longer than four times the edits, and than the shortest line.")
+    if not 0 < threshold < PER_EDIT - 1:
+        raise ValueError(f"The edits must be under {PER_EDIT - 1}.")
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     # Rows without an id need no block.
     rows = docs.select(docs[id_col].cast("long").alias("id"), text.alias("text")).where("id IS NOT NULL")
     sizes = rows.select("id", F.octet_length("text").cast("long").alias("size"))
-    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).collect()[0].bytes
+    breaks = F.octet_length("text") - F.octet_length(F.translate("text", "\n", ""))
+    total = rows.agg(F.coalesce(F.sum(breaks + 1), F.lit(0)).alias("lines")).collect()[0].lines
     blocks = rows.withColumn("block", block_of(F.col("id"), block_bounds(sizes, block_bytes)))
-    # A line of the shortest length or more has 15 keys with two edits.
+    # A line of ten characters or more has 15 keys with two edits.
     per_line = (threshold + 1) * (threshold + 2) * (threshold + 3) // 4
-    lines_layout = hashsets.exact_layout(max(2, total // (4 * shortest)))
-    keys_layout = hashsets.filter_layout(max(2, total * per_line // (6 * shortest_near)))
-    sent = blocks.groupBy("block").applyInArrow(_send(threshold, shortest, shortest_near, lines_layout, keys_layout), hashsets.PACKED)
+    lines_layout = hashsets.exact_layout(max(2, total))
+    keys_layout = hashsets.filter_layout(max(2, total * per_line))
+    sent = blocks.groupBy("block").applyInArrow(_send(threshold, lines_layout, keys_layout), hashsets.PACKED)
     notes = sent.groupBy("part").applyInArrow(_answer(lines_layout, keys_layout), hashsets.ANSWER)
-    kept = blocks.groupBy("block").cogroup(notes.groupBy("block")).applyInArrow(_keep(threshold, shortest, shortest_near, keys_layout), LINES)
+    kept = blocks.groupBy("block").cogroup(notes.groupBy("block")).applyInArrow(_keep(threshold, keys_layout), LINES)
     stored = cut_lineage(kept, "lines")
     near = near_lines(stored.where("text IS NOT NULL"), threshold)
     gone = stored.where("text IS NULL").select("id", "no", "hash", F.lit(False).alias("near")).unionByName(near.withColumn("near", F.lit(True)))
