@@ -7,6 +7,9 @@ the columns of documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +20,33 @@ from tidemark.session import cut_lineage
 __all__ = ["ORACLE_SQL", "QUERIES", "STAGES", "run"]
 
 
+#: Columns the stages read or write; any other is carried along untouched.
+DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _aside(stage: Stage) -> Stage:
+    """The other columns go through a stage under names of their own, whatever the
+    operator calls its results."""
+
+    @wraps(stage)
+    def run_aside(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        held = {name: name if name in DOCUMENTS else f"__own_{place}" for place, name in enumerate(docs.columns)}
+        out = stage(spark, docs.toDF(*held.values()), sf_dir)
+        return out.select(*(F.col(own).alias(name) for name, own in held.items()))
+
+    return run_aside
+
+
+@_aside
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go: those that score below 0.7."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score_quality(docs, model).where("predicted = 1").select(*docs.columns)
 
 
+@_aside
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an equal or near line precedes go; every document stays, if
     need be without text."""
@@ -34,11 +58,13 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return held.withColumns(changed).select(*docs.columns)
 
 
+@_aside
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts of similar shingles the smallest id stays."""
     return jaccard_join.one_of_each(docs, jaccard_join.join_classes(docs))
 
 
+@_aside
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go of which a twentieth or more lies in benchmark windows."""
     marked = decontaminate.mark_contaminated(docs, table(spark, sf_dir, "benchmark"))
