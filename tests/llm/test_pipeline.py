@@ -72,6 +72,33 @@ def test_benchmark_stage_drops_what_the_rule_names(spark, documents):
     assert kept.columns == COLUMNS and {row.doc_id for row in kept.collect()} == clean
 
 
+#: What the operators call their results and helpers.
+_TAKEN = "id score predicted n_lines dropped n_near kept contaminated n_words hits items class_id n_links n_shingles component block digest hash __id __drops __text __part held.out"
+
+
+def test_stages_keep_columns_named_like_results(spark, documents):
+    names = _TAKEN.split()
+    given = documents.select("*", *(F.concat(F.lit(f"{name} "), F.col("doc_id").cast("string")).alias(name) for name in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain = {row.doc_id: row for row in stage(spark, documents, FOLDER).collect()}
+        out = stage(spark, given, FOLDER)
+        assert out.columns == given.columns, name
+        rows = out.collect()
+        assert {row.doc_id for row in rows} == set(plain), name
+        for row in rows:
+            assert tuple(row)[: len(COLUMNS)] == tuple(plain[row.doc_id]) and list(row)[len(COLUMNS) :] == [f"{own} {row.doc_id}" for own in names], name
+
+
+def test_stages_take_null_and_repeated_ids(spark, documents):
+    base = " ".join(f"word{i}" for i in range(400))
+    rows = [(None, base, None, None, None), (None, base, None, None, None), (5, base, "en", "s", 1), (5, base, "en", "s", 1), (6, base * 200, "en", "s", 1), (7, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, documents.schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, FOLDER).collect()
+        assert len(found) <= len(rows) and {row.doc_id for row in found} <= {None, 5, 6, 7}, name
+    assert corpus_pipeline.to_tokens(spark, docs, FOLDER).count() == len(rows)
+
+
 def test_stages_take_empty_tables(spark, documents):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, documents.where(F.lit(False)), FOLDER)
