@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -17,17 +18,13 @@ from tidemark.constants import (
     Y,
 )
 from tidemark.functions.dates import add_periods
-from tidemark.operators import backtest, diagnostics, intervals, models, selection, smoothing, validation
+from tidemark.operators import backtest, diagnostics, forecasters, intervals, selection, validation
 from tidemark.operators.calendar import align_calendar
 from tidemark.operators.hierarchy import bottom_up
 from tidemark.operators.preparation import prepare
 from tidemark.session import cut_lineage
 
-#: The candidates of a leaf, simplest first (fixed values).
-ROSTER = ("naive", "seasonal_naive", "theta", "holt_winters", "croston")
-#: The longer roster of a single run.
-FULL_ROSTER = ("naive", "seasonal_naive", "holt_winters", "ets", "theta", "croston")
-INTERMITTENT = ("intermittent", "lumpy")
+ROSTER, FULL_ROSTER, INTERMITTENT = forecasters.LEAF_ROSTER, forecasters.FULL_ROSTER, forecasters.RARE
 
 
 @dataclass(frozen=True)
@@ -49,9 +46,9 @@ def forecast_windows(
     fill: str = "none",
     sigmas: float | None = None,
     max_folds: int | None = None,
-    with_ets: bool = False,
+    roster: Sequence[str] = ROSTER,
 ) -> DataFrame:
-    """Every training window with its shape and the path of each model.
+    """Every training window with its shape and ``paths``, one of each of the roster.
 
     A window's season and trend are measured in the window itself; only the
     plan of cuts uses the whole history.
@@ -70,9 +67,8 @@ def forecast_windows(
         backtest.fold_rows(planned), fill=fill, sigmas=sigmas, season=SEASON[frequency]
     )
     shaped = diagnostics.spread_out(windows, [SERIES_ID, "fold"]).withColumn("shape", diagnostics.shape_column(F.col("train"), frequency))
-    fitted = models.add_croston(diagnostics.spread_out(cut_lineage(shaped, "shapes"), [SERIES_ID, "fold"]))
-    steps = F.greatest("test_horizon", F.lit(horizon))
-    fitted = fitted.withColumn("smooth", smoothing.smoothing_paths(F.col("train"), F.col("shape"), steps, with_ets=with_ets))
+    shaped = diagnostics.spread_out(cut_lineage(shaped, "shapes"), [SERIES_ID, "fold"])
+    fitted = forecasters.add_paths(shaped, roster, frequency, F.greatest("test_horizon", F.lit(horizon)))
     described = known.select(SERIES_ID, F.col("period").alias("full_period"), F.col("has_season").alias("full_season"), "demand_class")
     return cut_lineage(fitted.join(described, SERIES_ID), "windows")
 
@@ -81,30 +77,11 @@ def _season(frequency: str) -> Column:
     return F.when(F.col("period") > 1, F.col("period")).otherwise(SEASON[frequency])
 
 
-def paths_of(windows: DataFrame, horizon: int, frequency: str) -> dict[str, Column]:
-    train, steps = F.col("train"), F.greatest("test_horizon", F.lit(horizon))
-    period = F.when(F.col("shape.period") > 1, F.col("shape.period")).otherwise(
-        F.least(F.size("train"), F.lit(SEASON[frequency]))
-    )
-    trend = F.col("shape.has_trend")
-    return {
-        "naive": models.naive(train, steps, trend),
-        "seasonal_naive": models.seasonal_naive(train, steps, F.greatest(period, F.lit(1)), trend),
-        "theta": F.col("smooth.theta"),
-        "holt_winters": F.col("smooth.holt_winters"),
-        "ets": F.col("smooth.ets"),
-        "croston": models.flat(F.when(F.size("train") >= 8, F.col("croston.rate")), steps),
-    }
-
-
 def rate_candidates(
-    windows: DataFrame, horizon: int, frequency: str, *, roster=ROSTER, level: float = CONFIDENCE
+    windows: DataFrame, *, roster: Sequence[str] = ROSTER, level: float = CONFIDENCE
 ) -> tuple[DataFrame, DataFrame]:
     """Backtest rows of all candidates, and their scores with one selected."""
-    paths = paths_of(windows, horizon, frequency)
-    rows = cut_lineage(
-        backtest.backtest_rows(windows, {name: paths[name] for name in roster}), "backtest"
-    )
+    rows = cut_lineage(backtest.backtest_rows(windows, forecasters.paths_of(roster)), "backtest")
     scores = backtest.score_models(rows, backtest.scale_rows(windows), level=level)
     final = windows.filter(F.col("fold") == backtest.FINAL_FOLD).select(SERIES_ID, "n", "demand_class")
     rated = scores.join(final, SERIES_ID)
@@ -126,6 +103,7 @@ def run_fanout(
     max_folds: int | None = None,
     min_history: int | None = None,
     hierarchy_depth: int = 0,
+    roster: Sequence[str] = ROSTER,
 ) -> FanOut:
     """Forecast rows series_id, ds, y, y_lower, y_upper, model, route.
 
@@ -137,31 +115,17 @@ def run_fanout(
     report = cut_lineage(validation.validate_panel(panel, frequency, min_history=min_history), "report")
     routes = report.select(SERIES_ID, "status", "route")
     accepted = panel.join(routes.filter(F.col("status") != "reject").select(SERIES_ID), SERIES_ID, "left_semi")
-    windows = forecast_windows(accepted, frequency, horizon, fill=fill, sigmas=sigmas, max_folds=max_folds)
-    rows, candidates = rate_candidates(windows, horizon, frequency, level=level)
+    windows = forecast_windows(accepted, frequency, horizon, fill=fill, sigmas=sigmas, max_folds=max_folds, roster=roster)
+    rows, candidates = rate_candidates(windows, roster=roster, level=level)
 
     final = windows.filter(F.col("fold") == backtest.FINAL_FOLD).join(routes, SERIES_ID)
     winners = candidates.filter("selected").select(SERIES_ID, F.col("model").alias("winner"))
-    paths = paths_of(final, horizon, frequency)
-    chosen = F.lit(None).cast("array<double>")
-    for name in ROSTER:
-        chosen = F.when(F.col("winner") == name, paths[name]).otherwise(chosen)
+    chosen = forecasters.path_by_name(roster, F.col("winner"))
     needed = diagnostics.minimum_history(F.col("full_season"), F.col("full_period"), frequency)
     fits = (F.col("route") == "model") & F.col("whole") & (F.size("train") >= needed) & (F.col("n_folds") > 0)
     placed = final.join(winners, SERIES_ID, "left").withColumn("_own", F.when(fits, chosen))
     # Holes a run was asked not to fill count as nothing for a baseline.
-    history = F.transform("train", lambda v: F.coalesce(v, F.lit(0.0)))
-    rare = F.col("demand_class").isin(*INTERMITTENT, "no_demand")
-    fallback = F.when(rare, "croston").when(F.size("train") >= 2 * SEASON[frequency], "seasonal_naive").otherwise("naive")
-    steps = F.lit(horizon)
-    plain = {
-        "croston": models.flat(F.col("croston.rate"), steps),
-        "seasonal_naive": models.seasonal_naive(history, steps, F.lit(SEASON[frequency])),
-        "naive": models.naive(history, steps),
-    }
-    baseline = F.lit(None).cast("array<double>")
-    for name, path in plain.items():
-        baseline = F.when(fallback == name, path).otherwise(baseline)
+    fallback, baseline = forecasters.fallback(F.col("demand_class"), frequency, F.lit(horizon))
     settled = placed.select(
         SERIES_ID,
         "last_ds",

@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.constants import CONFIDENCE, DS, FREQUENCIES, INTERMITTENT_WEIGHTS, METRIC_WEIGHTS, SERIES_ID, Y
+from tidemark.constants import CONFIDENCE, DS, ENSEMBLE_MEMBERS, FREQUENCIES, INTERMITTENT_WEIGHTS, METRIC_WEIGHTS, SERIES_ID, Y
 from tidemark.functions.columns import require
 from tidemark.functions.dates import add_periods
-from tidemark.operators import backtest, fanout, intervals, models, selection
+from tidemark.operators import backtest, fanout, forecasters, intervals, models, selection
 from tidemark.operators.aggregate import AGGREGATIONS
 from tidemark.session import cut_lineage
 
@@ -34,7 +34,7 @@ class RunConfig:
     drivers: tuple[str, ...] = ()
     aggregation: str = "sum"
     metric_weights: dict[str, float] | None = None
-    models: tuple[str, ...] = fanout.FULL_ROSTER
+    models: tuple[str, ...] = forecasters.FULL_ROSTER
 
 
 def check_config(config: RunConfig, rows: DataFrame) -> RunConfig:
@@ -56,9 +56,7 @@ def check_config(config: RunConfig, rows: DataFrame) -> RunConfig:
         raise ValueError("The target must hold numbers.")
     if config.frequency not in FREQUENCIES or config.aggregation not in AGGREGATIONS or config.horizon < 1:
         raise ValueError("Unknown frequency or aggregation, or a horizon below one.")
-    unknown = [m for m in config.models if m not in fanout.FULL_ROSTER]
-    if unknown or not config.models:
-        raise ValueError(f"Unknown models: {', '.join(unknown) or 'none given'}.")
+    forecasters.named(config.models)
     if config.metric_weights is not None:
         selection.check_weights(config.metric_weights)
     return config
@@ -74,17 +72,6 @@ class Run:
     errors: DataFrame
 
 
-def roster_for(demand_class: Column, requested: Sequence[str]) -> Column:
-    """The requested models a demand class may reach; a baseline always may."""
-    from tidemark.operators.diagnostics import ROUTES
-
-    out = F.array(*[F.lit(m) for m in requested])
-    for name, route in ROUTES.items():
-        allowed = [m for m in requested if m in route[0]] or ["naive"]
-        out = F.when(demand_class == name, F.array(*[F.lit(m) for m in allowed])).otherwise(out)
-    return out
-
-
 def run_forecast(
     panel: DataFrame,
     frequency: str,
@@ -93,28 +80,30 @@ def run_forecast(
     level: float = CONFIDENCE,
     fill: str = "auto",
     sigmas: float | None = None,
-    requested: Sequence[str] = fanout.FULL_ROSTER,
+    requested: Sequence[str] = forecasters.FULL_ROSTER,
     weights: dict[str, float] | None = None,
+    members: int = ENSEMBLE_MEMBERS,
 ) -> Run:
     """The whole roster and its blend for every series of a panel.
 
     A series whose demand class rules a model out does not score it. The blend
-    stands beside its members and is offered only if it beats the best of them.
+    stands beside its members, the best ``members`` of a series, and is offered
+    only if it beats the best of them.
     """
-    windows = fanout.forecast_windows(panel, frequency, horizon, fill=fill, sigmas=sigmas, with_ets="ets" in requested)
-    paths = fanout.paths_of(windows, horizon, frequency)
-    rows = backtest.backtest_rows(windows, {name: paths[name] for name in requested})
+    windows = fanout.forecast_windows(panel, frequency, horizon, fill=fill, sigmas=sigmas, roster=requested)
+    paths = forecasters.paths_of(requested)
+    rows = backtest.backtest_rows(windows, paths)
     classes = windows.filter(F.col("fold") == backtest.FINAL_FOLD).select(SERIES_ID, "n", "demand_class")
-    allowed = roster_for(F.col("demand_class"), requested)
+    allowed = forecasters.allowed(F.col("demand_class"), requested)
     rows = rows.join(classes.select(SERIES_ID, allowed.alias("_allowed")), SERIES_ID)
     rows = cut_lineage(rows.filter(F.array_contains("_allowed", F.col("model"))).drop("_allowed"), "backtest")
     scales = backtest.scale_rows(windows)
     scores = cut_lineage(backtest.score_models(rows, scales, level=level), "scores")
-    blended = cut_lineage(selection.blend_backtest(rows, scores), "blend")
+    blended = cut_lineage(selection.blend_backtest(rows, scores, members=members), "blend")
     kept = selection.blend_worth_keeping(backtest.score_models(blended, scales, level=level), scores)
     rated = scores.unionByName(kept).join(classes, SERIES_ID)
     roster = [*requested, "ensemble"]
-    rare = F.col("demand_class").isin(*fanout.INTERMITTENT)
+    rare = F.col("demand_class").isin(*forecasters.RARE)
     if weights is None:
         chosen = selection.select_models(rated.filter(~rare), roster, weights=METRIC_WEIGHTS).unionByName(
             selection.select_models(rated.filter(rare), roster, weights=INTERMITTENT_WEIGHTS)
@@ -137,7 +126,7 @@ def run_forecast(
     ).select(SERIES_ID, "winner", "last_ds", "volatility", "non_negative", "m.*").filter(F.col("path").isNotNull())
     stepped = each.select("*", F.posexplode("path").alias("_i", "y")).withColumn("step", F.col("_i") + 1).drop("_i", "path")
     member = scores.select(SERIES_ID, "model", "mae").join(
-        _members(scores), [SERIES_ID, "model"], "left_semi"
+        selection.blend_members(scores, members), [SERIES_ID, "model"], "left_semi"
     )
     weighed = stepped.join(member, [SERIES_ID, "model"], "left")
     share = 1 / F.greatest(F.col("mae"), F.lit(1e-9))
@@ -177,18 +166,11 @@ def run_forecast(
     return Run(points, chosen, facts, won, judged.select(SERIES_ID, reason.alias("reason")))
 
 
-def _members(scores: DataFrame, most: int = 4) -> DataFrame:
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(SERIES_ID).orderBy("mae", "model")
-    usable = scores.filter(~F.col("failed") & F.col("wmape").isNotNull())
-    return usable.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most).select(SERIES_ID, "model")
-
-
 def fitted_values(panel: DataFrame, winners: DataFrame, period: int) -> DataFrame:
     """In-sample values of series won by a lag model, for anomaly checks."""
     lagged = models.in_sample(panel, period).withColumnRenamed("fitted", "_season")
     both = models.in_sample(lagged, 1)
     joined = both.join(winners.select(SERIES_ID, "model"), SERIES_ID)
-    fitted = F.when(F.col("model") == "seasonal_naive", F.col("_season")).when(F.col("model") == "naive", F.col("fitted"))
+    one, season = forecasters.baselines()[:2]
+    fitted = F.when(F.col("model") == season, F.col("_season")).when(F.col("model") == one, F.col("fitted"))
     return joined.select(SERIES_ID, DS, F.col(Y).alias("actual"), fitted.alias("fitted"))

@@ -159,6 +159,13 @@ def value_add(selected: DataFrame, baselines: Sequence[str] = ("naive", "seasona
     )
 
 
+def blend_members(scores: DataFrame, members: int = ENSEMBLE_MEMBERS) -> DataFrame:
+    """series_id, model: the best ``members`` candidates of each series that could be measured."""
+    usable = scores.filter(~F.col("failed") & F.col("wmape").isNotNull())
+    place = F.row_number().over(Window.partitionBy(SERIES_ID).orderBy("mae", "model"))
+    return usable.withColumn("_r", place).filter(F.col("_r") <= members).select(SERIES_ID, "model")
+
+
 def blend_backtest(rows: DataFrame, scores: DataFrame, *, members: int = ENSEMBLE_MEMBERS) -> DataFrame:
     """Backtest rows of the blend of each series' best models.
 
@@ -167,8 +174,7 @@ def blend_backtest(rows: DataFrame, scores: DataFrame, *, members: int = ENSEMBL
     judged by. Folds a member lost, or scored on fewer periods, are left out.
     """
     series = Window.partitionBy(SERIES_ID)
-    usable = scores.filter(~F.col("failed") & F.col("wmape").isNotNull())
-    chosen = usable.withColumn("_r", F.row_number().over(series.orderBy("mae", "model"))).filter(F.col("_r") <= members)
+    chosen = blend_members(scores, members)
     chosen = chosen.withColumn("_count", F.count("*").over(series)).filter(F.col("_count") >= 2)
     kept = rows.join(chosen.select(SERIES_ID, "model", "_count"), [SERIES_ID, "model"])
     fold = Window.partitionBy(SERIES_ID, "fold")

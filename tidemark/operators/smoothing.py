@@ -11,9 +11,6 @@ from collections.abc import Callable
 from itertools import product
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from tidemark.constants import BOX_COX_GRID, LOG_CEILING
 from tidemark.operators.diagnostics import _centred
@@ -208,41 +205,3 @@ def in_logs(y: np.ndarray, fit: Callable[[np.ndarray], list[np.ndarray | None]])
     logged = np.log(y)
     variance = np.minimum(np.var(np.diff(logged, axis=1), axis=1, ddof=1), 1.0)
     return [None if path is None else np.exp(np.clip(path + half / 2, -700, 700)) for path, half in zip(fit(logged), variance)]
-
-
-PATHS = "struct<holt_winters:array<double>,ets:array<double>,theta:array<double>>"
-
-
-def smoothing_paths(train: Column, shape: Column, steps: Column, *, with_ets: bool = False) -> Column:
-    """struct of prediction arrays per window; null where a model cannot fit.
-
-    Windows of one length and shape are fitted together. The wider search is
-    fitted only where its candidate is wanted.
-    """
-
-    @F.pandas_udf(PATHS)
-    def paths(values: pd.Series, shapes: pd.DataFrame, horizons: pd.Series) -> pd.DataFrame:
-        windows = [np.asarray(held, dtype=float) for held in values]
-        alike: dict[tuple, list[int]] = {}
-        for i, (y, period, season, trend, h) in enumerate(
-            zip(windows, shapes["period"], shapes["has_season"], shapes["has_trend"], horizons)
-        ):
-            if y.size >= 2 and np.isfinite(y).all():
-                key = (y.size, int(period), bool(season), bool(trend), int(h), wants_log(y, int(period)))
-                alike.setdefault(key, []).append(i)
-        out = {name: [None] * len(windows) for name in ("holt_winters", "ets", "theta")}
-        for (_, period, season, trend, h, logged), places in alike.items():
-            y = np.stack([windows[i] for i in places])
-            fits = {
-                "holt_winters": lambda v: holt_winters_batch(v, period, season, trend, h),
-                "theta": lambda v: theta_batch(v, period, season, h),
-            }
-            found = {name: in_logs(y, fit) if logged else fit(y) for name, fit in fits.items()}
-            if with_ets:
-                found["ets"] = auto_ets_batch(y, period, season, h)
-            for name, fitted in found.items():
-                for i, path in zip(places, fitted):
-                    out[name][i] = path
-        return pd.DataFrame(out, columns=["holt_winters", "ets", "theta"])
-
-    return paths(train, shape, steps)
