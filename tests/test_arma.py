@@ -49,6 +49,16 @@ def test_an_exploding_part_is_drawn_in():
     assert fitted.ar[0, 0] == pytest.approx(arma.MOST_PERSISTENCE)
 
 
+def test_a_moving_average_that_would_explode_is_drawn_in():
+    draw = np.random.default_rng(9)
+    e = draw.normal(size=(1, 60))
+    u = e.copy()
+    u[:, 1:] += 3.0 * e[:, :-1]
+    fitted = arma.fit_errors(u, e, (1,), (1,), 4)
+    assert fitted.ma[0, 0] == pytest.approx(arma.MOST_PERSISTENCE)
+    assert np.abs(arma.shocks(u, fitted)).max() < 60 * np.abs(u).max()
+
+
 def test_trend_season_and_drivers_are_followed():
     t = np.arange(72)
     season = 10 * np.cos(2 * np.pi * t / 12) + 4 * np.sin(4 * np.pi * t / 12)

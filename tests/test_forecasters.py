@@ -100,3 +100,46 @@ def test_arma_regression_is_in_the_roster_and_backtested_on_the_same_folds(spark
         windows = fanout.forecast_windows(frame, "monthly", 3, roster=("arma_regression",))
         held.append({row.fold: row.path for row in windows.select("fold", F.col("paths.arma_regression").alias("path")).collect() if 0 <= row.fold < backtest.FINAL_FOLD})
     assert held[0].keys() == held[1].keys() and all(held[1][fold] == pytest.approx(path) for fold, path in held[0].items())
+
+
+def test_trees_learn_from_nothing_after_their_cut(spark):
+    from tidemark.operators import fanout, regression
+
+    def small():
+        return regression.gradient_boosting(2, 3)
+
+    draw = np.random.default_rng(8)
+    series = {name: [50 + 10 * np.sin(i / 2 + k) + float(draw.normal()) for i in range(48)] for k, name in enumerate("abc")}
+    spiked = {name: [*values[:42], *[1e6] * 6] for name, values in series.items()}
+    held = []
+    for given in (series, spiked):
+        windows = fanout.forecast_windows(panel_of(spark, given), "monthly", 6, roster=("naive",), max_folds=2)
+        rows = regression.trees_per_cut(windows, "monthly", F.lit(6), estimator=small).collect()
+        held.append({(row.series_id, row.fold): row.path for row in rows if row.fold < backtest.FINAL_FOLD})
+    assert len(held[0]) == 6 and held[0].keys() == held[1].keys()
+    assert all(len(path) == 6 and held[1][key] == pytest.approx(path) for key, path in held[0].items())
+
+
+def test_a_race_drops_the_worse_half_each_round(spark):
+    from tidemark.operators import racing
+    from test_forecasting import windows_of
+
+    drawn = [{"level": level} for level in (0.05, 0.3, 0.6, 0.99)]
+    steps = {name: [100.0 * (i // 8 + k) for i in range(48)] for k, name in enumerate("ab")}
+    shape = F.struct(F.lit(12).alias("period"), F.lit(False).alias("has_season"), F.lit(False).alias("has_trend"))
+    windows = windows_of(spark, steps).withColumn("shape", shape)
+
+    def local_fit(y, period, seasonal, trending, horizon, settings):
+        level = y[:, 0].copy()
+        for i in range(1, y.shape[1]):
+            level += settings["level"] * (y[:, i] - level)
+        return list(np.repeat(level[:, None], horizon, axis=1))
+
+    out = racing.race(windows, local_fit, drawn)
+    rows = {(row["round"], row.candidate): row for row in out.rounds.collect()}
+    assert [sum(key[0] == r for key in rows) for r in range(1, 5)] == [4, 2, 2, 2]
+    assert out.winner == 3 and rows[4, 3].stays and not rows[1, 0].stays
+    # What left is measured no further.
+    assert {row.candidate for row in out.errors.filter("fold = 3").collect()} == {key[1] for key in rows if key[0] == 4}
+    assert racing.race(windows.filter("fold > 99"), local_fit, drawn).winner is None
+    assert racing.draw({"a": (0.001, 10.0)}, 5) == racing.draw({"a": (0.001, 10.0)}, 5)

@@ -18,6 +18,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.constants import DS, SERIES_ID, Y
+from tidemark.functions.dates import add_periods
 
 #: Orders (autoregressive, moving average) a search goes through, simplest first.
 ORDERS = ((0, 0), (1, 0), (0, 1), (1, 1), (2, 0), (2, 1))
@@ -103,6 +109,13 @@ def _persistence(weights: np.ndarray, lags: Sequence[int]) -> np.ndarray:
     return np.abs(np.linalg.eigvals(matrix)).max(axis=1)
 
 
+def _drawn_in(weights: np.ndarray, lags: Sequence[int]) -> np.ndarray:
+    """A recursion that would grow is drawn in, all its roots alike."""
+    growth = _persistence(weights, lags)
+    shrink = np.where(growth > MOST_PERSISTENCE, MOST_PERSISTENCE / np.where(growth > 0, growth, 1.0), 1.0)
+    return weights * shrink[:, None] ** np.array(lags, dtype=float)
+
+
 @dataclass(frozen=True)
 class Errors:
     """The ARMA part of each window: lags of the residuals and of the innovations."""
@@ -126,14 +139,11 @@ def fit_errors(u: np.ndarray, e: np.ndarray, ar_lags: Sequence[int], ma_lags: Se
         return Errors((), (), none, none, (target**2).mean(axis=1), target.shape[1])
     design = np.stack(columns, axis=2)
     weights = least_squares(design, target)
-    ar = weights[:, : len(ar_lags)]
-    # An exploding part is drawn in, root by root alike.
-    growth = _persistence(ar, ar_lags)
-    shrink = np.where(growth > MOST_PERSISTENCE, MOST_PERSISTENCE / np.where(growth > 0, growth, 1.0), 1.0)
-    ar = ar * shrink[:, None] ** np.array(ar_lags, dtype=float)
-    weights = np.concatenate([ar, weights[:, len(ar_lags) :]], axis=1)
-    left = target - (design @ weights[:, :, None])[:, :, 0]
-    return Errors(tuple(ar_lags), tuple(ma_lags), ar, weights[:, len(ar_lags) :], (left**2).mean(axis=1), target.shape[1])
+    ar = _drawn_in(weights[:, : len(ar_lags)], ar_lags)
+    # The innovations go by a recursion on minus the moving average.
+    ma = -_drawn_in(-weights[:, len(ar_lags) :], ma_lags)
+    left = target - (design @ np.concatenate([ar, ma], axis=1)[:, :, None])[:, :, 0]
+    return Errors(tuple(ar_lags), tuple(ma_lags), ar, ma, (left**2).mean(axis=1), target.shape[1])
 
 
 def shocks(u: np.ndarray, errors: Errors) -> np.ndarray:
@@ -240,3 +250,36 @@ def regression_batch(
         for spot, i in enumerate(own.tolist()):
             out[i] = path[spot] if np.isfinite(path[spot]).all() else None
     return out
+
+
+def arma_paths(train: Column, horizon: int, period: int, *, seasonal: bool, trending: bool, orders: Sequence[tuple[int, int]] = ORDERS, long: int | None = None) -> Column:
+    """The path of each window's array; windows of one length are fitted together."""
+    tried = tuple(orders)
+
+    @F.pandas_udf("array<double>")
+    def paths(values: pd.Series) -> pd.Series:
+        windows = [np.asarray(held, dtype=float) for held in values]
+        out: list[np.ndarray | None] = [None] * len(windows)
+        alike: dict[int, list[int]] = {}
+        for i, y in enumerate(windows):
+            if np.isfinite(y).all():
+                alike.setdefault(y.size, []).append(i)
+        for places in alike.values():
+            y = np.stack([windows[i] for i in places])
+            for i, path in zip(places, regression_batch(y, period, seasonal, trending, horizon, orders=tried, long=long)):
+                out[i] = path
+        return pd.Series(out)
+
+    return paths(train)
+
+
+def arma_forecast(
+    series: DataFrame, frequency: str, horizon: int, period: int, *, seasonal: bool = True, trending: bool = True, orders: Sequence[tuple[int, int]] = ORDERS, long: int | None = None
+) -> DataFrame:
+    """series_id, step, ds, forecast for every series of an aligned panel (t, ds, y)
+    that is long enough and has no hole."""
+    packed = series.groupBy(SERIES_ID).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", Y))), lambda p: p[Y]).alias("train"), F.max(DS).alias("_last"), F.count(Y).alias("_n"))
+    whole = packed.filter(F.size("train") == F.col("_n"))
+    path = arma_paths(F.col("train"), horizon, period, seasonal=seasonal, trending=trending, orders=orders, long=long)
+    stepped = whole.select(SERIES_ID, "_last", F.posexplode(path).alias("_i", "forecast"))
+    return stepped.select(SERIES_ID, (F.col("_i") + 1).alias("step"), add_periods(F.col("_last"), F.col("_i") + 1, frequency).alias(DS), "forecast")

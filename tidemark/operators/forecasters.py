@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.constants import COMPLEXITY_PENALTY, PARAMETER_BUDGET, SEASON, SERIES_ID
-from tidemark.operators import arma, models, smoothing
+from tidemark.operators import arma, models, regression, smoothing
 
 #: Demand classes (fixed values): those with demand in most periods, those without.
 STEADY = ("smooth", "erratic")
@@ -226,6 +226,8 @@ register(
     )
 )
 register(Forecaster("arma_regression", arma.SHORTEST, STEADY, batch=arma.regression_batch, logs=True, complexity=0.03, parameters=8.0))
+# Dear to fit, so it stands in no roster; a run that asks for it gets it.
+register(Forecaster("gradient_boosting", 2 * max(regression.LAGS), STEADY, per_cut=regression.trees_per_cut))
 
 #: The candidates of a leaf of a fan-out, and of a single run, simplest first (fixed values).
 LEAF_ROSTER = ("naive", "seasonal_naive", "theta", "holt_winters", "croston")

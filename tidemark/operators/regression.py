@@ -9,7 +9,6 @@ a shuffle.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from math import pi
 
 from pyspark.ml import Model
 from pyspark.ml.base import Estimator
@@ -22,6 +21,7 @@ from tidemark.constants import DS, SERIES_ID, Y
 from tidemark.functions import metrics
 from tidemark.functions.dates import add_periods
 from tidemark.operators.features import calendar_features, design_matrix
+from tidemark.session import cut_lineage
 
 LAGS = (1, 2, 3, 6, 12)
 WINDOWS = (3, 6, 12)
@@ -47,14 +47,6 @@ def training_rows(panel: DataFrame, frequency: str, lags: Sequence[int] = LAGS,
     return design_matrix(scaled, frequency, lags, windows)
 
 
-def fourier(t: Column, period: int, harmonics: int) -> dict[str, Column]:
-    out = {}
-    for order in range(1, harmonics + 1):
-        angle = F.lit(2 * pi * order / period) * t
-        out |= {f"fourier_sin_{order}": F.sin(angle), f"fourier_cos_{order}": F.cos(angle)}
-    return out
-
-
 def fit(rows: DataFrame, names: Sequence[str], estimator: Estimator) -> tuple[VectorAssembler, Model]:
     assembler = VectorAssembler(inputCols=list(names), outputCol="features")
     return assembler, estimator.fit(assembler.transform(rows).select("features", Y))
@@ -82,26 +74,14 @@ def _latest(panel: DataFrame, keep: int) -> DataFrame:
     )
 
 
-def forecast(
-    panel: DataFrame,
-    frequency: str,
-    horizon: int,
-    assembler: VectorAssembler,
-    model: Model,
-    lags: Sequence[int] = LAGS,
-    windows: Sequence[int] = WINDOWS,
+def _walk(
+    state: DataFrame, keys: Sequence[str], steps: int, frequency: str, assembler: VectorAssembler, model: Model, lags: Sequence[int], windows: Sequence[int]
 ) -> DataFrame:
-    """series_id, step, ds, forecast, reason by feeding predictions back in.
-
-    A series the model cannot follow repeats its newest value, and reason says
-    why it had to; without any value its forecast is null.
-    """
+    """Feeds predictions back in, step by step: keys, _last, _level and _p, the
+    predictions against the level. ``state`` has keys, _level, _last, _n and the
+    latest values _v, against the level."""
     keep = max(*lags, *windows)
-    latest = _latest(panel, keep)
-    state = latest.filter(F.col("reason").isNull()).withColumn("_p", F.array().cast("array<double>"))
-    held = latest.filter(F.col("reason").isNotNull()).select(
-        SERIES_ID, "_last", "_newest", "reason", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step")
-    )
+    state = state.select(*keys, "_level", "_last", "_n", "_v", F.array().cast("array<double>").alias("_p"))
 
     def last(k: int) -> Column:
         return F.element_at("_v", -k)
@@ -109,7 +89,7 @@ def forecast(
     def tail(k: int) -> Column:
         return F.slice("_v", -k, k)
 
-    for step in range(1, horizon + 1):
+    for step in range(1, steps + 1):
         day = add_periods(F.col("_last"), step, frequency)
         columns = {f"lag_{k}": last(k) for k in lags}
         for k in windows:
@@ -123,9 +103,29 @@ def forecast(
         featured = assembler.transform(state.withColumns({n: columns[n] for n in assembler.getInputCols()}))
         predicted = model.transform(featured)
         grown = F.concat(F.slice("_v", -(keep - 1), keep - 1), F.array("prediction"))
-        state = predicted.select(
-            SERIES_ID, "_level", "_last", "_n", grown.alias("_v"), F.concat("_p", F.array("prediction")).alias("_p")
-        )
+        state = predicted.select(*keys, "_level", "_last", "_n", grown.alias("_v"), F.concat("_p", F.array("prediction")).alias("_p"))
+    return state
+
+
+def forecast(
+    panel: DataFrame,
+    frequency: str,
+    horizon: int,
+    assembler: VectorAssembler,
+    model: Model,
+    lags: Sequence[int] = LAGS,
+    windows: Sequence[int] = WINDOWS,
+) -> DataFrame:
+    """series_id, step, ds, forecast, reason by feeding predictions back in.
+
+    A series the model cannot follow repeats its newest value, and reason says
+    why it had to; without any value its forecast is null.
+    """
+    latest = _latest(panel, max(*lags, *windows))
+    held = latest.filter(F.col("reason").isNotNull()).select(
+        SERIES_ID, "_last", "_newest", "reason", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step")
+    )
+    state = _walk(latest.filter(F.col("reason").isNull()), [SERIES_ID], horizon, frequency, assembler, model, lags, windows)
     spread = state.select(SERIES_ID, "_last", "_level", F.posexplode("_p").alias("_i", "_y"))
     followed = spread.select(
         SERIES_ID,
@@ -140,6 +140,69 @@ def forecast(
     return followed.unionByName(repeated)
 
 
+#: Share of a fold's windows that may end before the fold's model does.
+EARLY = 0.05
+
+
+def cut_days(windows: DataFrame, early: float = EARLY) -> dict[int, object]:
+    """Per fold the day up to which its model learns: the earliest on or before
+    which more than ``early`` of the fold's windows end. One row per fold and day
+    comes to the driver, which the calendar bounds."""
+    counts: dict[int, list] = {}
+    for row in windows.filter(F.col("fold") >= 0).groupBy("fold", "last_ds").count().orderBy("fold", "last_ds").collect():
+        counts.setdefault(row.fold, []).append((row.last_ds, row["count"]))
+    out = {}
+    for fold, days in counts.items():
+        seen, total = 0, sum(n for _, n in days)
+        for day, n in days:
+            seen += n
+            if seen > early * total:
+                out[fold] = day
+                break
+    return out
+
+
+def trees_per_cut(
+    windows: DataFrame,
+    frequency: str,
+    steps: Column,
+    *,
+    estimator: Callable[[], Estimator] = gradient_boosting,
+    early: float = EARLY,
+    lags: Sequence[int] = LAGS,
+    spans: Sequence[int] = WINDOWS,
+) -> DataFrame:
+    """series_id, fold, path: trees fitted over all series for each fold, and carried on.
+
+    A fold's model knows the training rows of its windows up to one day and
+    nothing later; levels, holes and features are those of the windows. Windows
+    that end before that day, at most ``early`` of a fold, and those too short
+    for the features have no path.
+    """
+    ended = windows.filter(F.col("fold") >= 0)
+    days = cut_days(windows, early)
+    keep = max(*lags, *spans)
+    known = F.transform(F.slice("train", -keep, keep), lambda v: v / F.col("_level"))
+    level = F.aggregate("train", F.lit(0.0), lambda a, v: a + F.abs(v)) / F.size("train")
+    fit_for = ended.filter((F.size("train") >= keep) & F.col("whole")).withColumn("_level", level).filter(F.col("_level") > 0)
+    state = fit_for.select(SERIES_ID, "fold", "_level", F.col("last_ds").alias("_last"), F.size("train").alias("_n"), known.alias("_v"))
+    most = windows.agg(F.max(steps).alias("steps")).first()["steps"] or 0
+    out = windows.limit(0).select(SERIES_ID, "fold", F.array().cast("array<double>").alias("path"))
+    for fold, day in sorted(days.items()):
+        own = ended.filter(F.col("fold") == fold).select(SERIES_ID, "last_ds", F.size("train").alias("_n"), F.posexplode("train").alias("_i", Y))
+        panel = own.select(SERIES_ID, add_periods(F.col("last_ds"), F.col("_i") - F.col("_n") + 1, frequency).alias(DS), Y)
+        rows, names = training_rows(panel.filter(F.col(DS) <= F.lit(day)), frequency, lags, spans)
+        rows = cut_lineage(rows, "features")
+        if not rows.limit(1).count():
+            continue
+        assembler, model = fit(rows, names, estimator())
+        asked = state.filter((F.col("fold") == fold) & (F.col("_last") >= F.lit(day)))
+        walked = _walk(asked, [SERIES_ID, "fold"], most, frequency, assembler, model, lags, spans)
+        paths = walked.select(SERIES_ID, "fold", F.transform("_p", lambda v: v * F.col("_level")).alias("path"))
+        out = out.unionByName(cut_lineage(paths, "trees"))
+    return out
+
+
 def tune(
     rows: DataFrame, names: Sequence[str], candidates: dict[str, Callable[[], Estimator]], cuts: Sequence[str]
 ) -> list[tuple[str, float]]:
