@@ -47,9 +47,12 @@ def forecast_windows(
     sigmas: float | None = None,
     max_folds: int | None = None,
     roster: Sequence[str] = ROSTER,
+    shape: Column | None = None,
 ) -> DataFrame:
     """Every training window with its shape and ``paths``, one of each of the roster.
 
+    A ``shape`` that is known (period, has_season, has_trend) is not measured.
+
     A window's season and trend are measured in the window itself; only the
     plan of cuts uses the whole history.
     """
@@ -57,16 +60,19 @@ def forecast_windows(
     # all run where their rows already lie.
     aligned = align_calendar(diagnostics.spread_out(panel, [SERIES_ID]), frequency)
     whole = diagnostics.compacted(prepare(aligned, fill, sigmas))
-    shape = cut_lineage(diagnostics.seasonal_profile(whole, frequency), "shape")
     pattern = diagnostics.demand_pattern(whole).select(SERIES_ID, "demand_class")
-    known = shape.select(SERIES_ID, "period", "has_season").join(pattern, SERIES_ID)
+    if shape is None:
+        profile = cut_lineage(diagnostics.seasonal_profile(whole, frequency), "shape")
+        known = profile.select(SERIES_ID, "period", "has_season").join(pattern, SERIES_ID)
+    else:
+        known = pattern.select(SERIES_ID, shape["period"].alias("period"), shape["has_season"].alias("has_season"), "demand_class")
     planned = backtest.plan_rows(
         aligned.join(known, SERIES_ID), horizon, frequency, period=_season(frequency), max_folds=max_folds
     )
     windows = backtest.training_windows(
         backtest.fold_rows(planned), fill=fill, sigmas=sigmas, season=SEASON[frequency]
     )
-    shaped = diagnostics.spread_out(windows, [SERIES_ID, "fold"]).withColumn("shape", diagnostics.shape_column(F.col("train"), frequency))
+    shaped = diagnostics.spread_out(windows, [SERIES_ID, "fold"]).withColumn("shape", diagnostics.shape_column(F.col("train"), frequency) if shape is None else shape)
     shaped = diagnostics.spread_out(cut_lineage(shaped, "shapes"), [SERIES_ID, "fold"])
     fitted = forecasters.add_paths(shaped, roster, frequency, F.greatest("test_horizon", F.lit(horizon)))
     described = known.select(SERIES_ID, F.col("period").alias("full_period"), F.col("has_season").alias("full_season"), "demand_class")

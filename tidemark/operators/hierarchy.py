@@ -17,6 +17,7 @@ from tidemark.constants import (
     TOP_LINE,
     Y,
 )
+from tidemark.session import cut_lineage
 
 
 def path_of(label: Column) -> Column:
@@ -87,8 +88,10 @@ def reconcile(nodes: DataFrame, total: DataFrame, depth: int, non_negative: Colu
     """Top-down over the levels: path, step, forecast, share, reconciled.
 
     ``nodes`` holds every level below the top; ``total`` has step and forecast.
-    One pass per level, as many as the grain has columns.
+    One pass per level, as many as the grain has columns; each is written, so that
+    the plan of a level holds the one above once.
     """
+    nodes = cut_lineage(nodes, "nodes")
     top = total.select(
         F.array().cast("array<string>").alias("path"),
         "step",
@@ -98,7 +101,7 @@ def reconcile(nodes: DataFrame, total: DataFrame, depth: int, non_negative: Colu
     )
     out, parents = top, top
     for level in range(1, depth + 1):
-        parents = reconcile_level(nodes.filter(F.size("path") == level), parents, non_negative)
+        parents = cut_lineage(reconcile_level(nodes.filter(F.size("path") == level), parents, non_negative), "level")
         out = out.unionByName(parents)
     return out
 

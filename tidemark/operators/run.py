@@ -83,6 +83,7 @@ def run_forecast(
     requested: Sequence[str] = forecasters.FULL_ROSTER,
     weights: dict[str, float] | None = None,
     members: int = ENSEMBLE_MEMBERS,
+    shape: Column | None = None,
 ) -> Run:
     """The whole roster and its blend for every series of a panel.
 
@@ -90,7 +91,7 @@ def run_forecast(
     stands beside its members, the best ``members`` of a series, and is offered
     only if it beats the best of them.
     """
-    windows = fanout.forecast_windows(panel, frequency, horizon, fill=fill, sigmas=sigmas, roster=requested)
+    windows = fanout.forecast_windows(panel, frequency, horizon, fill=fill, sigmas=sigmas, roster=requested, shape=shape)
     paths = forecasters.paths_of(requested)
     rows = backtest.backtest_rows(windows, paths)
     classes = windows.filter(F.col("fold") == backtest.FINAL_FOLD).select(SERIES_ID, "n", "demand_class")

@@ -445,9 +445,9 @@ def _norm_sql(name: str) -> str:
         ELSE GREATEST(LEAST((v - lo) / (hi - lo), 1), 0) END AS x FROM l_{name})"""
 
 
-def _select_sql(source: str) -> str:
+def _select_sql(source: str, roster=ROSTER) -> str:
     penalties = ", ".join(
-        f"('{m}', {i}, {COMPLEXITY_PENALTY[m]}, {PARAMETER_BUDGET[m]})" for i, m in enumerate(ROSTER)
+        f"('{m}', {i}, {COMPLEXITY_PENALTY[m]}, {PARAMETER_BUDGET[m]})" for i, m in enumerate(roster)
     )
     return f"""{_backtest_sql(source)}, pen AS (SELECT * FROM (VALUES {penalties}) AS v(model, o, pen, budget)),
     ok AS (SELECT scores.*, plan.n, o, pen, budget FROM scores JOIN plan USING (series_id) JOIN pen USING (model) WHERE folds >= 0.5 * n_folds),

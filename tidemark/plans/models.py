@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from tidemark.constants import MONTHLY
 from tidemark.functions.dates import is_settled
-from tidemark.operators import arma, backtest, fanout, forecasters, racing, regression, report, run
+from tidemark.operators import arma, backtest, calendar, fanout, forecasters, grouped, racing, regression, report, run
 from tidemark.plans.catalog import query, table
-from tidemark.plans.forecasting import _SUPPLIERS, _backtest_sql, supplier_series, windows_of
-from tidemark.plans.panels import supplier_panel
+from tidemark.plans.forecasting import _SUPPLIERS, _backtest_sql, _select_sql, supplier_series, windows_of, zeroed
+from tidemark.plans.panels import aligned_sql, supplier_cells, supplier_cells_sql, supplier_panel
 from tidemark.session import cut_lineage
 
 HORIZON = 6
@@ -221,3 +221,77 @@ def tree_backtest(spark, folder):
         return F.sum(miss) / F.sum(F.abs(F.col("p.y")))
 
     return seen.groupBy("fold").agg(F.count("*").alias("rows"), error("seasonal_naive").alias("season_error"), (error("gradient_boosting") <= TREES_MAY * error("seasonal_naive")).alias("within"))
+
+
+# ---- The grouped run ---------------------------------------------------------
+#: The plain models, whose run SQL can follow: no blend, and a year as the season.
+_PLAIN = ("naive", "seasonal_naive")
+_CLOSED = """(CAST(period + INTERVAL 1 MONTH AS DATE) - 1 <= (SELECT MAX(CAST(l_shipdate AS DATE)) FROM lineitem)
+      OR period < (SELECT date_trunc('month', MAX(CAST(l_shipdate AS DATE))) FROM lineitem))"""
+_LEAVES = f"""SELECT region || ' · ' || nation AS series_id, period AS ds, SUM(value) AS y
+    FROM ({supplier_cells_sql(MONTHLY, 'l_quantity')}) WHERE {_CLOSED} GROUP BY ALL"""
+
+
+def _grouped_sql() -> str:
+    leaves = f"{aligned_sql(_LEAVES, MONTHLY)}, leaf AS (SELECT series_id, t, n, ds, COALESCE(y, 0) AS y FROM aligned)"
+    top = "top AS (SELECT 'Total' AS series_id, ds, SUM(y) AS y FROM leaf GROUP BY ds)"
+    series = """s AS (SELECT * FROM leaf UNION ALL SELECT series_id, row_number() OVER (ORDER BY ds) - 1, COUNT(*) OVER (), ds, y FROM top)"""
+    source = f"{leaves}, {top}, {series}"
+    return f"""{_select_sql(source, _PLAIN)},
+      won AS (SELECT series_id, model, wmape, folds FROM chosen WHERE rank = 1),
+      ahead AS (SELECT unnest(range(1, {HORIZON} + 1)) AS step),
+      own AS (SELECT w.series_id, step, MAX(s.y) AS own FROM won w, ahead JOIN s ON s.series_id = w.series_id
+          AND s.t = s.n - CASE WHEN w.model = 'naive' THEN 1 ELSE 12 - (step - 1) % 12 END GROUP BY ALL),
+      direct AS (SELECT step, own AS total FROM own WHERE series_id = 'Total'),
+      sized AS (SELECT series_id, COALESCE(SUM(y) FILTER (WHERE ds > e - INTERVAL 12 MONTH), 0) AS now,
+          SUM(y) FILTER (WHERE ds <= e - INTERVAL 12 MONTH AND ds > e - INTERVAL 24 MONTH) AS prior
+        FROM leaf, (SELECT MAX(ds) AS e FROM leaf) GROUP BY series_id),
+      shared AS (SELECT *, CASE WHEN SUM(abs(now)) OVER () > 0 THEN abs(now) / SUM(abs(now)) OVER () ELSE 1.0 / COUNT(*) OVER () END AS share FROM sized),
+      points AS (SELECT z.series_id, split_part(z.series_id, ' · ', 1) AS region, step, COALESCE(o.own, total * z.share) AS p, o.own IS NULL AS given, total
+        FROM shared z CROSS JOIN direct d LEFT JOIN own o USING (series_id, step)),
+      nodes AS (SELECT 2 AS level, series_id AS label, region AS parent_label, step, p AS own, p / SUM(p) OVER (PARTITION BY step) * total AS rec FROM points
+        UNION ALL SELECT 1, region, 'Total', step, SUM(p), SUM(p) / MAX(w) * MAX(total) FROM (SELECT *, SUM(p) OVER (PARTITION BY step) AS w FROM points) GROUP BY region, step
+        UNION ALL SELECT 0, 'Total', NULL, step, total, total FROM direct)"""
+
+
+def _grouped(spark, folder):
+    cells = supplier_cells(spark, folder, MONTHLY, "l_quantity").filter(is_settled(F.col("period"), _reach(spark, folder), MONTHLY))
+    leaves = cells.groupBy(F.to_json(F.array("region", "nation")).alias("series_id"), F.col("period").alias("ds")).agg(F.sum("value").alias("y"))
+    whole = zeroed(calendar.align_calendar(leaves, MONTHLY)).select(F.from_json("series_id", "array<string>").alias("path"), "ds", "y")
+    shape = F.struct(F.lit(12).alias("period"), F.lit(True).alias("has_season"), F.lit(False).alias("has_trend"))
+    return grouped.run_grouped(whole, MONTHLY, HORIZON, 2, requested=_PLAIN, members=1, shape=shape)
+
+
+@query(
+    "grouped_run_points",
+    "level:int label:str step:int ds:date own:2 forecast:2 model:str",
+    f"""WITH {_grouped_sql()} SELECT level, label, step, CAST((SELECT MAX(ds) FROM top) + to_months(CAST(step AS INTEGER)) AS DATE) AS ds, own, rec AS forecast, model
+      FROM nodes LEFT JOIN won ON won.series_id = label AND level <> 1""",
+)
+def grouped_run_points(spark, folder):
+    """Nations by region: leaves, the direct top line and what is scaled between."""
+    return _grouped(spark, folder).points
+
+
+@query(
+    "grouped_run_series",
+    "level:int label:str parent_label:str model:str wmape:4 folds:int forecast_total:2 current_total:2 prior_total:2 share:2 status:str",
+    f"""WITH {_grouped_sql()}, past AS (SELECT 2 AS level, series_id AS label, now, prior FROM sized
+        UNION ALL SELECT 1, split_part(series_id, ' · ', 1), SUM(now), SUM(prior) FROM sized GROUP BY ALL UNION ALL SELECT 0, 'Total', SUM(now), SUM(prior) FROM sized),
+      node_sums AS (SELECT level, label, parent_label, SUM(rec) AS total FROM nodes GROUP BY ALL)
+      SELECT level, label, parent_label, model, wmape, COALESCE(folds, 0) AS folds, total AS forecast_total, now AS current_total, prior AS prior_total,
+        round(total / (SELECT SUM(total) FROM direct) * 100, 2) AS share, CASE WHEN level = 2 AND model IS NULL THEN 'estimated' ELSE 'forecast' END AS status
+      FROM node_sums JOIN past USING (level, label) LEFT JOIN won ON won.series_id = label AND level <> 1""",
+)
+def grouped_run_series(spark, folder):
+    return _grouped(spark, folder).series
+
+
+@query(
+    "grouped_run_gap",
+    "implied:2 direct:2 gap:6",
+    f"""WITH {_grouped_sql()} SELECT implied, direct, abs(implied - direct) / abs(direct) AS gap
+      FROM (SELECT SUM(own) FILTER (WHERE level = 2) AS implied, SUM(own) FILTER (WHERE level = 0) AS direct FROM nodes)""",
+)
+def grouped_run_gap(spark, folder):
+    return _grouped(spark, folder).gap

@@ -7,7 +7,7 @@ are derived from the fact table and written, as issued forecasts are.
 
 from __future__ import annotations
 
-from functools import lru_cache
+import hashlib
 
 from pyspark.sql import functions as F
 
@@ -16,34 +16,33 @@ from tidemark.operators import decisions, hierarchy, insights, report, scenarios
 from tidemark.plans.catalog import query, table
 from tidemark.plans.panels import supplier_cells, supplier_cells_sql, trunc_sql
 from tidemark.functions import metrics
-from tidemark.session import cut_lineage, scratch_path
+from tidemark.session import cut_lineage, run_dir, scratch_path
 from tidemark.sources import store
 
 _LOW, _HIGH, _WORST, _BEST = 0.04, 0.06, 0.05, 0.08
 _ISSUED = "2001-01-01"
 
 
-def _version(spark, folder):
-    """What tells a folder's files from those that replace them."""
-    facts = [table(spark, folder, name) for name in ("lineitem", "supplier", "nation", "region")]
-    seen = [frame.agg(F.max("_metadata.file_modification_time").alias("t"), F.count("*").alias("n")).first() for frame in facts]
-    return tuple((str(row["t"]), row["n"]) for row in seen)
+def _listing(spark, folder):
+    """A name for the files a folder's facts lie in: their sizes and times, no row is read."""
+    seen = []
+    for name in ("lineitem", "supplier", "nation", "region"):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}.parquet")
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+        seen += sorted((str(one.getPath()), one.getLen(), one.getModificationTime()) for one in files)
+    return hashlib.sha1(repr(seen).encode()).hexdigest()
 
 
 def _levels(spark, folder):
-    return _written_levels(spark, folder, _version(spark, folder))
-
-
-@lru_cache(maxsize=4)
-def _written_levels(spark, folder, version):
-    """run_id, path, level, label, period, value of every node, written once for
-    each version of the files."""
-    cells = supplier_cells(spark, folder)
-    leaves = cells.select(
-        F.col("region").alias("run_id"), F.array("nation", "supplier").alias("path"), "period", "value"
-    )
-    rolled = hierarchy.roll_up(leaves, ["value"], ["run_id", "period"])
-    return cut_lineage(rolled.withColumn("label", hierarchy.label_of(F.col("path"))), "levels")
+    """run_id, path, level, label, period, value of every node, issued once for
+    each state of the files."""
+    path, name = f"{run_dir(spark)}/levels", _listing(spark, folder)
+    if name not in {one["run_id"] for one in store.issued_runs(spark, path)}:
+        cells = supplier_cells(spark, folder)
+        leaves = cells.select(F.col("region").alias("owner"), F.array("nation", "supplier").alias("path"), "period", "value")
+        rolled = hierarchy.roll_up(leaves, ["value"], ["owner", "period"])
+        store.issue_run({"levels": rolled.withColumn("label", hierarchy.label_of(F.col("path")))}, path, name)
+    return store.read_run(spark, path, "levels", [name]).drop("run_id").withColumnRenamed("owner", "run_id")
 
 
 def issued_points(spark, folder):
