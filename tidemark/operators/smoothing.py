@@ -2,7 +2,8 @@
 
 The recursions run from period to period and have no built-in expression, so a
 vectorised Arrow function walks all windows of one length and shape at once, for
-a whole grid of smoothing weights. Windows are rows; Spark spreads them.
+a whole grid of smoothing weights and then a simplex search around the grid's
+best. Windows are rows; Spark spreads them.
 """
 
 from __future__ import annotations
@@ -41,39 +42,33 @@ def _opening(y: np.ndarray, period: int, season: str | None, trend: bool) -> tup
     return first - slope * (period - 1) / 2 - slope, slope, pattern
 
 
-def smooth(y: np.ndarray, period: int, trend: bool, damped: bool, season: str | None, horizon: int) -> tuple[np.ndarray, np.ndarray]:
-    """Criterion and path of the best weights for each row of windows of one length.
+#: Rounds of the simplex, its first reach as a share of a weight's range, and the ranges.
+_ROUNDS = 12
+_REACH = 0.15
+_LOW = np.array([0.001, 0.001, 0.001, 0.8])
+_HIGH = np.array([0.999, 0.6, 0.999, 0.995])
 
-    All windows and all weight combinations go through the recursion side by
-    side. Where no weights fit, the criterion is infinite.
-    """
-    grid = np.array(
-        list(
-            product(
-                LEVEL_WEIGHTS,
-                TREND_WEIGHTS if trend else (0.0,),
-                SEASON_WEIGHTS if season else (0.0,),
-                DAMPING if damped else (1.0,),
-            )
-        )
-    )
-    chunk = max(1, _WIDTH // len(grid))
-    if len(y) > chunk:
-        parts = [smooth(y[i : i + chunk], period, trend, damped, season, horizon) for i in range(0, len(y), chunk)]
-        return np.concatenate([part[0] for part in parts]), np.concatenate([part[1] for part in parts])
-    a, b, g, phi = grid.T
+#: Level, trend, season and damping, each (rows, candidates) or one for all rows.
+Weights = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _run(y: np.ndarray, start: tuple[np.ndarray, np.ndarray, np.ndarray], weights: Weights, trend: bool, season: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The recursion for every window and candidate side by side: squared error,
+    and the level, trend and cycle it ends with."""
+    a, b, g, phi = weights
     rows, n = y.shape
-    level0, slope0, pattern = _opening(y, period, season, trend)
-    level, slope = (np.repeat(held[:, None], len(grid), axis=1) for held in (level0, slope0))
-    width = pattern.shape[1]
+    width = a.shape[-1]
+    level, slope = (np.repeat(held[:, None], width, axis=1) for held in start[:2])
+    pattern = start[2]
     # One plane per place in the cycle, so that a step touches one of them.
-    cycle = np.repeat(pattern.T[:, :, None], len(grid), axis=2)
-    squared = np.zeros((rows, len(grid)))
+    cycle = np.repeat(pattern.T[:, :, None], width, axis=2)
+    squared = np.zeros((rows, width))
+    places = pattern.shape[1]
     with np.errstate(all="ignore"):
         for i in range(n):
             value = y[:, i, None]
             base = level + phi * slope
-            held = cycle[i % width]
+            held = cycle[i % places]
             if season == "mul":
                 fitted, clean = base * held, value / held
             else:
@@ -82,22 +77,102 @@ def smooth(y: np.ndarray, period: int, trend: bool, damped: bool, season: str |
             following = a * clean + (1 - a) * base
             if season:
                 seen = value / base if season == "mul" else value - base
-                cycle[i % width] = g * seen + (1 - g) * held
+                cycle[i % places] = g * seen + (1 - g) * held
             slope = b * (following - level) + (1 - b) * phi * slope if trend else slope * 0.0
             level = following
-    squared = np.where(np.isfinite(squared), squared, np.inf)
-    best = np.argmin(squared, axis=1)
+    return np.where(np.isfinite(squared), squared, np.inf), level, slope, cycle
+
+
+def _refined(y: np.ndarray, start: tuple[np.ndarray, np.ndarray, np.ndarray], best: np.ndarray, least: np.ndarray, active: np.ndarray, trend: bool, season: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """A bounded simplex search over the active weights of every window at once,
+    from the grid's best: weights (rows, 4) and their squared error, never more."""
+    rows, d = len(y), len(active)
+    low, high = _LOW[active], _HIGH[active]
+
+    def errors(points: np.ndarray, which: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Squared errors of (rows, candidates, d) points."""
+        full = np.repeat(best[which][:, None, :], points.shape[1], axis=1)
+        full[:, :, active] = points
+        own = tuple(held[which] for held in start)
+        return _run(y[which], own, tuple(np.moveaxis(full, 2, 0)), trend, season)[0]
+
+    centre = np.clip(best[:, active], low, high)
+    reach = _REACH * (high - low)
+    corners = np.repeat(centre[:, None, :], d + 1, axis=1)
+    for j in range(d):
+        corners[:, j + 1, j] += np.where(centre[:, j] + reach[j] <= high[j], reach[j], -reach[j])
+    values = np.concatenate([least[:, None], errors(corners[:, 1:])], axis=1)
     at = np.arange(rows)
+    with np.errstate(all="ignore"):
+        for _ in range(_ROUNDS):
+            order = np.argsort(values, axis=1, kind="stable")
+            corners, values = corners[at[:, None], order], values[at[:, None], order]
+            worst = corners[:, -1]
+            middle = corners[:, :-1].mean(axis=1)
+            move = middle - worst
+            tried = np.clip(np.stack([middle + move, middle + 2 * move, middle + move / 2, middle - move / 2], axis=1), low, high)
+            reflected, expanded, outside, inside = errors(tried).T
+            first, second, last = values[:, 0], values[:, -2], values[:, -1]
+            pick = np.full(rows, -1)
+            pick[inside < last] = 3
+            near = reflected < last
+            pick[near] = np.where(outside <= reflected, 2, -1)[near]
+            pick[reflected < second] = 0
+            ahead = reflected < first
+            pick[ahead] = np.where(expanded < reflected, 1, 0)[ahead]
+            moved = np.flatnonzero(pick >= 0)
+            corners[moved, -1] = tried[moved, pick[moved]]
+            values[moved, -1] = np.stack([reflected, expanded, outside, inside])[pick[moved], moved]
+            shrunk = np.flatnonzero(pick < 0)
+            if len(shrunk):
+                corners[shrunk, 1:] = (corners[shrunk, 1:] + corners[shrunk, :1]) / 2
+                values[shrunk, 1:] = errors(corners[shrunk, 1:], shrunk)
+    found = values.argmin(axis=1)
+    better = values[at, found] < least
+    out = best.copy()
+    out[np.ix_(better, active)] = corners[at, found][better]
+    return out, np.where(better, values[at, found], least)
+
+
+def smooth(y: np.ndarray, period: int, trend: bool, damped: bool, season: str | None, horizon: int, *, refine: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Criterion and path of the best weights for each row of windows of one length.
+
+    All windows and all weights of a grid go through the recursion side by side;
+    from the grid's best a bounded simplex search goes on, all windows together.
+    Where no weights fit, the criterion is infinite.
+    """
+    grid = np.array(
+        list(
+            product(
+                LEVEL_WEIGHTS,
+                TREND_WEIGHTS if trend else (0.0,),
+                SEASON_WEIGHTS if season else (0.0,),
+                DAMPING if damped else (1.0,),
+            )
+        )
+    )
+    chunk = max(1, _WIDTH // len(grid))
+    if len(y) > chunk:
+        parts = [smooth(y[i : i + chunk], period, trend, damped, season, horizon, refine=refine) for i in range(0, len(y), chunk)]
+        return np.concatenate([part[0] for part in parts]), np.concatenate([part[1] for part in parts])
+    n = y.shape[1]
+    start = _opening(y, period, season, trend)
+    squared = _run(y, start, tuple(grid.T), trend, season)[0]
+    best, least = grid[np.argmin(squared, axis=1)], squared.min(axis=1)
+    if refine:
+        active = np.flatnonzero([True, trend, season is not None, damped])
+        best, least = _refined(y, start, best, least, active, trend, season)
+    _, level, slope, cycle = _run(y, start, tuple(best.T[:, :, None]), trend, season)
+    phi, width = best[:, 3], cycle.shape[0]
     parameters = 2 + 2 * trend + damped + (1 + period if season else 0)
-    least = squared[at, best]
     steps = np.arange(1, horizon + 1)
     with np.errstate(all="ignore"):
         spread = np.maximum(least / n, 1e-12)
         penalty = 2 * parameters + 2 * parameters * (parameters + 1) / (n - parameters - 1) if n > parameters + 1 else np.inf
         criterion = n * np.log(spread) + penalty
-        damping = np.cumsum(phi[best][:, None] ** steps, axis=1)
-        path = level[at, best][:, None] + damping * slope[at, best][:, None]
-        ahead = cycle[(n + steps - 1) % width][:, at, best].T
+        damping = np.cumsum(phi[:, None] ** steps, axis=1)
+        path = level + damping * slope
+        ahead = cycle[(n + steps - 1) % width][:, :, 0].T
         path = path * ahead if season == "mul" else path + ahead
     sound = np.isfinite(least) & np.isfinite(path).all(axis=1) & (n > parameters + 1)
     return np.where(sound, criterion, np.inf), path
