@@ -153,3 +153,22 @@ def test_readings_do_not_depend_on_their_batches(spark, tmp_path):
             actuals.append_readings(batch, number, path)
         logs.append(sorted((row.value, str(row.revised_at)) for row in actuals.read_log(spark, path).collect()))
     assert logs[0] == logs[1] == logs[2] and len(logs[0]) == 4
+
+
+def test_sources_fit_by_their_footers(spark, tmp_path):
+    from datetime import date
+
+    from pyspark.sql import functions as F
+
+    from tidemark.sources import store
+
+    days = spark.sql("SELECT explode(sequence(DATE '2024-01-01', DATE '2024-03-31')) AS day").withColumn("price", F.lit(1.0))
+    paths = {name: str(tmp_path / name) for name in ("whole", "short", "lacking", "empty")}
+    store.write_table(days, paths["whole"])
+    store.write_table(days.filter("day < DATE '2024-02-01'"), paths["short"])
+    store.write_table(days.drop("price"), paths["lacking"])
+    store.write_table(days.limit(0), paths["empty"])
+    before = spark.conf.get("spark.sql.sources.useV1SourceList")
+    assert store.fitting_sources(spark, paths, ["price"], "day", date(2024, 2, 1)) == ["whole"]
+    assert store.reach_of(spark, paths["short"], "day") == date(2024, 1, 31)
+    assert spark.conf.get("spark.sql.sources.useV1SourceList") == before

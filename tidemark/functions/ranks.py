@@ -71,8 +71,10 @@ def _bracketed(
         "_upto", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0))
     )
     wanted = ranks(F.col("_n"))
+    # A rank outside its bracket would be a wrong answer, never a missing one.
+    missed = F.raise_error(F.lit("A wanted rank lies outside its bracket; raise the accuracy."))
     picks = [
-        F.min(F.when((F.col("_slot") == 1) & (F.col("_upto") >= rank), F.col("_v"))).alias(f"v{i}")
+        F.coalesce(F.min(F.when((F.col("_slot") == 1) & (F.col("_upto") >= rank), F.col("_v"))), missed.cast(known.schema["_v"].dataType)).alias(f"v{i}")
         for i, rank in enumerate(wanted)
     ]
     return upto.groupBy(*keys).agg(F.first("_n").alias("n"), *picks)

@@ -124,15 +124,23 @@ def weigh_sources(history: DataFrame, observed: DataFrame) -> DataFrame:
 
 
 def choose_source(weighed: DataFrame, newest: DataFrame) -> DataFrame:
-    """The newest agreeing source, else the newest unproven one (one row).
+    """The newest agreeing source, else the newest unproven one (one row), and how
+    many contradicting ones were passed over on the way.
 
     ``newest`` gives source and created_at; candidates are a handful of tables.
+    They are gone through from the newest on, so what is older than the chosen
+    one is not counted against it.
     """
-    rank = F.when(F.col("verdict") == "agrees", 0).when(F.col("verdict") == "unproven", 1)
-    joined = weighed.join(newest, "source").withColumn("_rank", rank)
-    contradicting = F.count_if(F.col("verdict") == "contradicts")
-    best = F.min_by("source", F.when(F.col("_rank").isNotNull(), F.struct("_rank", (-F.unix_date("created_at")).alias("d"), "source")))
-    return joined.agg(best.alias("source"), contradicting.alias("contradicting"))
+    place = F.struct((-F.unix_date("created_at")).alias("age"), "source", "verdict")
+    ordered = weighed.join(newest, "source").agg(F.sort_array(F.collect_list(place)).alias("o"))
+    verdicts = F.transform("o", lambda one: one["verdict"])
+    agrees, unproven = F.array_position(verdicts, "agrees").cast("int"), F.array_position(verdicts, "unproven").cast("int")
+    taken = F.when(agrees > 0, agrees).otherwise(unproven)
+    passed = F.when(agrees > 0, F.slice(verdicts, F.lit(1), agrees - 1)).otherwise(verdicts)
+    return ordered.select(
+        F.when(taken > 0, F.get("o", taken - 1)["source"]).alias("source"),
+        F.size(F.filter(passed, lambda verdict: verdict == "contradicts")).cast("long").alias("contradicting"),
+    )
 
 
 # ---- The log of actuals -----------------------------------------------------

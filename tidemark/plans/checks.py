@@ -274,7 +274,7 @@ _GRID = f"""WITH panel AS MATERIALIZED ({_HOLED}), {_VALIDATE},
         CAST((SELECT a FROM bounds) + to_months(CAST(first_slot AS INTEGER)) AS DATE) AS first_ds
       FROM head JOIN (SELECT series_id, status, route FROM judged) USING (series_id)),
     gridcells AS MATERIALIZED (
-      SELECT g.series_id, i.slot, s.y AS value FROM grid g, (SELECT unnest(range(CAST(w AS BIGINT))) AS slot FROM width) i
+      SELECT g.series_id, i.slot, s.y AS value FROM grid g CROSS JOIN (SELECT unnest(range(CAST(w AS BIGINT))) AS slot FROM width) i
       LEFT JOIN slots s ON s.series_id = g.series_id AND s.slot = i.slot)"""
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Mapping, Sequence
+from datetime import datetime
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
@@ -31,6 +32,31 @@ def columns_of(spark: SparkSession, path: str) -> list[str]:
     return read_table(spark, path).columns
 
 
+def reach_of(spark: SparkSession, path: str, column: str) -> object:
+    """The largest value of a column: from the footers where the type has exact
+    statistics there, otherwise from that column alone."""
+    # A session of its own, so that the caller's settings stay as they are.
+    quiet = spark.newSession()
+    quiet.conf.set("spark.sql.sources.useV1SourceList", "")
+    quiet.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return quiet.read.parquet(path).agg(F.max(column)).first()[0]
+
+
+def fitting_sources(spark: SparkSession, tables: Mapping[str, str], needed: Sequence[str], time: str, start: object) -> list[str]:
+    """Names of the tables (name to path) that have every needed column and reach
+    ``start`` or beyond. Columns and reach come from the footers: no candidate is
+    read for them. ``start`` is a day, or what the column's own values compare with."""
+    fitting = []
+    for name, path in tables.items():
+        if not set(needed) | {time} <= set(columns_of(spark, path)):
+            continue
+        reach = reach_of(spark, path, time)
+        reach = reach.date() if isinstance(reach, datetime) and not isinstance(start, datetime) else reach
+        if reach is not None and reach >= start:
+            fitting.append(name)
+    return fitting
+
+
 def append_run(frame: DataFrame, path: str, key: str = "run_id") -> None:
     """Add a run's rows to a result table; what was issued is never rewritten."""
     spark = frame.sparkSession
