@@ -152,3 +152,22 @@ def test_sketches_differ_no_more_than_the_sets():
         size = min(held.shape[1] for held in sketches)
         off = jaccard_join.folded(sketches[0], size) ^ jaccard_join.folded(sketches[1], size)
         assert int(np.bitwise_count(off).sum()) <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_recall_of_pairs_just_above_the_threshold(spark):
+    """Pairs planted at a similarity of 0.8 to 0.85; the forest is built for 0.99 of them."""
+    draw, rows, planted = random.Random(21), [], []
+    while len(planted) < 400:
+        base = [f"w{draw.randrange(10**6)}" for _ in range(draw.randrange(60, 260))]
+        other = list(base)
+        for _ in range(draw.randrange(1, 1 + len(base) // 40)):
+            other[draw.randrange(len(other))] = f"n{draw.randrange(10**6)}"
+        if 0.8 <= similarity(shingles(" ".join(base)), shingles(" ".join(other))) < 0.85:
+            key = 2 * len(planted)
+            planted.append(key)
+            rows += [(key, " ".join(base)), (key + 1, " ".join(other))]
+    members = {row.id: row.class_id for row in jaccard_join.join_classes(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    found = sum(members[key] == members[key + 1] for key in planted)
+    assert found >= 0.98 * len(planted), found
+    assert all(members[key] in (key, key - 1) for key in members)
+    print("RECALL", found, len(planted))
