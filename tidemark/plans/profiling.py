@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.constants import MONTHLY
-from tidemark.operators import profile, reshape
+from tidemark.operators import intake, profile, reshape
 from tidemark.plans.catalog import query, table
 from tidemark.plans.panels import trunc_sql
 
@@ -496,3 +496,27 @@ def remembered_mapping(spark, folder):
 
     store = saved(keys, "ordered", "units", 1)
     return profile.remember_mapping(store, saved(keys.filter("l_suppkey % 3 = 0"), "shipped", "revenue", 2))
+
+
+@query(
+    "intake_findings",
+    "kind:str code:str column:str count:int",
+    """WITH rows AS (SELECT CAST(l_shipdate AS DATE) AS day, l_partkey % 500 AS part, l_linenumber AS line FROM lineitem),
+      n AS (SELECT COUNT(*) AS n, COUNT(*) - COUNT(DISTINCT (day, part)) AS repeated, COUNT(*) FILTER (WHERE line = 7) AS held FROM rows),
+      short AS (SELECT COUNT(*) AS short FROM (SELECT part FROM rows GROUP BY part HAVING COUNT(DISTINCT day) < 14)),
+      found AS (SELECT 'note' AS kind, 'all_null' AS code, 'comment' AS "column", n AS "count" FROM n
+        UNION ALL SELECT 'question', 'duplicate_keys', 'order_date', repeated FROM n
+        UNION ALL SELECT 'quarantined', 'unreadable', 'revenue', held FROM n
+        UNION ALL SELECT 'gated', 'short_history', NULL, short FROM short)
+      SELECT * FROM found WHERE "count" > 0
+      UNION ALL SELECT 'verdict', CASE WHEN repeated > 0 THEN 'confirm' ELSE 'proceed' END, NULL, n FROM n""",
+)
+def intake_findings(spark, folder):
+    """All rules over sales by day and part, where one line in seven has no figure."""
+    raw = table(spark, folder, "lineitem").select(
+        F.col("l_shipdate").cast("date").alias("order_date"),
+        F.when(F.col("l_linenumber") == 7, "call us").otherwise(F.format_number("l_extendedprice", 2)).alias("revenue"),
+        (F.col("l_partkey") % 500).cast("string").alias("part"),
+        F.lit(None).cast("string").alias("comment"),
+    )
+    return intake.assess(raw, ["part"])
