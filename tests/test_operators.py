@@ -189,6 +189,26 @@ def test_key_search_finds_the_smallest_key(spark, sales):
     assert again.duplicate_rows == 4
 
 
+def test_exact_keys_go_by_width(spark):
+    rows = [(d, a, b, a * 3 + b, "x", None) for d in range(4) for a in range(3) for b in range(3)]
+    frame = spark.createDataFrame(rows, "day int, a int, b int, ab int, one string, nothing string")
+    every = ["one", "nothing", "a", "b", "ab"]
+    brute = profile.key_search(frame, "day", every).collect()
+    for witness_rows in (1, 5, 2000):  # however few rows refute, the answer is the same
+        found = profile.exact_keys(frame, "day", every, witness_rows=witness_rows)
+        assert [tuple(r) for r in found] == [(1, ["ab"], 0, 9)]
+        found = profile.exact_keys(frame, "day", every[:-1], witness_rows=witness_rows)
+        assert {tuple(r["keys"]) for r in found} == {("a", "b")}
+    assert min((r["width"], tuple(r["keys"])) for r in brute if r["duplicate_rows"] == 0) == (1, ("ab",))
+    narrow = profile.exact_keys(frame, "day", every[:-1], width=1)
+    assert [(r["width"], r["duplicate_rows"], r["series_count"]) for r in narrow] == [(4, 0, 9)]
+    twice = profile.exact_keys(frame.unionAll(frame.limit(2)), "day", every)
+    assert [(r["width"], r["duplicate_rows"]) for r in twice] == [(5, 2)]
+    assert profile.exact_keys(frame.limit(0), "day", every)[0]["width"] == 0
+    null_key = spark.createDataFrame([(1, None), (1, "a"), (2, None)], "day int, k string")
+    assert [tuple(r) for r in profile.exact_keys(null_key, "day", ["k"])] == [(1, ["k"], 0, 2)]
+
+
 def test_proposal_and_override(spark, sales):
     mapping, _ = profile.propose(sales.select(F.col("day").alias("order_date"), "sku", F.col("units").alias("revenue")))
     assert (mapping.date, mapping.target, mapping.series_keys) == ("order_date", "revenue", ("sku",))

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +23,7 @@ from tidemark.functions import names as words
 from tidemark.functions.columns import col, require
 from tidemark.operators.coercion import numeric_date, numeric_dates_how, read_dates, read_numbers, text_columns
 from tidemark.operators.calendar import infer_frequency
+from tidemark.session import cut_lineage
 
 # ---- Limits (fixed values) -------------------------------------------------
 MAX_CATEGORICAL = 200
@@ -30,6 +33,8 @@ MAX_MEASURE_LABELS = 20
 DATE_FLOOR, TARGET_FLOOR = 0.5, 0.4
 CONFIDENCE_FLOOR, MIN_MARGIN = 0.55, 0.12
 MAX_KEY_WIDTH = 4
+#: Rows that may prove on the driver that a set of dimensions is no key.
+WITNESS_ROWS = 2_000
 MAX_COVARIATES = 8
 NEAR_UNIQUE_SHARE, MAX_DIMENSION_SHARE = 0.9, 0.5
 BLOCKING = frozenset(
@@ -337,6 +342,112 @@ def key_search(frame: DataFrame, date: str, dimensions: Sequence[str]) -> DataFr
     )
 
 
+def _refuted(witness: pd.DataFrame, subsets: Iterable[tuple[int, ...]]) -> set[tuple[int, ...]]:
+    """Subsets under which two of the witness rows share a date and a key.
+
+    Two such rows are proof for the whole table; their absence proves nothing.
+    """
+    codes = [pd.factorize(witness[name], use_na_sentinel=False)[0].astype(np.int64) for name in witness.columns]
+    out = set()
+    for subset in subsets:
+        # Pairs of codes are numbered anew after each column, so nothing overflows.
+        joined = codes[0]
+        for place in subset:
+            joined = np.unique(joined * len(witness) + codes[place + 1], return_inverse=True)[1]
+        if len(np.unique(joined)) < len(witness):
+            out.add(subset)
+    return out
+
+
+def exact_keys(
+    frame: DataFrame,
+    date: str,
+    dimensions: Sequence[str],
+    *,
+    width: int = MAX_KEY_WIDTH,
+    witness_rows: int = WITNESS_ROWS,
+) -> list[Row]:
+    """width, keys, duplicate_rows, series_count of the narrowest exact subsets.
+
+    All subsets of the first width that has any that leave one row per date and
+    key; the whole set where no width up to ``width`` has one. Null is a value.
+
+    Widths are taken one after the other. If the whole set repeats a key, so does
+    every subset, and nothing is searched. Of a width, a few rows that lie close
+    together first refute the subsets under which two of them meet, on the driver;
+    those left are counted over the whole table in one aggregate, which also tells
+    on which dimensions rows that met agree: they refute wider ones. A dimension that
+    adds no group to a subset adds none to a wider one either, so supersets of
+    such a subset are left out. An empty table has the empty key.
+    """
+    considered = [name for name in dimensions if name in frame.columns]
+    names = [f"k{i}" for i in range(len(considered))]
+    base = frame.select(col(date).alias("_date"), *[col(n).alias(k) for n, k in zip(considered, names)])
+    cells = cut_lineage(base.groupBy("_date", *names).agg(F.count("*").alias("n")), "cells")
+    repeats = F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows")
+
+    def series(subset: tuple[int, ...]) -> int:
+        return cells.select(*[names[i] for i in subset]).distinct().count() if subset else 1
+
+    def found(subset: tuple[int, ...], duplicate_rows: int, series_count: int) -> Row:
+        keys = [considered[i] for i in subset]
+        return Row(width=len(subset), keys=keys, duplicate_rows=duplicate_rows, series_count=series_count)
+
+    whole = tuple(range(len(considered)))
+    total, repeated = cells.agg(F.coalesce(F.sum("n"), F.lit(0)), repeats).first()
+    if repeated == 0:
+        witness = cells.select("_date", *[F.col(k).cast("string").alias(k) for k in names]).orderBy("_date", *names).limit(witness_rows).toPandas()
+        groups: dict[tuple[int, ...], int] = {}
+        idle: list[set[int]] = []
+        agreed: set[int] = set()
+        for size in range(min(width, len(whole)) + 1):
+            subsets = [s for s in combinations(whole, size) if not any(less <= set(s) for less in idle)]
+            bits = {s: sum(1 << i for i in s) for s in subsets}
+            subsets = [s for s in subsets if not any(bits[s] & mask == bits[s] for mask in agreed)]
+            refuted = _refuted(witness, subsets)
+            counted, met = _groups(cells, names, [s for s in subsets if s not in refuted])
+            agreed |= met
+            exact = [s for s, n in counted.items() if n == total]
+            if exact:
+                return [found(s, 0, series(s)) for s in exact]
+            groups.update(counted)
+            for s, n in counted.items():
+                if any(groups.get(s[:i] + s[i + 1 :]) == n for i in range(len(s))):
+                    idle.append(set(s))
+    return [found(whole, repeated, series(whole))]
+
+
+def _groups(
+    cells: DataFrame, names: Sequence[str], subsets: Sequence[tuple[int, ...]], most: int = 32
+) -> tuple[dict[tuple[int, ...], int], set[int]]:
+    """How many (date, key) groups each subset makes, and dimensions on which two
+    rows of one group agree, as bits: of each subset up to ``most`` such sets, the
+    largest. They only spare work, so leaving some out changes no result. Values
+    agree if their 64-bit hashes do."""
+    if not subsets:
+        return {}, set()
+    bits = {sum(1 << i for i in s): s for s in subsets}
+    places = range(len(names))
+    spread = cells.select("_date", *names, *[F.xxhash64(k).alias(f"x{j}") for j, k in enumerate(names)]).select(
+        "*", F.explode(F.array(*[F.lit(mask).cast("long") for mask in bits])).alias("subset")
+    )
+    held = [F.when(F.col("subset").bitwiseAND(F.lit(1 << j)) != 0, F.col(k)).alias(f"h{j}") for j, k in enumerate(names)]
+    grouped = (
+        spread.select("subset", "_date", *held, *[f"x{j}" for j in places])
+        .groupBy("subset", "_date", *[f"h{j}" for j in places])
+        .agg(*[F.min(f"x{j}").alias(f"a{j}") for j in places], *[F.max(f"x{j}").alias(f"b{j}") for j in places])
+    )
+    agree = sum([F.when(F.col(f"a{j}") == F.col(f"b{j}"), F.lit(1 << j)).otherwise(F.lit(0)) for j in places], F.lit(0).cast("long"))
+    masks = grouped.select("subset", agree.alias("mask")).groupBy("subset", "mask").agg(F.count("*").alias("n"))
+    ranked = F.sort_array(F.collect_list(F.struct(F.bit_count("mask").alias("width"), "mask")), asc=False)
+    told = masks.groupBy("subset").agg(F.sum("n").alias("n"), F.slice(ranked, 1, most + 1).alias("masks")).collect()
+    counts = {r["subset"]: r["n"] for r in told}
+    # A group of one row agrees with itself everywhere; two rows never do.
+    every = (1 << len(names)) - 1
+    met = {m["mask"] for r in told for m in r["masks"]} - {every}
+    return {s: counts.get(mask, 0) for mask, s in bits.items()}, met
+
+
 @dataclass(frozen=True)
 class KeyResolution:
     series_keys: tuple[str, ...] = ()
@@ -387,14 +498,10 @@ def detect_hierarchy(frame: DataFrame, keys: Sequence[str]) -> tuple[str, ...]:
 def resolve_keys(frame: DataFrame, date: str, dimensions: Sequence[str]) -> KeyResolution:
     """The smallest set of dimensions that leaves one row per date and key."""
     considered = [name for name in dimensions if name in frame.columns]
-    rows = key_search(frame, date, considered).collect()
-    exact = [r for r in rows if r["duplicate_rows"] == 0 and r["width"] <= MAX_KEY_WIDTH]
-    if any(r["width"] == 0 for r in exact):
+    rows = exact_keys(frame, date, considered)
+    chosen = min(rows, key=lambda r: (r["series_count"], tuple(r["keys"])))
+    if chosen["width"] == 0 and chosen["duplicate_rows"] == 0:
         return KeyResolution()
-    if exact:
-        chosen = min(exact, key=lambda r: (r["width"], r["series_count"], tuple(r["keys"])))
-    else:
-        chosen = next(r for r in rows if tuple(r["keys"]) == tuple(considered))
     keys = list(chosen["keys"])
     others = [name for name in considered if name not in keys]
     ancestors = []

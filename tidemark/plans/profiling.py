@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from tidemark.constants import MONTHLY
@@ -225,6 +227,40 @@ def key_search_wide(spark, folder):
     return found.withColumn("keys", F.array_join("keys", ","))
 
 
+#: Twenty dimensions of a delivered line; it takes two of them to tell lines apart.
+_LINES = {
+    "orderkey": "l_orderkey", "suppkey": "l_suppkey", "linenumber": "l_linenumber", "quantity": "l_quantity",
+    "discount": "l_discount", "tax": "l_tax", "returnflag": "l_returnflag", "linestatus": "l_linestatus",
+    "partkey": "l_partkey", "part_class": "l_partkey % 7", "supplier_band": "l_suppkey % 10",
+    "supplier_class": "l_suppkey % 3", "order_band": "l_orderkey % 10", "order_class": "l_orderkey % 6",
+    "year": "year(l_shipdate)", "quarter": "quarter(l_shipdate)", "month": "month(l_shipdate)",
+    "bulk": "l_quantity > 25", "cheap": "l_discount > 0.05", "taxed": "l_tax > 0.04",
+}
+
+
+def _exact_sql() -> str:
+    lines = f"SELECT date_trunc('month', l_shipdate) AS ds, {', '.join(f'{e} AS {n}' for n, e in _LINES.items())} FROM lineitem"
+    subsets = [s for width in range(3) for s in combinations(_LINES, width)]
+    tried = " UNION ALL ".join(
+        f"""SELECT {len(s)} AS width, '{','.join(s)}' AS keys, (SELECT COUNT(*) FROM (SELECT DISTINCT {', '.join(['ds', *s])} FROM lines)) AS groups,
+          {f"(SELECT COUNT(*) FROM (SELECT DISTINCT {', '.join(s)} FROM lines))" if s else '1'} AS series_count"""
+        for s in subsets
+    )
+    return f"""WITH lines AS MATERIALIZED ({lines}), tried AS ({tried}), exact AS (SELECT * FROM tried WHERE groups = (SELECT COUNT(*) FROM lines))
+      SELECT width, keys, 0 AS duplicate_rows, series_count FROM exact WHERE width = (SELECT MIN(width) FROM exact)"""
+
+
+@query("exact_keys", "width:int keys:str duplicate_rows:int series_count:int", _exact_sql())
+def exact_keys(spark, folder):
+    """The narrowest of the keys that twenty dimensions offer, width by width."""
+    lines = table(spark, folder, "lineitem").select(
+        F.trunc(F.col("l_shipdate").cast("date"), "month").alias("ds"), *[F.expr(e).alias(n) for n, e in _LINES.items()]
+    )
+    rows = profile.exact_keys(lines, "ds", list(_LINES))
+    found = spark.createDataFrame(rows, "width int, keys array<string>, duplicate_rows long, series_count long")
+    return found.withColumn("keys", F.array_join("keys", ","))
+
+
 @query(
     "key_dependencies",
     "child:str parent:str determined:bool",
