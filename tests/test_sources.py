@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.sources import database, delimited, records, store
-from tidemark.streaming import actuals, periods
+from tidemark.streaming import actuals, periods, suppression
 
 ROWS = [(f"2024-{m:02d}-01", 100 + m) for m in range(1, 13)]
 
@@ -172,3 +172,45 @@ def test_sources_fit_by_their_footers(spark, tmp_path):
     assert store.fitting_sources(spark, paths, ["price"], "day", date(2024, 2, 1)) == ["whole"]
     assert store.reach_of(spark, paths["short"], "day") == date(2024, 1, 31)
     assert spark.conf.get("spark.sql.sources.useV1SourceList") == before
+
+
+def test_changes_are_told_in_order_over_restarts(spark, tmp_path):
+    """Late readings, ties, nulls and repeats, in three runs of one stream."""
+    from datetime import date, datetime, timedelta
+
+    start, day = datetime(2024, 1, 1), date(2023, 12, 1)
+    schema = "series_key string, target_date date, value double, revised_at timestamp"
+
+    def at(n):
+        return start + timedelta(days=n, microseconds=n)
+
+    runs = [
+        [("a", 1.0, 0), ("a", 1.0, 4), ("b", None, 3), (None, 5.0, 1), ("a", 1.0, 0)],
+        [("a", 2.0, 2), ("b", 7.0, 4), ("b", 6.0, 4), ("a", 2.0, 6), ("b", None, 5)],
+        [("c", 0.0, 40), ("a", 2.0, 7)],
+    ]
+    path, told, state = (str(tmp_path / name) for name in ("in", "told", "state"))
+    rows = []
+    for place, run in enumerate(runs):
+        batch = [(key, day, value, at(n)) for key, value, n in run]
+        rows += batch
+        spark.createDataFrame(batch, schema).coalesce(1).write.parquet(f"{path}/run-{place}")
+        stream = spark.readStream.schema(schema).parquet(f"{path}/run-*")
+        suppression.issue_available(stream, told, state, late="3 days")
+    found = spark.read.schema(schema).parquet(told)
+    want = actuals.changes(spark.createDataFrame(rows, schema)).filter("series_key IS NULL OR series_key <> 'c'")
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect())) and found.count() == 9
+
+
+def test_a_value_in_force_expires_only_if_asked(spark, tmp_path):
+    from datetime import date, datetime
+
+    schema = "series_key string, target_date date, value double, revised_at timestamp"
+    for held, count in ((None, 1), (5, 2)):
+        path, told, state = (str(tmp_path / f"{name}{held}") for name in ("in", "told", "state"))
+        for place, (key, month) in enumerate([("a", 1), ("z", 3), ("a", 4), ("z", 6)]):
+            batch = [(key, date(2023, 12, 1), 1.0, datetime(2024, month, 1))]
+            spark.createDataFrame(batch, schema).coalesce(1).write.parquet(f"{path}/run-{place}")
+            stream = spark.readStream.schema(schema).parquet(f"{path}/run-*")
+            suppression.issue_available(stream, told, state, late="1 day", held_days=held)
+        assert spark.read.schema(schema).parquet(told).filter("series_key = 'a'").count() == count

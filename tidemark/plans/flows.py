@@ -13,7 +13,7 @@ from tidemark.plans.forecasting import _SUPPLIERS, supplier_series
 from tidemark.plans.panels import aligned_sql, trunc_sql
 from tidemark.session import cut_lineage, scratch_path
 from tidemark.sources import store
-from tidemark.streaming import actuals, periods
+from tidemark.streaming import actuals, periods, suppression
 
 
 # ---- Sources and sinks -------------------------------------------------------
@@ -217,24 +217,48 @@ def actual_revisions(spark, folder):
     return found.select(F.row_number().over(Window.partitionBy("series_key", "target_date").orderBy("revised_at")).alias("place"), "value")
 
 
+_STAMPED = "series_key string, target_date date, value double, revised_at timestamp"
+
+
+def _revision(spark, folder, revision, path):
+    """Write the report of one revision: every day's sum as known then."""
+    known = F.when(F.col("event_id") % 4 <= revision, F.col("value"))
+    key = scoring.series_key(["event_type"]).alias("series_key")
+    readings = table(spark, folder, "events").groupBy(key, F.col("ts").cast("date").alias("target_date")).agg(
+        F.round(F.sum(known), 4).alias("value")
+    )
+    stamped = readings.filter(F.col("value").isNotNull()).withColumn(
+        "revised_at", F.expr(f"timestamp'2024-02-0{revision} 00:00:00'")
+    )
+    stamped.write.parquet(f"{path}/revision-{revision}")
+
+
 def _reported(spark, folder, *, files_per_batch):
-    events = table(spark, folder, "events")
     path = scratch_path(spark, "readings")
     for revision in (1, 2, 3):
-        known = F.when(F.col("event_id") % 4 <= revision, F.col("value"))
-        day = F.col("ts").cast("date")
-        readings = events.groupBy(scoring.series_key(["event_type"]).alias("series_key"), day.alias("target_date")).agg(
-            F.round(F.sum(known), 4).alias("value")
-        )
-        stamped = readings.filter(F.col("value").isNotNull()).withColumn(
-            "revised_at", F.expr(f"timestamp'2024-02-0{revision} 00:00:00'")
-        )
-        stamped.write.parquet(f"{path}/revision-{revision}")
-    schema = "series_key string, target_date date, value double, revised_at timestamp"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path}/revision-*")
+        _revision(spark, folder, revision, path)
+    stream = spark.readStream.schema(_STAMPED).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path}/revision-*")
     return actuals.ingest_available(stream)
 
 
+@query(
+    "stream_changes",
+    "series_key:str target_date:date revised:date value:2",
+    # The third report is newer than what a day's lateness lets be judged.
+    f"""{_READINGS} SELECT series_key, target_date, DATE '2024-02-01' + CAST(r - 1 AS INTEGER) AS revised, value FROM kept
+      WHERE r <= 2 AND (before IS NULL OR before <> value)""",
+)
+def stream_changes(spark, folder):
+    """Changes told as they arrive, by a stream that stops and goes on from its state."""
+    path, told, state = (scratch_path(spark, name) for name in ("reports", "told", "told-state"))
+    for revisions in ((1,), (2, 3)):
+        for revision in revisions:
+            _revision(spark, folder, revision, path)
+        stream = spark.readStream.schema(_STAMPED).parquet(f"{path}/revision-*")
+        suppression.issue_available(stream, told, state, late="1 day")
+    return spark.read.schema(_STAMPED).parquet(told).withColumn("revised", F.col("revised_at").cast("date"))
+
+
 # ---- Drivers -------------------------------------------------------------------
 DRIVERS = ("units", "discount", "tax")
 _DRIVEN = f"""{aligned_sql(f'''SELECT CAST(l_suppkey AS VARCHAR) AS series_id, {trunc_sql('l_shipdate', MONTHLY)} AS ds, SUM(l_extendedprice) AS y
