@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.constants import DAILY, MONTHLY, WEEKLY
+from tidemark.functions import tables
 from tidemark.functions.dates import period_start
 from tidemark.operators import backtest, calendar, diagnostics, drivers, report, scoring
 from tidemark.plans.catalog import query, table
@@ -424,3 +425,54 @@ def sparkline(spark, folder):
     found = drivers.sparkline(supplier_series(spark, folder), "y")
     text = F.transform("spark", lambda v: F.format_string("%.2f", F.round(v + 3.7e-8, 2)))
     return found.select("series_id", F.size("spark").alias("points"), F.array_join(text, ",").alias("spark"))
+
+
+# ---- Table functions -----------------------------------------------------------
+_SPANS = f"""spans AS (SELECT l_suppkey AS supplier, {trunc_sql('MIN(l_shipdate)', MONTHLY)} AS first, {trunc_sql('MAX(l_shipdate)', MONTHLY)} AS last
+      FROM lineitem WHERE l_quantity > 40 GROUP BY ALL)"""
+
+
+@query(
+    "lateral_folds",
+    "supplier:int fold:int scheme:str opens:int cut:int step:int ds:date",
+    f"""WITH {_SPANS}, sized AS (SELECT *, CAST(datediff('month', first, last) AS INTEGER) + 1 AS n FROM spans),
+      tested AS (SELECT *, greatest(1, least(6, greatest(1, n // 4))) AS test FROM sized),
+      started AS (SELECT *, least(greatest(least(24, n - test), greatest(3, n // 2)), n - test) AS start FROM tested),
+      planned AS (SELECT *, least((n - start - test) // test + 1, 5) AS k FROM started WHERE start >= 3),
+      cuts AS (SELECT *, unnest(range(k)) AS fold FROM planned),
+      placed AS (SELECT *, n - test * (k - fold) AS cut, unnest(range(1, test + 1)) AS step FROM cuts)
+      SELECT supplier, fold, CASE WHEN n / 12.0 >= 8 THEN 'rolling' ELSE 'expanding' END AS scheme,
+        CASE WHEN n / 12.0 >= 8 THEN greatest(0, cut - start) ELSE 0 END AS opens, cut, step,
+        first + to_months(CAST(cut - 1 + step AS INTEGER)) AS ds FROM placed""",
+)
+def lateral_folds(spark, folder):
+    """The tested months of every supplier's large deliveries, in SQL."""
+    tables.register(spark)
+    return spark.sql(
+        """WITH spans AS (SELECT l_suppkey AS supplier, trunc(MIN(l_shipdate), 'month') AS first, trunc(MAX(l_shipdate), 'month') AS last
+            FROM {lineitem} WHERE l_quantity > 40 GROUP BY l_suppkey),
+          sized AS (SELECT *, CAST(months_between(last, first) AS INT) + 1 AS n FROM spans)
+          SELECT supplier, fold, scheme, opens, cut, step, p.ds FROM sized, LATERAL backtest_folds(n, 6, 12),
+            LATERAL future_periods(add_months(first, cut - 1), reach, 'monthly') AS p""",
+        lineitem=table(spark, folder, "lineitem"),
+    )
+
+
+@query(
+    "lateral_gaps",
+    "supplier:int t:int ds:date",
+    f"""WITH {_SPANS}, months AS (SELECT supplier, first, unnest(generate_series(first, last, INTERVAL 1 MONTH)) AS ds FROM spans),
+      seen AS (SELECT DISTINCT l_suppkey AS supplier, {trunc_sql('l_shipdate', MONTHLY)} AS ds FROM lineitem WHERE l_quantity > 40)
+      SELECT supplier, datediff('month', first, ds) AS t, ds FROM months m
+      WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.supplier = m.supplier AND s.ds = m.ds)""",
+)
+def lateral_gaps(spark, folder):
+    """Months without a large delivery between a supplier's first and last, in SQL."""
+    tables.register(spark)
+    return spark.sql(
+        """WITH seen AS (SELECT DISTINCT l_suppkey AS supplier, trunc(l_shipdate, 'month') AS ds FROM {lineitem} WHERE l_quantity > 40),
+          spans AS (SELECT supplier, MIN(ds) AS first, MAX(ds) AS last FROM seen GROUP BY supplier)
+          SELECT supplier, t, c.ds FROM spans, LATERAL calendar_periods(first, last, 'monthly') AS c
+          LEFT ANTI JOIN seen USING (supplier, ds)""",
+        lineitem=table(spark, folder, "lineitem"),
+    )
