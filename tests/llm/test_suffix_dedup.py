@@ -75,3 +75,25 @@ def test_rows_without_an_id_get_no_block(spark, monkeypatch):
     rows = [(None, "u" * 70), (None, None), (1, "u" * 70), (2, "u" * 70)]
     _, found = result(spark.createDataFrame(rows, SCHEMA))
     assert seen and sorted((row.id or 0, row.n_bytes, len(row.spans), len(row.kept)) for row in found) == [(0, 0, 0, 0), (0, 70, 0, 70), (1, 70, 0, 70), (2, 70, 1, 0)]
+
+
+@pytest.mark.parametrize("block_bytes", [300, 1 << 20])
+def test_one_id_on_many_rows(spark, block_bytes):
+    """Parts of a heavy id do not count against each other; others are as ever."""
+    draw = random.Random(3)
+    shared = [" ".join(f"{draw.randrange(10**6)}" for _ in range(20)) for _ in range(5)]
+    heavy = [(50, f"{draw.choice(shared)} {draw.randrange(10**9)} {draw.choice(shared)}") for _ in range(60)] + [(50, shared[0])] * 40
+    light = [(key, f"{key * 7} {draw.choice(shared)}") for key in (3, 8, 49, 51, 60, 90)]
+    rows = [*heavy, *light, (None, shared[0])]
+    _, found = result(spark.createDataFrame(rows, SCHEMA).repartition(5), block_bytes=block_bytes)
+
+    def cut(key, text):
+        data, gone = text.encode(), bytearray(len(text.encode()))
+        seen = {t.encode()[at : at + 50] for k, t in rows if k is not None and k < key for at in range(len(t) - 49)}
+        for at in range(len(data) - 49):
+            if data[at : at + 50] in seen:
+                gone[at : at + 50] = b"\1" * 50
+        return bytes(b for b, flag in zip(data, gone, strict=True) if not flag)
+
+    want = sorted((key, cut(key, text)) if key is not None else (-1, text.encode()) for key, text in rows)
+    assert sorted((-1 if row.id is None else row.id, bytes(row.kept)) for row in found) == want

@@ -47,6 +47,49 @@ def block_of(key: Column, bounds: list[int]) -> Column:
     return F.when(key.isNull(), F.lit(-1).cast("long")).otherwise(place(F.coalesce(key, F.lit(0).cast("long"))))
 
 
+#: Bits of a block's number that tell apart the parts of one id.
+PART_BITS = 20
+
+
+def heavy_blocks(sizes: DataFrame, block_bytes: int) -> tuple[list[int], np.ndarray]:
+    """Bounds as of ``block_bounds``, and of every block the parts it falls into.
+
+    An id of two blocks' bytes or more has a block to itself, in parts of about
+    ``block_bytes``; any other block is one part. What comes to the driver is two
+    numbers a block.
+    """
+
+    def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, fresh = 0, True
+        for batch in batches:
+            bounds, parts = [], []
+            for key, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                heavy = size >= 2 * block_bytes
+                if fresh or heavy or held >= block_bytes:
+                    bounds.append(key)
+                    parts.append(min(-(-size // block_bytes), 1 << PART_BITS) if heavy else 1)
+                    held = 0
+                held, fresh = held + size, heavy
+            yield pa.RecordBatch.from_arrays([pa.array(bounds, pa.int64()), pa.array(parts, pa.int64())], names=["bound", "parts"])
+
+    totals = sizes.where("id IS NOT NULL").groupBy("id").agg(F.sum("size").alias("size"))
+    rows = sorted(totals.repartitionByRange("id").sortWithinPartitions("id").mapInArrow(cuts, "bound long, parts long").collect())
+    return [row.bound for row in rows], np.array([1, *(row.parts for row in rows)], dtype=np.int64)
+
+
+def part_of(block: Column, spread: Column, parts: np.ndarray) -> Column:
+    """The number of a block and of a part in it; numbers grow with the block."""
+    base = F.shiftleft(block, PART_BITS)
+    if parts.max() == 1:
+        return base
+
+    @F.pandas_udf("long")
+    def share(blocks: pd.Series) -> pd.Series:
+        return pd.Series(parts[blocks.to_numpy(dtype=np.int64)])
+
+    return base + F.pmod(F.xxhash64(spread), share(block))
+
+
 class Texts:
     """The texts of one block in id order, from rows (id, text, block)."""
 

@@ -86,9 +86,10 @@ def _unpack(n: int, low: bytes, counts: bytes, layout: Layout) -> np.ndarray:
     return wide.view("<u8").ravel() | high << np.uint64(8 * layout.low_bytes)
 
 
-def answers(layout: Layout, earlier_only: bool):
+def answers(layout: Layout, earlier_only: bool, part_bits: int = 0):
     """For ``groupBy("part").applyInArrow``: which values of each set also lie in
-    another set, or in a set of a smaller block only."""
+    another set, or in a set of a smaller block only. The last ``part_bits`` of a
+    block's number tell parts of one block apart, none of which is the smaller."""
 
     def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
@@ -106,6 +107,11 @@ def answers(layout: Layout, earlier_only: bool):
         found[1:] = same
         if not earlier_only:
             found[:-1] |= same
+        elif part_bits:
+            # Equal values stand in the order of their blocks: the first of them decides.
+            begins = np.flatnonzero(~found)
+            place = np.repeat(np.asarray(blocks, dtype=np.int64) >> part_bits, ns)[order]
+            found &= place > np.repeat(place[begins], np.diff(np.append(begins, len(order))))
         out = np.empty(len(order), dtype=bool)
         out[order] = found
         cuts = np.cumsum([0, *ns])

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import hashsets, kernels
-from tidemark.llm.blocks import Texts, block_bounds, block_of
+from tidemark.llm.blocks import PART_BITS, Texts, block_of, heavy_blocks, part_of
 
 #: A perfect difference set: every residue modulo 21 is a difference of two.
 PERIOD = 21
@@ -139,19 +139,25 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     around = given.where("id IS NULL").select("id", F.octet_length("text").cast("long").alias("n_bytes"), none, F.col("text").cast("binary").alias("kept"))
     sizes = rows.select("id", F.octet_length("text").cast("long").alias("size"))
     total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).collect()[0].bytes
-    bounds = block_bounds(sizes, block_bytes)
+    bounds, parts = heavy_blocks(sizes, block_bytes)
     # At most every place is sampled or stays: the layouts hold for that.
     sampled = hashsets.filter_layout(max(2, total * len(COVER) // PERIOD))
     merged = hashsets.exact_layout(max(2, total // 4))
 
     keyed = rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
-    blocks = keyed.withColumn("block", block_of(F.col("id"), bounds))
+    split = bool(parts.max() > 1)
+    place = part_of(block_of(F.col("id"), bounds), F.col("digest"), parts)
+    blocks = keyed.withColumn("block", place)
+    if split:
+        # Rows of a heavy id that are equal in text share one result.
+        once = blocks.groupBy("block", "id", "digest").agg(F.first("text").alias("text"), F.count("*").alias("times"))
+        blocks = once.select("id", "text", "digest", "block", "times")
 
     # Whole copies of a text with a smaller id are settled by their digests.
     firsts = keyed.select("id", "digest").where("id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     copies = keyed.select("id", "digest").join(firsts, "digest").where("id > first").select("id", "digest").distinct()
     copy_notes = copies.select(
-        block_of(F.col("id"), bounds).alias("block"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("n"), F.lit(b"").alias("bits"), F.col("id").alias("id"), F.col("digest").alias("digest")
+        place.alias("block"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("n"), F.lit(b"").alias("bits"), F.col("id").alias("id"), F.col("digest").alias("digest")
     )
 
     def notes(frame: DataFrame, kind: int) -> DataFrame:
@@ -190,8 +196,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shared = names.groupBy("part").applyInArrow(hashsets.answers(sampled, earlier_only=False), hashsets.ANSWER)
     with_shared = copy_notes.unionByName(notes(shared, 1))
     prefixes = cogrouped(with_shared, send_prefixes, hashsets.PACKED)
-    earlier = prefixes.groupBy("part").applyInArrow(hashsets.answers(merged, earlier_only=True), hashsets.ANSWER)
-    return cogrouped(with_shared.unionByName(notes(earlier, 2)), remove, SCHEMA).unionByName(around)
+    earlier = prefixes.groupBy("part").applyInArrow(hashsets.answers(merged, earlier_only=True, part_bits=PART_BITS), hashsets.ANSWER)
+    answered = with_shared.unionByName(notes(earlier, 2))
+    if split:
+        told = cogrouped(answered, remove, f"{SCHEMA}, times long").withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+        return told.drop("time", "times").unionByName(around)
+    return cogrouped(answered, remove, SCHEMA).unionByName(around)
 
 
 def _removed(block: _Block, gone: np.ndarray) -> pa.Table:
@@ -203,4 +213,5 @@ def _removed(block: _Block, gone: np.ndarray) -> pa.Table:
     kept = block.data[~gone]
     ends_kept = np.concatenate(([0], np.cumsum(~gone)))[block.offsets]
     column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends_kept) - 1, [None, pa.py_buffer(ends_kept.astype(np.int64).tobytes()), pa.py_buffer(kept.tobytes())])
-    return pa.table({"id": block.table.column("id"), "n_bytes": pa.array(np.diff(block.offsets), pa.int64()), "spans": spans, "kept": column.cast(pa.binary())})
+    out = pa.table({"id": block.table.column("id"), "n_bytes": pa.array(np.diff(block.offsets), pa.int64()), "spans": spans, "kept": column.cast(pa.binary())})
+    return out.append_column("times", block.table.column("times")) if "times" in block.table.column_names else out
