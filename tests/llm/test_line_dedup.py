@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup
+from tidemark.llm import kernels, line_dedup
 
 SCHEMA = "doc_id long, text string"
 
@@ -168,3 +169,44 @@ def test_rows_without_an_id_get_no_block(spark, monkeypatch):
     line = "This line is as long as it has to be for both."
     found = line_dedup.dedup_lines(spark.createDataFrame([(None, line), (1, line), (2, line)], SCHEMA)).collect()
     assert seen and sorted((row.doc_id or 0, row.dropped, row.kept) for row in found) == [(0, [], line), (1, [], line), (2, [0], "")]
+
+
+@pytest.mark.parametrize("block_bytes", [300, 1 << 20])
+def test_one_id_on_many_rows(spark, block_bytes):
+    """Versions of a heavy id: each different line counts once, at its least number."""
+    draw = random.Random(9)
+    base = ["".join(draw.choice("abcdefgh ") for _ in range(draw.randrange(12, 40))) for _ in range(30)]
+    rows = [(50, "\n".join([*draw.choices(base, k=draw.randrange(5)), edited(draw, draw.choice(base), 1), ""])) for _ in range(60)]
+    rows += [(50, rows[0][1])] * 30 + [(50, None)]
+    rows += [(key, "\n".join([*draw.choices(base, k=2), f"own line of the number {key * 7919}"])) for key in (3, 8, 49, 51, 60, 90)]
+    rows += [(None, base[0])]
+    digest = {}
+
+    def hashed(line):
+        if line not in digest:
+            data = np.frombuffer(line.encode(), dtype=np.uint8)
+            digest[line] = int(kernels.range_hashes(kernels.prefix_sums(data), np.array([0]), np.array([len(data)])).view(np.int64)[0])
+        return digest[line]
+
+    places = {(key, number, line) for key, text in rows if key is not None for number, line in enumerate((text or "").split("\n")) if line}
+    distinct, gone, known = [], {}, {}
+    for key, number, line in sorted(places, key=lambda place: (*place[:2], hashed(place[2]))):
+        if line in known:
+            gone[key, number, line] = "equal"
+            continue
+        known[line] = key, number
+        for other in distinct:
+            most = min(2, max(len(line), len(other)) // 5)
+            if most and abs(len(line) - len(other)) <= most and distance(line, other) <= most:
+                gone[key, number, line] = "near"
+                break
+        distinct.append(line)
+    assert {"equal", "near"} <= set(gone.values())
+
+    def kept(key, text):
+        lines = list(enumerate((text or "").split("\n")))
+        went = [gone[key, number, line] for number, line in lines if (key, number, line) in gone]
+        return key or -1, "\n".join(line for number, line in lines if (key, number, line) not in gone), went.count("near"), len(went)
+
+    found = line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA).repartition(5), block_bytes=block_bytes).collect()
+    assert sorted((row.doc_id or -1, row.kept, row.n_near, len(row.dropped)) for row in found) == sorted(kept(*row) for row in rows)

@@ -13,29 +13,6 @@ from pyspark.sql import functions as F
 from tidemark.llm import kernels
 
 
-def block_bounds(sizes: DataFrame, block_bytes: int) -> list[int]:
-    """First ids of all blocks but the first, from rows (id long, size long).
-
-    One bound per ``block_bytes`` of text comes to the driver, so the block
-    size sets its share: 8 MB a block is 8 bytes in 8 million.
-    """
-
-    def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = 0, None
-        for batch in batches:
-            out = []
-            for key, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if last is None or (held >= block_bytes and key != last):
-                    out.append(key)
-                    held = 0
-                held, last = held + size, key
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["bound"])
-
-    ranged = sizes.where("id IS NOT NULL").repartitionByRange("id").sortWithinPartitions("id")
-    rows = ranged.mapInArrow(cuts, "bound long").distinct().collect()
-    return sorted(row.bound for row in rows)
-
-
 def block_of(key: Column, bounds: list[int]) -> Column:
     """The block of an id; rows without an id belong to block -1."""
     edges = np.array(bounds, dtype=np.int64)
@@ -52,11 +29,12 @@ PART_BITS = 20
 
 
 def heavy_blocks(sizes: DataFrame, block_bytes: int) -> tuple[list[int], np.ndarray]:
-    """Bounds as of ``block_bounds``, and of every block the parts it falls into.
+    """First ids of all blocks but the first, from rows (id long, size long), and of
+    every block the parts it falls into.
 
     An id of two blocks' bytes or more has a block to itself, in parts of about
-    ``block_bytes``; any other block is one part. What comes to the driver is two
-    numbers a block.
+    ``block_bytes``; any other block is one part. Two numbers a block come to the
+    driver, so the block size sets its share: 8 MB a block is 16 bytes in 8 million.
     """
 
     def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,6 +68,16 @@ def part_of(block: Column, spread: Column, parts: np.ndarray) -> Column:
     return base + F.pmod(F.xxhash64(spread), share(block))
 
 
+def is_divided(block: Column, parts: np.ndarray) -> Column:
+    """Whether a block is one id in several parts; block -1 is not."""
+
+    @F.pandas_udf("boolean")
+    def divided(blocks: pd.Series) -> pd.Series:
+        return pd.Series(parts[np.maximum(blocks.to_numpy(dtype=np.int64), 0)] > 1)
+
+    return divided(block)
+
+
 class Texts:
     """The texts of one block in id order, from rows (id, text, block)."""
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tidemark.llm import hashsets, kernels
-from tidemark.llm.blocks import Texts, block_bounds, block_of
+from tidemark.llm.blocks import Texts, block_of, heavy_blocks, is_divided, part_of
 from tidemark.session import cut_lineage
 
 #: Edits of characters, at most, and characters of the longer line for each.
@@ -171,6 +171,8 @@ class _Lines(Texts):
     def __init__(self, table: pa.Table, notes: pa.Table | None) -> None:
         super().__init__(table)
         self.notes = notes
+        #: The number of a row's first line: 0 but for lines of a heavy id, a row each.
+        self.base = self.table.column("base").to_numpy() if "base" in self.table.column_names else np.zeros(self.table.num_rows, dtype=np.int64)
 
     def answers(self, keys: bool, size: int) -> np.ndarray:
         of_keys = self.notes.column("part").to_numpy() >= _KEYS_FROM
@@ -180,7 +182,7 @@ class _Lines(Texts):
         for at, _, data, offsets in self.pieces():
             starts, ends, rows, numbers = cut_lines(data, offsets)
             sums = kernels.prefix_sums(data)
-            yield at, data, sums, starts, ends, rows + at, numbers
+            yield at, data, sums, starts, ends, rows + at, numbers + self.base[rows + at]
 
     def line_hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, number and hash of the lines that are not empty."""
@@ -455,6 +457,22 @@ def near_lines(lines: DataFrame, threshold: int, part_rows: int = 1 << 19, hot_r
     return found
 
 
+OCCURRENCES = "id long, digest binary, no int, hash long, line string"
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For ``mapInArrow`` over rows (id, digest, text): every line that is not empty."""
+    for batch in batches:
+        for rows, data, offsets in kernels.pieces(batch, "text"):
+            starts, ends, own, numbers = cut_lines(data, offsets)
+            fit = np.flatnonzero(ends > starts)
+            hashes = kernels.range_hashes(kernels.prefix_sums(data), starts[fit], ends[fit]).view(np.int64)
+            lines = [data[a:b].tobytes().decode("utf-8") for a, b in zip(starts[fit].tolist(), ends[fit].tolist(), strict=True)]
+            place = pa.array(own[fit])
+            columns = [*(rows.column(rows.schema.get_field_index(name)).take(place) for name in ("id", "digest")), pa.array(numbers[fit], pa.int32()), pa.array(hashes), pa.array(lines, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "no", "hash", "line"])
+
+
 def _edit(names: list[str], text: str):
     """For ``mapInArrow``: takes the named lines out of the texts."""
 
@@ -509,6 +527,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     order is that of (id, line number). Empty lines stay. Null text is one empty
     line and comes back as empty text. Rows without an id take no part. Columns of
     ``docs`` named like a result are replaced.
+
+    Rows that share an id are one document of several versions: a line goes from all
+    of them, and stays where it stands under the same number in each. An id of many
+    rows takes part line by line, each different line once, in as many blocks as its
+    bytes fill.
     """
     if not 0 < threshold < PER_EDIT - 1:
         raise ValueError(f"The edits must be under {PER_EDIT - 1}.")
@@ -518,7 +541,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sizes = rows.select("id", F.octet_length("text").cast("long").alias("size"))
     breaks = F.octet_length("text") - F.octet_length(F.translate("text", "\n", ""))
     total = rows.agg(F.coalesce(F.sum(breaks + 1), F.lit(0)).alias("lines")).collect()[0].lines
-    blocks = rows.withColumn("block", block_of(F.col("id"), block_bounds(sizes, block_bytes)))
+    bounds, parts = heavy_blocks(sizes, block_bytes)
+    own_block = block_of(F.col("id"), bounds)
+    split = bool(parts.max() > 1)
+    blocks = rows.withColumn("block", part_of(own_block, F.col("text"), parts))
+    if split:
+        marked = rows.withColumn("__heavy", is_divided(own_block, parts))
+        versions = marked.where("__heavy").groupBy("id", F.unhex(F.sha2("text", 256)).alias("digest")).agg(F.first("text").alias("text"))
+        told = cut_lineage(versions.select("id", "digest", "text").mapInArrow(_occurrences, OCCURRENCES), "versions")
+        once = told.groupBy("id", "hash").agg(F.min("no").cast("long").alias("base"), F.first("line").alias("text"))
+        dealt = once.withColumn("block", part_of(own_block, F.col("hash"), parts))
+        light = marked.where("NOT __heavy").withColumn("block", part_of(own_block, F.col("text"), parts))
+        blocks = light.select("id", "text", F.lit(0).cast("long").alias("base"), "block").unionByName(dealt.select("id", "text", "base", "block"))
     # A line of ten characters or more has 15 keys with two edits.
     per_line = (threshold + 1) * (threshold + 2) * (threshold + 3) // 4
     lines_layout = hashsets.exact_layout(max(2, total))
@@ -529,12 +563,25 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stored = cut_lineage(kept, "lines")
     near = near_lines(stored.where("text IS NOT NULL"), threshold)
     gone = stored.where("text IS NULL").select("id", "no", "hash", F.lit(False).alias("near")).unionByName(near.withColumn("near", F.lit(True)))
-    drops = gone.groupBy(F.col("id").alias("__drop_id")).agg(F.collect_set(F.struct("no", "hash", "near")).alias("__drops"))
+    held = F.collect_set(F.struct("no", "hash", "near")).alias("__drops")
+    if split:
+        # What goes from a heavy id is told by its versions: no list is longer than a text.
+        later = told.join(once.select("id", "hash", "base"), ["id", "hash"]).where("no > base").select("id", "digest", "no", "hash", F.lit(False).alias("near"))
+        firsts = told.join(gone, ["id", "no", "hash"]).select("id", "digest", "no", "hash", "near")
+        of_light = gone.where(~is_divided(own_block, parts)).withColumn("digest", F.lit(b""))
+        drops = of_light.unionByName(firsts).unionByName(later).groupBy(F.col("id").alias("__drop_id"), F.col("digest").alias("__drop_digest")).agg(held)
+    else:
+        drops = gone.groupBy(F.col("id").alias("__drop_id")).agg(held)
     names = [name for name in docs.columns if name not in ("n_lines", "dropped", "n_near", "kept")]
     # A text goes to the workers once, unless it has to be cast.
     read = text_col if text_col in names and docs.schema[text_col].dataType == StringType() else "__text"
     given = docs.select(*(docs[name] for name in names), docs[id_col].cast("long").alias("__id"), *([] if read == text_col else [text.alias(read)]))
     none = F.array().cast("array<struct<no:int,hash:bigint,near:boolean>>")
-    joined = given.join(drops, F.col("__id") == F.col("__drop_id"), "left").withColumn("__drops", F.coalesce("__drops", none)).drop("__id", "__drop_id")
+    same = F.col("__id") == F.col("__drop_id")
+    if split:
+        version = F.when(is_divided(block_of(F.col("__id"), bounds), parts), F.unhex(F.sha2(F.coalesce(F.col(read).cast("string"), F.lit("")), 256)))
+        given = given.withColumn("__digest", F.coalesce(version, F.lit(b"")))
+        same = same & (F.col("__digest") == F.col("__drop_digest"))
+    joined = given.join(drops, same, "left").withColumn("__drops", F.coalesce("__drops", none)).drop("__id", "__drop_id", "__digest", "__drop_digest")
     fields = ", ".join(f"`{name}` {docs.schema[name].dataType.simpleString()}" for name in names)
     return joined.mapInArrow(_edit(names, read), f"{fields}, n_lines long, dropped array<int>, n_near long, kept string")
