@@ -113,16 +113,14 @@ def _texts(batch: pa.RecordBatch) -> Iterator[memoryview]:
         yield held[start:end]
 
 
-def _spread_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Up to four segments of a text, evenly spread, for the dictionaries."""
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All segments of every text, for the dictionaries."""
     for batch in batches:
         out, labels = [], []
         for text, label in zip(_texts(batch), batch.column(batch.schema.get_field_index("quality")).to_pylist(), strict=True):
             cuts = segments(len(text))
-            for i in range(min(4, len(cuts))):
-                start, end = cuts[i * len(cuts) // min(4, len(cuts))]
-                out.append(bytes(text[start:end]))
-                labels.append(label)
+            out += [bytes(text[start:end]) for start, end in cuts]
+            labels += [label] * len(cuts)
         yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(out, pa.binary())], names=["quality", "segment"])
 
 
@@ -131,14 +129,15 @@ def held_out(key: Column) -> Column:
     return F.crc32(key.cast("string")) % 4 == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", dictionary_bytes: int = 128 << 10, dictionary_rows: int = 2_000, curve_rows: int = 4_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", dictionary_bytes: int = 128 << 10, dictionary_rows: int = 2_000, dictionary_segments: int = 8_000, curve_rows: int = 4_000) -> Model:
     """Fit on labelled rows that are not held out.
 
     Per label, ``dictionary_rows`` rows build the dictionary and other
     ``curve_rows`` the curve, both picked by a hash of the id; with fewer labelled
-    rows, one third builds the dictionary. These bounds size all that reaches the
-    driver: segments of 1 KB, four numbers a row. Rows with a null id or label are
-    passed over. Where only one label occurs, or none, the score is constant.
+    rows, one third builds the dictionary. Of all segments of the dictionary's rows,
+    wherever they stand in a text, ``dictionary_segments`` are used, picked by a hash
+    of their bytes. These bounds size all that reaches the driver: segments of 1 KB,
+    four numbers a row. Rows with a null id or label are passed over. Where only one label occurs, or none, the score is constant.
     """
     known = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("quality")).where("id IS NOT NULL AND quality IN (0, 1)")
     known = known.where(~held_out(F.col("id"))).distinct().withColumn("draw", F.xxhash64("id"))
@@ -159,8 +158,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return rows.join(F.broadcast(picked), "id").select("id", "text", "quality")
 
     held: dict[int, list[bytes]] = {0: [], 1: []}
-    for row in drawn(first).mapInArrow(_spread_segments, "quality int, segment binary").sort("quality", "segment").collect():
-        held[row.quality].append(bytes(row.segment))
+    cuts = drawn(first).mapInArrow(_segments, "quality int, segment binary")
+    for label in held:
+        own = cuts.where(F.col("quality") == label).orderBy(F.xxhash64("segment"), "segment").limit(dictionary_segments)
+        held[label] = sorted(bytes(row.segment) for row in own.collect())
     model = Model(build_dictionary(held[1], dictionary_bytes), build_dictionary(held[0], dictionary_bytes), np.zeros(0), np.zeros(0), np.zeros(0))
     sent = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
     measured = drawn(second).mapInArrow(_measure(sent), "quality int, gap double, least double, ratio double, size double").sort("quality", "gap", "ratio", "size").collect()
