@@ -272,3 +272,10 @@ def test_regression_steps_match_the_design_matrix(spark):
         k = int(r["series_id"])
         expected = 100 * k + 20 * k * np.sin(2 * np.pi * (71 + r["step"]) / 12)
         assert r["forecast"] == pytest.approx(expected, rel=0.02)
+
+
+def test_a_series_carries_as_many_drivers_as_asked_for(spark):
+    rows = [("a", f"d{i}", 1, 0.9 - i / 100, 200, 200) for i in range(6)]
+    found = spark.createDataFrame(rows, "series_id string, driver string, lag int, strength double, pairs long, n long")
+    held = [[row.driver for row in drivers.leading_drivers(found, **asked).orderBy("rank").collect()] for asked in ({}, {"most": 1}, {"most": 9})]
+    assert held == [["d0", "d1", "d2", "d3"], ["d0"], [f"d{i}" for i in range(6)]]

@@ -78,11 +78,11 @@ def lag_correlations(
     return stats.select(*group, strength.alias("strength"), "pairs", "n")
 
 
-def leading_drivers(correlations: DataFrame, keys: Sequence[str] = (SERIES_ID,)) -> DataFrame:
+def leading_drivers(correlations: DataFrame, keys: Sequence[str] = (SERIES_ID,), most: int = MAX_DRIVERS) -> DataFrame:
     """keys, driver, lag, strength: each driver's best lag, the strongest few.
 
     A lag counts beyond chance; a series carries one driver per twenty periods,
-    four at most.
+    ``most`` at most.
     """
     bar = F.when(F.col("pairs") < MIN_ROWS_AFTER_LAG, 1.0).otherwise(
         F.least(F.lit(1.0), 1.96 / F.sqrt(F.col("pairs") - 1.0))
@@ -91,7 +91,7 @@ def leading_drivers(correlations: DataFrame, keys: Sequence[str] = (SERIES_ID,))
     per_driver = Window.partitionBy(*keys, "driver").orderBy(F.desc(F.abs("strength")), "lag")
     best = found.withColumn("_r", F.row_number().over(per_driver)).filter("_r = 1").drop("_r")
     strongest = Window.partitionBy(*keys).orderBy(F.desc(F.abs("strength")), "driver")
-    allowed = F.least(F.lit(MAX_DRIVERS), F.floor(F.col("n") / OBSERVATIONS_PER_DRIVER))
+    allowed = F.least(F.lit(most), F.floor(F.col("n") / OBSERVATIONS_PER_DRIVER))
     ranked = best.withColumn("rank", F.row_number().over(strongest)).filter(F.col("rank") <= allowed)
     return ranked.select(*keys, "driver", "lag", "strength", "rank")
 
