@@ -33,6 +33,14 @@ def test_pooling_conserves_the_total(spark, sales):
     assert len(series) == 5 and {r["label"] for r in series} >= {"s19", "Others"}
 
 
+def test_without_a_bound_no_series_is_pooled(spark, sales):
+    cells = aggregate.grouped_cells(sales, "day", "units", ["sku"], "monthly")
+    whole = aggregate.bound_keys(cells, ["k0"], "monthly", max_series=None)
+    bounded = aggregate.bound_keys(cells, ["k0"], "monthly", max_series=10_000)
+    assert whole.dtypes == bounded.dtypes and whole.filter("pooled").isEmpty()
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, bounded.collect()))
+
+
 def test_null_keys_are_named_or_left_out(spark, sales):
     grouped = aggregate.grouped_cells(sales, "day", "units", ["region"], "monthly")
     assert {r["k0"] for r in grouped.select("k0").distinct().collect()} == {"(none)", "r0", "r1"}

@@ -309,13 +309,18 @@ def bound_keys(
     frequency: str,
     *,
     window: int | None = None,
-    max_series: int = MAX_SERIES,
+    max_series: int | None = MAX_SERIES,
 ) -> DataFrame:
     """Re-key the tail beyond ``max_series`` to one pooled series.
 
     The pooled value is the sum of its members' period values whatever the
-    reducer, so totals are conserved for SUM.
+    reducer, so totals are conserved for SUM. With no ``max_series`` every
+    series stays its own.
     """
+    if max_series is None:
+        return cells.groupBy(*keys, PERIOD).agg(F.sum("value").alias("value")).select(
+            *keys, F.lit(False).alias("pooled"), PERIOD, "value", F.lit(0).cast("long").alias("pooled_from")
+        )
     most = max(1, int(max_series))
     totals = _window_totals(cells, keys, frequency, window)
     kept = _leaders(totals, keys, most)
@@ -347,7 +352,7 @@ def grouped_series(
     frequency: str,
     *,
     window: int | None = None,
-    max_series: int = MAX_SERIES,
+    max_series: int | None = MAX_SERIES,
 ) -> DataFrame:
     """One row per kept series: key, label, totals of both windows, pooled_from."""
     bounded = bound_keys(cells, keys, frequency, window=window, max_series=max_series)
