@@ -260,3 +260,12 @@ def test_headers_and_merged_labels(spark):
 def test_settings_digest_ignores_their_order():
     one, two = profile.settings_digest({"a": 1, "b": (2, 3)}), profile.settings_digest({"b": (2, 3), "a": 1})
     assert one == two != profile.settings_digest({"a": 2, "b": (2, 3)}) and len(one) == 16
+
+
+def test_a_repeated_date_is_read_once_and_weighs_its_rows(spark):
+    frame = spark.range(0, 4000, 1, 4).selectExpr("concat('0', id % 4 + 1, '/02/2021') AS d", "if(id % 8 < 7, 'x', null) AS n")
+    counts = coercion.text_counts(frame, ["d", "n"])
+    assert counts.count() == 6 and counts.agg({"rows": "sum"}).first()[0] == 8000
+    how = coercion.read_dates_how(frame, ["d", "n"])
+    assert (how["d"].present, how["d"].matched) == (4000, 4000) and "n" not in how
+    assert coercion.read_dates_how(frame, ["d", "n"], counts=counts) == how

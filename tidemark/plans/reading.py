@@ -12,6 +12,7 @@ from tidemark.functions.text import number_value
 from tidemark.operators import coercion
 from tidemark.operators.diagnostics import spread_out
 from tidemark.plans.catalog import query, table
+from tidemark.session import cut_lineage
 
 _SIGNED_SQL = "CASE WHEN l_returnflag = 'R' THEN -l_extendedprice ELSE l_extendedprice END"
 _CENTS_SQL = "round(l_extendedprice * 100)"
@@ -182,16 +183,18 @@ def read_dates(spark, folder):
         *[value.alias(name) for name, value in special.items()],
     )
     names = texts.columns
-    how = coercion.read_dates_how(texts, names)
-    stats = _wide_stats(
-        texts.select(*[reading.value(F.col(name), 4).alias(name) for name, reading in how.items()]),
-        lambda d: {
-            "present": F.count("*"),
-            "matched": F.count(d),
-            "earliest": F.min(d),
-            "latest": F.max(d),
-            "day_sum": F.sum(F.unix_date(d)),
-        },
+    # Each text is read once, weighed by the rows that hold it.
+    counts = cut_lineage(coercion.text_counts(texts, names), "texts")
+    how = coercion.read_dates_how(texts, names, counts=counts)
+    read = F.coalesce(*[F.when(F.col("column") == name, reading.value(F.col("text"), 4)) for name, reading in how.items()])
+    # Out of an array, so that the measures below do not each hold all the readers.
+    days = counts.select(F.col("column").alias("style"), "rows", F.explode(F.array(read)).alias("day"))
+    stats = days.groupBy("style").agg(
+        F.sum("rows").alias("present"),
+        F.sum(F.when(F.col("day").isNotNull(), F.col("rows")).otherwise(0)).alias("matched"),
+        F.min("day").alias("earliest"),
+        F.max("day").alias("latest"),
+        F.sum(F.unix_date("day") * F.col("rows")).alias("day_sum"),
     )
     label = F.create_map(*[F.lit(x) for n in names for x in (n, how[n].label if n in how else "text")])
     doubt = F.create_map(*[F.lit(x) for n in names for x in (n, n in how and how[n].ambiguous)])
