@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_forecasting import panel_of
 
-from tidemark.operators import backtest, calendar, preparation
+from tidemark.operators import backtest, calendar, diagnostics, preparation
 
 SERIES = {
     "a": [float(i * 7 % 11) for i in range(50)],
@@ -49,3 +49,23 @@ def test_folds_are_cut_without_windows_over_them(panel, fill, sigmas, capsys):
     whole.explain()
     plan = capsys.readouterr().out
     assert "Window" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("name", ["seasonal_evidence", "changepoints", "jump_share"])
+def test_diagnostics_sort_no_windows(spark, panel, name, capsys):
+    series = panel.filter(F.col("y").isNotNull()).groupBy("series_id").agg(F.sort_array(F.collect_list("y")).alias("values"))
+    made = getattr(diagnostics, f"{name}_of")(series, *(["monthly"] if name == "seasonal_evidence" else []))
+    made.collect()
+    made.explain()
+    assert "Window" not in capsys.readouterr().out
+
+
+def test_two_breaks_of_one_series(spark):
+    # Two plateaus; the steps lie more than the least distance apart.
+    steps = [10.0] * 20 + [60.0] * 20 + [10.0] * 20
+    series = spark.createDataFrame([("a", [v + i % 2 for i, v in enumerate(steps)]), ("b", [1.0] * 30), ("c", [])], "series_id string, values array<double>")
+    found = {(r.series_id, r["index"]) for r in diagnostics.changepoints_of(series).collect()}
+    assert {s for s, _ in found} <= {"a"}
+    level = spark.createDataFrame([("a", [1.0] * 20 + [2.0] * 20)], "series_id string, values array<double>")
+    row = diagnostics.changepoints_of(level).first()
+    assert (row["index"], row["strength"], row["recent"]) == (20, float("inf"), False)
