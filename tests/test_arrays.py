@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_forecasting import panel_of
 
-from tidemark.operators import backtest, calendar, diagnostics, preparation
+from tidemark.operators import backtest, calendar, diagnostics, preparation, validation
 
 SERIES = {
     "a": [float(i * 7 % 11) for i in range(50)],
@@ -69,3 +69,11 @@ def test_two_breaks_of_one_series(spark):
     level = spark.createDataFrame([("a", [1.0] * 20 + [2.0] * 20)], "series_id string, values array<double>")
     row = diagnostics.changepoints_of(level).first()
     assert (row["index"], row["strength"], row["recent"]) == (20, float("inf"), False)
+
+
+def test_validation_sorts_no_windows(spark, panel, capsys):
+    report = validation.validate_panel(panel, "monthly")
+    got = {r.series_id: {f.code: f["count"] for f in r.findings} for r in report.collect()}
+    assert got["c"]["duplicate_timestamps"] == 1 and got["d"] == {"short_history": 3, "constant_target": 1, "leading_nulls": 1, "trailing_nulls": 1}
+    report.explain()
+    assert "Window" not in capsys.readouterr().out
