@@ -300,3 +300,89 @@ def test_reading_odd_media_and_empty_tables(spark):
     assert rows[2].samples is None and rows[2].error
     assert (rows[3].width, rows[3].height, bytes(rows[3].samples)) == (2, 2, bytes(range(12)))
     assert media.read_media(media.store_texts(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def one_by_one(seen):
+    """A plain reader of one group of codes: a symbol after the other."""
+
+    def read(bits, codes, width, total, cache_bits):
+        out, cache = [], {}
+        while len(out) < total:
+            symbol = codes[0].read(bits)
+            if symbol < 256:
+                red, blue, alpha = (code.read(bits) for code in codes[1:4])
+                made = [alpha << 24 | red << 16 | symbol << 8 | blue]
+                seen["pixel"] += 1
+            elif symbol < 280:
+                length = webp._span(bits, symbol - 256)
+                code = webp._span(bits, codes[4].read(bits))
+                left, up = webp.NEARBY[code - 1] if code <= 120 else (0, 0)
+                back = max(1, left + up * width) if code <= 120 else code - 120
+                made = []
+                for i in range(length):
+                    made.append((out + made)[len(out) + i - back] if i < back else made[i - back])
+                seen["copy"] += 1
+            else:
+                made = [cache.get(symbol - 280, 0)]
+                seen["cache"] += 1
+            out += made
+            for colour in made:
+                cache[(webp.CACHE_FACTOR * colour & 0xFFFFFFFF) >> (32 - cache_bits)] = colour
+        seen["uneven"] += any(code.fixed is None for code in codes)
+        return np.array(out, dtype=np.uint32)
+
+    return read
+
+
+def payload(text):
+    return np.frombuffer(text.ljust(-(-len(text) // 192) * 192), dtype=np.uint8)
+
+
+def test_stored_texts_take_the_whole_method(monkeypatch):
+    """Uneven codes, copies, cached colours and the green transform are written where
+    they pay, and a plain reader finds the same pixels as the one of arrays."""
+    draw = random.Random(3)
+    words = ["".join(draw.choice("eeeeettaoinshrdlu") for _ in range(draw.randrange(1, 9))) for _ in range(60)]
+    prose = " ".join(draw.choice(words) for _ in range(1500)).encode()
+    grey = bytes(value for _ in range(900) for value in [draw.randrange(64, 128)] * 3)
+    texts = [prose, prose[:700] * 4, grey, b"x" * 30000, bytes(range(256)) * 9, b"", b"ab" * 96, "漢字仮名".encode() * 200]
+    seen = dict.fromkeys(("pixel", "copy", "cache", "uneven"), 0)
+    green = []
+    for text in texts:
+        samples = payload(text or b" ")
+        data = webp.encode(samples, 64, len(samples) // 192)
+        width, height, fast = webp.decode(data)
+        assert (fast.view(np.uint8).reshape(-1, 4)[:, 2::-1].ravel() == samples).all()
+        with monkeypatch.context() as patch:
+            patch.setattr(webp, "_one_group", one_by_one(seen))
+            undo = webp._undo_subtract_green
+            patch.setattr(webp, "_undo_subtract_green", lambda pixels: green.append(1) or undo(pixels))
+            assert (webp.decode(data)[2] == fast).all()
+    assert all(seen.values()) and green
+    # Repeats and uneven shares take less room than a fixed length a symbol.
+    assert len(webp.encode(payload(prose[:768] * 4), 64, 16)) < 0.3 * 3072
+
+
+def test_images_of_many_windows_and_blocks(monkeypatch):
+    draw = random.Random(5)
+    monkeypatch.setattr(webp, "WINDOW", 300)
+    monkeypatch.setattr(webp, "BLOCK", 64)
+    for n in (1, 3, 64, 65, 140, 900):
+        samples = payload(bytes(draw.choice(b"aaab cde\n") for _ in range(192 * n)))
+        data = webp.encode(samples, 64, n)
+        assert (webp.decode(data)[2].view(np.uint8).reshape(-1, 4)[:, 2::-1].ravel() == samples).all()
+
+
+def test_damaged_images_are_refused_or_read():
+    draw = random.Random(8)
+    good = webp.encode(payload(b"the quick brown fox jumps over the lazy dog " * 30), 64, 7)
+    for _ in range(400):
+        data = bytearray(good)
+        # The sides stay as they are.
+        for _ in range(draw.randrange(1, 4)):
+            data[draw.randrange(25, len(data))] ^= 1 << draw.randrange(8)
+        try:
+            width, height, pixels = webp.decode(bytes(data))
+            assert len(pixels) == width * height
+        except webp.BadImage:
+            pass

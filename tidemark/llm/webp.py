@@ -2,14 +2,18 @@
 
 The decoder reads the whole lossless format: simple and canonical prefix codes,
 meta prefix images, back-references, the colour cache, and the predictor,
-cross-colour, subtract-green and palette transforms. Where all codes of an image
-are of fixed length, as the encoder here writes them, every pixel takes as
-many bits and the pixels are read as one array operation.
+cross-colour, subtract-green and palette transforms. An image of one group of
+codes is read as arrays: every bit at which a symbol could begin tells where the
+next one would, the symbols are those met on the way from the first, and copied
+and cached pixels follow their sources. The encoder writes uneven prefix codes,
+back-references, and the colour cache and subtract-green where they pay.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import cache, lru_cache
 
 import numpy as np
 
@@ -55,46 +59,71 @@ class Bits:
         self.at += n
         return value & ((1 << n) - 1)
 
+    def peek(self, n: int) -> int:
+        """The next bits, noughts behind the end; none is taken."""
+        return int.from_bytes(self.data[self.at >> 3 : (self.at + n + 7) >> 3], "little") >> (self.at & 7) & ((1 << n) - 1)
+
+
+@cache
+def _turned(n: int) -> np.ndarray:
+    """All numbers of n bits, each with its bits in reverse."""
+    out = np.zeros(1, dtype=np.int32)
+    for _ in range(n):
+        out = np.concatenate((out * 2, out * 2 + 1))
+    return out
+
 
 @dataclass
 class Code:
-    """A prefix code: its only symbol, or symbols by (length, code)."""
+    """A prefix code: its only symbol, or symbols by the bits that follow."""
 
     only: int | None
-    symbols: dict[tuple[int, int], int]
-    #: Length shared by all symbols, and the symbols in code order; else None.
+    #: 16 times the symbol, and its length, by the next bits, as many as the longest has.
+    symbols: np.ndarray
+    #: Length shared by all symbols, else None; and the symbols in code order.
     fixed: int | None
-    order: list[int]
+    order: np.ndarray
+
+    @property
+    def depth(self) -> int:
+        return len(self.symbols).bit_length() - 1
 
     def read(self, bits: Bits) -> int:
-        if self.only is not None:
-            return self.only
-        code = length = 0
-        while length < 16:
-            code, length = code << 1 | bits.read(1), length + 1
-            found = self.symbols.get((length, code))
-            if found is not None:
-                return found
-        raise BadImage("No symbol has this code.")
+        found = int(self.symbols[bits.peek(self.depth)])
+        bits.read(found & 15)
+        return found >> 4
+
+
+def _only(symbol: int) -> Code:
+    return Code(symbol, np.array([symbol << 4]), 0, np.array([symbol]))
 
 
 def make_code(lengths: list[int]) -> Code:
     """The canonical code of symbols with these lengths; nought means unused."""
-    used = [(length, symbol) for symbol, length in enumerate(lengths) if length]
-    if len(used) == 1:
-        return Code(used[0][1], {}, 0, [used[0][1]])
-    if not used:
-        return Code(0, {}, 0, [0])
-    symbols, code, before = {}, 0, 0
-    for length, symbol in sorted(used):
-        code <<= length - before
-        before = length
-        symbols[length, code] = symbol
-        code += 1
-    if code != 1 << before:
+    return _code(bytes(lengths))
+
+
+@lru_cache(maxsize=64)
+def _code(lengths: bytes) -> Code:
+    """Two channels of an image often have one code."""
+    given = np.frombuffer(lengths, dtype=np.uint8)
+    used = given.nonzero()[0]
+    if len(used) < 2:
+        return _only(int(used[0]) if len(used) else 0)
+    order = used[given[used].argsort(kind="stable")]
+    sizes = given[order].astype(np.int64)
+    depth = int(sizes[-1])
+    times = 1 << depth - sizes
+    if int(times.sum()) != 1 << depth:
         raise BadImage("A prefix code is not complete.")
-    same = used[0][0] if all(length == used[0][0] for length, _ in used) else None
-    return Code(None, symbols, same, [symbol for _, symbol in sorted(used)] if same else [])
+    return Code(None, (order << 4 | sizes).repeat(times)[_turned(depth)], depth if sizes[0] == depth else None, order)
+
+
+@cache
+def _length_reader(lengths: tuple[int, ...]) -> tuple[int, list[int]]:
+    """Depth and symbols of a code of code lengths."""
+    code = make_code(list(lengths))
+    return code.depth, code.symbols.tolist()
 
 
 def _read_code(bits: Bits, alphabet: int) -> Code:
@@ -106,29 +135,51 @@ def _read_code(bits: Bits, alphabet: int) -> Code:
         if max(chosen) >= alphabet:
             raise BadImage("A symbol lies outside its alphabet.")
         if len(set(chosen)) == 1:
-            return Code(chosen[0], {}, 0, chosen[:1])
-        return Code(None, {(1, i): symbol for i, symbol in enumerate(sorted(chosen))}, 1, sorted(chosen))
+            return _only(chosen[0])
+        held = np.array(sorted(chosen))
+        return Code(None, held << 4 | 1, 1, held)
     own = [0] * 19
-    for place in LENGTH_ORDER[: 4 + bits.read(4)]:
-        own[place] = bits.read(3)
-    reader, most = make_code(own), alphabet
+    n = 4 + bits.read(4)
+    word = bits.read(3 * n)
+    for i, place in enumerate(LENGTH_ORDER[:n]):
+        own[place] = word >> 3 * i & 7
+    most = alphabet
     if bits.read(1):
         most = 2 + bits.read(2 + 2 * bits.read(3))
+    depth, symbols = _length_reader(tuple(own))
     lengths: list[int] = []
-    last = 8
-    while len(lengths) < alphabet and most > 0:
-        most -= 1
-        symbol = reader.read(bits)
-        if symbol < 16:
-            lengths.append(symbol)
-            last = symbol or last
-        elif symbol == 16:
-            lengths += [last] * (3 + bits.read(2))
+    last, mask, word, left, at, n = 8, (1 << depth) - 1, 0, 0, bits.at, 0
+    for _ in range(most):
+        if n >= alphabet:
+            break
+        if left < 14:
+            # The next bits, many at a time.
+            at -= left
+            word = int.from_bytes(bits.data[at >> 3 : (at >> 3) + 64], "little") >> (at & 7)
+            left = 512 - (at & 7)
+            at += left
+        found = symbols[word & mask]
+        taken = found & 15
+        if found < 256:
+            found >>= 4
+            lengths.append(found)
+            n += 1
+            if found:
+                last = found
         else:
-            lengths += [0] * (3 + bits.read(3) if symbol == 17 else 11 + bits.read(7))
-    if len(lengths) > alphabet:
+            base, extra = ((3, 2), (3, 3), (11, 7))[(found >> 4) - 16]
+            run = base + (word >> taken & (1 << extra) - 1)
+            lengths += [last if found < 272 else 0] * run
+            n += run
+            taken += extra
+        word >>= taken
+        left -= taken
+    bits.at = at - left
+    if bits.at > bits.end:
+        raise BadImage("The image ends early.")
+    if n > alphabet:
         raise BadImage("Code lengths run past their alphabet.")
-    return make_code(lengths + [0] * (alphabet - len(lengths)))
+    return make_code(lengths + [0] * (alphabet - n))
 
 
 def _span(bits: Bits, symbol: int) -> int:
@@ -145,17 +196,17 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
         raise BadImage("The colour cache is too large.")
-    cache = 1 << cache_bits if cache_bits else 0
+    slots = 1 << cache_bits if cache_bits else 0
     which, block, across = None, 0, 0
     if main and bits.read(1):
         block = bits.read(3) + 2
         across = -(-width >> block)
         which = _read_image(bits, across, -(-height >> block), False) >> 8 & 0xFFFF
-    groups = [[_read_code(bits, size) for size in (280 + cache, 256, 256, 256, 40)] for _ in range(1 if which is None else int(which.max()) + 1)]
-    if which is None and not cache and all(code.fixed is not None for code in groups[0][:4]) and max(groups[0][0].order) < 256:
-        return _fixed_pixels(bits, groups[0], total)
+    groups = [[_read_code(bits, size) for size in (280 + slots, 256, 256, 256, 40)] for _ in range(1 if which is None else int(which.max()) + 1)]
+    if which is None:
+        return _one_group(bits, groups[0], width, total, cache_bits)
     out = [0] * total
-    held = [0] * cache
+    held = [0] * slots
     at = 0
     while at < total:
         codes = groups[0 if which is None else int(which[(at // width >> block) * across + (at % width >> block)])]
@@ -179,30 +230,173 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         for colour in made:
             out[at] = colour
             at += 1
-            if cache:
+            if slots:
                 held[(CACHE_FACTOR * colour & 0xFFFFFFFF) >> (32 - cache_bits)] = colour
     return np.array(out, dtype=np.uint32)
 
 
-def _fixed_pixels(bits: Bits, codes: list[Code], total: int) -> np.ndarray:
-    widths = [code.fixed for code in codes[:4]]
-    each = sum(widths)
-    if bits.at + each * total > bits.end:
+_LEFT, _UP = np.array(NEARBY, dtype=np.int64).T
+
+
+def _spans(peek: np.ndarray, at: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What prefix symbols stand for, their extra bits being at ``at``; and the
+    number of these bits."""
+    extra = np.maximum(symbols - 2 >> 1, 0)
+    more = peek.take(at).astype(np.int64) | peek.take(at + 16).astype(np.int64) << 16
+    value = np.where(symbols < 4, symbols, (2 + (symbols & 1) << extra) + (more & (1 << extra) - 1))
+    return value + 1, extra
+
+
+#: Bits that are looked at together: bounds the memory that reading takes.
+WINDOW = 1 << 20
+
+
+def _one_group(bits: Bits, codes: list[Code], width: int, total: int, cache_bits: int) -> np.ndarray:
+    """ARGB pixels of an image whose pixels all take the same codes."""
+    if not any(code.depth for code in codes[:4]) and codes[0].only < 256:
+        green, red, blue, alpha = (code.only for code in codes[:4])
+        return np.full(total, alpha << 24 | red << 16 | green << 8 | blue, dtype=np.uint32)
+    widest = max(sum(code.depth for code in codes[:4]), codes[0].depth + 10 + codes[4].depth + 18)
+    parts, at, done = [], bits.at, 0
+    while done < total:
+        if at > bits.end:
+            raise BadImage("The image ends early.")
+        first = at
+        *part, at = _symbols(bits, codes, first, min(bits.end - first + 1, (total - done) * widest + 1, WINDOW), total - done)
+        parts.append(part)
+        done += int(part[1].sum())
+        if at == first and done < total and codes[0].only is not None:
+            raise BadImage("The image ends early.")
+    symbols, counts, colours, backs, following = parts[0] if len(parts) == 1 else (np.concatenate(held) for held in zip(*parts, strict=True))
+    ends = np.cumsum(counts)
+    used = int(np.searchsorted(ends, total)) + 1
+    bits.at = int(following[used - 1])
+    if bits.at > bits.end:
         raise BadImage("The image ends early.")
-    first = bits.at >> 3
-    last = (bits.at + each * total + 7) >> 3
-    flat = np.unpackbits(np.frombuffer(bits.data, dtype=np.uint8, count=last - first, offset=first), bitorder="little")
-    held = flat[bits.at & 7 : (bits.at & 7) + each * total].reshape(total, each)
-    bits.at += each * total
-    out, at = np.zeros(total, dtype=np.uint32), 0
-    # Symbols stand in the order green, red, blue, alpha.
-    for code, width, shift in zip(codes, widths, (8, 16, 0, 24), strict=False):
-        index = np.zeros(total, dtype=np.uint8)
-        for bit in range(width):
-            index = index << 1 | held[:, at + bit]
-        at += width
-        out |= (np.array(code.order, dtype=np.uint32) << np.uint32(shift))[index]
-    return out
+    symbols, counts, starts = symbols[:used], counts[:used], (ends - counts)[:used]
+    copying = np.flatnonzero((symbols > 255) & (symbols < 280))
+    distances = backs[copying]
+    back = distances - 120
+    near = distances <= 120
+    back[near] = np.maximum(1, _LEFT[distances[near] - 1] + _UP[distances[near] - 1] * width)
+    if ends[used - 1] > total or (back > starts[copying]).any():
+        raise BadImage("A back-reference leaves the image.")
+
+    plain = np.flatnonzero(symbols < 256)
+    # One more than there are: what an empty place of the cache holds.
+    out = np.zeros(total + 1, dtype=np.uint32)
+    out[starts[plain]] = colours[plain]
+    if len(plain) == total:
+        return out[:total]
+    source = np.arange(total + 1)
+    lengths = counts[copying]
+    where = np.repeat(starts[copying] - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))
+    source[where] -= np.repeat(back, lengths)
+    source = _followed(source)
+    cached = np.flatnonzero(symbols >= 280)
+    if len(cached):
+        # A place names the newest pixel before that fell into it, however that came.
+        place = np.zeros(total + 1, dtype=np.uint16)
+        place[starts[plain]] = _place(out[starts[plain]], cache_bits)
+        place[starts[cached]] = symbols[cached] - 280
+        place = place[source][:total]
+        order = np.argsort(place, kind="stable")
+        before = np.full(total, total)
+        same = place[order[1:]] == place[order[:-1]]
+        before[order[1:][same]] = order[:-1][same]
+        source[starts[cached]] = before[starts[cached]]
+        source = _followed(source)
+    return out[source][:total]
+
+
+def _symbols(bits: Bits, codes: list[Code], start: int, n: int, most: int) -> tuple:
+    """Of the symbols met from bit ``start`` on that begin within ``n`` bits, ``most``
+    at most: green or other, how many pixels it makes, colour, distance code, and
+    the bit behind it; and the bit behind the last."""
+    depths = [code.depth for code in codes]
+    tables = [(code.symbols & 15, code.symbols >> 4) for code in codes]
+    masks = [(1 << depth) - 1 for depth in depths]
+    first, skip = start >> 3, start & 7
+    n += skip
+    raw = np.zeros((n >> 3) + 16, dtype=np.uint32)
+    given = np.frombuffer(bits.data, dtype=np.uint8, offset=first, count=min(len(bits.data) - first, len(raw)))
+    raw[: len(given)] = given
+    # The next 16 bits from every bit on.
+    words = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
+    peek = (words[:, None] >> np.arange(8, dtype=np.uint32)).ravel().astype(np.uint16)
+
+    def after(at: np.ndarray, kind: int) -> np.ndarray:
+        return at + tables[kind][0].take(peek.take(at) & masks[kind]) if masks[kind] else at
+
+    def symbol(at: np.ndarray, kind: int) -> np.ndarray:
+        return tables[kind][1].take(peek.take(at) & masks[kind])
+
+    # Where the next symbol of a pixel would begin, if one began at a bit.
+    every = np.arange(n)
+    held = codes[0].symbols.take(peek[:n] & masks[0])
+    own = every + (held & 15)
+    following = own
+    # Behind the symbol of a channel, from every bit; two often have one code.
+    behind, last = every, None
+    long = np.arange(n + 48) if depths[0] + depths[1] + depths[2] else every
+    for code, depth, mask, table in zip(codes[1:4], depths[1:], masks[1:], tables[1:], strict=False):
+        if depth:
+            if last is not code.symbols:
+                behind, last = long + table[0].take(peek[: n + 48] & mask), code.symbols
+            following = behind.take(following)
+    following = following.copy() if following is own else following
+    copied = lengths = distances = every[:0]
+    if int(codes[0].order.max()) > 255:
+        referring = (held >= 256 << 4).nonzero()[0]
+        symbols = held.take(referring) >> 4
+        cached, copied = referring[symbols >= 280], referring[symbols < 280]
+        following[cached] = own[cached]
+        lengths, extra = _spans(peek, own[copied], symbols[symbols < 280] - 256)
+        at = own[copied] + extra
+        behind = after(at, 4)
+        distances, extra = _spans(peek, behind, symbol(at, 4))
+        following[copied] = behind + extra
+    # Four symbols a step; n stands for any bit behind.
+    one = np.append(np.minimum(following, n), n)
+    two = one.take(one)
+    steps, at, begins = memoryview(two.take(two)), skip, []
+    for _ in range(-(-most // 4)):
+        if at == n:
+            break
+        begins.append(at)
+        at = steps[at]
+    spots = np.empty((len(begins), 4), dtype=np.int64)
+    spots[:, 0] = begins
+    spots[:, 1], spots[:, 2] = one.take(spots[:, 0]), two.take(spots[:, 0])
+    spots[:, 3] = one.take(spots[:, 2])
+    spots = spots.ravel()[:most]
+    spots = spots[: spots.searchsorted(n)]
+    symbols = held.take(spots) >> 4
+    counts, backs = np.ones(len(spots), dtype=np.int64), np.zeros(len(spots), dtype=np.int64)
+    copying = np.flatnonzero((symbols > 255) & (symbols < 280))
+    found = copied.searchsorted(spots[copying])
+    counts[copying], backs[copying] = lengths[found], distances[found]
+    colours = symbols << 8
+    place = own.take(spots)
+    for kind, shift in ((1, 16), (2, 0), (3, 24)):
+        colours |= symbol(place, kind) << shift
+        place = after(place, kind)
+    ends = following.take(spots) + 8 * first
+    return symbols, counts, colours, backs, ends, int(ends[-1])
+
+
+def _followed(source: np.ndarray) -> np.ndarray:
+    """Every place's last source; one that is its own source is a last one."""
+    while True:
+        further = source[source]
+        if (further == source).all():
+            return source
+        source = further
+
+
+def _place(colours: np.ndarray, cache_bits: int) -> np.ndarray:
+    """Places of ARGB colours (uint32) in the colour cache."""
+    return (colours * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits)
 
 
 def _channels(pixel: int) -> tuple[int, int, int, int]:
@@ -352,64 +546,197 @@ def decode(data: bytes) -> tuple[int, int, np.ndarray]:
     return width, height, pixels
 
 
-def _bits_of(value: int, n: int) -> list[int]:
-    return [value >> i & 1 for i in range(n)]
-
-
 def container(stream: bytes) -> bytes:
     """A file around a lossless stream."""
     chunk = b"VP8L" + len(stream).to_bytes(4, "little") + stream + b"\0" * (len(stream) & 1)
     return b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk
 
 
-def _write_fixed(used: np.ndarray, alphabet: int) -> tuple[np.ndarray, int, np.ndarray]:
-    """Header bits of a code of one length that holds the marked symbols, that
-    length, and the code of each symbol."""
-    symbols = np.flatnonzero(used)
-    length = max(0, int(len(symbols) - 1).bit_length())
-    if length < 2:
-        chosen = symbols.tolist() or [0]
-        bits = [1, len(chosen) - 1, 1, *(bit for symbol in chosen for bit in _bits_of(symbol, 8))]
-        ranks = np.zeros(256, dtype=np.uint8)
-        ranks[chosen] = np.arange(len(chosen))
-        return np.array(bits, dtype=np.uint8), length, ranks
-    # Filled up with unused symbols, so that the code is complete.
-    full = used.copy()
-    full[np.flatnonzero(~used)[: (1 << length) - len(symbols)]] = True
-    ranks = (np.cumsum(full) - full).astype(np.uint8)
-    marks = np.zeros(alphabet, dtype=np.int8)
-    marks[:256] = full
-    # Lengths as runs, in a code of its own: 2 bits for three of its symbols, 3 for two.
-    sizes = {0: 3, length: 2, 16: 2, 17: 3, 18: 2}
-    spelled = _spelled(sizes)
-    n = 1 + max(map(LENGTH_ORDER.index, sizes))
-    bits = [0, *_bits_of(n - 4, 4), *(bit for place in LENGTH_ORDER[:n] for bit in _bits_of(sizes.get(place, 0), 3)), 0]
-    starts = np.flatnonzero(np.append(True, marks[1:] != marks[:-1])).tolist()
-    for start, end in zip(starts, [*starts[1:], alphabet], strict=True):
-        run = end - start
-        if marks[start]:
-            bits += spelled[length]
+#: Fields that are packed, and pixels among which repeats are sought, together; a power of 2.
+BLOCK = 1 << 18
+
+
+class _Fields:
+    """Numbers of up to 56 bits each, put behind one another."""
+
+    def __init__(self) -> None:
+        self.values: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
+        self.done = bytearray()
+
+    def put(self, values, sizes) -> None:
+        self.values.append(np.asarray(values, dtype=np.int64).ravel())
+        self.sizes.append(np.asarray(sizes, dtype=np.int64).ravel())
+
+    def pack(self) -> None:
+        """Turns what was put into bytes, but for the bits of the last one begun."""
+        values, sizes = np.concatenate(self.values), np.concatenate(self.sizes)
+        held = sizes.nonzero()[0]
+        values, sizes = values[held], sizes[held]
+        ends = sizes.cumsum()
+        begins = ends - sizes
+        # No two fields share a bit, so adding what falls into a byte joins it.
+        deep = (int(sizes.max(initial=0)) + 14) >> 3
+        parts = (values << (begins & 7)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :deep]
+        at = (begins >> 3)[:, None] + np.arange(deep)
+        whole, left = divmod(int(sizes.sum()), 8)
+        out = np.bincount(at.ravel(), weights=parts.ravel(), minlength=whole + 1)
+        self.done += out[:whole].astype(np.uint8).tobytes()
+        self.values, self.sizes = [np.array([int(out[whole])])], [np.array([left])]
+
+    def stream(self) -> bytes:
+        """All of it, once packed."""
+        return bytes(self.done) + self.values[0].astype(np.uint8).tobytes()[: int(self.sizes[0][0] > 0)]
+
+
+def _code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
+    """Lengths of a complete prefix code, ``most`` at most, of the symbols that
+    occur; a symbol alone has length 1. Lengths are rounded up from each
+    symbol's share; the room this leaves goes to those that lost most by it."""
+    out = np.zeros(len(counts), dtype=np.int64)
+    used = np.flatnonzero(counts)
+    weights = np.maximum(counts[used], counts.sum() / (1 << most - 1))
+    exact = np.log2(weights.sum() / weights)
+    sizes = np.maximum(1, np.ceil(exact)).astype(np.int64)
+    order = np.argsort(exact - sizes, kind="stable")
+    held = sizes[order].tolist()
+    room = (1 << most) - sum(1 << most - size for size in held)
+    while room and len(held) > 1:
+        for i, size in enumerate(held):
+            if size > 1 and 1 << most - size <= room:
+                held[i] -= 1
+                room -= 1 << most - size
+    out[used[order]] = held
+    return out
+
+
+def _spellings(lengths: np.ndarray) -> np.ndarray:
+    """The bits of every symbol of a canonical code, the first bit the lowest."""
+    out = np.zeros(len(lengths), dtype=np.int64)
+    used = np.flatnonzero(lengths)
+    order = used[np.argsort(lengths[used], kind="stable")]
+    sizes = lengths[order]
+    depth = int(sizes[-1])
+    room = 1 << depth - sizes
+    out[order] = _turned(depth)[np.cumsum(room) - room]
+    return out
+
+
+#: Lengths of the code in which the lengths of the others are written: those that
+#: codes of a text's bytes often have are short.
+_OWN = [3, 7, 6, 6, 4, 3, 3, 3, 3, 4, 6, 6, 6, 7, 7, 7, 6, 4, 4]
+_OWN_SIZES = np.array(_OWN)
+_OWN_WORDS = _spellings(_OWN_SIZES)
+_OWN_HEAD = ([0, len(LENGTH_ORDER) - 4, *(_OWN[place] for place in LENGTH_ORDER), 0], [1, 4, *[3] * len(LENGTH_ORDER), 1])
+
+
+def _write_code(head: _Fields, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Writes a code for symbols that occur so often; the bits of each and their number."""
+    used = counts.nonzero()[0]
+    if len(used) < 3 and (not len(used) or used[-1] < 256):
+        chosen = used.tolist() or [0]
+        head.put([1, len(chosen) - 1, 1, *chosen], [1, 1, 1, *[8] * len(chosen)])
+        spelled, sizes = np.zeros(len(counts), dtype=np.int64), np.zeros(len(counts), dtype=np.int64)
+        spelled[chosen], sizes[chosen] = range(len(chosen)), len(chosen) - 1
+        return spelled, sizes
+    sizes = _code_lengths(counts, 15)
+    # Lengths as runs: a symbol, and from bits 5 and 8 the number of its extra bits and they.
+    runs: list[int] = []
+    begins = np.append(0, (sizes[1:] != sizes[:-1]).nonzero()[0] + 1)
+    for size, run in zip(sizes[begins].tolist(), (np.append(begins[1:], len(sizes)) - begins).tolist(), strict=True):
+        if size or run < 3:
+            runs.append(size)
             run -= 1
         while run:
-            # (most, least) that one symbol stands for, and its extra bits.
-            symbol, most, least, extra = (16, 6, 3, 2) if marks[start] else (18, 138, 11, 7) if run > 10 else (17, 10, 3, 3)
-            if run < least:
-                bits += spelled[length if marks[start] else 0] * run
-                break
+            symbol, most, least, extra = (16, 6, 3, 2) if size else (18, 138, 11, 7) if run > 10 else (17, 10, 3, 3)
             taken = min(run, most)
-            bits += [*spelled[symbol], *_bits_of(taken - least, extra)]
+            if run < least:
+                runs += [size] * run
+            else:
+                runs.append(symbol | extra << 5 | taken - least << 8)
             run -= taken
-    return np.array(bits, dtype=np.uint8), length, ranks
+    head.put(*_OWN_HEAD)
+    packed = np.array(runs)
+    symbols = packed & 31
+    widths = _OWN_SIZES[symbols]
+    head.put(_OWN_WORDS[symbols] | packed >> 8 << widths, widths + (packed >> 5 & 7))
+    return _spellings(sizes), sizes
+
+
+def _prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbols of lengths or distances, their extra bits and the number of these."""
+    value = values - 1
+    extra = np.maximum(np.frexp(value.astype(np.float64))[1] - 2, 0).astype(np.int64)
+    symbol = np.where(value < 4, value, 2 * extra + (value >> extra))
+    extra[value < 4] = 0
+    return symbol, value & (1 << extra) - 1, extra
+
+
+#: Pixels of one back-reference at most; its distance is bounded by BLOCK.
+LONGEST = 4096
+
+
+def _matches(colours: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """Starts, lengths (3 at least) and distances of repeats, each of the newest
+    place that shares its start, taken from left to right."""
+    starts: list[int] = []
+    lengths: list[int] = []
+    backs: list[int] = []
+    if len(colours) < 4:
+        return starts, lengths, backs
+    # Hashes of three pixels with their place below, which is less than BLOCK.
+    wide = colours.astype(np.uint64)
+    keys = (wide[:-2] | wide[1:-1] << np.uint64(24) | wide[2:] << np.uint64(48)) * np.uint64(0x9E3779B97F4A7C15)
+    keys = np.sort(keys & np.uint64(-BLOCK % 2**64) | np.arange(len(keys), dtype=np.uint64))
+    order = (keys & np.uint64(BLOCK - 1)).astype(np.int64)
+    same = ((keys[1:] ^ keys[:-1]) < BLOCK).nonzero()[0]
+    before = np.zeros(len(keys), dtype=np.int64)
+    before[order[same + 1]] = order[same] + 1
+    spots = before.nonzero()[0]
+    at = 0
+    for spot, earlier in zip(spots.tolist(), (before[spots] - 1).tolist(), strict=True):
+        if spot < at:
+            continue
+        length, part = 0, 16
+        while length < LONGEST:
+            here = colours[spot + length : spot + min(LONGEST, length + part)]
+            differ = np.flatnonzero(here != colours[earlier + length : earlier + length + len(here)])
+            length += int(differ[0]) if len(differ) else len(here)
+            if len(differ) or len(here) < part:
+                break
+            part *= 4
+        if length > 2:
+            starts.append(spot)
+            lengths.append(length)
+            backs.append(spot - earlier)
+            at = spot + length
+    return starts, lengths, backs
+
+
+_SAVED = np.arange(1 << 16) * np.log2(np.maximum(1, np.arange(1 << 16)))
+
+
+def _order_in(counts: np.ndarray) -> float:
+    """What a code saves of as many symbols of one share each, in bits."""
+    if counts.max() < len(_SAVED):
+        return float(_SAVED[counts].sum())
+    held = counts[counts > 1]
+    return float((held * np.log2(held)).sum())
+
+
+def _cost(*counts: np.ndarray) -> float:
+    """Bits of symbols that occur so often, and some five for each one's length."""
+    every = np.concatenate(counts)
+    whole = (int(held.sum()) for held in counts)
+    return sum(n * math.log2(max(1, n)) for n in whole) - _order_in(every) + 5 * np.count_nonzero(every)
 
 
-def _spelled(sizes: dict[int, int]) -> dict[int, list[int]]:
-    """The bits of each symbol of a canonical code, first bit first."""
-    out, code, before = {}, 0, 0
-    for size, symbol in sorted((size, symbol) for symbol, size in sizes.items()):
-        code <<= size - before
-        before = size
-        out[symbol] = _bits_of(code, size)[::-1]
-        code += 1
+@cache
+def _near(width: int) -> dict[int, int]:
+    """Distances that have a code of their own, in an image of this width."""
+    out: dict[int, int] = {}
+    for number, (left, up) in enumerate(NEARBY):
+        out.setdefault(max(1, left + up * width), number + 1)
     return out
 
 
@@ -417,17 +744,83 @@ def encode(samples: np.ndarray, width: int, height: int) -> bytes:
     """A lossless WebP file of width x height RGB pixels (uint8, three a pixel)."""
     if not (0 < width <= LARGEST_SIDE and 0 < height <= LARGEST_SIDE and len(samples) == 3 * width * height):
         raise ValueError("The samples do not make an image of this size.")
-    pixels = samples.reshape(-1, 3)
-    head = [*_bits_of(0x2F, 8), *_bits_of(width - 1, 14), *_bits_of(height - 1, 14), 0, 0, 0, 0, 0, 0, 0]
-    parts, planes = [np.array(head, dtype=np.uint8)], []
-    for channel, alphabet in ((1, 280), (0, 256), (2, 256)):
-        column = np.ascontiguousarray(pixels[:, channel])
-        code, length, ranks = _write_fixed(np.bincount(column, minlength=256) > 0, alphabet)
-        parts.append(code)
-        index = ranks[column]
-        planes += [index >> np.uint8(bit) & np.uint8(1) for bit in reversed(range(length))]
-    # Alpha is always 255 and there are no distances: codes of one symbol.
-    parts.append(np.array([1, 0, 1, *_bits_of(255, 8), 1, 0, 0, 0], dtype=np.uint8))
-    if planes:
-        parts.append(np.stack(planes, axis=1).ravel())
-    return container(np.packbits(np.concatenate(parts), bitorder="little").tobytes())
+    red, green, blue = (np.ascontiguousarray(samples[channel::3]) for channel in range(3))
+    total = len(green)
+    head = _Fields()
+    head.put([0x2F, width - 1, height - 1, 0], [8, 14, 14, 4])
+    plain = _order_in(np.bincount(red)) + _order_in(np.bincount(blue))
+    if _order_in(np.bincount(red - green)) + _order_in(np.bincount(blue - green)) > plain:
+        red, blue = red - green, blue - green
+        head.put([1, SUBTRACT_GREEN], [1, 2])
+    head.put([0], [1])
+    colours = red.astype(np.uint32) << np.uint32(16) | green.astype(np.uint32) << np.uint32(8) | blue
+
+    found_in = [(at, _matches(colours[at : at + BLOCK])) for at in range(0, total, BLOCK)]
+    starts = np.array([at + start for at, part in found_in for start in part[0]], dtype=np.int64)
+    lengths, backs = (np.array([value for _, part in found_in for value in part[i]], dtype=np.int64) for i in (1, 2))
+    # One symbol for each pixel that no repeat covers, and one for each repeat.
+    change = np.zeros(total + 1, dtype=np.int8)
+    change[starts] += 1
+    change[starts + lengths] -= 1
+    literal = np.cumsum(change[:-1], dtype=np.int8) == 0
+    near = _near(width)
+    far = [near.get(back, back + 120) for back in backs.tolist()]
+    (long, far), (long_more, far_more), (long_extra, far_extra) = (part.reshape(2, -1) for part in _prefixed(np.append(lengths, np.array(far, dtype=np.int64))))
+
+    def counted(literal: np.ndarray, places: np.ndarray, slots: int) -> list[np.ndarray]:
+        greens = np.bincount(np.concatenate((green[literal], long + 256, places + 280)), minlength=280 + slots)
+        return [greens, np.bincount(red[literal], minlength=256), np.bincount(blue[literal], minlength=256)]
+
+    cache_bits, found = 0, np.zeros(total, dtype=bool)
+    counts = counted(literal, long[:0], 0)
+    if total > 16:
+        tried = min(10, max(1, total.bit_length() - 5))
+        places = _place(colours | np.uint32(0xFF000000), tried).astype(np.uint16)
+        order = np.argsort(places, kind="stable")
+        # Found: the newest pixel before in its place has its colour.
+        hit = np.zeros(total, dtype=bool)
+        hit[order[1:]] = colours[order[1:]] == colours[order[:-1]]
+        hit &= literal
+        # A code for places is dear to a small image, so it must spare many pixels.
+        if 4 * np.count_nonzero(hit) > np.count_nonzero(literal):
+            other = counted(literal & ~hit, places[hit].astype(np.int64), 1 << tried)
+            if _cost(*other) < _cost(*counts):
+                cache_bits, found, counts = tried, hit, other
+                literal = literal & ~hit
+    head.put([cache_bits > 0, cache_bits, 0], [1, 4 * (cache_bits > 0), 1])
+    greens, green_sizes = _write_code(head, counts[0])
+    both, begun = counts[1] + counts[2], len(head.values)
+    if _order_in(both) - 2 * int(counts[1].sum()) > 0.98 * (_order_in(counts[1]) + _order_in(counts[2])):
+        # Red and blue are much alike, as in texts: their code is made once.
+        reds, red_sizes = blues, blue_sizes = _write_code(head, both)
+        head.values += head.values[begun:]
+        head.sizes += head.sizes[begun:]
+    else:
+        (reds, red_sizes), (blues, blue_sizes) = (_write_code(head, held) for held in counts[1:])
+    # Alpha is always 255: a code of one symbol.
+    head.put([1, 0, 1, 255], [1, 1, 1, 8])
+    fars, far_sizes = _write_code(head, np.bincount(far, minlength=40))
+
+    # Two fields a pixel: a colour, a place or a length; and a distance.
+    for begin in range(0, total, BLOCK):
+        block = slice(begin, begin + BLOCK)
+        n = min(BLOCK, total - begin)
+        fields, sizes = np.zeros((n, 2), dtype=np.int64), np.zeros((n, 2), dtype=np.int64)
+        here = literal[block]
+        g, r, b = green[block][here], red[block][here], blue[block][here]
+        shift = green_sizes[g] + red_sizes[r]
+        fields[here, 0] = greens[g] | reds[r] << green_sizes[g] | blues[b] << shift
+        sizes[here, 0] = shift + blue_sizes[b]
+        if cache_bits:
+            here = found[block]
+            symbols = places[block][here].astype(np.int64) + 280
+            fields[here, 0], sizes[here, 0] = greens[symbols], green_sizes[symbols]
+        own = slice(*starts.searchsorted([begin, begin + n]).tolist())
+        here, symbols, codes = starts[own] - begin, long[own] + 256, far[own]
+        fields[here, 0] = greens[symbols] | long_more[own] << green_sizes[symbols]
+        sizes[here, 0] = green_sizes[symbols] + long_extra[own]
+        fields[here, 1] = fars[codes] | far_more[own] << far_sizes[codes]
+        sizes[here, 1] = far_sizes[codes] + far_extra[own]
+        head.put(fields, sizes)
+        head.pack()
+    return container(head.stream())
