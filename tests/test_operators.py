@@ -158,6 +158,15 @@ def test_number_conventions(spark, values, decimal, style):
     assert (how.accepted, how.decimal, how.style) == (True, decimal, style)
 
 
+def test_numbers_are_weighed_by_the_rows_they_stand_for(spark):
+    """A column that says how often each text occurs counts as the texts themselves do."""
+    rows = [("1.234,50", 3), ("7", 2), (None, 4), ("soon", 1), ("(12%)", 2)]
+    weighed = spark.createDataFrame(rows, "c string, times int")
+    plain = texts(spark, [value for value, times in rows for _ in range(times)])
+    assert coercion.read_numbers_how(weighed, ["c"], "times") == coercion.read_numbers_how(plain, ["c"])
+    assert coercion.number_evidence(weighed, ["c"], "times").first() == coercion.number_evidence(plain, ["c"]).first()
+
+
 def test_years_are_labels_only_under_a_year_name(spark):
     frame = texts(spark, ["2021", "2022", "2023"])
     assert coercion.read_numbers_how(frame, ["c"])["c"].accepted

@@ -86,7 +86,11 @@ def separator_votes(core: Column) -> dict[str, Column]:
 
 def number_value(raw: Column, decimal: str) -> Column:
     """The number a text writes, given the column's decimal mark."""
-    parts = number_parts(raw)
+    return parts_value(number_parts(raw), decimal)
+
+
+def parts_value(parts: Column, decimal: str) -> Column:
+    """The number that ``number_parts`` took apart."""
     core = number_core(parts)
     plain = F.translate(core, ",.", ".") if decimal == "," else F.translate(core, ",", "")
     value = plain.try_cast("double")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import number_value
+from tidemark.functions.text import number_parts, parts_value
 from tidemark.operators import coercion
 from tidemark.operators.diagnostics import spread_out
 from tidemark.plans.catalog import query, table
@@ -46,14 +46,6 @@ _STYLES = {
 }
 
 
-def _wide_stats(read, measures):
-    """One aggregate over all columns, then one row per column."""
-    names = read.columns
-    wide = read.agg(*[F.struct(*[m.alias(k) for k, m in measures(F.col(n)).items()]).alias(n) for n in names])
-    rows = F.array(*[F.struct(F.lit(n).alias("style"), F.col(n).alias("s")) for n in names])
-    return wide.select(F.explode(rows).alias("r")).select("r.style", "r.s.*")
-
-
 def _number_sql() -> str:
     return " UNION ALL ".join(
         f"""SELECT '{name}' AS style, '{label}' AS read_as, '{mark}' AS mark, COUNT(*) AS present, COUNT(*) AS matched,
@@ -69,24 +61,27 @@ def _number_sql() -> str:
 )
 def read_numbers(spark, folder):
     # Few bytes and much computing per row: spread over all tasks.
-    rows = spread_out(
-        table(spark, folder, "lineitem").select(
-            F.col("l_extendedprice").alias("price"), F.col("l_returnflag").alias("flag"), F.col("l_orderkey").alias("key")
-        ),
-        ["key"],
+    lines = spread_out(
+        table(spark, folder, "lineitem").select(F.col("l_extendedprice").alias("price"), F.col("l_returnflag").alias("flag")),
+        ["price", "flag"],
     )
+    # Lines of one price and flag write the same texts: read once, weighed by the lines.
+    rows = cut_lineage(lines.groupBy("price", "flag").agg(F.count("*").alias("lines")), "prices")
     cents = F.round(F.col("price") * 100).cast("bigint").cast("string")
-    texts = rows.withColumn("cents", cents).select(*[F.expr(text).alias(name) for name, (text, *_) in _STYLES.items()])
-    how = coercion.read_numbers_how(texts, texts.columns)
-    stats = _wide_stats(
-        texts.select(*[number_value(F.col(name), reading.decimal).alias(name) for name, reading in how.items()]),
-        lambda v: {
-            "present": F.count("*"),
-            "matched": F.count(v),
-            "total": F.sum(v),
-            "lowest": F.min(v),
-            "highest": F.max(v),
-        },
+    texts = rows.withColumn("cents", cents).select("lines", *[F.expr(text).alias(name) for name, (text, *_) in _STYLES.items()])
+    names = list(_STYLES)
+    how = coercion.read_numbers_how(texts, names, "lines")
+    # Out of an array, so that a text is taken apart once for all measures.
+    parts = coercion.tall(texts, names, "lines").select(F.col("column").alias("style"), "rows", F.explode(F.array(number_parts(F.col("text")))).alias("parts"))
+    comma = F.col("style").isin([n for n, h in how.items() if h.decimal == ","])
+    read = F.when(comma, parts_value(F.col("parts"), ",")).otherwise(parts_value(F.col("parts"), "."))
+    values = parts.select("style", "rows", F.explode(F.array(read)).alias("value"))
+    stats = values.groupBy("style").agg(
+        F.sum("rows").alias("present"),
+        F.sum(F.when(F.col("value").isNotNull(), F.col("rows")).otherwise(0)).alias("matched"),
+        F.sum(F.col("value") * F.col("rows")).alias("total"),
+        F.min("value").alias("lowest"),
+        F.max("value").alias("highest"),
     )
     label = F.create_map(*[F.lit(x) for n, h in how.items() for x in (n, h.style if h.accepted else "text")])
     mark = F.create_map(*[F.lit(x) for n, h in how.items() for x in (n, h.decimal)])
