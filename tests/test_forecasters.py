@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_forecasting import panel_of
 
-from tidemark.operators import backtest, forecasters, run
+from tidemark.operators import backtest, forecasters, run, regression
 from tidemark.operators.forecasters import Forecaster
 
 
@@ -143,3 +143,19 @@ def test_a_race_drops_the_worse_half_each_round(spark):
     assert {row.candidate for row in out.errors.filter("fold = 3").collect()} == {key[1] for key in rows if key[0] == 4}
     assert racing.race(windows.filter("fold > 99"), local_fit, drawn).winner is None
     assert racing.draw({"a": (0.001, 10.0)}, 5) == racing.draw({"a": (0.001, 10.0)}, 5)
+
+
+def test_tuning_makes_its_rows_once(spark):
+    """However many candidates and cuts there are, the feature rows are made once."""
+    made = spark.sparkContext.accumulator(0)
+
+    def pass_on(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(60).selectExpr("cast(id % 7 as double) AS x", "cast(id % 7 * 2 + 1 as double) AS y", "date_add(DATE '2000-01-01', cast(id as int)) AS ds")
+    candidates = {f"ridge {r}": (lambda r=r: regression.linear(r)) for r in (0.0, 1.0, 5.0)}
+    ranked = regression.tune(rows.mapInArrow(pass_on, rows.schema), ["x"], candidates, ["2000-01-30", "2000-02-15"])
+    assert made.value == 60
+    assert ranked[0][0] == "ridge 0.0" and ranked[0][1] < 1e-6 and len(ranked) == 2
