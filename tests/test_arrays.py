@@ -1,10 +1,11 @@
 """Panels of one row per series give what their rows give."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_forecasting import panel_of
 
-from tidemark.operators import backtest, calendar, diagnostics, preparation, validation
+from tidemark.operators import backtest, calendar, diagnostics, fanout, forecasters, preparation, smoothing, validation
 
 SERIES = {
     "a": [float(i * 7 % 11) for i in range(50)],
@@ -77,3 +78,48 @@ def test_validation_sorts_no_windows(spark, panel, capsys):
     assert got["c"]["duplicate_timestamps"] == 1 and got["d"] == {"short_history": 3, "constant_target": 1, "leading_nulls": 1, "trailing_nulls": 1}
     report.explain()
     assert "Window" not in capsys.readouterr().out
+
+
+def test_windows_of_one_length_share_their_shuffles(monkeypatch):
+    draw = np.random.default_rng(4)
+    t = np.arange(40)
+    windows = 50 + draw.normal(size=(30, 40)) + 8 * np.outer(np.arange(30) % 3, np.sin(2 * np.pi * t / 12)) + np.outer(np.arange(30) % 2, t)
+    windows[7], seeds, made = 3.0, [], np.random.default_rng
+    diagnostics._orders.cache_clear()
+    monkeypatch.setattr(np.random, "default_rng", lambda seed: seeds.append(seed) or made(seed))
+    shapes = diagnostics.shapes_of(windows, "monthly")
+    assert len(seeds) == len(set(seeds)) <= 5
+    assert set(shapes["has_season"]) == set(shapes["has_trend"]) == {True, False}
+    for i, values in enumerate(windows):
+        assert diagnostics.shape_of(values, "monthly") == {name: held[i] for name, held in shapes.items()}
+
+
+def test_shuffled_strengths_are_those_of_the_general_form():
+    values = np.random.default_rng(9).normal(size=(6, 31)).cumsum(axis=1)
+    for period in (3, 4, 12):
+        assert diagnostics._season_strengths(values, period) == pytest.approx(diagnostics._strengths(*diagnostics._seasonal(values, period)), abs=1e-12)
+
+
+def test_alike_windows_lie_together(spark):
+    rows = [(f"s{i}", 0, [1.0] * (20 + i % 3), (12, i % 2 == 0, False)) for i in range(96)]
+    windows = spark.createDataFrame(rows, "series_id string, fold int, train array<double>, shape struct<period:int,has_season:boolean,has_trend:boolean>").repartition(4, "series_id")
+    placed = forecasters.together(windows).select(F.spark_partition_id(), "shape", F.size("train"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Six kinds in a row are cut once less than there are tasks.
+    assert placed.count() == 96 and placed.distinct().count() <= 6 + tasks - 1
+
+
+def test_logs_are_wanted_row_by_row():
+    draw = np.random.default_rng(2)
+    rows = np.exp(draw.normal(size=(40, 30)) * draw.random((40, 1)) + np.arange(30) / 9)
+    rows[3, 4], rows[5] = 0.0, 2.0
+    logs = smoothing.want_logs(rows, 6)
+    assert set(logs) == {True, False} and list(logs) == [smoothing.wants_log(row, 6) for row in rows] and not logs[3] and not logs[5]
+
+
+def test_the_fan_out_sorts_no_folds(spark, panel, monkeypatch):
+    def refused(*_, **__):
+        raise AssertionError("Rows were spread over folds.")
+
+    monkeypatch.setattr(backtest, "fold_rows", refused)
+    assert fanout.forecast_windows(panel, "monthly", 6, roster=("naive",)).count() > 5

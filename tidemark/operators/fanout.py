@@ -19,9 +19,9 @@ from tidemark.constants import (
 )
 from tidemark.functions.dates import add_periods
 from tidemark.operators import backtest, diagnostics, forecasters, intervals, selection, validation
-from tidemark.operators.calendar import align_calendar
+from tidemark.operators.calendar import align_arrays
 from tidemark.operators.hierarchy import bottom_up
-from tidemark.operators.preparation import prepare
+from tidemark.operators.preparation import prepare_arrays
 from tidemark.session import cut_lineage
 
 ROSTER, FULL_ROSTER, INTERMITTENT = forecasters.LEAF_ROSTER, forecasters.FULL_ROSTER, forecasters.RARE
@@ -56,25 +56,17 @@ def forecast_windows(
     A window's season and trend are measured in the window itself; only the
     plan of cuts uses the whole history.
     """
-    # Hashed by series once: the windows over series and folds that follow
-    # all run where their rows already lie.
-    aligned = align_calendar(diagnostics.spread_out(panel, [SERIES_ID]), frequency)
-    whole = diagnostics.compacted(prepare(aligned, fill, sigmas))
-    pattern = diagnostics.demand_pattern(whole).select(SERIES_ID, "demand_class")
-    if shape is None:
-        profile = cut_lineage(diagnostics.seasonal_profile(whole, frequency), "shape")
-        known = profile.select(SERIES_ID, "period", "has_season").join(pattern, SERIES_ID)
-    else:
-        known = pattern.select(SERIES_ID, shape["period"].alias("period"), shape["has_season"].alias("has_season"), "demand_class")
-    planned = backtest.plan_rows(
-        aligned.join(known, SERIES_ID), horizon, frequency, period=_season(frequency), max_folds=max_folds
-    )
-    windows = backtest.training_windows(
-        backtest.fold_rows(planned), fill=fill, sigmas=sigmas, season=SEASON[frequency]
-    )
+    # One row per series: folds are slices of its array, and nothing is sorted by windows.
+    aligned = align_arrays(diagnostics.spread_out(panel, [SERIES_ID]), frequency)
+    prepared = prepare_arrays(aligned, fill, sigmas).filter(F.exists("values", lambda v: v.isNotNull()))
+    whole = cut_lineage(prepared if shape is not None else prepared.withColumn("s", diagnostics.shape_column(F.col("values"), frequency)), "aligned")
+    pattern = diagnostics.demand_pattern(whole.select(SERIES_ID, F.explode("values").alias(Y)).filter(F.col(Y).isNotNull())).select(SERIES_ID, "demand_class")
+    measured = F.col("s") if shape is None else shape
+    known = cut_lineage(whole.select(SERIES_ID, "n", "points", measured["period"].alias("period"), measured["has_season"].alias("has_season")).join(pattern, SERIES_ID), "shape")
+    planned = backtest.plan_rows(known, horizon, frequency, period=_season(frequency), max_folds=max_folds)
+    windows = backtest.fold_windows(planned, fill=fill, sigmas=sigmas, season=SEASON[frequency])
     shaped = diagnostics.spread_out(windows, [SERIES_ID, "fold"]).withColumn("shape", diagnostics.shape_column(F.col("train"), frequency) if shape is None else shape)
-    shaped = diagnostics.spread_out(cut_lineage(shaped, "shapes"), [SERIES_ID, "fold"])
-    fitted = forecasters.add_paths(shaped, roster, frequency, F.greatest("test_horizon", F.lit(horizon)))
+    fitted = forecasters.add_paths(forecasters.together(cut_lineage(shaped, "shapes")), roster, frequency, F.greatest("test_horizon", F.lit(horizon)))
     described = known.select(SERIES_ID, F.col("period").alias("full_period"), F.col("has_season").alias("full_season"), "demand_class")
     return cut_lineage(fitted.join(described, SERIES_ID), "windows")
 
