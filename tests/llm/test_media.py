@@ -386,3 +386,13 @@ def test_damaged_images_are_refused_or_read():
             assert len(pixels) == width * height
         except webp.BadImage:
             pass
+
+
+def test_red_and_blue_written_alike_are_read_once(monkeypatch):
+    draw = random.Random(6)
+    samples = payload(bytes(draw.choice(b"etaoin shrdlu,.") for _ in range(192 * 20)))
+    data = webp.encode(samples, 64, 20)
+    read, real = [], webp._read_code
+    monkeypatch.setattr(webp, "_read_code", lambda bits, alphabet: read.append(alphabet) or real(bits, alphabet))
+    assert (webp.decode(data)[2].view(np.uint8).reshape(-1, 4)[:, 2::-1].ravel() == samples).all()
+    assert read == [280, 256, 256, 40]

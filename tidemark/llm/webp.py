@@ -3,7 +3,7 @@
 The decoder reads the whole lossless format: simple and canonical prefix codes,
 meta prefix images, back-references, the colour cache, and the predictor,
 cross-colour, subtract-green and palette transforms. An image of one group of
-codes is read as arrays: every bit at which a symbol could begin tells where the
+codes is read as arrays: every bit at which a plain pixel could begin tells where the
 next one would, the symbols are those met on the way from the first, and copied
 and cached pixels follow their sources. The encoder writes uneven prefix codes,
 back-references, and the colour cache and subtract-green where they pay.
@@ -59,9 +59,10 @@ class Bits:
         self.at += n
         return value & ((1 << n) - 1)
 
-    def peek(self, n: int) -> int:
-        """The next bits, noughts behind the end; none is taken."""
-        return int.from_bytes(self.data[self.at >> 3 : (self.at + n + 7) >> 3], "little") >> (self.at & 7) & ((1 << n) - 1)
+    def peek(self, n: int, at: int | None = None) -> int:
+        """The next bits, or those from ``at`` on, noughts behind the end; none is taken."""
+        at = self.at if at is None else at
+        return int.from_bytes(self.data[at >> 3 : (at + n + 7) >> 3], "little") >> (at & 7) & ((1 << n) - 1)
 
 
 @cache
@@ -182,6 +183,21 @@ def _read_code(bits: Bits, alphabet: int) -> Code:
     return make_code(lengths + [0] * (alphabet - n))
 
 
+def _read_codes(bits: Bits, slots: int) -> list[Code]:
+    """The five codes of a group: green, lengths and places of the cache, red, blue,
+    alpha, distances. Red and blue are often written alike: then blue's is red's."""
+    green = _read_code(bits, 280 + slots)
+    start = bits.at
+    red = _read_code(bits, 256)
+    size = bits.at - start
+    if size > 64 and bits.at + size <= bits.end and bits.peek(size) == bits.peek(size, start):
+        blue = red
+        bits.at += size
+    else:
+        blue = _read_code(bits, 256)
+    return [green, red, blue, _read_code(bits, 256), _read_code(bits, 40)]
+
+
 def _span(bits: Bits, symbol: int) -> int:
     """The length or distance that a prefix symbol and its extra bits stand for."""
     if symbol < 4:
@@ -202,7 +218,7 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         block = bits.read(3) + 2
         across = -(-width >> block)
         which = _read_image(bits, across, -(-height >> block), False) >> 8 & 0xFFFF
-    groups = [[_read_code(bits, size) for size in (280 + slots, 256, 256, 256, 40)] for _ in range(1 if which is None else int(which.max()) + 1)]
+    groups = [_read_codes(bits, slots) for _ in range(1 if which is None else int(which.max()) + 1)]
     if which is None:
         return _one_group(bits, groups[0], width, total, cache_bits)
     out = [0] * total
@@ -238,15 +254,6 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
 _LEFT, _UP = np.array(NEARBY, dtype=np.int64).T
 
 
-def _spans(peek: np.ndarray, at: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What prefix symbols stand for, their extra bits being at ``at``; and the
-    number of these bits."""
-    extra = np.maximum(symbols - 2 >> 1, 0)
-    more = peek.take(at).astype(np.int64) | peek.take(at + 16).astype(np.int64) << 16
-    value = np.where(symbols < 4, symbols, (2 + (symbols & 1) << extra) + (more & (1 << extra) - 1))
-    return value + 1, extra
-
-
 #: Bits that are looked at together: bounds the memory that reading takes.
 WINDOW = 1 << 20
 
@@ -313,11 +320,11 @@ def _symbols(bits: Bits, codes: list[Code], start: int, n: int, most: int) -> tu
     """Of the symbols met from bit ``start`` on that begin within ``n`` bits, ``most``
     at most: green or other, how many pixels it makes, colour, distance code, and
     the bit behind it; and the bit behind the last."""
-    depths = [code.depth for code in codes]
-    tables = [(code.symbols & 15, code.symbols >> 4) for code in codes]
-    masks = [(1 << depth) - 1 for depth in depths]
-    first, skip = start >> 3, start & 7
-    n += skip
+    masks = [len(code.symbols) - 1 for code in codes]
+    # Symbols with their lengths, and lengths alone, in few bytes.
+    tables = [code.symbols.astype(np.uint16) for code in codes]
+    first, at = start >> 3, start & 7
+    n += at
     raw = np.zeros((n >> 3) + 16, dtype=np.uint32)
     given = np.frombuffer(bits.data, dtype=np.uint8, offset=first, count=min(len(bits.data) - first, len(raw)))
     raw[: len(given)] = given
@@ -325,64 +332,65 @@ def _symbols(bits: Bits, codes: list[Code], start: int, n: int, most: int) -> tu
     words = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
     peek = (words[:, None] >> np.arange(8, dtype=np.uint32)).ravel().astype(np.uint16)
 
-    def after(at: np.ndarray, kind: int) -> np.ndarray:
-        return at + tables[kind][0].take(peek.take(at) & masks[kind]) if masks[kind] else at
-
-    def symbol(at: np.ndarray, kind: int) -> np.ndarray:
-        return tables[kind][1].take(peek.take(at) & masks[kind])
-
-    # Where the next symbol of a pixel would begin, if one began at a bit.
-    every = np.arange(n)
-    held = codes[0].symbols.take(peek[:n] & masks[0])
-    own = every + (held & 15)
-    following = own
-    # Behind the symbol of a channel, from every bit; two often have one code.
-    behind, last = every, None
-    long = np.arange(n + 48) if depths[0] + depths[1] + depths[2] else every
-    for code, depth, mask, table in zip(codes[1:4], depths[1:], masks[1:], tables[1:], strict=False):
-        if depth:
+    # Behind a plain pixel that begins at a bit; nought where another symbol would.
+    held = tables[0].take(peek[:n] & masks[0])
+    following = np.arange(n)
+    following += held & 15
+    last = None
+    for code, table, mask in zip(codes[1:4], tables[1:], masks[1:], strict=False):
+        if mask:
             if last is not code.symbols:
-                behind, last = long + table[0].take(peek[: n + 48] & mask), code.symbols
-            following = behind.take(following)
-    following = following.copy() if following is own else following
-    copied = lengths = distances = every[:0]
+                # Two channels often have one code.
+                sizes, last = (table & 15).astype(np.uint8).take(peek[: n + 48] & mask), code.symbols
+            following += sizes.take(following)
     if int(codes[0].order.max()) > 255:
-        referring = (held >= 256 << 4).nonzero()[0]
-        symbols = held.take(referring) >> 4
-        cached, copied = referring[symbols >= 280], referring[symbols < 280]
-        following[cached] = own[cached]
-        lengths, extra = _spans(peek, own[copied], symbols[symbols < 280] - 256)
-        at = own[copied] + extra
-        behind = after(at, 4)
-        distances, extra = _spans(peek, behind, symbol(at, 4))
-        following[copied] = behind + extra
-    # Four symbols a step; n stands for any bit behind.
-    one = np.append(np.minimum(following, n), n)
-    two = one.take(one)
-    steps, at, begins = memoryview(two.take(two)), skip, []
-    for _ in range(-(-most // 4)):
-        if at == n:
+        following[held >= 256 << 4] = 0
+    steps, near = memoryview(following), memoryview(peek)
+    begins: list[int] = []
+    others: list[tuple[int, int, int]] = []
+    for _ in range(most):
+        if at >= n:
             break
         begins.append(at)
-        at = steps[at]
-    spots = np.empty((len(begins), 4), dtype=np.int64)
-    spots[:, 0] = begins
-    spots[:, 1], spots[:, 2] = one.take(spots[:, 0]), two.take(spots[:, 0])
-    spots[:, 3] = one.take(spots[:, 2])
-    spots = spots.ravel()[:most]
-    spots = spots[: spots.searchsorted(n)]
-    symbols = held.take(spots) >> 4
+        behind = steps[at]
+        if behind:
+            at = behind
+            continue
+        found = int(held[at])
+        at += found & 15
+        if found >= 280 << 4:
+            continue
+        length, at = _spanned(near, at, (found >> 4) - 256)
+        found = int(tables[4][near[at] & masks[4]])
+        distance, at = _spanned(near, at + (found & 15), found >> 4)
+        others.append((len(begins) - 1, length, distance))
+    spots = np.array(begins, dtype=np.int64)
+    symbols = held.take(spots).astype(np.int64)
+    place = spots + (symbols & 15)
+    symbols >>= 4
     counts, backs = np.ones(len(spots), dtype=np.int64), np.zeros(len(spots), dtype=np.int64)
-    copying = np.flatnonzero((symbols > 255) & (symbols < 280))
-    found = copied.searchsorted(spots[copying])
-    counts[copying], backs[copying] = lengths[found], distances[found]
+    if others:
+        which, lengths, distances = np.array(others).T
+        counts[which], backs[which] = lengths, distances
     colours = symbols << 8
-    place = own.take(spots)
     for kind, shift in ((1, 16), (2, 0), (3, 24)):
-        colours |= symbol(place, kind) << shift
-        place = after(place, kind)
-    ends = following.take(spots) + 8 * first
-    return symbols, counts, colours, backs, ends, int(ends[-1])
+        if masks[kind]:
+            found = tables[kind].take(peek.take(place) & masks[kind]).astype(np.int64)
+            colours |= found >> 4 << shift
+            place += found & 15
+        else:
+            colours |= codes[kind].only << shift
+    ends = np.append(spots[1:], at) + 8 * first
+    return symbols, counts, colours, backs, ends, at + 8 * first
+
+
+def _spanned(near: memoryview, at: int, symbol: int) -> tuple[int, int]:
+    """`_span` of a symbol whose extra bits begin at ``at``, and the bit behind them."""
+    if symbol < 4:
+        return symbol + 1, at
+    extra = (symbol - 2) >> 1
+    more = near[at] | near[at + 16] << 16
+    return ((2 + (symbol & 1)) << extra) + (more & (1 << extra) - 1) + 1, at + extra
 
 
 def _followed(source: np.ndarray) -> np.ndarray:
