@@ -1,6 +1,8 @@
 """Aggregation, calendars, validation, reading and profiles on small tables."""
 
 from datetime import date, timedelta
+from itertools import combinations
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -226,6 +228,50 @@ def test_exact_keys_go_by_width(spark):
     assert [tuple(r) for r in profile.exact_keys(null_key, "day", ["k"])] == [(1, ["k"], 0, 2)]
 
 
+def test_exact_keys_in_slices_are_the_brute_ones(spark, monkeypatch):
+    """Small limits stand for a large table: slices, kept rows and hashes in several parts."""
+    for name, limit in {"SLICE_RECORDS": 60, "TASK_RECORDS": 200, "MET_HASHES": 3, "WORTH_ROWS": 20}.items():
+        monkeypatch.setattr(profile, name, limit)
+    # a and b meet once, with different c; nested nulls leave hashes as they were.
+    rows = [(i % 3, i // 20, i % 20, i % 7, i * 37 % 101, [None, i % 2] if i % 5 else [i % 2, None], None) for i in range(400)]
+    rows += [(0, 0, 0, 6, 5, [1, None], 0.0), (0, 0, 0, 6, 5, [None, 1], -0.0), (None, None, 3, 2, 1, None, None)]
+    columns = ["a", "b", "c", "d", "e", "f"]
+    frame = spark.createDataFrame(rows, "day int, a int, b int, c int, d int, e array<int>, f double")
+    plain = [tuple(tuple(v) if isinstance(v, list) else v for v in row) for row in rows]
+
+    def different(plain, places):
+        return len({tuple(row[i] for i in places) for row in plain})
+
+    def brute(plain, considered):
+        for width in range(5):
+            subsets = [s for s in combinations([columns.index(c) + 1 for c in considered], width)]
+            exact = [s for s in subsets if different(plain, (0, *s)) == len(plain)]
+            if exact:
+                return [(width, [columns[i - 1] for i in s], 0, different(plain, s)) for s in exact]
+        whole = [columns.index(c) + 1 for c in considered]
+        return [(len(whole), list(considered), len(plain) - different(plain, (0, *whole)), different(plain, whole))]
+
+    for considered, witness_rows in ((columns, 1), (["a", "b", "c"], 5), (["f", "e"], 2000)):
+        found = profile.exact_keys(frame, "day", considered, witness_rows=witness_rows)
+        assert [tuple(r) for r in found] == brute(plain, considered)
+    twice = profile.exact_keys(frame.unionAll(frame.limit(1)), "day", columns)
+    assert [tuple(r) for r in twice] == brute(plain + plain[:1], columns)
+
+
+def test_a_key_search_moves_hashes_and_not_the_rows(spark):
+    """Fifteen pairs of six wide columns, hardly any of which meets: each is a short hash a row."""
+    folders = [str(path) for path in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    held = lambda: sum(path.stat().st_size for folder in folders for path in Path(folder).rglob("*") if path.is_file())
+    values = [F.md5((F.xxhash64(F.lit(j), "id") % 9000).cast("string")).alias(f"k{j}") for j in range(6)]
+    frame = spark.range(30_000).select((F.col("id") % 2).alias("day"), *values)
+    before = held()
+    found = profile.exact_keys(frame, "day", [f"k{j}" for j in range(6)])
+    assert held() - before < 25_000_000
+    pairs = [list(s) for s in combinations([f"k{j}" for j in range(6)], 2)]
+    alone = [s for s in pairs if frame.select("day", *s).distinct().count() == 30_000]
+    assert [r["keys"] for r in found] == alone or not alone and {r["width"] for r in found} == {3}
+
+
 def test_proposal_and_override(spark, sales):
     mapping, _ = profile.propose(sales.select(F.col("day").alias("order_date"), "sku", F.col("units").alias("revenue")))
     assert (mapping.date, mapping.target, mapping.series_keys) == ("order_date", "revenue", ("sku",))
